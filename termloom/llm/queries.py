@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, quality, secrets_scan, simhash, toxicity
+from . import bpe, common, exact_dedup, minhash, packing, quality, secrets_scan, simhash, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(common.table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(common.table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_edits(common.table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(common.table(spark, sf_dir, "documents"))
 
@@ -42,6 +54,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op2_secrets": op2_secrets,
         "op4_simhash": op4_simhash,
+        "op3_packing": op3_packing,
+        "op5_bpe": op5_bpe,
+        "op6_fingerprints": op6_fingerprints,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
