@@ -242,3 +242,17 @@ def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     by_root = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(by_root, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` with all their columns, but of each group of near copies only those with the smallest doc_id.
+
+    An id names a document: rows that share an id stay or go together, and an id stays if it is the smallest of any group.
+    Null ids are one such id; it goes from groups that have another.
+    """
+    kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stats = common.staged(near_groups(docs, width).groupBy("doc_id").agg(kept.alias("kept")), "simhash-kept")
+    dropped = stats.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
