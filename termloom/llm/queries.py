@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, minhash, packing, quality, secrets_scan, simhash, toxicity
+from . import bpe, common, exact_dedup, licenses, minhash, packing, quality, secrets_scan, simhash, toxicity, warc
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +37,18 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_edits(common.table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(common.table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(common.table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(common.table(spark, sf_dir, "pages")))
+
+
 _OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 k AS (SELECT doc_id, norm, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
@@ -57,9 +65,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op5_bpe": op5_bpe,
         "op6_fingerprints": op6_fingerprints,
+        "op7_licenses": op7_licenses,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_warc": op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _OP8_SQL}
+    return {"op7_licenses": licenses.oracle(), "op8_exact_dedup": _OP8_SQL, "op9_warc": warc.oracle()}
