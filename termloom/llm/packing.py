@@ -249,6 +249,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             kept = batch.select(["doc_id", "piece", "start", "length", "ids_crc32"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence), pa.array(offset)], names=[*kept.schema.names, "sequence_id", "offset"])
 
-    placed = cutting.join(by_task.select("task", "length", "before"), ["task", "length"])
+    # a merge join: the offsets grow with the number of tasks, and pieces are small rows
+    placed = cutting.join(by_task.select("task", "length", "before").hint("merge"), ["task", "length"])
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return placed.mapInArrow(_place, ddl)
