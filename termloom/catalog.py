@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
+#: Modules whose import registers their queries.
+MODULES = (
+    "plans.retrieval", "plans.ranking", "plans.ontology", "plans.setmetrics", "plans.texts", "plans.assertions", "plans.privacy",
+    "plans.extraction", "plans.fidelity", "plans.exports", "plans.service", "plans.mapping",
+)
+
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     """Decorator that puts a query, and its SQL if any, into the registry."""
@@ -26,9 +33,16 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"termloom.{module}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
