@@ -17,14 +17,19 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: White space of the contracts, as a Java and Python character class.
 SPACES = r"[\x20\x09-\x0D]+"
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when it lies in the driver's source tree.
+    """Settle what Python workers need: the package's path, and Arrow batches of few rows, as texts are long.
 
-    On a cluster the package is shipped as usual (``--py-files``); a path that an executor lacks does no harm.
+    The path serves a package in the driver's source tree; on a cluster it is shipped as usual (``--py-files``), and a path
+    that an executor lacks does no harm. A session that sets a batch size of its own keeps it.
     """
+    if spark.conf.get(_BATCH_ROWS, "10000") == "10000":  # the default, made for short rows
+        spark.conf.set(_BATCH_ROWS, "1000")
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
