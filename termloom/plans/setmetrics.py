@@ -1 +1,270 @@
-"""Queries of this area."""
+"""Predictions against gold sets: outcomes, precision, recall and F1 by averaging, assertions, aggregation over chunks."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..catalog import register
+from ..operators import graph
+from ..storage import table
+
+ASSERTIONS = ("PRESENT", "ABSENT", "UNCERTAIN")
+
+#: Annotations of the test tables: an order is a document, a part is a term, the return flag is the assertion.
+_SETS = """WITH a AS (SELECT l_orderkey AS doc_id, 'P:' || l_partkey AS term, CASE l_returnflag WHEN 'A' THEN 'PRESENT' WHEN 'N' THEN 'ABSENT' ELSE 'UNCERTAIN' END AS assertion, l_quantity, l_discount FROM lineitem),
+u AS (SELECT doc_id, term, assertion, bool_or(l_quantity <= 30) AS p, bool_or(l_discount >= 0.03) AS g FROM a WHERE l_quantity <= 30 OR l_discount >= 0.03 GROUP BY ALL),
+o AS (SELECT doc_id, term, assertion, CASE WHEN NOT p THEN 'fn' WHEN NOT g THEN 'fp' ELSE 'tp' END AS outcome FROM u),
+d AS (SELECT doc_id, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM o GROUP BY doc_id),
+m AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fn) END AS r FROM d),
+x AS (SELECT *, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END AS f FROM m)"""
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Predicted and gold (doc_id, term, assertion)."""
+    flag = F.col("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("term"),
+        F.when(flag == "A", "PRESENT").when(flag == "N", "ABSENT").otherwise("UNCERTAIN").alias("assertion"), "l_quantity", "l_discount",
+    )
+    keep = ("doc_id", "term", "assertion")
+    return rows.filter("l_quantity <= 30").select(*keep), rows.filter("l_discount >= 0.03").select(*keep)
+
+
+def outcomes(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """doc_id, term, assertion, outcome (tp, fp, fn). Both sides go through one aggregation: one shuffle instead of a join's two."""
+    both = pred.withColumn("side", F.lit(1)).unionByName(gold.withColumn("side", F.lit(2)))
+    sides = both.groupBy("doc_id", "term", "assertion").agg(F.bit_or("side").alias("sides"))
+    return sides.select("doc_id", "term", "assertion", F.when(F.col("sides") == 3, "tp").when(F.col("sides") == 1, "fp").otherwise("fn").alias("outcome"))
+
+
+def normalize_for_scoring(rows: DataFrame, mode: str = "strict") -> DataFrame:
+    """``strict`` leaves annotations as they are, ``present-only`` keeps asserted ones."""
+    if mode not in ("strict", "present-only"):
+        raise ValueError(f"unknown scoring mode {mode}")
+    return rows if mode == "strict" else rows.filter(F.col("assertion") == "PRESENT")
+
+
+def counts(found: DataFrame, *by: str) -> DataFrame:
+    n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    return found.groupBy(*by).agg(n("tp"), n("fp"), n("fn"))
+
+
+def prf(rows: DataFrame) -> DataFrame:
+    """p, r, f of tp, fp, fn; zero where nothing is to divide by."""
+    zero = F.lit(0.0)
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), zero)
+    tp = F.col("tp")
+    rows = rows.withColumns({"p": ratio(tp, tp + F.col("fp")), "r": ratio(tp, tp + F.col("fn"))})
+    return rows.withColumn("f", ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+
+
+def r5(x: Column, name: str) -> Column:
+    return F.round(x, 5).alias(name)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prf(counts(outcomes(*annotations(spark, sf_dir)), "doc_id"))
+
+
+@register("outcome_tp_fp_fn", _SETS + " SELECT doc_id, term, assertion, outcome FROM o")
+def outcome_tp_fp_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes(*annotations(spark, sf_dir))
+
+
+@register("doc_metrics", _SETS + " SELECT doc_id, tp, fp, fn, round(p, 5) AS p, round(r, 5) AS r, round(f, 5) AS f FROM x")
+def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "tp", "fp", "fn", *[r5(F.col(c), c) for c in "prf"])
+
+
+_MICRO = ", s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM d), y AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM s)"
+
+
+@register("prf_micro", _SETS + _MICRO + " SELECT round(p, 5) AS precision, round(r, 5) AS recall, round(2 * p * r / (p + r), 5) AS f1 FROM y")
+def prf_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prf(counts(outcomes(*annotations(spark, sf_dir)))).select(r5(F.col("p"), "precision"), r5(F.col("r"), "recall"), r5(F.col("f"), "f1"))
+
+
+@register("prf_macro", _SETS + " SELECT round(avg(p), 5) AS precision, round(avg(r), 5) AS recall, round(avg(f), 5) AS f1 FROM x")
+def prf_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).agg(r5(F.avg("p"), "precision"), r5(F.avg("r"), "recall"), r5(F.avg("f"), "f1"))
+
+
+@register(
+    "prf_weighted",
+    _SETS + ", w AS (SELECT *, greatest(tp + fn, 1) AS w FROM x) SELECT round(sum(p * w) / sum(w), 5) AS precision, round(sum(r * w) / sum(w), 5) AS recall, round(sum(f * w) / sum(w), 5) AS f1 FROM w",
+)
+def prf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents weigh as their gold sets, one at least."""
+    rows = documents(spark, sf_dir).withColumn("w", F.greatest(F.col("tp") + F.col("fn"), F.lit(1)))
+    mean = lambda c, name: r5(F.try_divide(F.sum(F.col(c) * F.col("w")), F.sum("w")), name)
+    return rows.agg(mean("p", "precision"), mean("r", "recall"), mean("f", "f1"))
+
+
+@register(
+    "prf_by_assertion",
+    _SETS
+    + """, s AS (SELECT coalesce(assertion, 'ALL') AS assertion, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM o GROUP BY ROLLUP (assertion))
+SELECT assertion, tp, fp, fn, round(tp / (tp + fp), 5) AS precision, round(tp / (tp + fn), 5) AS recall FROM s""",
+)
+def prf_by_assertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    rows = outcomes(*annotations(spark, sf_dir)).rollup("assertion").agg(n("tp"), n("fp"), n("fn"))
+    return prf(rows).select(F.coalesce("assertion", F.lit("ALL")).alias("assertion"), "tp", "fp", "fn", r5(F.col("p"), "precision"), r5(F.col("r"), "recall"))
+
+
+@register(
+    "assertion_confusion",
+    """WITH a AS (SELECT l_orderkey AS d, l_linenumber AS n, CASE l_returnflag WHEN 'A' THEN 'PRESENT' WHEN 'N' THEN 'ABSENT' ELSE 'UNCERTAIN' END AS gold, CASE WHEN l_linestatus = 'O' THEN 'ABSENT' WHEN l_quantity <= 25 THEN 'PRESENT' ELSE 'UNCERTAIN' END AS pred FROM lineitem)
+SELECT gold, count(*) FILTER (pred = 'PRESENT') AS "PRESENT", count(*) FILTER (pred = 'ABSENT') AS "ABSENT", count(*) FILTER (pred = 'UNCERTAIN') AS "UNCERTAIN", round(100.0 * avg(CASE WHEN gold = pred THEN 1.0::DOUBLE ELSE 0.0 END), 5) AS accuracy FROM a GROUP BY gold""",
+)
+def assertion_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(flag == "A", "PRESENT").when(flag == "N", "ABSENT").otherwise("UNCERTAIN").alias("gold"),
+        F.when(F.col("l_linestatus") == "O", "ABSENT").when(F.col("l_quantity") <= 25, "PRESENT").otherwise("UNCERTAIN").alias("pred"),
+    )
+    cells = [F.count_if(F.col("pred") == a).alias(a) for a in ASSERTIONS]
+    return rows.groupBy("gold").agg(*cells, F.round(100 * F.avg(F.when(F.col("gold") == F.col("pred"), 1.0).otherwise(0.0)), 5).alias("accuracy"))
+
+
+@register("joint_f1", _SETS + " SELECT doc_id, round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 5) AS joint_f1 FROM d")
+def joint_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = counts(outcomes(*annotations(spark, sf_dir)), "doc_id")
+    return rows.select("doc_id", r5(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), "joint_f1"))
+
+
+# --- aggregation of chunk predictions to documents: an order is a document, its suppliers are chunks, part types are terms ---
+
+_CHUNKS = """WITH c AS (SELECT l_orderkey AS doc_id, l_suppkey % 3 AS chunk, p_brand AS term, max(l_discount * 10) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL), n AS (SELECT doc_id, count(DISTINCT chunk) AS chunks FROM c GROUP BY 1)"""
+
+
+def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_discount")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 3).alias("chunk"), F.col("p_brand").alias("term")).agg(F.max(F.col("l_discount") * 10).alias("score"))
+
+
+def aggregate_chunks(scores: DataFrame, strategy: str, threshold: float | None = None) -> DataFrame:
+    """doc_id, term of a document's chunks (doc_id, chunk, term, score) by strategy: union, intersection, weighted or threshold."""
+    match strategy:
+        case "union":
+            return scores.select("doc_id", "term").distinct()
+        case "intersection":
+            n = scores.groupBy("doc_id").agg(F.countDistinct("chunk").alias("chunks"))
+            per = scores.groupBy("doc_id", "term").agg(F.countDistinct("chunk").alias("n"))
+            return per.join(n, "doc_id").filter(F.col("n") == F.col("chunks")).select("doc_id", "term")
+        case "weighted":
+            return scores.groupBy("doc_id", "term").agg(F.avg("score").alias("s")).filter(F.round("s", 9) >= (0.5 if threshold is None else threshold)).select("doc_id", "term")
+        case "threshold":
+            return scores.groupBy("doc_id", "term").agg(F.max("score").alias("s")).filter(F.round("s", 9) >= (0.7 if threshold is None else threshold)).select("doc_id", "term")
+    raise ValueError(f"unknown strategy {strategy}")
+
+
+def _aggregation(strategy: str, sql: str) -> None:
+    @register(f"agg_{strategy}", f"{_CHUNKS} {sql}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return aggregate_chunks(chunk_scores(spark, sf_dir), strategy)
+
+
+_aggregation("union", "SELECT DISTINCT doc_id, term FROM c")
+_aggregation("intersection", "SELECT doc_id, term FROM c JOIN n USING (doc_id) GROUP BY doc_id, term, chunks HAVING count(DISTINCT chunk) = chunks")
+_aggregation("weighted", "SELECT doc_id, term FROM c GROUP BY ALL HAVING round(avg(score), 9) >= 0.5")
+_aggregation("threshold", "SELECT doc_id, term FROM c GROUP BY ALL HAVING round(max(score), 9) >= 0.7")
+
+
+# --- maximum-weight matching per document ---
+
+
+def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
+    """Row and column pairs of a matching of maximum total weight; pairs of no weight are left out.
+
+    Shortest augmenting paths with potentials on the costs ``top - weight``, rows no more than columns.
+    """
+    if not weights or not weights[0]:
+        return []
+    flip = len(weights) > len(weights[0])
+    w = [list(c) for c in zip(*weights)] if flip else weights
+    n, m, top = len(w), len(w[0]), max(map(max, w))
+    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, done = [float("inf")] * (m + 1), [False] * (m + 1)
+        while owner[at]:
+            done[at] = True
+            row, delta, nxt = owner[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    cost = top - w[row - 1][j - 1] - u[row] - v[j]
+                    if cost < least[j]:
+                        least[j], way[j] = cost, at
+                    if least[j] < delta:
+                        delta, nxt = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            at = nxt
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j] and w[owner[j] - 1][j - 1] > 0]
+    return [(b, a) for a, b in pairs] if flip else pairs
+
+
+def soft_matches(credits: DataFrame) -> DataFrame:
+    """doc_id, assertion, soft_tp from (doc_id, assertion, a, b, credit).
+
+    A document's pairs of one assertion are gathered into one array, whose size is that of a document's annotations;
+    the solver runs over Arrow batches of such rows, without the cost of a Python call a group.
+    """
+
+    @F.pandas_udf("double")
+    def best(pairs: pd.Series) -> pd.Series:
+        def one(row) -> float:
+            rows, columns = {}, {}
+            cells = [(rows.setdefault(p["a"], len(rows)), columns.setdefault(p["b"], len(columns)), p["credit"]) for p in row]
+            weights = [[0.0] * len(columns) for _ in rows]
+            for i, j, credit in cells:
+                weights[i][j] = max(weights[i][j], credit)
+            return round(sum(weights[i][j] for i, j in assign(weights)), 6)
+
+        return pairs.map(one)
+
+    gathered = credits.groupBy("doc_id", "assertion").agg(F.collect_list(F.struct("a", "b", "credit")).alias("pairs"))
+    return gathered.select("doc_id", "assertion", best("pairs").alias("soft_tp"))
+
+
+@register("assign_soft_rows_only")
+def assign_soft_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ontology-aware soft true positives: exact matches first, the rest by maximum-weight matching within an assertion."""
+    from .ontology import ROOT, closed
+
+    found = outcomes(*annotations(spark, sf_dir))
+    exact = found.filter("outcome = 'tp'").groupBy("doc_id", "assertion").agg(F.count("*").alias("exact"))
+    side = lambda o, name: found.filter(F.col("outcome") == o).select("doc_id", "assertion", F.col("term").alias(name))
+    pairs = side("fp", "a").join(side("fn", "b"), ["doc_id", "assertion"])
+    terms = graph.term_features(closed(spark, sf_dir), ROOT)
+    credits = graph.pair_features(pairs.select("a", "b").distinct(), terms).select("a", "b", graph.pair_credit().alias("credit"))
+    soft = soft_matches(pairs.join(credits, ["a", "b"]).select("doc_id", "assertion", "a", "b", "credit"))
+    both = exact.join(soft, ["doc_id", "assertion"], "full_outer")
+    return both.select("doc_id", "assertion", F.coalesce("exact", F.lit(0)).alias("exact"), F.round(F.coalesce("exact", F.lit(0)) + F.coalesce("soft_tp", F.lit(0.0)), 6).alias("soft_tp"))
+
+
+def semantic_prf(pred: DataFrame, gold: DataFrame, sims: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """doc_id, exact, semantic, n_pred, n_gold: exact matches by term, then each other prediction with its best gold term.
+
+    A gold term is matched once: of predictions whose best gold term is the same, the most similar has it.
+    """
+    p, g = pred.select("doc_id", "term").distinct(), gold.select("doc_id", "term").distinct()
+    exact = p.join(g, ["doc_id", "term"])
+    left = p.join(exact, ["doc_id", "term"], "left_anti").withColumnRenamed("term", "a")
+    open_ = g.join(exact, ["doc_id", "term"], "left_anti").withColumnRenamed("term", "b")
+    near = left.join(open_, "doc_id").join(sims.select("a", "b", "hybrid"), ["a", "b"]).filter(F.col("hybrid") >= threshold)
+    best = near.groupBy("doc_id", "a").agg(F.max_by("b", F.struct("hybrid", "b")).alias("b"), F.max("hybrid").alias("hybrid"))
+    semantic = best.groupBy("doc_id").agg(F.countDistinct("b").alias("semantic"))
+    n = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    out = n(p, "n_pred").join(n(g, "n_gold"), "doc_id", "full_outer").join(n(exact, "exact"), "doc_id", "left").join(semantic, "doc_id", "left")
+    return out.na.fill(0, ["n_pred", "n_gold", "exact", "semantic"])
