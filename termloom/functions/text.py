@@ -170,7 +170,9 @@ def detect_language(t: C, default: str = "en", least: int = 20) -> Column:
         "nl": ("het", "een", "van", "niet", "met", "voor", "zijn", "ook"),
     }
     s = F.lower(_c(t))
-    votes = [F.size(F.filter(words(F.regexp_replace(s, r"[^\p{L}]+", " ")), lambda w, ws=ws: w.isin(*ws))) for ws in common.values()]
+    found = words(F.regexp_replace(s, r"[^\p{L}]+", " "))
+    counted = lambda listed: F.size(F.filter(found, lambda w: w.isin(*listed)))
+    votes = [counted(ws) for ws in common.values()]
     best = F.greatest(*votes)
     pick = F.coalesce(*[F.when((v == best) & (best > 0), F.lit(k)) for k, v in zip(common, votes)], F.lit(default))
     return F.when(F.length(F.trim(_c(t))) < least, F.lit(default)).otherwise(pick)
