@@ -31,7 +31,7 @@ _ASSIGN_WORDS = re.compile(rb"passw|secret|token|api_?key")
 
 #: Words that make what follows them sensitive (fixed values).
 CONTEXT = re.compile(
-    r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer|session[_-]?id|signature)"
+    r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key|auth(?:orization)?|credentials?|bearer|session[_-]?id|signature)"
     r"""["'\]>)]*(?:\s+(?:is|was|=>))?\s*[:=>]{0,2}\s*["'(<\[]{0,2}([A-Za-z0-9+/_.=~!@$%^*-]{12,})""",
     re.IGNORECASE | re.ASCII,
 )

@@ -248,7 +248,7 @@ def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` with all their columns, but of each group of near copies only those with the smallest doc_id.
 
     An id names a document: rows that share an id stay or go together, and an id stays if it is the smallest of any group.
-    Null ids are one such id; it goes from groups that have another.
+    Null ids count as one such id, the largest.
     """
     kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stats = common.staged(near_groups(docs, width).groupBy("doc_id").agg(kept.alias("kept")), "simhash-kept")
