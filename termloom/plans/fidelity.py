@@ -1 +1,118 @@
-"""Queries of this area."""
+"""Does the embedding space follow the labels' structure? Neighbour overlap, branch purity, rank correlations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..catalog import register
+from ..operators.knn import knn
+from .retrieval import knn_sql, neighbours, query_set, vectors
+
+K = 10
+
+
+@register(
+    "fid_branch_purity",
+    f"""WITH {knn_sql(K)}, h AS (SELECT q.label AS branch, CASE WHEN d.label = q.label THEN 1.0::DOUBLE ELSE 0.0 END AS same FROM r JOIN v q ON q.id = r.query_id JOIN v d ON d.id = r.doc_id)
+SELECT coalesce(branch::VARCHAR, 'ALL') AS branch, count(*) AS n, round(avg(same), 6) AS purity FROM h GROUP BY ROLLUP (branch)""",
+)
+def fid_branch_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the ten nearest neighbours in a vector's own branch (its label), overall and by branch."""
+    labels = vectors(spark, sf_dir).select("id", "label")
+    found = neighbours(spark, sf_dir, K)
+    rows = found.join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("branch")), "query_id").join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id")
+    same = F.when(F.col("label") == F.col("branch"), 1.0).otherwise(0.0)
+    rows = rows.rollup("branch").agg(F.count("*").alias("n"), F.round(F.avg(same), 6).alias("purity"))
+    return rows.select(F.coalesce(F.col("branch").cast("string"), F.lit("ALL")).alias("branch"), "n", "purity")
+
+
+@register(
+    "fid_knn_overlap",
+    f"""WITH {knn_sql(K)}, o AS (SELECT q.id AS query_id, d.id AS doc_id, row_number() OVER (PARTITION BY q.id ORDER BY CASE WHEN d.label = q.label THEN 0 ELSE 1 END, abs(d.id - q.id), d.id) AS rank
+FROM v q JOIN v d ON q.id % 20 = 0 AND q.id <> d.id QUALIFY rank <= {K})
+SELECT r.query_id, count(o.doc_id) / {K}.0::DOUBLE AS overlap FROM r LEFT JOIN o ON o.query_id = r.query_id AND o.doc_id = r.doc_id GROUP BY r.query_id""",
+)
+def fid_knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared part of two neighbourhoods: by embedding, and by structure (same label first, then nearest id).
+
+    The structural neighbourhood is searched among the label's own vectors, joined on the label, in windows of ids; the few
+    labels with under ten others are filled up from all vectors by nearest id.
+    """
+    docs = vectors(spark, sf_dir).select("id", "label")
+    queries = query_set(docs).select(F.col("id").alias("query_id"), F.col("label").alias("q_label"))
+    ordered = Window.partitionBy("label").orderBy("id")
+    ranked = docs.withColumn("n", F.row_number().over(ordered))
+    places = ranked.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("label").alias("q_label"), F.col("n").alias("q_n"))
+    near = places.withColumn("n", F.explode(F.sequence(F.col("q_n") - K, F.col("q_n") + K))).join(ranked.withColumnRenamed("label", "q_label"), ["q_label", "n"])
+    own = near.filter(F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("doc_id"), F.lit(0).alias("other"))
+    by_id = queries.withColumn("id", F.explode(F.sequence(F.col("query_id") - 4 * K, F.col("query_id") + 4 * K))).join(docs, "id")
+    rest = by_id.filter((F.col("id") != F.col("query_id")) & (F.col("label") != F.col("q_label"))).select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("other"))
+    order = Window.partitionBy("query_id").orderBy("other", F.abs(F.col("doc_id") - F.col("query_id")), "doc_id")
+    struct = own.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= K).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    found = neighbours(spark, sf_dir, K).join(struct, ["query_id", "doc_id"], "left")
+    return found.groupBy("query_id").agg((F.count("hit") / float(K)).alias("overlap"))
+
+
+def average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Ranks with ties averaged. Values are counted first, so the ordered running sum has one row a distinct value."""
+    n = rows.groupBy(column).agg(F.count("*").alias("c"))
+    below = F.coalesce(F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = n.select(F.col(column), (below + (F.col("c") + 1) / 2).alias(name))
+    return rows.join(ranks, column)
+
+
+def spearman(rows: DataFrame, x: str, y: str) -> Column:
+    return average_rank(average_rank(rows, x, "rx"), y, "ry").agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count("*").alias("n"))
+
+
+@register(
+    "fid_spearman",
+    f"""WITH {knn_sql(50)}, h AS (SELECT 1 - similarity AS x, abs(d.label - q.label) AS y FROM r JOIN v q ON q.id = r.query_id JOIN v d ON d.id = r.doc_id),
+g AS (SELECT rank() OVER (ORDER BY round(x, 6)) + (count(*) OVER (PARTITION BY round(x, 6)) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM h)
+SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n FROM g""",
+)
+def fid_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of cosine distance and label distance over the fifty nearest of each query."""
+    labels = vectors(spark, sf_dir).select("id", "label")
+    found = neighbours(spark, sf_dir, 50)
+    rows = found.join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("a")), "query_id").join(labels.select(F.col("id").alias("doc_id"), F.col("label").alias("b")), "doc_id")
+    return spearman(rows.select(F.round(1 - F.col("similarity"), 6).alias("x"), F.abs(F.col("a") - F.col("b")).alias("y")), "x", "y")
+
+
+@register(
+    "fid_depth_corr",
+    """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY i)),
+h AS (SELECT round(1 - list_cosine_similarity(e, c), 5) AS x, label AS y FROM v, c),
+g AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM h)
+SELECT round(corr(rx, ry), 4) AS rho, count(*) AS n FROM g""",
+)
+def fid_depth_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of a vector's depth (its label) and its distance to the centroid, one value a dimension."""
+    docs = vectors(spark, sf_dir).filter(F.col("embedding").isNotNull())
+    means = docs.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centre = [r.m for r in means.orderBy("i").collect()]  # as many numbers as a vector has
+    c = F.array(*[F.lit(float(m)) for m in centre])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    e = F.col("embedding")
+    distance = 1 - F.coalesce(F.try_divide(dot(e, c), F.sqrt(dot(e, e)) * F.sqrt(dot(c, c))), F.lit(0.0))
+    return spearman(docs.select(F.round(distance, 5).alias("x"), F.col("label").alias("y")), "x", "y").select(F.round("rho", 4).alias("rho"), "n")
+
+
+def sample_pairs(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """About ``n`` distinct unordered pairs (a, b): each row draws its partners by hash, so that no product of rows is made."""
+    total = ids.count()
+    if total < 2:
+        return ids.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    ranked = ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("i"))
+    draws = max(1, -(-2 * n // total))
+    partner = F.pmod(F.xxhash64(F.lit(seed), "i", "d"), F.lit(total))
+    rows = ranked.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("j", partner).filter(F.col("i") != F.col("j"))
+    drawn = rows.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().orderBy(F.xxhash64(F.lit(seed), "i", "j")).limit(n)
+    return drawn.join(ranked.select("i", F.col("id").alias("a")), "i").join(ranked.select(F.col("i").alias("j"), F.col("id").alias("b")), "j").select("a", "b")
+
+
+def self_neighbours(docs: DataFrame, k: int) -> DataFrame:
+    """Neighbours of every vector among all others, query block by query block."""
+    return knn(docs, docs, k)

@@ -1 +1,134 @@
-"""Queries of this area."""
+"""Mapping phrases to candidate terms: routing, local matches, selection, deduplication of mentions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..catalog import register
+from ..functions import text as T
+from ..storage import table
+
+LOCAL_MATCH = 80.0
+
+
+def local_match(phrase: Column, label: Column, threshold: float = LOCAL_MATCH) -> Column:
+    """Priority of a candidate: 1 equal token sets, 2 equal texts, 3 contained as whole words, 4 similar tokens; null otherwise."""
+    a, b = T.clean_phrase(phrase), T.clean_phrase(label)
+    contained = (F.length(a) > 0) & F.concat(F.lit(" "), b, F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" ")))
+    equal = F.sort_array(T.token_set(phrase)) == F.sort_array(T.token_set(label))
+    return F.when(equal, 1).when(a == b, 2).when(contained, 3).when(T.token_sort_similarity(a, b) >= threshold, 4)
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, phrase, candidates by shared brand: a part's name without its first word against its brand's parts' names."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return p.select(F.col("p_partkey").alias("item_id"), F.substring_index("p_name", " ", -1).alias("phrase"), "p_brand", "p_size")
+
+
+@register(
+    "map_local_match",
+    """WITH p AS (SELECT p_partkey AS item_id, lower(split_part(p_name, ' ', -1)) AS a, lower(p_name) AS b FROM part)
+SELECT item_id, CASE WHEN a = b THEN 1 WHEN contains(' ' || b || ' ', ' ' || a || ' ') THEN 3 END AS priority FROM p WHERE a = b OR contains(' ' || b || ' ', ' ' || a || ' ')""",
+)
+def map_local_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_partkey").alias("item_id"), local_match(F.substring_index("p_name", " ", -1), F.col("p_name"), 101.0).alias("priority"))
+    return rows.filter("priority IS NOT NULL")
+
+
+def select_candidates(rows: DataFrame, floor: float, least: int, most: int) -> DataFrame:
+    """Distinct terms of an item in rank order: those that overlap or reach the floor, filled up to ``least``, ``most`` at most."""
+    good = F.col("overlap") | (F.col("score") >= floor)
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("item_id", "term").orderBy("rank"))).filter("first = 1").drop("first")
+    # a weak candidate stays only while fewer than ``least`` are kept: good ones before it count, and weak ones kept before it
+    state = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<rank:int,term:bigint,score:double>>").alias("kept"))
+
+    def step(acc: Column, c: Column) -> Column:
+        take = (acc["n"] < most) & (c["good"] | (acc["n"] < least))
+        return F.struct((acc["n"] + F.when(take, 1).otherwise(0)).alias("n"), F.when(take, F.concat(acc["kept"], F.array(F.struct(c["rank"].alias("rank"), c["term"].alias("term"), c["score"].alias("score"))))).otherwise(acc["kept"]).alias("kept"))
+
+    gathered = rows.withColumn("good", good).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("term").cast("long").alias("term"), "score", "good"))).alias("c"))
+    return gathered.select("item_id", F.inline(F.aggregate("c", state, step)["kept"]))
+
+
+@register("map_select_candidates")
+def map_select_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of query vectors with floor 0.35, five to ten an item; tests hold the fold against plain Python."""
+    from .retrieval import neighbours
+
+    found = neighbours(spark, sf_dir, 50)
+    rows = found.select(F.col("query_id").alias("item_id"), "rank", F.floor(F.col("doc_id") / 5).alias("term"), F.col("similarity").alias("score"), (F.col("doc_id") % 7 == 0).alias("overlap"))
+    return select_candidates(rows, 0.35, 5, 10)
+
+
+def route(score: Column, runner_up: Column, length: Column) -> Column:
+    """Resolved locally, to be mapped, or skipped."""
+    return F.when(length < 3, "skipped").when((score >= 0.7) & (F.coalesce(runner_up, F.lit(0.0)) < score), "resolved").otherwise("unresolved")
+
+
+@register(
+    "map_routing",
+    """SELECT CASE WHEN length(p_type) < 3 THEN 'skipped' WHEN p_size / 50.0::DOUBLE >= 0.7 AND (p_size % 7) / 7.0::DOUBLE < p_size / 50.0::DOUBLE THEN 'resolved' ELSE 'unresolved' END AS route, count(*) AS n FROM part GROUP BY 1""",
+)
+def map_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.groupBy(route(F.col("p_size") / 50.0, (F.col("p_size") % 7) / 7.0, F.length("p_type")).alias("route")).agg(F.count("*").alias("n"))
+
+
+def deduplicate_terms(rows: DataFrame) -> DataFrame:
+    """The first mention of each (case, term, assertion), with all mentions' evidence in order."""
+    return rows.groupBy("case_id", "term", "assertion").agg(
+        F.min("pos").alias("first_pos"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "evidence"))), lambda e: e["evidence"]).alias("evidence")
+    )
+
+
+@register(
+    "dedup_terms",
+    """SELECT l_orderkey AS case_id, l_suppkey % 4 AS term, l_returnflag AS assertion, min(l_linenumber) AS first_pos, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS evidence FROM lineitem GROUP BY 1, 2, 3""",
+)
+def dedup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), (F.col("l_suppkey") % 4).alias("term"), F.col("l_returnflag").alias("assertion"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("evidence")
+    )
+    return deduplicate_terms(rows).withColumn("evidence", F.array_join(F.transform("evidence", lambda e: e.cast("string")), ","))
+
+
+def merge_adjacent(rows: DataFrame, joins: Column) -> DataFrame:
+    """Gaps and islands: rows that ``joins`` the one before them (by case and position) become one with it."""
+    order = Window.partitionBy("case_id").orderBy("pos")
+    rows = rows.withColumn("opens", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("opens").over(order))
+    return rows.groupBy("case_id", "island").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+@register(
+    "merge_chunk_rows",
+    """WITH w AS (SELECT conv_id AS case_id, turn AS pos, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations WHERE text IS NOT NULL),
+o AS (SELECT *, CASE WHEN prev IS NOT NULL AND (length(prev) < 80 OR regexp_matches(text, '^[0-9a-z]')) THEN 0 ELSE 1 END AS opens FROM w), i AS (SELECT *, sum(opens) OVER (PARTITION BY case_id ORDER BY pos) AS island FROM o)
+SELECT case_id, min(pos) AS first_pos, count(*) AS n, string_agg(text, ' ' ORDER BY pos) AS text FROM i GROUP BY case_id, island""",
+)
+def merge_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row joins the one before it when that one is a fragment or when it starts with a digit or a small letter."""
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("pos"), "text")
+    before = F.lag("text").over(Window.partitionBy("case_id").orderBy("pos"))
+    return merge_adjacent(rows, before.isNotNull() & ((F.length(before) < 80) | F.col("text").rlike("^[0-9a-z]"))).drop("island")
+
+
+def token_budget_groups(rows: DataFrame, budget: int) -> DataFrame:
+    """Greedy groups of a case's chunks in order, none over the budget unless one chunk alone is."""
+    state = F.struct(F.lit(0).alias("used"), F.lit(0).alias("grp"), F.array().cast("array<struct<pos:bigint,grp:int>>").alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        new = (acc["used"] > 0) & (acc["used"] + c["size"] > budget)
+        grp = acc["grp"] + F.when(new, 1).otherwise(0)
+        return F.struct(F.when(new, c["size"]).otherwise(acc["used"] + c["size"]).alias("used"), grp.alias("grp"), F.concat(acc["out"], F.array(F.struct(c["pos"].alias("pos"), grp.alias("grp")))).alias("out"))
+
+    gathered = rows.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("size").cast("int").alias("size")))).alias("c"))
+    return gathered.select("case_id", F.inline(F.aggregate("c", state, step)["out"]))
+
+
+@register("group_by_budget")
+def group_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations in groups of 600 characters; tests hold the fold against plain Python."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("pos"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    return token_budget_groups(rows, 600)

@@ -1 +1,88 @@
-"""Queries of this area."""
+"""Usage accounting: daily quotas, lockouts, costs, token counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..catalog import register
+from ..storage import table
+
+DAILY_LIMIT = 3
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def quota(rows: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame:
+    """user_id, day, used, remaining, exceeded."""
+    used = rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
+    return used.select("user_id", F.col("day").cast("string").alias("day"), "used", F.greatest(F.lit(limit) - F.col("used"), F.lit(0)).alias("remaining"), (F.col("used") > limit).alias("exceeded"))
+
+
+@register(
+    "quota_daily",
+    f"SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS used, greatest({DAILY_LIMIT} - count(*), 0) AS remaining, count(*) > {DAILY_LIMIT} AS exceeded FROM events GROUP BY 1, 2",
+)
+def quota_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota(events(spark, sf_dir))
+
+
+@register(
+    "quota_admitted",
+    f"SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= {DAILY_LIMIT}",
+)
+def quota_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events within the limit, in order of time."""
+    order = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    return events(spark, sf_dir).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= DAILY_LIMIT).select("event_id", "user_id")
+
+
+@register(
+    "lockout",
+    """WITH f AS (SELECT user_id, ts, event_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island, event_type FROM events),
+c AS (SELECT *, sum(CASE WHEN event_type <> 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS failures FROM f)
+SELECT user_id, count(*) AS lockouts, CAST(min(ts) + INTERVAL 900 SECOND AS VARCHAR) AS first_until FROM c WHERE failures = 5 AND event_type <> 'click' GROUP BY user_id""",
+)
+def lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five failures in a row (anything but a click) lock a user for 15 minutes; a success resets the count."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ok = F.col("event_type") == "click"
+    rows = events(spark, sf_dir).withColumn("island", F.sum(F.when(ok, 1).otherwise(0)).over(order))
+    run = Window.partitionBy("user_id", "island").orderBy("ts", "event_id")
+    rows = rows.withColumn("failures", F.sum(F.when(ok, 0).otherwise(1)).over(run)).filter((F.col("failures") == 5) & ~ok)
+    until = F.min("ts") + F.expr("INTERVAL 900 SECONDS")
+    return rows.groupBy("user_id").agg(F.count("*").alias("lockouts"), until.cast("string").alias("first_until"))
+
+
+def usage_cost(prompt: Column, cached: Column, output: Column, input_price: float, cached_price: float, output_price: float) -> Column:
+    """Cost of tokens at prices a million, cached input at its own price."""
+    fresh = F.greatest(prompt - cached, F.lit(0))
+    return F.round((fresh * input_price + cached * cached_price + output * output_price) / 1e6, 8)
+
+
+@register(
+    "cost_estimate",
+    "SELECT conv_id, turn, round((greatest(length(text) - turn * 10, 0) * 2.5::DOUBLE + turn * 10 * 0.25::DOUBLE + length(role) * 10.0::DOUBLE) / 1000000.0::DOUBLE, 8) AS cost FROM conversations WHERE text IS NOT NULL",
+)
+def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
+    return rows.select("conv_id", "turn", usage_cost(F.length("text"), F.col("turn") * 10, F.length("role"), 2.5, 0.25, 10.0).alias("cost"))
+
+
+@register(
+    "token_usage_sum",
+    "SELECT role AS usage_key, sum(length(text)) AS total FROM conversations WHERE text IS NOT NULL GROUP BY role UNION ALL SELECT 'turns', count(*) FROM conversations WHERE text IS NOT NULL",
+)
+def token_usage_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key-wise sum of usage maps."""
+    rows = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
+    usage = F.create_map(F.col("role"), F.length("text").cast("long"), F.lit("turns"), F.lit(1).cast("long"))
+    return rows.select(F.explode(usage).alias("usage_key", "n")).groupBy("usage_key").agg(F.sum("n").alias("total"))
+
+
+@register("subject_key_hash", "SELECT DISTINCT user_id, sha256(trim(' 10.0.' || user_id % 256 || '.' || user_id // 256 || ' ')) AS subject_key FROM events")
+def subject_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    address = F.concat(F.lit(" 10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."), F.floor(F.col("user_id") / 256).cast("string"), F.lit(" "))
+    return events(spark, sf_dir).select("user_id", F.sha2(F.trim(address), 256).alias("subject_key")).distinct()
