@@ -27,35 +27,39 @@ ALIASES = {
 }
 
 
-def _spaced(text: Column) -> Column:
+def spaced(text: Column) -> Column:
     """Lower case, anything but letters and digits as one blank, blanks at both ends: whole words are then plain strings."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
 
-def negated_scopes(text: Column, lang: str = "en") -> Column:
-    """Scope of each cue's first occurrence: up to SCOPE_WORDS words after it, cut at a terminating word; pseudo cues have none."""
-    s = _spaced(text)
+def negated_scopes(s: Column, lang: str = "en") -> Column:
+    """Scope of each cue's first occurrence: up to SCOPE_WORDS words after it, cut at a terminating word; pseudo cues have none.
+
+    ``s`` is a ``spaced`` text. Pseudo cues are blotted out once (an array of one value binds the result), and the cues are
+    an array that one lambda walks, so that the plan stays small whatever the lexicon's size.
+    """
     for p in PSEUDO.get(lang, ()):
         s = F.replace(s, F.lit(f" {p} "), F.lit(" \x01 "))
-    scopes = []
-    for cue in sorted(FORWARD.get(lang, FORWARD["en"]), key=lambda c: (-len(c), c)):
-        at = F.position(F.lit(f" {cue} "), s)
-        rest = F.substring(s, at + len(cue) + 2, F.length(s))
-        for t in TERMINATE.get(lang, ()):
-            rest = F.substring_index(F.concat(F.lit(" "), rest), f" {t} ", 1)
-        scope = F.array_join(F.slice(F.filter(F.split(F.trim(rest), " +"), lambda w: w != ""), 1, SCOPE_WORDS), " ")
-        scopes.append(F.when((at > 0) & (scope != ""), scope))
-    return F.array_compact(F.array(*scopes))
-
-
-def is_normal(text: Column, lang: str = "en") -> Column:
-    s = _spaced(text)
+    cues = F.array(*[F.lit(f" {c} ") for c in sorted(FORWARD.get(lang, FORWARD["en"]), key=lambda c: (-len(c), c))])
+    ends = " (?:" + "|".join(TERMINATE.get(lang, ()) or ("\x02",)) + ") "
+
+    def scope(text: Column, cue: Column) -> Column:
+        at = F.position(cue, text)
+        rest = F.get(F.split(F.concat(F.lit(" "), F.substring(text, at + F.length(cue), F.length(text))), ends, 2), F.lit(0))
+        words = F.filter(F.split(F.trim(rest), " +"), lambda w: w != "")
+        return F.when(at > 0, F.nullif(F.array_join(F.slice(words, 1, SCOPE_WORDS), " "), F.lit("")))
+
+    bound = F.transform(F.array(s), lambda t: F.array_compact(F.transform(cues, lambda c: scope(t, c))))
+    return F.get(bound, F.lit(0))
+
+
+def is_normal(s: Column, lang: str = "en") -> Column:
     return F.greatest(*[F.position(F.lit(f" {c} "), s) for c in NORMAL.get(lang, NORMAL["en"])], F.lit(0)) > 0
 
 
-def status(text: Column, lang: str = "en") -> Column:
-    """Negated before normal before affirmed."""
-    return F.when(F.size(negated_scopes(text, lang)) > 0, "negated").when(is_normal(text, lang), "normal").otherwise("affirmed")
+def status(s: Column, lang: str = "en") -> Column:
+    """Of a ``spaced`` text: negated before normal before affirmed."""
+    return F.when(F.size(negated_scopes(s, lang)) > 0, "negated").when(is_normal(s, lang), "normal").otherwise("affirmed")
 
 
 def by_language(lang: Column, make, languages=tuple(FORWARD)) -> Column:

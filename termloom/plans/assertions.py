@@ -14,7 +14,8 @@ from .texts import _D, _ENDED, _STRIP
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", "lang", F.posexplode(T.sentences("text")).alias("chunk_idx", "chunk"))
+    # sentences are spaced inside the generator: filters above see a plain column and don't repeat the work
+    return rows.select("doc_id", "lang", F.posexplode(F.transform(T.sentences("text"), A.spaced)).alias("chunk_idx", "spaced"))
 
 
 _SENTENCES = f"""{_D}{_ENDED}, p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '[^.?!]+[.?!]'), lambda x: {_STRIP}), lambda x: x <> '') AS parts FROM l),
@@ -44,21 +45,21 @@ def _scopes_sql(lang: str) -> str:
     return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
 
 
-_SCOPED = f"""{_SENTENCES}, q AS (SELECT doc_id, lang, chunk_idx, s, {_case(_pseudo)} AS q FROM c),
-r AS (SELECT doc_id, lang, chunk_idx, {_case(_scopes_sql)} AS scopes, {_case(lambda x: "(" + " OR ".join(f"strpos(s, ' {c} ') > 0" for c in A.NORMAL[x]) + ")")} AS normal FROM q)"""
+_SCOPED = f"""{_SENTENCES}, q AS MATERIALIZED (SELECT doc_id, lang, chunk_idx, s, {_case(_pseudo)} AS q FROM c),
+r AS MATERIALIZED (SELECT doc_id, lang, chunk_idx, {_case(_scopes_sql)} AS scopes, {_case(lambda x: "(" + " OR ".join(f"strpos(s, ' {c} ') > 0" for c in A.NORMAL[x]) + ")")} AS normal FROM q)"""
 
 
 @register("txt_negation_keyword", f"{_SCOPED} SELECT doc_id, chunk_idx, array_to_string(scopes, '|') AS scopes FROM r WHERE len(scopes) > 0")
 def txt_negation_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with negated scopes; each document by its language's cues."""
-    scopes = A.by_language(F.col("lang"), lambda x: A.negated_scopes(F.col("chunk"), x))
+    scopes = A.by_language(F.col("lang"), lambda x: A.negated_scopes(F.col("spaced"), x))
     rows = sentences(spark, sf_dir).select("doc_id", "chunk_idx", scopes.alias("s"))
     return rows.filter(F.size("s") > 0).select("doc_id", "chunk_idx", F.array_join("s", "|").alias("scopes"))
 
 
 @register("txt_normality", f"{_SCOPED} SELECT doc_id, count(*) AS n_normal FROM r WHERE normal GROUP BY doc_id")
 def txt_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal = A.by_language(F.col("lang"), lambda x: A.is_normal(F.col("chunk"), x))
+    normal = A.by_language(F.col("lang"), lambda x: A.is_normal(F.col("spaced"), x))
     return sentences(spark, sf_dir).filter(normal).groupBy("doc_id").agg(F.count("*").alias("n_normal"))
 
 
@@ -67,7 +68,7 @@ def txt_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_SCOPED} SELECT lang, CASE WHEN len(scopes) > 0 THEN 'negated' WHEN normal THEN 'normal' ELSE 'affirmed' END AS status, count(*) AS n FROM r GROUP BY ALL",
 )
 def assertion_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = A.by_language(F.col("lang"), lambda x: A.status(F.col("chunk"), x))
+    status = A.by_language(F.col("lang"), lambda x: A.status(F.col("spaced"), x))
     return sentences(spark, sf_dir).groupBy("lang", status.alias("status")).agg(F.count("*").alias("n"))
 
 

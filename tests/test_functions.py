@@ -118,12 +118,12 @@ def test_chunkers(spark):
     [("No fever but cough", "en", "negated"), ("not only pain", "en", "affirmed"), ("normal gait", "en", "normal"), ("kein Fieber", "de", "negated"), ("known", "en", "affirmed"), ("pas de fièvre", "fr", "negated")],
 )
 def test_assertion_status(spark, chunk, lang, expect):
-    assert one(spark, assertions.status(F.col("t"), lang), t=chunk) == expect
+    assert one(spark, assertions.status(assertions.spaced(F.col("t")), lang), t=chunk) == expect
 
 
 def test_scopes_end_at_terminators_and_after_seven_words(spark):
-    assert one(spark, assertions.negated_scopes(F.col("t")), t="Without pain but with a rash") == ["pain"]
-    assert one(spark, assertions.negated_scopes(F.col("t")), t="no a b c d e f g h i") == ["a b c d e f g"]
+    assert one(spark, assertions.negated_scopes(assertions.spaced(F.col("t"))), t="Without pain but with a rash") == ["pain"]
+    assert one(spark, assertions.negated_scopes(assertions.spaced(F.col("t"))), t="no a b c d e f g h i") == ["a b c d e f g"]
 
 
 PII = "Mail a.b@x.org, é 10.0.0.255 and 300.1.1.1; on 2024-05-06 www.site.net/x?y=1 end a@b.co"
