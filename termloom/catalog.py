@@ -15,7 +15,8 @@ _ORACLES: dict[str, str] = {}
 #: Modules whose import registers their queries.
 MODULES = (
     "plans.retrieval", "plans.ranking", "plans.ontology", "plans.setmetrics", "plans.texts", "plans.assertions", "plans.privacy",
-    "plans.extraction", "plans.fidelity", "plans.exports", "plans.service", "plans.mapping", "streaming.usage",
+    "plans.extraction", "plans.fidelity", "plans.exports", "plans.service", "plans.mapping", "plans.chunking", "plans.details",
+    "streaming.usage",
 )
 
 

@@ -89,3 +89,25 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High-confidence contact data by tokens; with the one rule for addresses the splice equals a replacement."""
     found = pii.scan(F.col("text"), F.col("lang"), (_BY_ID["email"],))
     return documents(spark, sf_dir).withColumn("f", found).select("doc_id", pii.redact(F.col("text"), F.col("f")).alias("redacted"))
+
+
+#: Particles of names, and words before a name that speak for one (fixed values).
+PARTICLES = ("von", "van", "de", "der", "den", "di", "da", "la", "le", "del", "dos")
+NAME_CONTEXT = ("name", "patient", "signed", "dear", "contact", "author")
+
+
+def untitled_names(text):
+    """Runs of two to four capitalised words, particles between them allowed, scored: two words 2, a particle 1, context 1; 2 or more count."""
+    particle = "|".join(PARTICLES)
+    word = r"\p{Lu}[\p{Ll}'-]+"
+    pattern = rf"{word}(?: (?:(?:{particle}) )?{word}){{1,3}}"
+    found = F.regexp_extract_all(text, F.lit(rf"(?:\b(?i:{'|'.join(NAME_CONTEXT)})[: ]+)?{pattern}"), F.lit(0))
+    score = lambda n: F.lit(2) + F.when(n.rlike(rf" (?:{particle}) "), 1).otherwise(0) + F.when(n.rlike(rf"(?i)\A(?:{'|'.join(NAME_CONTEXT)})[: ]"), 1).otherwise(0)
+    return F.transform(found, lambda n: F.struct(n.alias("name"), score(n).alias("score")))
+
+
+@register("pii_names")
+def pii_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of names by score; a finding for review, never redacted unasked."""
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(untitled_names(F.col("text"))).alias("n"))
+    return rows.groupBy("doc_id", "n.name", "n.score").agg(F.count("*").alias("n"))

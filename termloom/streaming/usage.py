@@ -80,3 +80,14 @@ SELECT user_id, CAST(ts AS VARCHAR) AS locked_at, CAST(ts + INTERVAL 900 SECOND
 def stream_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_available(lockouts(stream(spark, sf_dir)))
     return rows.select("user_id", F.col("locked_at").cast("string").alias("locked_at"), F.col("locked_until").cast("string").alias("locked_until"))
+
+
+def one_time(events: DataFrame, ttl: str = "1 day") -> DataFrame:
+    """The first use of each token; state of a token goes when the watermark passes its time to live."""
+    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+
+
+@register("stream_one_time_tokens", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_one_time_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's kind of event as the token, with a time to live longer than the data."""
+    return run_available(one_time(stream(spark, sf_dir), "3650 days").select("user_id", "event_type"))
