@@ -100,17 +100,21 @@ def fid_depth_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spearman(docs.select(F.round(distance, 5).alias("x"), F.col("label").alias("y")), "x", "y").select(F.round("rho", 4).alias("rho"), "n")
 
 
+#: Rows of a bucket, about, within which pairs are drawn.
+PAIR_BUCKET = 64
+
+
 def sample_pairs(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """About ``n`` distinct unordered pairs (a, b): each row draws its partners by hash, so that no product of rows is made."""
+    """``n`` distinct unordered pairs (a, b), fewer if there are fewer: in each draw rows fall into small buckets by hash and
+    pair with the next row of their bucket in an order by hash. No rank over all rows, no product of rows."""
     total = ids.count()
-    if total < 2:
-        return ids.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    ranked = ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("i"))
-    draws = max(1, -(-2 * n // total))
-    partner = F.pmod(F.xxhash64(F.lit(seed), "i", "d"), F.lit(total))
-    rows = ranked.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("j", partner).filter(F.col("i") != F.col("j"))
-    drawn = rows.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().orderBy(F.xxhash64(F.lit(seed), "i", "j")).limit(n)
-    return drawn.join(ranked.select("i", F.col("id").alias("a")), "i").join(ranked.select(F.col("i").alias("j"), F.col("id").alias("b")), "j").select("a", "b")
+    draws = max(1, -(-2 * n // max(1, total)))
+    rows = ids.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "d", "id"), F.lit(max(1, total // PAIR_BUCKET)))
+    follow = F.lead("id").over(Window.partitionBy("d", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "d", "id"), "id"))
+    pairs = rows.withColumn("bucket", bucket).withColumn("other", follow).filter(F.col("other").isNotNull() & (F.col("other") != F.col("id")))
+    drawn = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return drawn.orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b").limit(n)
 
 
 def self_neighbours(docs: DataFrame, k: int) -> DataFrame:
