@@ -31,7 +31,9 @@ LENGTHS = (3, 4, 5)
 SAMPLE_ROWS = 16_000
 #: Cells with a weight at most.
 FEATURES = 600
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 3
+#: Size of a cell's log-count ratio against its error at least.
+LEAST_EVIDENCE = 3.0
 #: Tasks that count a sample; each gives a row for each of its cells.
 COUNTING_TASKS = 8
 THRESHOLD = 0.7
@@ -101,7 +103,7 @@ def log_count_ratios(counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
     return r, np.abs(r) / np.sqrt(1 / p + 1 / q)
 
 
-def ridge_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, turns: int = 25) -> tuple[np.ndarray, float]:
+def ridge_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, turns: int = 25) -> tuple[np.ndarray, float]:
     """Newton's method; the bias isn't penalised."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -164,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
     p, q = F.col("p") + 1.0, F.col("q") + 1.0
     ratio = F.log(p / float(total[1] + 2)) - F.log(q / float(total[0] + 2))
     evidence = F.abs(ratio) / F.sqrt(1 / p + 1 / q)
-    top = both.select("cell", ratio.alias("r"), evidence.alias("e")).filter("e >= 4").orderBy(F.desc("e"), "cell").limit(FEATURES).collect()
+    top = both.select("cell", ratio.alias("r"), evidence.alias("e")).filter(F.col("e") >= LEAST_EVIDENCE).orderBy(F.desc("e"), "cell").limit(FEATURES).collect()
     cells = np.array(sorted(r.cell for r in top), dtype=np.int32)
     if not len(cells):
         return Model(cells, np.zeros(0), float(np.log(total[1] / total[0])))
