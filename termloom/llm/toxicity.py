@@ -189,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
                 "x": pa.array([v.tobytes() for v in values], pa.binary()),
             })
 
-    got = sample.mapInArrow(_features, "label int, at binary, x binary").orderBy("label", "at", "x").collect()
+    got = sample.mapInArrow(_features, "label int, at binary, x binary").collect()
+    got.sort(key=lambda g: (g.label, bytes(g.at), bytes(g.x)))  # the fit doesn't hang on the order of tasks
     x, y = np.zeros((len(got), len(cells)), dtype=np.float32), np.array([g.label for g in got], dtype=np.float64)
     for i, g in enumerate(got):
         x[i, np.frombuffer(g.at, np.int16)] = np.frombuffer(g.x, np.float32)
