@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions import assertions as A
 from ..functions import text as T
+from ..operators.attribution import MOST_LABELS, first_places
 from ..storage import table
 from .texts import _D, _ENDED, _STRIP
 
@@ -94,20 +95,11 @@ def canonical_assertion(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, item_id, strpos(t, label) - 1 AS start, strpos(t, label) - 1 + length(label) AS "end" FROM d JOIN u ON strpos(t, label) > 0""",
 )
 def txt_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First place of each label in each document, any case. Labels are one array in every task, so documents aren't shuffled.
+    """First place of each label in each document, any case; documents aren't shuffled.
 
     The labels are a fixed list of terms (the openings of the benchmark's passages), checked to be few before they are gathered.
     """
     label = F.regexp_replace(F.lower(F.trim(F.array_join(F.slice(F.split("text", " "), 1, 3), " "))), "[^a-z ]", "")
     terms = table(spark, sf_dir, "benchmark").select("item_id", label.alias("label")).filter(F.length("label") >= 8).groupBy("label").agg(F.min("item_id").alias("item_id"))
-    found = terms.limit(MOST_LABELS + 1).collect()
-    if len(found) > MOST_LABELS:
-        raise ValueError(f"over {MOST_LABELS} labels: attribute them in blocks")
-    listed = F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.label).alias("label")) for r in sorted(found, key=lambda r: r.item_id)])
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-    hits = F.filter(F.transform(listed, lambda x: F.struct(x["item_id"].alias("item_id"), (F.position(x["label"], F.col("t")) - 1).alias("start"), F.length(x["label"]).alias("n"))), lambda h: h["start"] >= 0)
-    return rows.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.item_id", "h.start", (F.col("h.start") + F.col("h.n")).alias("end"))
-
-
-#: Labels that one plan holds.
-MOST_LABELS = 2_000
+    found = sorted((r.item_id, r.label) for r in terms.limit(MOST_LABELS + 1).collect())
+    return first_places(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), found)

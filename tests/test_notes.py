@@ -36,3 +36,15 @@ def test_dangling(spark):
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(1,)], "k int")
     assert [r.k for r in notes.dangling(a, b, ["k"]).collect()] == [2]
     assert re.match(r"\| priority", notes.report_markdown(spark, SF).first().report)
+
+
+def test_first_places(spark, monkeypatch):
+    from termloom.operators import attribution
+
+    labels = [(1, "ab"), (2, "abc"), (3, "é x"), (4, "none")]
+    texts = ["xabcab", None, "", "né x ab"]
+    expect = sorted((i, n, t.find(s), t.find(s) + len(s)) for i, t in enumerate(texts) if t for n, s in labels if s in t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, attribution.first_places(docs, labels).collect())) == expect
+    monkeypatch.setattr(attribution, "ahocorasick", None)
+    assert attribution._finder(labels)("xabcab") == [(1, 1, 3), (2, 1, 4)]
