@@ -45,10 +45,20 @@ def _uuid(name: Column) -> Column:
     )
 
 
+#: Entities that most pages have; the others are looked for together first.
+_COMMON = ("&lt;", "&gt;", "&quot;", "&copy;", "&middot;", "&nbsp;", "&amp;")
+
+
 def _decoded(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    def replaced(t: Column, listed: tuple) -> Column:
+        for entity, char in listed:
+            t = F.replace(t, F.lit(entity), F.lit(char))
+        return t
+
+    rare = tuple(e for e in ENTITIES if e[0] not in _COMMON)
+    any_rare = "&(?:" + "|".join(e[1:-1] for e, _ in rare) + ");"
+    text = F.when(text.rlike(any_rare), replaced(text, rare)).otherwise(text)
+    return replaced(text, tuple(e for e in ENTITIES if e[0] in _COMMON))  # &amp; stays last
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -65,11 +75,15 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return rows.select("page_id", _uuid(name).alias("record_id"), "target_uri", F.lit(date).alias("date"), http.alias("http_headers"), "payload_digest", "payload")
 
 
-def plain_text(html: Column) -> Column:
-    """The text of mark-up without its hidden parts (see ``visible``): block tags end lines, entities are decoded, blanks collapse."""
-    text = F.regexp_replace(html, r"[ \t\r\n\f]+", " ")
-    text = _decoded(F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), _TAG, ""))
-    return F.regexp_replace(F.regexp_replace(text, r"[ \x{a0}]*\n[ \x{a0}\n]*", "\n"), r"\A\s+|\s+\z", "")
+def stripped(html: Column) -> Column:
+    """Mark-up without its tags: block tags end lines, white space is one blank."""
+    text = F.regexp_replace(html, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")  # single blanks stay as they are
+    return F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), _TAG, "")
+
+
+def plain_text(text: Column) -> Column:
+    """``stripped`` text, best as a column of its own, with entities decoded and empty lines dropped."""
+    return F.btrim(F.regexp_replace(_decoded(text), r"[ \x{a0}]*\n[ \x{a0}\n]*", "\n"), F.lit(" \n"))
 
 
 def visible(html: Column) -> Column:
@@ -86,7 +100,7 @@ def derive(found: DataFrame) -> DataFrame:
     rows = found.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", visible(F.col("payload")).alias("markup"))
     squeezed = lambda c: F.trim(F.regexp_replace(_decoded(c), r"[ \t\r\n\f]+", " "))
     links = F.regexp_extract_all("markup", F.lit(_LINK), F.lit(1))
-    rows = rows.withColumn("text", plain_text(F.col("markup")))
+    rows = rows.withColumn("stripped", stripped(F.col("markup"))).withColumn("text", plain_text(F.col("stripped")))
     fields = F.concat(
         F.lit("source-record: "), "record_id", F.lit(f"{CRLF}source-payload-digest: "), "payload_digest",
         F.lit(f"{CRLF}source-http: "), F.replace(F.regexp_replace("http_headers", r"\r\n\z", ""), F.lit(CRLF), F.lit(f"{CRLF}source-http: ")),
@@ -152,7 +166,7 @@ def oracle() -> str:
     def uuid(h: str) -> str:
         return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-8' || {h}[14:16] || '-a' || {h}[18:20] || '-' || {h}[21:32] || '>'"
 
-    text = f"regexp_replace(regexp_replace({decoded(f"regexp_replace(regexp_replace(regexp_replace(markup, '[ \\t\\r\\n\\f]+', ' ', 'g'), {quote(_BLOCK)}, chr(10), 'g'), {quote(_TAG)}, '', 'g')")}, '[ \\x{{a0}}]*\\n[ \\x{{a0}}\\n]*', chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g')"
+    text = f"trim(regexp_replace({decoded(f"regexp_replace(regexp_replace(regexp_replace(markup, '[ \\t\\r\\n\\f]+', ' ', 'g'), {quote(_BLOCK)}, chr(10), 'g'), {quote(_TAG)}, '', 'g')")}, '[ \\x{{a0}}]*\\n[ \\x{{a0}}\\n]*', chr(10), 'g'), ' ' || chr(10))"
     return f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest FROM pages),
 n AS (SELECT *, sha256('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || target_uri || '|' || payload_digest) AS h FROM p),
