@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,9 +27,10 @@ from . import common
 
 #: Words of more parts use the heap.
 SHORT = 96
-#: Words that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+#: Words of a generation that a worker remembers (two generations at a time, some 200 MB), and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 _NEVER = 1 << 40
+_NONE = (_NEVER, -1)
 
 #: Characters that the vocabulary's normaliser takes for white space (fixed values: Unicode White_Space).
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -63,6 +65,7 @@ class Codec:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.white = regex.compile(f"[{_WHITE}]+")
         self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.before: dict[str, tuple[int, bytes, str]] = {}  # the generation before; words that recur move on
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
@@ -71,22 +74,20 @@ class Codec:
 
     def merge_short(self, parts: list[int]) -> list[int]:
         """Contiguous ranks of adjacent parts, scanned for the leftmost minimum."""
-        merges = self.merges
-        found = [merges.get(a << 20 | b) for a, b in zip(parts, parts[1:])]
-        ranks = [f[0] if f else _NEVER for f in found]
+        merges = self.merges.get
+        none = _NONE
+        ranks = [merges(a << 20 | b, none)[0] for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == _NEVER:
                 break
             at = ranks.index(least)
-            parts[at] = merges[parts[at] << 20 | parts[at + 1]][1]
+            new = parts[at] = merges(parts[at] << 20 | parts[at + 1])[1]
             del parts[at + 1], ranks[at]
             if at < len(ranks):
-                f = merges.get(parts[at] << 20 | parts[at + 1])
-                ranks[at] = f[0] if f else _NEVER
+                ranks[at] = merges(new << 20 | parts[at + 1], none)[0]
             if at:
-                f = merges.get(parts[at - 1] << 20 | parts[at])
-                ranks[at - 1] = f[0] if f else _NEVER
+                ranks[at - 1] = merges(parts[at - 1] << 20 | new, none)[0]
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
@@ -118,12 +119,15 @@ class Codec:
 
     def word(self, word: str) -> tuple[int, bytes, str]:
         """Number of ids, ids as little-endian unsigned 32-bit integers, decoded text of one word."""
-        raw = word.encode()
-        parts = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        ids = self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
-        found = len(ids), np.array(ids, dtype="<u4").tobytes(), " ".join([self.tokens[i] for i in ids])
+        found = self.before.get(word)
+        if found is None:
+            raw = word.encode()
+            parts = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
+            ids = self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
+            found = len(ids), struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
         if len(word) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:
+                self.before = dict(self.known)
                 self.known.clear()
             self.known[word] = found
         return found
