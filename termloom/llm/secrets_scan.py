@@ -66,8 +66,8 @@ def _size(raw: bytes) -> int:
 
 
 def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Bytes that a candidate adds to its surroundings."""
-    around = (before + "\n" + after + "\n").encode()
+    """Bytes that a candidate adds to its surroundings; other places of the same candidate are no part of them."""
+    around = (before.replace(candidate, " ") + "\n" + after.replace(candidate, " ") + "\n").encode()
     return _size(around + candidate.encode()) - _size(around)
 
 
