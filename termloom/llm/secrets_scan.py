@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and strings that a dictionary-primed compressor can't shorten.
 
-The base patterns give spans of three kinds. The method adds a fourth: a *candidate* is a token-like string that follows a
-word of sensitive context at a short distance. Its novelty is its marginal size: the bytes that it adds when a zstandard
+The base patterns give spans of three kinds. The method adds a fourth: a *candidate* is a token-like string that starts
+within REACH characters after a word of sensitive context. Its novelty is its marginal size: the bytes that it adds when a zstandard
 frame of the surrounding text, primed with a dictionary of common identifiers and code, is compressed with it and without
 it. Ordinary words, identifiers, paths and repeats of the surroundings cost little; keys and passwords cost nearly what
 their characters' entropy is. A candidate whose marginal bytes pass both an absolute and a relative bound is reported.
@@ -10,7 +10,9 @@ their characters' entropy is. A candidate whose marginal bytes pass both an abso
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +31,18 @@ _HEX = re.compile(r"[0-9a-f]+")
 _HEX_CORE = re.compile(r"[0-9a-f]{24}")
 _ASSIGN_WORDS = re.compile(rb"passw|secret|token|api_?key")
 
-#: Words that make what follows them sensitive (fixed values).
+#: Words that make what follows them sensitive (fixed values). They may be part of a longer name: DB_PASSWORD_PROD, tokens.
 CONTEXT = re.compile(
-    r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key|auth(?:orization)?|credentials?|bearer|session[_-]?id|signature)"
-    r"""["'\]>)]*(?:\s+(?:is|was|=>))?\s*[:=>]{0,2}\s*["'(<\[]{0,2}([A-Za-z0-9+/_.=~!@$%^*-]{12,})""",
+    r"pass(?:word|wd|phrase)|pwd|secret|token|key|auth(?:orization)?|credential|bearer|session[_-]?id|signature",
     re.IGNORECASE | re.ASCII,
 )
+#: A candidate starts at most so many characters after the end of a sensitive word, whatever stands between, line ends too.
+REACH = 48
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.~!@$%^*-][A-Za-z0-9+/_.=~!@$%^*-]{11,}", re.ASCII)
+#: What is left of the name that a sensitive word is part of, up to its sign of assignment.
+_NAME = re.compile(r"""[A-Za-z0-9_.-]{0,40}["']?\s*[:=]+""", re.ASCII)
+#: What may stand between a sensitive word, or its name's sign of assignment, and a candidate right after it.
+_DIRECT = re.compile(r"""["'\]>)]*(?:\s+(?:is|was|=>))?\s*[:=>]{0,2}\s*["'(<\[]{0,2}""", re.IGNORECASE | re.ASCII)
 _CONTEXT_WORDS = re.compile(rb"pass|pwd|secret|token|key|auth|credential|bearer|session|signature")
 
 #: Identifiers and code that no secret consists of (fixed values): the primer of the compressor.
@@ -54,6 +62,22 @@ SURROUNDINGS = 200
 LEAST_BYTES = 9
 LEAST_SHARE = 0.45
 
+#: Words of four languages whose letter pairs prime the second coder (fixed values).
+PROSE = (
+    "internationalization administration configuration documentation communication organization implementation information development "
+    "authentication authorization responsibility understanding nevertheless throughout environment management particularly government "
+    "experience knowledge measurement performance relationship successfully independent requirements application processing distribution "
+    "something everything although because between against without through another morning evening weather children question company "
+    "verantwortung geschwindigkeit wissenschaft gesellschaft entwicklung veranstaltung untersuchung beschreibung zusammenarbeit krankenhaus "
+    "zwischen schreiben sprechen vielleicht natuerlich eigentlich verschiedene moeglichkeit arbeitsplatz bundesregierung versicherung jahrhundert "
+    "gouvernement developpement environnement particulierement connaissance aujourd quelque toujours beaucoup pourquoi recherche entreprise "
+    "responsabilite communication naturellement traitement appartement bibliotheque professeur "
+    "conocimiento desarrollo universidad investigacion administracion comunicacion especialmente trabajador siguiente entonces despues gobierno "
+    "responsabilidad caracteristicas funcionamiento procedimiento establecimiento naturaleza pueblo quiere tiempo"
+)
+#: Bytes a character that the second coder needs for a candidate: words need under 0.55, random letters of one case 0.7 and more.
+LEAST_SPELLING = 0.6
+
 _DICTIONARY = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 _compressor: zstandard.ZstdCompressor | None = None
 
@@ -71,6 +95,36 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return _size(around + candidate.encode()) - _size(around)
 
 
+def _letter_bits() -> dict[str, float]:
+    """Bits of each letter after another, or after "^" at a word's start, in the primer's words."""
+    pairs: Counter[str] = Counter()
+    heads: Counter[str] = Counter()
+    for word in re.findall("[a-z]+", (IDENTIFIERS + " " + PROSE).lower()):
+        for pair in zip("^" + word, word, strict=False):
+            pairs["".join(pair)] += 1
+            heads[pair[0]] += 1
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {a + b: -math.log2((pairs[a + b] + 0.2) / (heads[a] + 0.2 * 26)) for a in "^" + letters for b in letters}
+
+
+_BITS = _letter_bits()
+_HEXADECIMAL = re.compile("(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f-]+|[0-9A-F-]+)")
+_RUN = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]")
+
+
+def spelling_share(candidate: str) -> float:
+    """Bytes a character that a coder of letter pairs needs. Each run of one kind costs its kind, too: letters, capitals, digits, signs."""
+    bits = 0.0
+    for run in _RUN.findall(candidate):
+        bits += 2
+        if run[0].isalpha():
+            low = run.lower()
+            bits += sum(_BITS[a + b] for a, b in zip("^" + low, low, strict=False))
+        else:
+            bits += len(run) * 3.32
+    return bits / 8 / len(candidate)
+
+
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns: leftmost, non-overlapping for each kind, failing matches dropped."""
     raw = text.encode() if raw is None else raw
@@ -88,21 +142,42 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]
 
 
 def _mixed(candidate: str) -> bool:
-    """Words of prose have letters of one case after their first; they are no candidates."""
+    """Words of prose have letters of one case after their first."""
     return any(c.isdigit() for c in candidate) or any(c.isupper() for c in candidate[1:]) and any(c.islower() for c in candidate)
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, direct) of the token-like strings that start within REACH of a sensitive word's end; each end once."""
+    found: dict[int, tuple[int, bool]] = {}
+    for word in CONTEXT.finditer(text):
+        at, last = word.end(), word.end() + REACH
+        if name := _NAME.match(text, at):
+            at = name.end()
+        direct = _DIRECT.match(text, at).end()
+        while (token := _TOKEN.search(text, at)) and token.start() <= last:
+            start, end = token.span()
+            known = found.get(end, (start, False))
+            found[end] = (max(start, known[0]), known[1] or start == direct)
+            at = end
+    for end, (start, direct) in sorted(found.items()):
+        yield start, end, direct
+
+
 def novel_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, "novel") of candidates in sensitive context that don't compress."""
+    """(start, end, "novel") of candidates in sensitive context that don't compress.
+
+    Mixed strings right after the word are measured by the frame's bytes; words, names and addresses also come after sensitive
+    words at a distance, so what stands there, or has letters of one case only, must be no spelling of words either.
+    """
     raw = text.encode() if raw is None else raw
     if not _CONTEXT_WORDS.search(raw.lower()):
         return []
     found = []
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        if not _mixed(m[1]):
+    for start, end, direct in _candidates(text):
+        candidate = text[start:end]
+        if not (direct and _mixed(candidate) or _HEXADECIMAL.fullmatch(candidate)) and spelling_share(candidate) < LEAST_SPELLING:
             continue
-        size = marginal_bytes(m[1], text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS])
+        size = marginal_bytes(candidate, text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS])
         if size >= LEAST_BYTES and size >= LEAST_SHARE * (end - start):
             found.append((start, end, "novel"))
     return found
