@@ -1,6 +1,6 @@
 """License scans by sentence rules, in DataFrame functions throughout.
 
-A text is cut into sentences at line ends and after marks that end a sentence; each sentence is normalised to lower-case
+A text is cut into sentences at line ends and after marks that end a sentence, and wrapped lines are joined again; each sentence is normalised to lower-case
 ASCII letters and digits parted by single blanks. Known license sentences map to identifiers. A text's identifiers, in
 order, are matched against the rules: a rule is an ordered list of identifiers that must occur in that order, with other
 sentences allowed between them. Everything is per row: no shuffle, no Python.
@@ -107,10 +107,35 @@ def sentence_table(sentences: dict[str, str] | None = None) -> dict[str, str]:
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
-    """The identifiers of a text's known sentences, in order."""
-    known = F.create_map(*[F.lit(x) for pair in sentence_table(sentences).items() for x in pair])
-    cut = F.lower(F.regexp_replace(F.regexp_replace(text, _BREAK, "$1\n"), _OTHER, " "))
-    ids = F.filter(F.transform(F.split(cut, "\n", -1), lambda s: F.try_element_at(known, F.trim(s))), lambda i: i.isNotNull())
+    """The identifiers of a text's known sentences, in order.
+
+    Lines that follow each other are joined as far as that gives a known sentence: comment signs at their starts fall to the
+    normalisation, and an empty line or a mark that ends a sentence ends it. Of sentences with one start the longest counts.
+    """
+    table = sentence_table(sentences)
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    begun = sorted({" ".join(words[:n]) for words in map(str.split, table) for n in range(1, len(words) + 1)})
+    whole = sorted(table)
+    # an empty part after each mark; a mark at a line's end counts as one, too
+    cut = F.lower(F.regexp_replace(F.regexp_replace(text, r"([.!?;:])(?:[ \t\r]+|(?=\n))", "$1\n\n"), _OTHER, " "))
+    opened = "array<struct<line:string,last:boolean>>"
+    start = F.struct(F.array().cast(opened).alias("open"), F.array().cast("array<string>").alias("ids"))
+    fresh = F.array(F.struct(F.lit("").alias("line"), F.lit(False).alias("last")))
+
+    def step(acc: Column, part: Column) -> Column:
+        longer = F.transform(F.concat(acc["open"], fresh), lambda o: F.struct(F.ltrim(F.concat(o["line"], F.lit(" "), part)).alias("line"), o["last"].alias("last")))
+        live = F.filter(longer, lambda o: o["line"].isin(begun))
+        return F.when(part == "", F.struct(F.array().cast(opened).alias("open"), acc["ids"].alias("ids"))).otherwise(_noted(acc, live))
+
+    def _noted(acc: Column, live: Column) -> Column:
+        hit = F.get(F.filter(live, lambda o: o["line"].isin(whole)), F.lit(0))
+        before = F.when(hit["last"], F.slice(acc["ids"], 1, F.greatest(F.size(acc["ids"]) - 1, F.lit(0)))).otherwise(acc["ids"])
+        ids = F.when(hit.isNull(), acc["ids"]).otherwise(F.concat(before, F.array(F.try_element_at(known, hit["line"]))))
+        marked = F.transform(live, lambda o: F.struct(o["line"].alias("line"), (o["last"] | o["line"].isin(whole)).alias("last")))
+        return F.struct(marked.alias("open"), ids.alias("ids"))
+
+    parts = F.transform(F.split(cut, "\n", -1), lambda s: F.trim(s))
+    ids = F.aggregate(parts, start, step, lambda acc: acc["ids"])
     return F.when(text.rlike("(?i)" + ANCHORS), ids).otherwise(F.array().cast("array<string>"))
 
 
