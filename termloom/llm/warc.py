@@ -11,6 +11,9 @@ Record ids are name-based: the same response gives the same ids in every run and
 
 from __future__ import annotations
 
+from html import _invalid_charrefs
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +37,12 @@ _TAG = r"<[/!?]?[A-Za-z][^>]*>"
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 _LANG = r"(?is)<html\b[^>]*?\blang=[\"']?([A-Za-z-]+)"
 _CHARSET = r"(?is)<meta\b[^>]*?\bcharset=[\"']?([A-Za-z0-9_-]+)"
+#: Links as the given statement has them; OUTLINK also takes single quotes, none, and blanks around the sign.
 _LINK = r"(?is)<a\b[^>]*?\bhref=\"([^\"<>]*)\""
 
+_HREF = r"<a\b[^>]*?\bhref\s*=\s*"
+OUTLINK = rf"""(?is){_HREF}(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
+
 
 def _uuid(name: Column) -> Column:
     """A URN of 128 bits of a digest of the name, marked as a name-based (version 8) id."""
@@ -45,20 +52,40 @@ def _uuid(name: Column) -> Column:
     )
 
 
-#: Entities that most pages have; the others are looked for together first.
+#: Entities that most pages have; pages with others are cut at their references.
 _COMMON = ("&lt;", "&gt;", "&quot;", "&copy;", "&middot;", "&nbsp;", "&amp;")
+_REFERENCE = r"&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
-def _decoded(text: Column) -> Column:
-    def replaced(t: Column, listed: tuple) -> Column:
-        for entity, char in listed:
-            t = F.replace(t, F.lit(entity), F.lit(char))
-        return t
+def _reference_table() -> str:
+    """Character of each name, or number after a #, that HTML gives one; as text for str_to_map. ENTITIES come first."""
+    found = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {f"#{k}": v for k, v in _invalid_charrefs.items()}
+    found |= {e[1:-1]: c for e, c in ENTITIES}
+    return "\x02".join(f"{k}\x03{v}" for k, v in found.items())
+
 
-    rare = tuple(e for e in ENTITIES if e[0] not in _COMMON)
-    any_rare = "&(?:" + "|".join(e[1:-1] for e, _ in rare) + ");"
-    text = F.when(text.rlike(any_rare), replaced(text, rare)).otherwise(text)
-    return replaced(text, tuple(e for e in ENTITIES if e[0] in _COMMON))  # &amp; stays last
+def _character(reference: Column) -> Column:
+    """What a reference stands for; unknown names stay as they are, numbers that no character has give U+FFFD."""
+    table = F.str_to_map(F.lit(_reference_table()), F.lit("\x02"), F.lit("\x03"))
+    name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).cast("long")
+    numeric = name.startswith("#")
+    valid = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
+    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    listed = F.try_element_at(table, F.when(numeric, F.concat(F.lit("#"), digits.cast("string"))).otherwise(name))
+    return F.coalesce(listed, F.when(numeric, char), reference)
+
+
+def _decoded(text: Column) -> Column:
+    common = text
+    for entity, char in ENTITIES:  # &amp; stays last
+        if entity in _COMMON:
+            common = F.replace(common, F.lit(entity), F.lit(char))
+    # the parts at odd places are references; texts are rid of the control sign first
+    parts = F.split(F.regexp_replace(F.translate(text, "\x02", " "), f"({_REFERENCE})", "\x02$1\x02"), "\x02", -1)
+    general = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, _character(p)).otherwise(p)), "")
+    others = "&(?!(?:" + "|".join(e[1:-1] for e in _COMMON) + ");)" + _REFERENCE[1:]
+    return F.when(text.rlike(others), general).otherwise(common)
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -99,14 +126,15 @@ def derive(found: DataFrame) -> DataFrame:
     """
     rows = found.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", visible(F.col("payload")).alias("markup"))
     squeezed = lambda c: F.trim(F.regexp_replace(_decoded(c), r"[ \t\r\n\f]+", " "))
-    links = F.regexp_extract_all("markup", F.lit(_LINK), F.lit(1))
+    links = F.regexp_extract_all("markup", F.lit(OUTLINK), F.lit(0))
+    links = F.transform(links, lambda u: F.regexp_replace(F.regexp_replace(u, rf"(?is)\A{_HREF}", ""), r"""(?s)\A(["'])(.*)\1\z""", "$2"))
     rows = rows.withColumn("stripped", stripped(F.col("markup"))).withColumn("text", plain_text(F.col("stripped")))
     fields = F.concat(
         F.lit("source-record: "), "record_id", F.lit(f"{CRLF}source-payload-digest: "), "payload_digest",
         F.lit(f"{CRLF}source-http: "), F.replace(F.regexp_replace("http_headers", r"\r\n\z", ""), F.lit(CRLF), F.lit(f"{CRLF}source-http: ")),
         F.lit(f"{CRLF}title: "), squeezed(F.regexp_extract("markup", _TITLE, 1)),
         F.lit(f"{CRLF}language: "), F.regexp_extract("markup", _LANG, 1), F.lit(f"{CRLF}charset: "), F.regexp_extract("markup", _CHARSET, 1), F.lit(CRLF),
-        F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(F.replace(u, F.lit("&amp;"), F.lit("&")), r"[\r\n]+", " "), F.lit(CRLF))), ""),
+        F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(_decoded(u), r"[\r\n]+", " "), F.lit(CRLF))), ""),
     )
     two = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
