@@ -1,9 +1,11 @@
 """License scans by sentence rules, in DataFrame functions throughout.
 
-A text is cut into sentences at line ends and after marks that end a sentence, and wrapped lines are joined again; each sentence is normalised to lower-case
-ASCII letters and digits parted by single blanks. Known license sentences map to identifiers. A text's identifiers, in
-order, are matched against the rules: a rule is an ordered list of identifiers that must occur in that order, with other
-sentences allowed between them. Everything is per row: no shuffle, no Python.
+A text is cut into sentences at line ends and after marks that end a sentence, and wrapped lines are joined again; each
+sentence is normalised to lower-case ASCII letters and digits parted by single blanks. Known license sentences map to
+identifiers. A text's identifiers, in order, are matched against the rules: a rule is an ordered list of identifiers that
+must occur in that order, with other sentences allowed between them. A rule yields to the rules that say more: those whose
+list holds its own and further sentences, and those that YIELDS names. Each rule is found by one walk along the
+identifiers, each sentence from the place where the last one was. Everything is per row: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -54,8 +56,28 @@ SENTENCES: dict[str, str] = {
     "unlicense.use": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "cc0.notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "proprietary.reserved": "All rights reserved.",
+    "bsd.asis": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd0.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "lgpl.redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl21.later": "either version 2.1 of the License, or (at your option) any later version.",
+    "gpl3.later": "either version 3 of the License, or (at your option) any later version.",
+    "agpl.redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "boost.notice": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib.asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib.grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "epl2.notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "wtfpl.title": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "wtfpl.version": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE, Version 2, December 2004",
 }
 
+#: Short identifiers of the SPDX list, in lines "SPDX-License-Identifier: ..." (fixed values).
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+_SPDX_LINE = "SPDX-License-Identifier:"
+SENTENCES |= {f"spdx.{x.lower()}": f"{_SPDX_LINE} {x}" for x in SPDX}
+
 #: (rule, license, identifiers in order), in the order of reports.
 RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("apache2-line", "Apache-2.0", ("apache2.notice",)),
@@ -80,10 +102,42 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("unlicense-text", "Unlicense", ("unlicense.public", "unlicense.use")),
     ("cc0-line", "CC0-1.0", ("cc0.notice",)),
     ("reserved-line", "LicenseRef-All-Rights-Reserved", ("proprietary.reserved",)),
+    ("apache2-reference", "Apache-2.0", ("apache2.comply", "apache2.obtain")),
+    ("mit-title", "MIT", ("mit.title",)),
+    ("bsd2-full", "BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.asis")),
+    ("bsd3-full", "BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.asis")),
+    ("bsd0-text", "0BSD", ("bsd0.grant",)),
+    ("gpl3-header-parts", "GPL-3.0", ("gpl.free", "gpl.redistribute.plain", "gpl3.later")),
+    ("gpl-reference", "LicenseRef-GPL", ("gpl.nowarranty", "gpl.copy")),
+    ("lgpl21-header", "LGPL-2.1", ("lgpl.redistribute", "lgpl21.later")),
+    ("lgpl3-header", "LGPL-3.0", ("lgpl.redistribute", "gpl3.later")),
+    ("agpl3-header", "AGPL-3.0", ("agpl.redistribute",)),
+    ("boost-line", "BSL-1.0", ("boost.notice",)),
+    ("zlib-text", "Zlib", ("zlib.asis", "zlib.grant")),
+    ("epl2-line", "EPL-2.0", ("epl2.notice",)),
+    ("wtfpl-title", "WTFPL", ("wtfpl.title",)),
+    ("wtfpl-text", "WTFPL", ("wtfpl.version",)),
+    *((f"spdx-{x.lower()}", x, (f"spdx.{x.lower()}",)) for x in SPDX),
 )
 
+#: Rules that don't count beside others which say more, though their sentences are no part of those.
+YIELDS: dict[str, tuple[str, ...]] = {"gpl-reference": ("gpl3-line", "gpl3-header", "gpl3-header-parts", "gpl2-header"), "mit-title": ("mit-text",), "apache2-reference": ("apache2-header",)}
+
+
+def stronger(rules=RULES) -> dict[str, tuple[str, ...]]:
+    """For each rule those it yields to: rules whose list holds its list, in order, and more; and those of YIELDS."""
+
+    def within(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+        rest = iter(b)
+        return len(a) < len(b) and all(x in rest for x in a)
+
+    return {name: tuple(other for other, _, more in rules if within(ids, more) or other in YIELDS.get(name, ())) for name, _, ids in rules}
+
+
 #: Every known sentence holds one of these; a text without any of them needs no further look.
 ANCHORS = "licen|permission|warrant|redistribut|copyright|public|mpl|rights|provided|software"
+#: Identifiers that are gathered before they join the ones before them, so that a text of very many costs no square.
+BLOCK = 512
 
 _BREAK = r"([.!?;:])[ \t\r]+"
 _OTHER = r"[^A-Za-z0-9\n]+"
@@ -91,7 +145,7 @@ _OTHER = r"[^A-Za-z0-9\n]+"
 
 def normal_sentences(text: str) -> list[str]:
     """The same cut and normalisation in plain Python, for tables of sentences and tests."""
-    cut = re.sub(_OTHER, " ", re.sub(_BREAK, r"\1\n", text)).lower()
+    cut = re.sub(_OTHER, " ", re.sub(_BREAK, r"\1\n", text.replace(_SPDX_LINE, _SPDX_LINE.replace(":", " ")))).lower()
     return [s for s in (p.strip(" ") for p in cut.split("\n")) if s]
 
 
@@ -117,41 +171,58 @@ def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Colum
     begun = sorted({" ".join(words[:n]) for words in map(str.split, table) for n in range(1, len(words) + 1)})
     whole = sorted(table)
     # an empty part after each mark; a mark at a line's end counts as one, too
+    text = F.replace(text, F.lit(_SPDX_LINE), F.lit(_SPDX_LINE.replace(":", " ")))
     cut = F.lower(F.regexp_replace(F.regexp_replace(text, r"([.!?;:])(?:[ \t\r]+|(?=\n))", "$1\n\n"), _OTHER, " "))
-    opened = "array<struct<line:string,last:boolean>>"
-    start = F.struct(F.array().cast(opened).alias("open"), F.array().cast("array<string>").alias("ids"))
+    opened, strings = "array<struct<line:string,last:boolean>>", "array<string>"
+    start = F.struct(F.array().cast(opened).alias("open"), F.array().cast(strings).alias("ids"), F.array().cast(f"array<{strings}>").alias("done"))
     fresh = F.array(F.struct(F.lit("").alias("line"), F.lit(False).alias("last")))
 
     def step(acc: Column, part: Column) -> Column:
         longer = F.transform(F.concat(acc["open"], fresh), lambda o: F.struct(F.ltrim(F.concat(o["line"], F.lit(" "), part)).alias("line"), o["last"].alias("last")))
         live = F.filter(longer, lambda o: o["line"].isin(begun))
-        return F.when(part == "", F.struct(F.array().cast(opened).alias("open"), acc["ids"].alias("ids"))).otherwise(_noted(acc, live))
+        return F.when(part == "", F.struct(F.array().cast(opened).alias("open"), acc["ids"].alias("ids"), acc["done"].alias("done"))).otherwise(_noted(acc, live))
 
     def _noted(acc: Column, live: Column) -> Column:
         hit = F.get(F.filter(live, lambda o: o["line"].isin(whole)), F.lit(0))
-        before = F.when(hit["last"], F.slice(acc["ids"], 1, F.greatest(F.size(acc["ids"]) - 1, F.lit(0)))).otherwise(acc["ids"])
+        full = F.size(acc["ids"]) >= BLOCK  # all but the last, which a longer sentence may replace
+        done = F.when(full & hit.isNotNull(), F.concat(acc["done"], F.array(F.slice(acc["ids"], 1, F.size(acc["ids"]) - 1)))).otherwise(acc["done"])
+        ids = F.when(full, F.slice(acc["ids"], -1, 1)).otherwise(acc["ids"])
+        before = F.when(hit["last"], F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0)))).otherwise(ids)
         ids = F.when(hit.isNull(), acc["ids"]).otherwise(F.concat(before, F.array(F.try_element_at(known, hit["line"]))))
         marked = F.transform(live, lambda o: F.struct(o["line"].alias("line"), (o["last"] | o["line"].isin(whole)).alias("last")))
-        return F.struct(marked.alias("open"), ids.alias("ids"))
+        return F.struct(marked.alias("open"), ids.alias("ids"), done.alias("done"))
 
     parts = F.transform(F.split(cut, "\n", -1), lambda s: F.trim(s))
-    ids = F.aggregate(parts, start, step, lambda acc: acc["ids"])
+    ids = F.aggregate(parts, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["ids"]))
     return F.when(text.rlike("(?i)" + ANCHORS), ids).otherwise(F.array().cast("array<string>"))
 
 
+def _holds(line: Column, ids: tuple[str, ...]) -> Column:
+    """Whether the identifiers stand in the line (<a><b>...) in this order: each is looked for after the one before."""
+
+    def after(at: Column, sign: Column) -> Column:
+        found = F.call_function("locate", sign, line, at)
+        return F.when((at > 0) & (found > 0), found + 1).otherwise(F.lit(0))
+
+    return F.aggregate(F.array(*[F.lit(f"<{i}>") for i in ids]), F.lit(1), after) > 0
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
     """doc_id, sentence_ids, rules and licenses (arrays) of each row.
 
     A null or empty text has empty arrays; identifiers repeat as often as their sentences do, rules and licenses are
-    reported once, in the order of ``rules``. Repeated rows are scanned each; other columns are ignored.
+    reported once, in the order of ``rules``. A rule whose text stands beside that of a stronger rule isn't reported, even if
+    it stands there a second time on its own. Repeated rows are scanned each; other columns are ignored.
     """
     found = docs.select(F.col("doc_id").cast("long"), sentence_ids(common.text_or_empty(), sentences).alias("sentence_ids"))
-    found = found.withColumn("__line", F.concat(F.lit(""), F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")))
-    hit = [F.when(F.col("__line").like("%" + "%".join(f"<{i}>" for i in ids) + "%"), F.struct(F.lit(name).alias("rule"), F.lit(license_).alias("license"))) for name, license_, ids in rules]
-    found = found.withColumn("__hits", F.filter(F.array(*hit), lambda h: h.isNotNull()))
-    return found.select(
-        "doc_id", "sentence_ids", F.transform("__hits", lambda h: h["rule"]).alias("rules"), F.array_distinct(F.transform("__hits", lambda h: h["license"])).alias("licenses")
-    )
+    found = found.withColumn("line", F.concat(F.lit(""), F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")))
+    hits = F.array(*[F.when(_holds(F.col("line"), ids), F.struct(F.lit(name).alias("rule"), F.lit(license_).alias("license"))) for name, license_, ids in rules])
+    none = F.array().cast("array<struct<rule:string,license:string>>")
+    found = found.withColumn("hits", F.when(F.col("line") == "", none).otherwise(F.filter(hits, lambda h: h.isNotNull())))
+    over = F.create_map(*[x for name, others in stronger(rules).items() for x in (F.lit(name), F.array(*map(F.lit, others)).cast("array<string>"))])
+    names = F.transform("hits", lambda h: h["rule"])
+    found = found.withColumn("hits", F.when(F.size("hits") < 2, F.col("hits")).otherwise(F.filter("hits", lambda h: ~F.arrays_overlap(F.try_element_at(over, h["rule"]), names))))
+    return found.select("doc_id", "sentence_ids", F.transform("hits", lambda h: h["rule"]).alias("rules"), F.array_distinct(F.transform("hits", lambda h: h["license"])).alias("licenses"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -160,18 +231,30 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL of ``digest(scan(documents))``, written from the same tables."""
+    """DuckDB SQL of ``digest(scan(documents))``.
+
+    It cuts in a way of its own: a paragraph's parts stand between double bars, and each known sentence is a pattern whose
+    words are parted by a blank or by bars. Of sentences that begin at one place the longest counts.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in sentence_table().items())
+    known = ", ".join(f"({quote(i)}, {quote('[|](' + '(?: |[|][|])'.join(s.split()) + ')[|]')})" for s, i in sentence_table().items())
     rules = ", ".join(f"({n}, {quote(r)}, {quote(x)}, {quote('%' + '%'.join(f'<{i}>' for i in ids) + '%')})" for n, (r, x, ids) in enumerate(RULES))
-    return f"""
-WITH known(sentence, id) AS (VALUES {known}), rule(n, name, license, pattern) AS (VALUES {rules}),
-d AS (SELECT doc_id, lower(regexp_replace(regexp_replace(coalesce(text, ''), '{_BREAK}', '\\1' || chr(10), 'g'), '[^A-Za-z0-9\\n]+', ' ', 'g')) AS t FROM documents),
-s AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS sentence, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
-i AS (SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS sentence_ids, string_agg('<' || id || '>', '' ORDER BY pos) AS line, count(*) AS n FROM s JOIN known ON trim(s.sentence) = known.sentence GROUP BY doc_id),
-h AS (SELECT i.doc_id, rule.n, name, license FROM i JOIN rule ON i.line LIKE rule.pattern),
-r AS (SELECT doc_id, string_agg(name, ',' ORDER BY n) AS rules FROM h GROUP BY doc_id),
-l AS (SELECT doc_id, string_agg(license, ',' ORDER BY n) AS licenses FROM (SELECT doc_id, license, min(n) AS n FROM h GROUP BY doc_id, license) GROUP BY doc_id)
+    over = ", ".join(f"({quote(a)}, {quote(b)})" for a, others in stronger().items() for b in others)
+    return rf"""
+WITH known(id, pattern) AS (VALUES {known}), rule(n, name, license, pattern) AS (VALUES {rules}), stronger(weak, strong) AS (VALUES {over}),
+d AS (SELECT doc_id, row_number() OVER () AS rid, replace(coalesce(text, ''), '{_SPDX_LINE}', '{_SPDX_LINE.replace(":", " ")}') AS text FROM documents),
+a AS (SELECT rid, regexp_replace(regexp_replace(lower(text), '([.!?;:])([ \t\r]+|\n)', '\1' || chr(10) || chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g') AS t FROM d WHERE regexp_matches(lower(text), '{ANCHORS}')),
+p AS (SELECT rid, unnest(string_split_regex(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n\n+')) AS par, generate_subscripts(string_split_regex(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n\n+'), 1) AS pos FROM a),
+b AS (SELECT rid, pos, '||' || replace(trim(par, ' ' || chr(10)), chr(10), '||') || '||' AS par FROM p),
+m AS (SELECT rid, pos, par, id, unnest(regexp_extract_all(par, pattern, 1)) AS hit FROM b JOIN known ON regexp_matches(par, pattern)),
+o AS (SELECT rid, pos, id, hit, par, row_number() OVER (PARTITION BY rid, pos, id, hit) AS nth FROM m),
+s AS (SELECT rid, pos, id, hit, list_aggregate([length(x) FOR x IN list_slice(string_split(par, '|' || hit || '|'), 1, nth)], 'sum') + (nth - 1) * (length(hit) + 2) AS beg FROM o),
+w AS (SELECT rid, pos, beg, arg_max(id, length(hit)) AS id FROM s GROUP BY rid, pos, beg),
+i AS (SELECT rid, string_agg(id, ',' ORDER BY pos, beg) AS sentence_ids, string_agg('<' || id || '>', '' ORDER BY pos, beg) AS line, count(*) AS n FROM w GROUP BY rid),
+g AS (SELECT i.rid, rule.n, name, license FROM i JOIN rule ON i.line LIKE rule.pattern),
+h AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM stronger JOIN g AS other ON other.name = stronger.strong WHERE stronger.weak = g.name AND other.rid = g.rid)),
+r AS (SELECT rid, string_agg(name, ',' ORDER BY n) AS rules FROM h GROUP BY rid),
+l AS (SELECT rid, string_agg(license, ',' ORDER BY n) AS licenses FROM (SELECT rid, license, min(n) AS n FROM h GROUP BY rid, license) GROUP BY rid)
 SELECT d.doc_id, coalesce(i.n, 0) AS n_sentences, coalesce(i.sentence_ids, '') AS sentence_ids, coalesce(r.rules, '') AS rules, coalesce(l.licenses, '') AS licenses
-FROM d LEFT JOIN i USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+FROM d LEFT JOIN i USING (rid) LEFT JOIN r USING (rid) LEFT JOIN l USING (rid)
 """

@@ -32,17 +32,24 @@ _HEX_CORE = re.compile(r"[0-9a-f]{24}")
 _ASSIGN_WORDS = re.compile(rb"passw|secret|token|api_?key")
 
 #: Words that make what follows them sensitive (fixed values). They may be part of a longer name: DB_PASSWORD_PROD, tokens.
+#: Key and auth, which end or begin ordinary words as well (monkey, author), count only where a name's part begins and ends:
+#: beside other signs than letters, at a change of case, or behind a word that such names have.
 CONTEXT = re.compile(
-    r"pass(?:word|wd|phrase)|pwd|secret|token|key|auth(?:orization)?|credential|bearer|session[_-]?id|signature",
-    re.IGNORECASE | re.ASCII,
+    r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|authorization|credential|bearer|session[_-]?id|signature|(?:api|access|private|public|auth|ssh|master|encryption|signing|account)key)"
+    r"|(?:(?<![A-Za-z])(?:[Kk]ey|[Aa]uth)|(?<=[a-z])(?:Key|Auth))s?(?![a-z])|(?<![A-Za-z])(?:KEY|AUTH)S?(?![A-Za-z])",
+    re.ASCII,
 )
 #: A candidate starts at most so many characters after the end of a sensitive word, whatever stands between, line ends too.
 REACH = 48
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.~!@$%^*-][A-Za-z0-9+/_.=~!@$%^*-]{11,}", re.ASCII)
+LEAST_CHARS = 12
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.~!@$%^*-][A-Za-z0-9+/_.=~!@$%^*-]{" + str(LEAST_CHARS - 1) + ",}", re.ASCII)
 #: What is left of the name that a sensitive word is part of, up to its sign of assignment.
-_NAME = re.compile(r"""[A-Za-z0-9_.-]{0,40}["']?\s*[:=]+""", re.ASCII)
+_NAME = re.compile(r"""[A-Za-z0-9_.-]{0,40}+["']?\s{0,40}+[:=]+""", re.ASCII)
 #: What may stand between a sensitive word, or its name's sign of assignment, and a candidate right after it.
-_DIRECT = re.compile(r"""["'\]>)]*(?:\s+(?:is|was|=>))?\s*[:=>]{0,2}\s*["'(<\[]{0,2}""", re.IGNORECASE | re.ASCII)
+_DIRECT = re.compile(r"""["'\]>)]{0,4}(?:\s{1,40}+(?:is|was|=>))?\s{0,40}+[:=>]{0,2}\s{0,40}+["'(<\[]{0,2}""", re.IGNORECASE | re.ASCII)
+#: What tells an assignment from mere sequence.
+_SIGN = re.compile(r"""[:=>"'(<\[]|\b(?:is|was)\b""", re.IGNORECASE | re.ASCII)
+_RUN_END = re.compile(r"[A-Za-z0-9+/_.=~!@$%^*-]*", re.ASCII)
 _CONTEXT_WORDS = re.compile(rb"pass|pwd|secret|token|key|auth|credential|bearer|session|signature")
 
 #: Identifiers and code that no secret consists of (fixed values): the primer of the compressor.
@@ -53,6 +60,11 @@ IDENTIFIERS = (
     "function return import from class const static public private protected void string integer boolean number object array "
     "request response header content-type application/json charset utf-8 get post put delete select insert update where order group "
     "os.environ process.env getenv required optional placeholder changeme your_password_here your-api-key xxxxxxxx example sample test "
+    "max min maximum minimum buffer length size count index offset limit timeout retry retries version build release debug warning error message "
+    "handler listener callback controller service manager factory provider builder context session connection database table column schema "
+    "document element node parent child first last next previous start stop begin end open close read write load save parse format convert "
+    "file path folder directory stream socket thread process queue stack list map hash cache memory storage bucket region cluster server port "
+    "initialize execute validate verify generate create remove append prepend replace search filter sort merge split join encode decode "
     "the and that with this have from they would there their what about which when make like time just know take people into year"
 )
 #: Characters on either side that a candidate is measured against.
@@ -77,6 +89,8 @@ PROSE = (
 )
 #: Bytes a character that the second coder needs for a candidate: words need under 0.55, random letters of one case 0.7 and more.
 LEAST_SPELLING = 0.6
+#: The same for mixed strings that are assigned right after a sensitive word.
+LEAST_DIRECT = 0.55
 
 _DICTIONARY = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 _compressor: zstandard.ZstdCompressor | None = None
@@ -110,17 +124,21 @@ def _letter_bits() -> dict[str, float]:
 _BITS = _letter_bits()
 _HEXADECIMAL = re.compile("(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f-]+|[0-9A-F-]+)")
 _RUN = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]")
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_][0-9.+Z-]*)?")
 
 
 def spelling_share(candidate: str) -> float:
-    """Bytes a character that a coder of letter pairs needs. Each run of one kind costs its kind, too: letters, capitals, digits, signs."""
+    """Bytes a character that a coder of letter pairs needs. Each run of one kind costs its kind, too: letters, capitals, digits, signs.
+
+    The signs that part the words of names cost no more than that.
+    """
     bits = 0.0
     for run in _RUN.findall(candidate):
         bits += 2
         if run[0].isalpha():
             low = run.lower()
             bits += sum(_BITS[a + b] for a, b in zip("^" + low, low, strict=False))
-        else:
+        elif run not in "_-./":
             bits += len(run) * 3.32
     return bits / 8 / len(candidate)
 
@@ -147,17 +165,25 @@ def _mixed(candidate: str) -> bool:
 
 
 def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, direct) of the token-like strings that start within REACH of a sensitive word's end; each end once."""
+    """(start, end, direct) of the token-like strings that start within REACH of a sensitive word's end; each end once.
+
+    A candidate is direct if it comes right after the word with a sign of assignment or an opening quote. Every string is run
+    through once, however many sensitive words stand in it, and no search goes beyond REACH, so time goes with the text.
+    """
     found: dict[int, tuple[int, bool]] = {}
+    run_end = 0  # of the last string met
     for word in CONTEXT.finditer(text):
         at, last = word.end(), word.end() + REACH
         if name := _NAME.match(text, at):
             at = name.end()
         direct = _DIRECT.match(text, at).end()
-        while (token := _TOKEN.search(text, at)) and token.start() <= last:
-            start, end = token.span()
+        while token := _TOKEN.search(text, at, last + LEAST_CHARS):  # as far as one can begin in reach
+            start = token.start()
+            if start >= run_end:
+                run_end = _RUN_END.match(text, start).end()
+            end = run_end
             known = found.get(end, (start, False))
-            found[end] = (max(start, known[0]), known[1] or start == direct)
+            found[end] = (max(start, known[0]), known[1] or start == direct and _SIGN.search(text, word.end(), start) is not None)
             at = end
     for end, (start, direct) in sorted(found.items()):
         yield start, end, direct
@@ -166,8 +192,8 @@ def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
 def novel_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
     """(start, end, "novel") of candidates in sensitive context that don't compress.
 
-    Mixed strings right after the word are measured by the frame's bytes; words, names and addresses also come after sensitive
-    words at a distance, so what stands there, or has letters of one case only, must be no spelling of words either.
+    Words, names and addresses also come after sensitive words, so a candidate must be no spelling of words either; more so if
+    it stands at a distance or without a sign of assignment, or has letters of one case only.
     """
     raw = text.encode() if raw is None else raw
     if not _CONTEXT_WORDS.search(raw.lower()):
@@ -175,7 +201,9 @@ def novel_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str
     found = []
     for start, end, direct in _candidates(text):
         candidate = text[start:end]
-        if not (direct and _mixed(candidate) or _HEXADECIMAL.fullmatch(candidate)) and spelling_share(candidate) < LEAST_SPELLING:
+        if _DATE.fullmatch(candidate):
+            continue
+        if not _HEXADECIMAL.fullmatch(candidate) and spelling_share(candidate) < (LEAST_DIRECT if direct and _mixed(candidate) else LEAST_SPELLING):
             continue
         size = marginal_bytes(candidate, text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS])
         if size >= LEAST_BYTES and size >= LEAST_SHARE * (end - start):
