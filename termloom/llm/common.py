@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: White space of the contracts, as a Java and Python character class.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Ids that are broadcast at most, some tens of MB as a hash table; beyond, joins shuffle.
+BROADCAST_ROWS = 500_000
+
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _written: list[tuple[SparkSession, str]] = []
@@ -44,13 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, is a temporary folder made and used.
+    Only where that is unset and the master is this machine alone, as in tests, is a temporary folder made and used; a
+    cluster without the setting is an error, as its executors would each write to a folder of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if own := getattr(spark.sparkContext, "_termloom_shared", None):
         return own
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {spark.sparkContext.master} share")
     own = "file://" + tempfile.mkdtemp(prefix="termloom-")
     spark.sparkContext.setCheckpointDir(own)
     spark.sparkContext._termloom_shared = own
@@ -79,6 +86,26 @@ def _clean() -> None:
             return  # the session is gone
 
 
+def scratch(df: DataFrame, name: str) -> str:
+    """A column name like the one given that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, dropped: DataFrame, ids: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``dropped`` (doc_id; null is an id like any other), with all their columns.
+
+    ``ids`` is the number of rows of ``dropped``; it is broadcast up to BROADCAST_ROWS of them.
+    """
+    name = scratch(docs, "dropped_id")
+    dropped = dropped.select(F.col("doc_id").alias(name))
+    if ids <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

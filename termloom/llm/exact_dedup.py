@@ -178,10 +178,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Dropped ids that are broadcast at most, about 80 MB as a hash table; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns; rows repeated in full stay once."""
     found = exact_groups(docs).select("doc_id", "text_sha256", "kept")
@@ -189,9 +185,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     stats = by_row.agg(F.count_if(~F.col("kept")).alias("dropped"), F.coalesce(F.max("rows"), F.lit(0)).alias("most")).first()
     key = F.sha2(F.regexp_replace(common.text_or_empty(), common.SPACES, " "), 256)
     rows = docs
+    own, gone, sha = (common.scratch(docs, x) for x in ("own_sha", "dropped_id", "dropped_sha"))
     if stats.most > 1:
-        rows = rows.withColumn("__sha", key).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
-    dropped = by_row.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    if stats.dropped <= BROADCAST_ROWS:
+        rows = rows.withColumn(own, key).dropDuplicates(["doc_id", own]).drop(own)
+    dropped = by_row.filter(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha))
+    if stats.dropped <= common.BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return rows.join(dropped, rows["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__sha")), "left_anti")
+    return rows.join(dropped, F.col("doc_id").eqNullSafe(F.col(gone)) & (key == F.col(sha)), "left_anti")
