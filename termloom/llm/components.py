@@ -1,8 +1,10 @@
 """Connected components of a link table, distributed: alternating large-star and small-star turns.
 
 Each turn is two aggregations and two joins on node keys over the links alone; the links are staged in the shared folder
-every turn, so lineage stays short. A hub's links meet in a join with its one minimum, which adaptive execution can
-split, and never in one collected group. Turns needed grow with the logarithm of the number of nodes.
+every turn, so lineage stays short. A hub's links are never one group: minima come from partial aggregations and are
+staged, so that the join that brings them back has a plain shuffle on either side, which adaptive execution splits where
+one key holds many rows, or is a broadcast. Nodes that are their own minimum, as the hubs of finished stars are, need no
+join partner at all. Turns needed grow with the logarithm of the number of nodes.
 """
 
 from __future__ import annotations
@@ -20,15 +22,25 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     """links (u > v) to (u > v): hang each node's neighbours on the least node it knows."""
     if large:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = common.staged(both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u"), "least")
+        moved = both.filter("v > u").join(least, "u", "left").select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
     else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.staged(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = links.join(least, "u")
         moved = moved.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("l")).select("l.*")
     return moved.filter("u != v").distinct()
 
 
+def with_least(labelled: DataFrame, key: str) -> DataFrame:
+    """The key and component_id, the least ``least`` of its root, of each row of ``labelled`` (key, root, least).
+
+    Roots' minima are staged, so that a root that holds many rows is split in the join.
+    """
+    labelled = common.staged(labelled.select(key, "root", "least"), "labelled")
+    least = common.staged(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    return labelled.select(key, "root").join(least, "root").select(key, "component_id")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for each node of ``links`` (a, b, orderable of one type); root is the least node it reaches.
 

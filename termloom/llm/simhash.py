@@ -2,17 +2,21 @@
 
 *Fingerprints.* 64 bits; a bit is set if it is set in over half of the hashes of the word shingles.
 
-*Covering.* The bits form three blocks (21, 21 and 22). Of two fingerprints that differ in at most four bits, one block
-differs in at most one (pigeonhole), so each block is covered by itself with threshold 1. A block's anchors are the words
-of a covering code: the perfect Hamming code of 15 bits (covering radius 1) times all words of the block's other bits. A
-fingerprint lies within radius 1 of one nearest anchor, its *home*. It is replicated to every anchor within radius plus
-threshold of it, that is to each anchor which is the home of something that differs from it in at most one of the
-block's bits. Two linked fingerprints therefore meet at each other's homes. Anchors number 2^17 and 2^18 a block.
+*Covering.* The 64 bits form blocks, and *covers* of some of the blocks together, such that of two fingerprints that differ in
+at most four bits one cover differs in at most one (pigeonhole); each cover is searched with threshold 1. With three
+blocks the covers are the blocks (21 or 22 bits); with five blocks their ten pairs (25 or 26 bits), as the two blocks with the fewest
+differences have one at most together; with six blocks their twenty triples (31 to 33 bits). More bits mean more anchors and fewer
+comparisons, more covers mean more replicas: ``covers_for`` takes what costs least for the number of fingerprints.
+A cover's anchors are the words of a covering code: the perfect Hamming code of 15 bits (covering radius 1) times all words
+of the cover's other bits. A fingerprint lies within radius 1 of one nearest anchor, its *home*. It is replicated to every anchor
+within radius plus threshold of it, that is to each anchor which is the home of something that differs from it in at most one
+of the cover's bits. Two linked fingerprints therefore meet at each other's homes.
 
 *Comparison.* At each anchor the homes are compared with all arrivals by exact bit counts, in breadth-first order. What a
 search has reached isn't compared again, so a dense group of n costs some n comparisons and gives about n links,
-not all pairs, and no connection is lost: every pair of one anchor is either compared or connected there already. Anchors with very many arrivals are salted: homes are split into chunks,
-each of which meets all arrivals' chunks in tasks of their own.
+not all pairs, and no connection is lost: every pair of one anchor is either compared or connected there already. Anchors with
+many more arrivals than most are salted: homes are split into chunks, each of which meets all arrivals' chunks in tasks of
+their own.
 
 *Components.* Links join by alternating stars; copies with one fingerprint stand for each other throughout.
 """
@@ -20,6 +24,7 @@ each of which meets all arrivals' chunks in tasks of their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +33,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, with_least
 
 SHINGLE = 4
 DISTANCE = 4
-#: (lowest bit, bits) of each block.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 _CODED = 15
-#: Arrivals that one task compares in a piece; beyond, an anchor is salted.
+#: Arrivals that one task compares in a piece, at least; an anchor with more, and with four times the mean, is salted.
 CHUNK = 4096
-#: Salted anchors that are broadcast at most; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Comparisons that cost as much as writing, sorting and reading one replica.
+COMPARISONS_A_REPLICA = 2_000
+
+#: A cover is a tuple of (lowest bit, bits) of its blocks.
+Cover = tuple[tuple[int, int], ...]
+
+
+def covers(blocks: int, joined: int) -> list[Cover]:
+    """All sets of ``joined`` of the ``blocks`` blocks of 64 bits. Of four differences at most one must be able to fall in one."""
+    # the fewest differences that leave two: two in every block but joined - 1, or one in every block but joined - 2
+    if min(2 * (blocks - joined + 1), blocks - joined + 2 if joined > 1 else DISTANCE + 1) <= DISTANCE:
+        raise ValueError("some four differences leave two in every cover")
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    return list(combinations([(a, b - a) for a, b in zip(ends, ends[1:], strict=False)], joined))
+
+
+#: The ways to cover, from few replicas to few comparisons.
+WAYS = (covers(3, 1), covers(5, 2), covers(6, 3))
+
+
+def expected(way: list[Cover], rows: int) -> tuple[float, float]:
+    """Replicas, and comparisons, of a fingerprint among so many that are spread evenly."""
+    bits = [sum(n for _, n in cover) for cover in way]
+    arrivals = [1 + (_CODED - 1) / 2 + n - _CODED for n in bits]
+    return sum(arrivals), sum(rows * a / 2.0 ** (n - 4) for a, n in zip(arrivals, bits, strict=True))
+
+
+def covers_for(rows: int) -> list[Cover]:
+    """The way with the least cost for so many distinct fingerprints."""
+
+    def cost(way: list[Cover]) -> float:
+        replicas, comparisons = expected(way, rows)
+        return replicas + comparisons / COMPARISONS_A_REPLICA
+
+    return min(WAYS, key=cost)
+
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in _SPACE else b for b in range(256))
@@ -113,20 +150,28 @@ def anchors(blocks: np.ndarray, bits: int) -> list[np.ndarray]:
     return [homes(blocks)] + [homes(blocks ^ np.uint64(1 << bit)) for bit in range(bits)]
 
 
-def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut(fps: np.ndarray, cover: Cover) -> tuple[np.ndarray, int]:
+    """The bits of a cover's blocks, side by side, and their number."""
+    value, bits = np.zeros(len(fps), dtype=np.uint64), 0
+    for lowest, width in cover:
+        value |= ((fps >> np.uint64(lowest)) & np.uint64((1 << width) - 1)) << np.uint64(bits)
+        bits += width
+    return value, bits
+
+
+def _replicas(batches: Iterator[pa.RecordBatch], way: list[Cover]) -> Iterator[pa.RecordBatch]:
     """fp to (anchor key, home or not, fp)."""
     for batch in common.in_slices(batches, 4096):
         fps = batch.column("fp").to_numpy().astype(np.int64)
-        for number, (lowest, bits) in enumerate(BLOCKS):
-            blocks = (fps.view(np.uint64) >> np.uint64(lowest)) & np.uint64((1 << bits) - 1)
-            columns = np.stack(anchors(blocks, bits), axis=1)
+        for number, cover in enumerate(way):
+            columns = np.stack(anchors(*cut(fps.view(np.uint64), cover)), axis=1)
             columns[:, 1:].sort(axis=1)
             new = np.ones(columns.shape, dtype=bool)
             new[:, 2:] = columns[:, 2:] != columns[:, 1:-1]
             new[:, 1:] &= columns[:, 1:] != columns[:, :1]
             row, column = np.nonzero(new)
             yield pa.RecordBatch.from_pydict({
-                "anchor": pa.array((columns[row, column] | np.uint64(number << 32)).astype(np.int64), pa.int64()),
+                "anchor": pa.array((columns[row, column] | np.uint64(number << 40)).astype(np.int64), pa.int64()),
                 "home": pa.array(column == 0, pa.bool_()),
                 "fp": pa.array(fps[row], pa.int64()),
             })
@@ -204,15 +249,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def fingerprint_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def fingerprint_links(prints: DataFrame, chunk: int = CHUNK, way: list[Cover] | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct ``fp`` within DISTANCE bits."""
     spark = prints.sparkSession
     common.prepare(spark)
-    placed = common.staged(prints.select("fp").distinct().mapInArrow(_replicas, "anchor long, home boolean, fp long"), "replicas")
+    distinct = prints.select("fp").distinct()
+    if way is None:
+        rows = distinct.count()
+        way = covers_for(rows)
+        replicas, comparisons = expected(way, rows)
+        chunk = max(chunk, int(4 * comparisons / replicas))
+
+    def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _replicas(batches, way)
+
+    placed = common.staged(distinct.mapInArrow(_placed, "anchor long, home boolean, fp long"), "replicas")
     # an anchor with n arrivals becomes c x c pieces, c = ceil(n / chunk): home chunk i meets arrival chunk j
     hot = placed.groupBy("anchor").count().filter(F.col("count") > chunk).select("anchor", F.ceil(F.col("count") / chunk).cast("int").alias("pieces"))
     hot = common.staged(hot, "hot-anchors")
-    if hot.count() <= BROADCAST_ROWS:
+    if hot.count() <= common.BROADCAST_ROWS:
         hot = F.broadcast(hot)
     placed = placed.join(hot, "anchor", "left").withColumn("c", F.coalesce("pieces", F.lit(1)))
     part = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
@@ -238,8 +293,7 @@ def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     by_print = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(fingerprint_links(by_print))
     labelled = by_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_root = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
+    by_root = with_least(labelled, "fp")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(by_root, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
@@ -252,7 +306,5 @@ def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stats = common.staged(near_groups(docs, width).groupBy("doc_id").agg(kept.alias("kept")), "simhash-kept")
-    dropped = stats.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    dropped = stats.filter(~F.col("kept"))
+    return common.without(docs, dropped, dropped.count())

@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from termloom.llm import components, exact_dedup, simhash
+from termloom.llm import components, exact_dedup, near_copies, simhash
 
 from .fixtures import LONG, TEXTS, empty, frame, words
 
@@ -109,16 +109,14 @@ def test_fingerprint_definition():
 
 def test_covering_meets_every_link():
     rng = np.random.default_rng(5)
-    for _ in range(2000):
-        x = int(rng.integers(0, 1 << 63))
-        y = x
-        for bit in rng.choice(64, 4, replace=False):
-            y ^= 1 << int(bit)
-        met = False
-        for lowest, bits in simhash.BLOCKS:
-            cut = lambda v: np.array([v >> lowest & (1 << bits) - 1], dtype=np.uint64)  # noqa: B023, E731
-            met |= bool(np.isin(simhash.homes(cut(x)), np.concatenate(simhash.anchors(cut(y), bits))).any())
-        assert met
+    x = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    flips = np.array([sum(1 << int(bit) for bit in rng.choice(64, 4, replace=False)) for _ in x], dtype=np.uint64)
+    for way in simhash.WAYS:
+        met = np.zeros(len(x), dtype=bool)
+        for cover in way:
+            (a, _), (b, bits) = simhash.cut(x, cover), simhash.cut(x ^ flips, cover)
+            met |= (np.stack(simhash.anchors(b, bits)) == simhash.homes(a)).any(axis=0)
+        assert met.all()
 
 
 def test_dense_and_salted_groups_keep_their_components(spark):
@@ -133,8 +131,8 @@ def test_dense_and_salted_groups_keep_their_components(spark):
             prints.add(v)
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in prints]
     df = spark.createDataFrame(signed, "fp long")
-    for chunk in (4096, 8):  # the second salts every anchor that holds over eight
-        found = {r.node & (1 << 64) - 1: r.root for r in components.components(simhash.fingerprint_links(df, chunk)).collect()}
+    for chunk, way in ((4096, None), (8, simhash.WAYS[0]), (8, simhash.WAYS[1]), (4096, simhash.WAYS[2])):  # eight salts every anchor that holds more
+        found = {r.node & (1 << 64) - 1: r.root for r in components.components(simhash.fingerprint_links(df, chunk, way)).collect()}
         groups = {}
         for v, r in brute_components(prints).items():
             groups.setdefault(r, set()).add(v)
@@ -156,3 +154,22 @@ def test_near_keep_first(spark):
     assert got.columns == docs.columns
     kept = {r.doc_id for r in got.collect()}
     assert {1, 4, 7, 8, None} <= kept and not {2, 3, 5, 6} & kept  # null ids are smallest in a group of their own
+
+
+def test_ways_follow_the_number_of_fingerprints():
+    assert [simhash.WAYS.index(simhash.covers_for(n)) for n in (0, 10**6, 10**9, 10**11)] == [0, 0, 0, 2]
+    with np.testing.assert_raises(ValueError):
+        simhash.covers(4, 2)
+
+
+def test_clashing_names_keep_their_columns(spark):
+    names = ("__id", "__sha", "own_sha", "dropped_id", "DROPPED_SHA", "wanted_id", "component_id", "root", "fp")
+    rows = [(1, words(1, 60)), (2, words(1, 60)), (3, words(2, 90)), (3, words(2, 90)), (None, words(3, 50)), (None, words(3, 50))]
+    docs = frame(spark, rows).select("doc_id", "text").withColumns({n: F.lit(n) for n in names})
+    for module in (exact_dedup, simhash, near_copies):
+        got = module.keep_first(docs)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert all(r[n] == n for r in found for n in names)
+        assert {r.doc_id for r in found} == {1, 3, None}
+    assert exact_dedup.keep_first(docs).count() == 3
