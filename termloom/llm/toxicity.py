@@ -1,12 +1,13 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Words are lower-cased and bounded by blanks; every n-gram of 3 to 5 bytes that begins in the text falls into one of 2^18
+Words are lower-cased and bounded by blanks; every n-gram of 3 to 6 bytes that begins in the text falls into one of 2^18
 hash cells. Fitting takes three passes over a bounded sample of the labelled rows:
 
 1. per class, the number of documents that have each cell (dense counts, summed per task and then over tasks);
 2. the log-count ratio r = log((p + a) / |p|) - log((q + a) / |q|) of each cell. Cells that are rare, or whose ratio is
-   within the range that chance gives, get no weight; of the rest those with the strongest evidence stay;
-3. a logistic regression with ridge penalty on the scaled features r * log(1 + count), fitted by Newton's method.
+   within the range that chance gives, get no weight; all others get one;
+3. a logistic regression with ridge penalty on the scaled features r * log(1 + count), fitted by Newton's method, whose steps
+   come from conjugate gradients over the sparse rows: memory goes with the non-zero counts, not with rows times cells.
 
 A text's score is the logistic of the bias and the weights of its cells: one gather a position, vectorised over the whole
 text, with no limit of length.
@@ -26,15 +27,15 @@ from . import common
 
 CELLS_LOG2 = 18
 CELLS = 1 << CELLS_LOG2
-LENGTHS = (3, 4, 5)
+LENGTHS = (3, 4, 5, 6)
 #: Labelled rows of the sample at most; documents carry some kB each, so that a fit reads some tens of MB of text.
 SAMPLE_ROWS = 16_000
-#: Cells with a weight at most.
-FEATURES = 600
 LEAST_DOCUMENTS = 3
 #: Size of a cell's log-count ratio against its error at least.
-LEAST_EVIDENCE = 3.0
-#: Tasks that count a sample; each gives a row for each of its cells.
+LEAST_EVIDENCE = 3.5
+#: Ridge penalty of the regression.
+PENALTY = 0.3
+#: Tasks that count a sample; each gives a row for each of its cells. The scan that finds the sample has its own tasks.
 COUNTING_TASKS = 8
 THRESHOLD = 0.7
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -61,27 +62,35 @@ def cells_of(text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
 
 
+def counts_of(text: str, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a text's weighted cells, ascending, and log(1 + count) of each."""
+    at = slot[cells_of(text)]
+    places, counts = np.unique(at[at >= 0], return_counts=True)
+    return places, np.log1p(counts)
+
+
 @dataclass
 class Model:
     cells: np.ndarray  # int32, ascending
     weights: np.ndarray  # float64, the log-count ratio times the fitted coefficient
     bias: float
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def slots(self) -> np.ndarray:
+        """The place of each cell's weight, -1 for cells without one."""
         slot = np.full(CELLS, -1, dtype=np.int32)
         slot[self.cells] = np.arange(len(self.cells), dtype=np.int32)
+        return slot
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        slot = self.slots()
         return np.array([self.score_one(t, slot) for t in texts])
 
     def score_one(self, text: str, slot: np.ndarray) -> float:
-        z = self.bias + float(counts_of(text, slot, len(self.cells)) @ self.weights) if len(self.cells) else self.bias
+        places, x = counts_of(text, slot)
+        z = self.bias + float(x @ self.weights[places])
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def counts_of(text: str, slot: np.ndarray, features: int) -> np.ndarray:
-    at = slot[cells_of(text)]
-    return np.log1p(np.bincount(at[at >= 0], minlength=features))
-
-
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, rows = np.zeros((2, CELLS), dtype=np.int32), np.zeros(2, dtype=np.int64)
     for batch in common.in_slices(batches):
@@ -103,35 +112,62 @@ def log_count_ratios(counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
     return r, np.abs(r) / np.sqrt(1 / p + 1 / q)
 
 
-def ridge_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, turns: int = 25) -> tuple[np.ndarray, float]:
-    """Newton's method; the bias isn't penalised."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    ridge = np.full(len(w), penalty)
-    ridge[-1] = 1e-6
+def ridge_logistic(row: np.ndarray, column: np.ndarray, x: np.ndarray, y: np.ndarray, columns: int, penalty: float = PENALTY, turns: int = 40) -> tuple[np.ndarray, float]:
+    """Coefficients and bias of a logistic regression on sparse entries (row, column, x); the bias isn't penalised.
+
+    Newton's method. Each step solves its linear equations by conjugate gradients, preconditioned by their diagonal.
+    """
+    n = len(y)
+    w = np.zeros(columns + 1)
+    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    ridge = np.append(np.full(columns, penalty), 1e-6)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=x * v[column], minlength=n) + v[-1]
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(column, weights=x * v[row], minlength=columns), v.sum())
 
     def loss(v: np.ndarray) -> float:
-        z = x @ v
+        z = times(v)
         return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * v * v).sum())
 
     best = loss(w)
     for _ in range(turns):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step, size = np.linalg.solve(h, g), 1.0
-        while size > 1e-4 and (now := loss(w - size * step)) > best:
-            size /= 2
-        if size <= 1e-4 or best - now < 1e-7 * abs(best):
+        p = 1 / (1 + np.exp(-np.clip(times(w), -40, 40)))
+        h = p * (1 - p)
+        rest = -(back(p - y) + ridge * w)
+        scale = 1 / (np.append(np.bincount(column, weights=x * x * h[row], minlength=columns), h.sum()) + ridge)
+        step, first = np.zeros_like(w), float(np.linalg.norm(rest))
+        along = scale * rest
+        size = rest @ along
+        for _ in range(500):
+            if np.linalg.norm(rest) <= 1e-8 * first or size <= 0:
+                break
+            image = back(h * times(along)) + ridge * along
+            by = size / (along @ image)
+            step += by * along
+            rest -= by * image
+            new = rest @ (scale * rest)
+            along = scale * rest + new / size * along
+            size = new
+        part, now = 1.0, loss(w + step)
+        while now > best and part > 1e-4:
+            part /= 2
+            now = loss(w + part * step)
+        if now >= best:
+            break
+        done = best - now < 1e-11 * abs(best)
+        w, best = w + part * step, now
+        if done:
             break
-        w, best = w - size * step, now
     return w[:-1], float(w[-1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
     """text and label of at most ``rows`` labelled rows, those with the smallest hash of their id; null labels don't count.
 
+    An id that is labelled more than once has its greatest label; a document that comes more than once is learned from as often.
     ``labels`` holds the rows one may learn from. The chosen ids are broadcast: there are ``rows`` of them at most.
     """
     chosen = (
@@ -146,13 +182,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int)
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Fit on ``labels`` (doc_id, the label column), all of which may be learned from.
 
-    The first pass gives one row for each cell and class; the second gives each sampled row's counts of the chosen cells.
-    Both are bounded by CELLS, FEATURES and SAMPLE_ROWS. Without labels of both classes the model scores every text with
+    The first pass gives one row for each cell and class; the second gives each sampled row's counts of the weighted cells.
+    Both are bounded by CELLS and SAMPLE_ROWS. Without labels of both classes the model scores every text with
     the share of its only class, 0 if there is none.
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    sample = common.staged(labelled_sample(docs, labels, column, rows).coalesce(COUNTING_TASKS), "toxicity-sample")
+    # the scan runs in as many tasks as it has; only the bounded sample is dealt anew
+    sample = common.staged(labelled_sample(docs, labels, column, rows).repartition(COUNTING_TASKS, "text"), "toxicity-sample")
     summed = sample.mapInArrow(_document_counts, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
     rows_of = {r.label: r.n for r in summed.filter("cell = -1").collect()}
     total = np.array([rows_of.get(0, 0), rows_of.get(1, 0)])
@@ -166,23 +203,21 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
     p, q = F.col("p") + 1.0, F.col("q") + 1.0
     ratio = F.log(p / float(total[1] + 2)) - F.log(q / float(total[0] + 2))
     evidence = F.abs(ratio) / F.sqrt(1 / p + 1 / q)
-    top = both.select("cell", ratio.alias("r"), evidence.alias("e")).filter(F.col("e") >= LEAST_EVIDENCE).orderBy(F.desc("e"), "cell").limit(FEATURES).collect()
-    cells = np.array(sorted(r.cell for r in top), dtype=np.int32)
+    weighted = both.select("cell", ratio.alias("r")).filter(evidence >= LEAST_EVIDENCE).collect()  # CELLS rows at most
+    weighted.sort(key=lambda w: w.cell)
+    cells, r = np.array([w.cell for w in weighted], dtype=np.int32), np.array([w.r for w in weighted], dtype=np.float64)
     if not len(cells):
         return Model(cells, np.zeros(0), float(np.log(total[1] / total[0])))
-    by_cell = {r.cell: r.r for r in top}
-    r = np.array([by_cell[c] for c in cells])
+    blank = Model(cells, r, 0.0)
 
     def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(CELLS, -1, dtype=np.int32)
-        slot[cells] = np.arange(len(cells), dtype=np.int32)
+        slot = blank.slots()
         for batch in common.in_slices(batches):
             labels, at, values = batch.column("label").to_pylist(), [], []
             for text in common.texts_of(batch):
-                x = counts_of(text, slot, len(cells))
-                some = np.flatnonzero(x)
-                at.append(some.astype(np.int16))
-                values.append(x[some].astype(np.float32))
+                places, x = counts_of(text, slot)
+                at.append(places.astype(np.int32))
+                values.append(x.astype(np.float32))
             yield pa.RecordBatch.from_pydict({
                 "label": pa.array(labels, pa.int32()),
                 "at": pa.array([a.tobytes() for a in at], pa.binary()),
@@ -191,11 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
 
     got = sample.mapInArrow(_features, "label int, at binary, x binary").collect()
     got.sort(key=lambda g: (g.label, bytes(g.at), bytes(g.x)))  # the fit doesn't hang on the order of tasks
-    x, y = np.zeros((len(got), len(cells)), dtype=np.float32), np.array([g.label for g in got], dtype=np.float64)
-    for i, g in enumerate(got):
-        x[i, np.frombuffer(g.at, np.int16)] = np.frombuffer(g.x, np.float32)
-    x *= r.astype(np.float32)
-    w, bias = ridge_logistic(x, y)
+    places, values = [np.frombuffer(g.at, np.int32) for g in got], [np.frombuffer(g.x, np.float32) for g in got]
+    row, column = np.repeat(np.arange(len(got)), [len(a) for a in places]), np.concatenate(places)
+    w, bias = ridge_logistic(row, column, np.concatenate(values) * r[column], np.array([g.label for g in got], dtype=np.float64), len(cells))
     return Model(cells, w * r, bias)
 
 
@@ -204,8 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     common.prepare(docs.sparkSession)
 
     def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(CELLS, -1, dtype=np.int32)
-        slot[model.cells] = np.arange(len(model.cells), dtype=np.int32)
+        slot = model.slots()
         for batch in common.in_slices(batches):
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
@@ -216,7 +248,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def predict(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; learned from labels outside the held-out fold."""
+    """doc_id, held_out, score, predicted for each row; learned from labels outside the held-out fold.
+
+    Repeated rows give repeated rows, an empty table none; null ids are scored like any other.
+    """
     model = fit(docs, labels.filter(common.fold(folds) != held))
     return score(docs, model).select("doc_id", (common.fold(folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -227,8 +262,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     common.prepare(docs.sparkSession)
 
     def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(CELLS, -1, dtype=np.int32)
-        slot[model.cells] = np.arange(len(model.cells), dtype=np.int32)
+        slot = model.slots()
         for batch in common.in_slices(batches):
             keep = [model.score_one(t, slot) < THRESHOLD for t in common.texts_of(batch)]
             yield batch.filter(pa.array(keep, pa.bool_()))
