@@ -5,7 +5,8 @@ text is normalised, split into words, and each word's bytes are merged. A short
 them, one contiguous array of the merge ranks of adjacent parts. The array is scanned for its minimum, the boundary there
 is deleted and the neighbouring ranks are looked up anew, until no adjacent parts merge. Long words, where scans would be
 quadratic, keep their boundaries in a linked list and the ranks in a heap. Words repeat, so each worker remembers a
-bounded number of them.
+bounded number of them. Python's character tables and the library's are of different Unicode versions: texts with
+characters that only one of them knows are normalised and split by the library, and merged here like all others.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import heapq
 import json
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -46,6 +48,7 @@ class Codec:
     """Encodes texts to ids and decodes ids, as the vocabulary file says."""
 
     def __init__(self, path: str):
+        self.path, self.library, self.foreign = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -55,6 +58,7 @@ class Codec:
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         keep = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         char = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in keep)}
+        self.byte = {c: b for b, c in char.items()}
         self.inner = [vocab[char[b]] for b in range(256)]
         self.last = [vocab[char[b] + self.end] for b in range(256)]
         self.merges: dict[int, tuple[int, int]] = {}  # pair of ids -> (rank, id)
@@ -72,6 +76,29 @@ class Codec:
             text = self.white.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
         return text.lower()
 
+    def own_tables_do(self, text: str) -> bool:
+        """Whether Python's character tables treat a text as the library's do."""
+        if text.isascii():
+            return True
+        if self.foreign is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.foreign = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c) and not self._agree(c))
+        return not any(c in self.foreign or unicodedata.category(c) == "Cn" for c in set(text))
+
+    def _agree(self, mark: str) -> bool:
+        """Whether the library puts a combining mark among others of several classes as Python does."""
+        text = "".join(f"e{mark}{other}e{other}{mark}" for other in "\u0327\u0323\u0301\u0345")
+        return self.library.normalizer.normalize_str(text) == self.normalise(text)
+
+    def split(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if self.own_tables_do(text):
+            return self.words.findall(self.normalise(text))
+        spans = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte.__getitem__, word)).decode() for word, _ in spans]
+
     def merge_short(self, parts: list[int]) -> list[int]:
         """Contiguous ranks of adjacent parts, scanned for the leftmost minimum."""
         merges = self.merges.get
@@ -138,7 +165,7 @@ class Codec:
             if part in self.special:
                 out.append((1, self.special[part].to_bytes(4, "little"), part))
             elif part:
-                out += [known.get(w) or self.word(w) for w in self.words.findall(self.normalise(part))]
+                out += [known.get(w) or self.word(w) for w in self.split(part)]
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -166,7 +193,10 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int), decoded text of each row; a null text counts as empty and has no ids."""
+    """doc_id, ids (array of int), decoded text of each row; a null text counts as empty and has no ids.
+
+    Repeated rows are encoded each, an empty table gives no rows, other columns are ignored.
+    """
     common.prepare(docs.sparkSession)
 
     def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +213,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; the ids stay in the task that makes them."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; the ids stay in the task that makes them.
+
+    A null text counts as empty. Repeated rows give repeated rows, an empty table none; other columns are ignored.
+    """
     common.prepare(docs.sparkSession)
 
     def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
