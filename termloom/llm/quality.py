@@ -156,7 +156,7 @@ def pair_tree(g: np.ndarray, h: np.ndarray, ridge: float = 1.0, least: float = 0
             for rows in (slice(0, cut), slice(cut, None)):
                 gs, hs = gg[rows].sum(0), hh[rows].sum(0)
                 gain, at = _best_cut(gs, hs, ridge, least)
-                total += gain + gs.sum() ** 2 / (hs.sum() + ridge)
+                total += max(gain, 0.0) + gs.sum() ** 2 / (hs.sum() + ridge)
                 for cols in (slice(0, at), slice(at, None)) if gain > 1e-9 else (slice(None),):
                     out[rows, cols] = -gs[cols].sum() / (hs[cols].sum() + ridge)
             if total > best:
@@ -255,6 +255,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def predict(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; learned from labels outside the held-out fold."""
+    """doc_id, held_out, score, predicted for each row; learned from labels outside the held-out fold.
+
+    An id that is labelled more than once has its greatest label. Repeated rows give repeated rows, an empty table none.
+    """
     model = fit(docs, labels.filter(common.fold(folds) != held))
     return score(docs, model).select("doc_id", (common.fold(folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

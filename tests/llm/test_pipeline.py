@@ -5,15 +5,19 @@ import re
 import pytest
 
 import corpus_pipeline
-from termloom.llm import secrets_scan, simhash, toxicity
+from termloom.llm import secrets_scan, toxicity
 
 from .fixtures import empty, frame
-from .test_dedup import brute_components
 from .test_texts import check_packing
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+    return {" ".join(words[at : at + 5]) for at in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_stages_against_brute_force(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers as P
@@ -31,12 +35,21 @@ def test_stages_against_brute_force(spark):
     for i in sorted(kept):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i]), i)
     kept = {i: kept[i] for i in first.values()}
-    prints = {i: simhash.fingerprint(t) for i, t in kept.items()}
-    roots = brute_components(prints.values())
-    least = {}
-    for i in sorted(kept):
-        least.setdefault(roots[prints[i]], i)
-    kept = {i: secrets_scan.masked(kept[i]) for i in least.values()}
+    # the stage's contract: five-word shingles, links at a Jaccard likeness of 0.8 or more
+    shingles = {i: plain_shingles(t) for i, t in kept.items()}
+    root = {i: i for i in kept}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(kept):
+        for b in sorted(kept):
+            if a < b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = {i: secrets_scan.masked(t) for i, t in kept.items() if find(i) == i}
 
     got = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
