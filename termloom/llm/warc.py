@@ -5,15 +5,24 @@ Every response gives two linked records. Both keep its target URI and date, refe
 and a content length of their own. The metadata block is ``application/warc-fields``: title, language, character set and
 outlinks. The conversion block is the page's text.
 
-All in DataFrame functions: the mark-up is cut by regular expressions in one pass of projections, without a shuffle.
+Responses come from crawled pages (``responses``) or from WARC files (``responses_of(read_records(...))``). Files are cut at
+version lines of WARC/1.0 and 1.1 by Spark's own text reader, so any store will do, and put together again by content
+length: a block that holds version lines stays one. Mark-up is scanned by Python over Arrow batches, in one run along the text:
+tags end at the ``>`` that no quoted value holds, and nothing is looked for twice where it wasn't found, so time goes with
+the length of a page, whatever is unclosed. There is no shuffle.
 Record ids are name-based: the same response gives the same ids in every run and after any lost executor.
 """
 
 from __future__ import annotations
 
-from html import _invalid_charrefs
+import hashlib
+import html
+import re
+import zlib
+from collections.abc import Iterator
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,24 +33,39 @@ VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
-#: Character entities that are decoded; ``&amp;`` comes last (fixed values).
+#: Character entities that most pages have, and what they give here (fixed values); all others are as HTML has them.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "),
     ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
     ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"),
 )
 
+#: Tags that end a line (fixed values).
+_BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|aside|main|nav|header|footer|title|body|blockquote|pre|form|option"
+#: Patterns of the given statement, which looks at the whole page by regular expressions.
 _HIDDEN = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)|<!--.*?(?:-->|\z)"
-_BLOCK = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|aside|main|nav|header|footer|title|body|blockquote|pre|form|option)\b[^>]*>"
+_BLOCK = rf"(?i)</?(?:{_BLOCKS})\b[^>]*>"
 _TAG = r"<[/!?]?[A-Za-z][^>]*>"
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 _LANG = r"(?is)<html\b[^>]*?\blang=[\"']?([A-Za-z-]+)"
 _CHARSET = r"(?is)<meta\b[^>]*?\bcharset=[\"']?([A-Za-z0-9_-]+)"
-#: Links as the given statement has them; OUTLINK also takes single quotes, none, and blanks around the sign.
+#: Links as the given statement has them; the scan also takes single quotes, none, and blanks around the sign.
 _LINK = r"(?is)<a\b[^>]*?\bhref=\"([^\"<>]*)\""
 
-_HREF = r"<a\b[^>]*?\bhref\s*=\s*"
-OUTLINK = rf"""(?is){_HREF}(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
+#: The rest of a tag: up to the next > that isn't in a quoted value.
+_REST = r"""(?>[^>=]+|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>"""
+_OPEN_HIDDEN = re.compile(r"<(?:(script|style|noscript)\b|!--)", re.IGNORECASE)
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in ("script", "style", "noscript")} | {"": re.compile("-->")}
+_ANY_TAG = re.compile(rf"<(?:/?({_BLOCKS})\b|[/!?]?[A-Za-z]){_REST}", re.IGNORECASE)
+_TOLD = re.compile(rf"<(a|html|meta)\b{_REST}", re.IGNORECASE)
+_TITLE_OPEN, _TITLE_CLOSE = re.compile(r"<title\b[^>]*+>", re.IGNORECASE), re.compile("</title", re.IGNORECASE)
+_HREF = re.compile(r"""(?<![\w-])href\s*+=\s*+(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.IGNORECASE)
+_LANG_VALUE = re.compile(r"""\blang=["']?([A-Za-z-]+)""", re.IGNORECASE)
+_CHARSET_VALUE = re.compile(r"""\bcharset=["']?([A-Za-z0-9_-]+)""", re.IGNORECASE)
+_REFERENCE = re.compile(r"&(?:#([0-9]{1,9}|[xX][0-9A-Fa-f]{1,8})|([A-Za-z][A-Za-z0-9]{1,31}));")
+_OWN = dict(ENTITIES)
+_BLANKS = re.compile(r"[ \t\r\n\f]{2,}|[\t\r\n\f]")
+_LINES = re.compile(r"(?<![ \xa0])[ \xa0]*+\n[ \xa0\n]*+")
 
 
 def _uuid(name: Column) -> Column:
@@ -52,40 +76,55 @@ def _uuid(name: Column) -> Column:
     )
 
 
-#: Entities that most pages have; pages with others are cut at their references.
-_COMMON = ("&lt;", "&gt;", "&quot;", "&copy;", "&middot;", "&nbsp;", "&amp;")
-_REFERENCE = r"&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});"
+def decoded(text: str) -> str:
+    """Character references as what they stand for; unknown names stay as they are."""
+    return _REFERENCE.sub(_character, text) if "&" in text else text
 
 
-def _reference_table() -> str:
-    """Character of each name, or number after a #, that HTML gives one; as text for str_to_map. ENTITIES come first."""
-    found = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {f"#{k}": v for k, v in _invalid_charrefs.items()}
-    found |= {e[1:-1]: c for e, c in ENTITIES}
-    return "\x02".join(f"{k}\x03{v}" for k, v in found.items())
+def _character(m: re.Match) -> str:
+    if (own := _OWN.get(m[0])) is not None:
+        return own
+    return html.unescape(m[0]) if m[1] else html5.get(m[2] + ";", m[0])
 
 
-def _character(reference: Column) -> Column:
-    """What a reference stands for; unknown names stay as they are, numbers that no character has give U+FFFD."""
-    table = F.str_to_map(F.lit(_reference_table()), F.lit("\x02"), F.lit("\x03"))
-    name = F.substring(reference, F.lit(2), F.length(reference) - 2)
-    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).cast("long")
-    numeric = name.startswith("#")
-    valid = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
-    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")).otherwise("\ufffd")
-    listed = F.try_element_at(table, F.when(numeric, F.concat(F.lit("#"), digits.cast("string"))).otherwise(name))
-    return F.coalesce(listed, F.when(numeric, char), reference)
-
-
-def _decoded(text: Column) -> Column:
-    common = text
-    for entity, char in ENTITIES:  # &amp; stays last
-        if entity in _COMMON:
-            common = F.replace(common, F.lit(entity), F.lit(char))
-    # the parts at odd places are references; texts are rid of the control sign first
-    parts = F.split(F.regexp_replace(F.translate(text, "\x02", " "), f"({_REFERENCE})", "\x02$1\x02"), "\x02", -1)
-    general = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, _character(p)).otherwise(p)), "")
-    others = "&(?!(?:" + "|".join(e[1:-1] for e in _COMMON) + ");)" + _REFERENCE[1:]
-    return F.when(text.rlike(others), general).otherwise(common)
+def visible(markup: str) -> str:
+    """Mark-up without scripts, styles and comments; what isn't closed ends with the page."""
+    out, at, kept, last = [], 0, 0, markup.rfind(">")
+    while opened := _OPEN_HIDDEN.search(markup, at):
+        name, end = (opened[1] or "").lower(), opened.end()
+        if name and not (end := markup.find(">", end, last + 1) + 1):
+            at = opened.end()  # no tag
+            continue
+        out += [markup[kept : opened.start()], " "]
+        closed = _CLOSE[name].search(markup, end)
+        at = kept = closed.end() if closed else len(markup)
+    return "".join(out) + markup[kept:] if out else markup
+
+
+def plain_text(markup: str) -> str:
+    """Visible mark-up without its tags: block tags end lines, white space is one blank, empty lines are dropped."""
+    text = _BLANKS.sub(" ", markup)
+    end = text.rfind(">") + 1  # no tag ends behind it
+    text = _ANY_TAG.sub(lambda m: "\n" if m[1] else "", text[:end]) + text[end:]
+    return _LINES.sub("\n", decoded(text)).strip(" \n")
+
+
+def told(markup: str) -> tuple[str, str, str, list[str]]:
+    """Title, language, character set and outlinks of visible mark-up; empty where it tells none."""
+    title, language, charset, links = "", "", "", []
+    end = markup.rfind(">") + 1
+    if (opened := _TITLE_OPEN.search(markup, 0, end)) and (closed := _TITLE_CLOSE.search(markup, opened.end())):
+        title = re.sub(r"[ \t\r\n\f]+", " ", decoded(markup[opened.end() : closed.start()])).strip(" ")
+    for m in _TOLD.finditer(markup, 0, end):
+        name, tag = m[1].lower(), m[0]
+        if name == "a":
+            if found := _HREF.search(tag):
+                links.append(re.sub(r"[\r\n]+", " ", decoded(found[1] or found[2] or found[3] or "")))
+        elif name == "html" and not language:
+            language = found[1] if (found := _LANG_VALUE.search(tag)) else ""
+        elif name == "meta" and not charset:
+            charset = found[1] if (found := _CHARSET_VALUE.search(tag)) else ""
+    return title, language, charset, links
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -102,20 +141,16 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return rows.select("page_id", _uuid(name).alias("record_id"), "target_uri", F.lit(date).alias("date"), http.alias("http_headers"), "payload_digest", "payload")
 
 
-def stripped(html: Column) -> Column:
-    """Mark-up without its tags: block tags end lines, white space is one blank."""
-    text = F.regexp_replace(html, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")  # single blanks stay as they are
-    return F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), _TAG, "")
-
-
-def plain_text(text: Column) -> Column:
-    """``stripped`` text, best as a column of its own, with entities decoded and empty lines dropped."""
-    return F.btrim(F.regexp_replace(_decoded(text), r"[ \x{a0}]*\n[ \x{a0}\n]*", "\n"), F.lit(" \n"))
-
-
-def visible(html: Column) -> Column:
-    """Mark-up without scripts, styles and comments; what isn't closed ends with the page."""
-    return F.regexp_replace(html, _HIDDEN, " ")
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.in_slices(batches):
+        fields, texts = [], []
+        for payload in batch.column("payload").to_pylist():
+            markup = visible(payload or "")
+            title, language, charset, links = told(markup)
+            fields.append("".join(f"{line}{CRLF}" for line in (f"title: {title}", f"language: {language}", f"charset: {charset}", *(f"outlink: {u}" for u in links))))
+            texts.append(plain_text(markup))
+        kept = batch.select(["page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(fields, pa.string()), pa.array(texts, pa.string())], names=[*kept.schema.names, "told", "text"])
 
 
 def derive(found: DataFrame) -> DataFrame:
@@ -124,17 +159,13 @@ def derive(found: DataFrame) -> DataFrame:
     page_id, record_type, record_id, refers_to, target_uri, date, content_type, content_length (bytes), block_digest,
     source_digest (the response's payload), block. Extra columns are ignored; empty payloads give empty conversions.
     """
-    rows = found.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", visible(F.col("payload")).alias("markup"))
-    squeezed = lambda c: F.trim(F.regexp_replace(_decoded(c), r"[ \t\r\n\f]+", " "))
-    links = F.regexp_extract_all("markup", F.lit(OUTLINK), F.lit(0))
-    links = F.transform(links, lambda u: F.regexp_replace(F.regexp_replace(u, rf"(?is)\A{_HREF}", ""), r"""(?s)\A(["'])(.*)\1\z""", "$2"))
-    rows = rows.withColumn("stripped", stripped(F.col("markup"))).withColumn("text", plain_text(F.col("stripped")))
+    common.prepare(found.sparkSession)
+    rows = found.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", "payload")
+    rows = rows.mapInArrow(_scan, "page_id long, record_id string, target_uri string, date string, http_headers string, payload_digest string, told string, text string")
     fields = F.concat(
         F.lit("source-record: "), "record_id", F.lit(f"{CRLF}source-payload-digest: "), "payload_digest",
         F.lit(f"{CRLF}source-http: "), F.replace(F.regexp_replace("http_headers", r"\r\n\z", ""), F.lit(CRLF), F.lit(f"{CRLF}source-http: ")),
-        F.lit(f"{CRLF}title: "), squeezed(F.regexp_extract("markup", _TITLE, 1)),
-        F.lit(f"{CRLF}language: "), F.regexp_extract("markup", _LANG, 1), F.lit(f"{CRLF}charset: "), F.regexp_extract("markup", _CHARSET, 1), F.lit(CRLF),
-        F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(_decoded(u), r"[\r\n]+", " "), F.lit(CRLF))), ""),
+        F.lit(CRLF), "told",
     )
     two = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -165,24 +196,186 @@ def write_warc(found: DataFrame, path: str, compression: str = "gzip") -> None:
     record_text(found).write.option("lineSep", CRLF).option("compression", compression).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: header (map, names in lower case), content_length, block, complete.
+def write_responses(found: DataFrame, path: str, version: str = VERSION, compression: str = "gzip") -> None:
+    """Responses (as ``responses`` gives them) as WARC files."""
+    block = F.concat("http_headers", F.lit(CRLF), "payload")
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    text = F.concat(
+        F.lit(version + CRLF), line("WARC-Type", F.lit("response")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Target-URI", F.col("target_uri")), line("WARC-Date", F.col("date")),
+        line("WARC-Payload-Digest", F.col("payload_digest")), line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")),
+        F.lit(CRLF), block, F.lit(CRLF),
+    )
+    found.select(text.alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(path)
+
+
+#: What files are cut at; the version's last figure begins a piece.
+_CUT = "WARC/1."
+#: Bytes of a record's header at most; beyond, it isn't taken for one.
+MOST_HEADER = 1 << 20
+_RECORDS_DDL = "version string, header map<string,string>, content_length long, block binary, complete boolean"
+
+
+def _header(raw: bytes) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for line in raw.decode("utf-8", "replace").splitlines():
+        name, sign, value = line.partition(":")
+        if sign:
+            key, value = name.strip().lower(), value.strip()
+            found[key] = f"{found[key]}, {value}" if key in found else value
+    return found
+
+
+class _Record:
+    """A record as its pieces come in."""
+
+    def __init__(self, piece: bytes):
+        self.raw = bytearray(piece)
+        self.end = self.length = -1  # of the header, and of the block
+        self.fields: dict[str, str] = {}
+        self.look()
+
+    def add(self, piece: bytes) -> None:
+        self.raw += _CUT.encode() + piece
+        self.look()
+
+    def look(self) -> None:
+        if self.end >= 0:
+            return
+        if m := re.search(rb"\r?\n\r?\n", self.raw[: MOST_HEADER + 4]):
+            self.end = m.end()
+            self.fields = _header(bytes(self.raw[1 : m.start()]))
+            length = self.fields.get("content-length", "")
+            self.length = int(length) if length.isdigit() else -1
+        elif len(self.raw) > MOST_HEADER:
+            self.end = len(self.raw)
+
+    @property
+    def whole(self) -> bool:
+        return self.end >= 0 and (self.length < 0 or len(self.raw) >= self.end + self.length)
+
+    def row(self) -> tuple[str, dict[str, str], int | None, bytes, bool]:
+        if self.end < 0:  # the file ends in the header
+            self.end, self.fields = len(self.raw), _header(bytes(self.raw[1:]))
+        at = self.end
+        block = bytes(self.raw[at : at + self.length] if self.length >= 0 else self.raw[at:])
+        return _CUT + chr(self.raw[0]), self.fields, self.length if self.length >= 0 else None, block, self.length >= 0 and len(block) == self.length
+
+
+def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces come in the order of their file; those that a record's length asks for are joined."""
+    rows, held, where, record = [], 0, None, None
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        types = (pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.bool_())
+        names = ("version", "header", "content_length", "block", "complete")
+        values = [columns[0], [list(h.items()) for h in columns[1]], *columns[2:]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
+
+    for got in batches:
+        for file, start, piece in zip(*(got.column(k).to_pylist() for k in ("file", "start", "value")), strict=True):
+            if where != (file, start) and record is not None:
+                rows.append(record.row())
+                record = None
+            where = file, start
+            if record is not None:
+                record.add(piece)
+            elif re.match(rb"[01]\r?\n", piece):
+                record = _Record(piece)
+            if record is not None and record.whole:
+                rows.append(record.row())
+                held += len(rows[-1][3])
+                record = None
+            if len(rows) >= 256 or held >= 8 << 20:
+                yield batch()
+                rows, held = [], 0
+    if record is not None:
+        rows.append(record.row())
+    if rows:
+        yield batch()
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC/1.0 and 1.1 files: version, header (map, names in lower case), content_length, block (bytes), complete.
+
+    ``complete`` is false where the file ends before the block does, or the header tells no length. A file that Spark splits,
+    which it doesn't do with compressed ones, is cut anew in each split: there a record whose block holds version lines
+    and spans two splits isn't complete.
+    """
+    common.prepare(spark)
+    rows = spark.read.option("lineSep", _CUT).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value")).mapInArrow(_stitch, _RECORDS_DDL)
 
-    Files are cut at the version line. ``complete`` is false where a block holds such a line itself and so comes in pieces.
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """``read_records`` with the blocks as text: header, content_length, block, complete."""
+    return read_records(spark, path).select("header", "content_length", F.decode("block", "utf-8").alias("block"), "complete")
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]{0,200}\r\n").match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            break
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return b"".join(out) if out else body
+
+
+def http_payload(block: bytes) -> tuple[str, bytes, str]:
+    """Header lines, payload (transfer and content encodings undone) and text of an HTTP response; no text for other media types."""
+    m = re.search(rb"\r?\n\r?\n", block[:MOST_HEADER])
+    head, body = (block[: m.start()], block[m.end() :]) if m else (block, b"")
+    lines = head.decode("utf-8", "replace").splitlines()
+    fields = _header(head.split(b"\n", 1)[1] if b"\n" in head else b"")
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = _unchunked(body)
+    for encoding in reversed(fields.get("content-encoding", "").lower().split(",")):
+        if encoding.strip() in ("gzip", "x-gzip", "deflate"):
+            try:
+                body = zlib.decompressobj(47 if "gzip" in encoding else 15).decompress(body)
+            except zlib.error:
+                break  # sent as it is, whatever the header says
+    kind = fields.get("content-type", "text/html").lower()
+    if not kind.startswith(("text/", "application/xhtml")):
+        return CRLF.join(lines) + CRLF, body, ""
+    charset = re.search(r"""charset=["']?([\w.:-]+)""", kind) or re.search(r"""(?i)<meta\b[^>]{0,500}charset=["']?([\w.:-]+)""", body[:4096].decode("latin-1"))
+    try:
+        text = body.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    if not kind.startswith(("text/html", "application/xhtml")):  # plain text keeps its lines and signs
+        text = "<br>".join(html.escape(line, quote=False) for line in text.splitlines())
+    return CRLF.join(lines) + CRLF, body, text
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """The responses among ``read_records`` in the form of ``responses``, with null page ids: input for ``derive``.
+
+    The payload digest is the record's own where it has one. Incomplete records give what they hold.
     """
-    rows = spark.read.option("lineSep", VERSION + CRLF).text(path).filter("value != ''")
-    parts = rows.select(F.split("value", CRLF + CRLF, 2).alias("p"))
-    lines = F.filter(F.split(F.col("p")[0], CRLF, -1), lambda x: x.contains(": "))
-    header = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ": ", 1)), F.regexp_replace(x, r"\A[^:]*: ", ""))))
-    rows = parts.select(header.alias("header"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("rest"))
-    rows = rows.withColumn("content_length", F.try_element_at("header", F.lit("content-length")).cast("long"))
-    raw = F.substring(F.encode("rest", "utf-8"), F.lit(1), F.col("content_length").cast("int"))
-    rows = rows.withColumn("raw", raw)
-    return rows.select("header", "content_length", F.decode("raw", "utf-8").alias("block"), (F.octet_length("raw") == F.col("content_length")).alias("complete"))
+    common.prepare(records.sparkSession)
+    ddl = "page_id long, record_id string, target_uri string, date string, http_headers string, payload_digest string, payload string"
+    wanted = ("warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest")
+
+    def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.in_slices(batches):
+            out = {k: [] for k in ("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", "payload")}
+            for values in zip(*(batch.column(k).to_pylist() for k in (*wanted, "block")), strict=True):
+                record, uri, date, digest, block = values
+                lines, body, text = http_payload(block or b"")
+                row = (None, record or "", uri or "", date or "", lines, digest or "sha256:" + hashlib.sha256(body).hexdigest(), text)
+                for name, value in zip(out, row, strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), *(pa.array(v, pa.string()) for k, v in out.items() if k != "page_id")], names=list(out))
+
+    rows = records.filter(F.col("header")["warc-type"] == "response").select(*[F.col("header")[k].alias(k) for k in wanted], "block")
+    return rows.mapInArrow(_rows, ddl)
 
 
 def oracle() -> str:
-    """DuckDB SQL of ``derive(responses(pages))``."""
+    """DuckDB SQL of ``derive(responses(pages))``, by regular expressions over the whole page instead of a scan."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     nl = "chr(13) || chr(10)"
 
