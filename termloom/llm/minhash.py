@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,41 +117,45 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     The next document is the next row by ascending (doc_id, text), null ids first and null texts as empty ones; after the
     last comes the first. Rows that repeat are rows like any other. Texts move once, to ranges of ids; a range also gets
-    the first row of the range after it, whose place is known from the ranges' smallest ids. A table of one row is its own next;
-    an empty one gives no rows.
+    the first row of the range after it, whose place is known from the ranges' smallest ids. An id that would fill ranges of
+    its own (null, say) is cut further by how its texts begin. A table of one row is its own next; an empty one gives no rows.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("doc_id").isNull().alias("none"), common.text_or_empty().alias("text"))
     count = rows.count()
     ranges = min(MOST_RANGES, max(1, -(-count // RANGE_ROWS)))
-    cuts = rows.approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)) if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts})
+    quantiles = lambda df, column, n: df.approxQuantile(column, [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
+    found = Counter(int(c) for c in quantiles(rows, "id", ranges))
+    hot = {i: n for i, n in found.items() if n > 1}
+    # the first bytes of a text as a number, in the order of texts
+    begin = F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(0))
+    rows = rows.withColumn("begin", F.when(F.col("id").isin(list(hot)), begin).otherwise(0) if hot else F.lit(0).cast("long"))
+    cuts = sorted({(i, 0) for i in found} | {(i, int(c)) for i, n in hot.items() for c in quantiles(rows.filter(F.col("id") == i), "begin", n + 1)})
 
     def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bisect_right(cuts, i) for i in batch.column("id").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "range": pa.array(found, pa.int32())})
+            places = [bisect_right(cuts, key) for key in zip(batch.column("id").to_pylist(), batch.column("begin").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int32())], names=[*batch.schema.names, "range"])
 
-    heads = (
-        rows.select("id").mapInArrow(_ranged, "id long, range int").groupBy("range").agg(F.min("id").alias("id")).orderBy("range").collect()
-    )  # a row for each range
-    before = {heads[i].id: heads[i - 1].range for i in range(len(heads))} if heads else {}
+    ranged = rows.select("id", "begin").mapInArrow(_ranged, "id long, begin long, range int")
+    heads = ranged.groupBy("range").agg(F.min(F.struct("id", "begin")).alias("head")).orderBy("range").collect()  # a row for each range
+    before = {tuple(heads[i].head): heads[i - 1].range for i in range(len(heads))} if heads else {}
     return _walk(rows, cuts, before)
 
 
-def _walk(rows: DataFrame, cuts: list[int], before: dict[int, int]) -> DataFrame:
+def _walk(rows: DataFrame, cuts: list[tuple[int, int]], before: dict[tuple[int, int], int]) -> DataFrame:
     ranges = len(cuts) + 1
 
     def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row for its own range, and the first ids of ranges also for the range before."""
+        """Each row for its own range, and the first keys of ranges also for the range before."""
         for batch in common.in_slices(batches, 4096):
-            ids = batch.column("id").to_pylist()
+            ids = list(zip(batch.column("id").to_pylist(), batch.column("begin").to_pylist(), strict=True))
             at = list(range(len(ids))) + [i for i, d in enumerate(ids) if d in before]
             own = [bisect_right(cuts, d) for d in ids] + [before[d] for d in ids if d in before]
             guest = [False] * len(ids) + [True] * (len(at) - len(ids))
             taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(own, pa.int32()), pa.array(guest, pa.bool_())], names=["id", "none", "text", "range", "guest"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(own, pa.int32()), pa.array(guest, pa.bool_())], names=["id", "none", "text", "begin", "range", "guest"])
 
     def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by range, the range's own before guests, then id and text."""
@@ -180,7 +185,7 @@ def _walk(rows: DataFrame, cuts: list[int], before: dict[int, int]) -> DataFrame
             for v in out.values():
                 v.clear()
 
-    dealt = rows.mapInArrow(_dealt, "id long, none boolean, text string, range int, guest boolean")
+    dealt = rows.mapInArrow(_dealt, "id long, none boolean, text string, begin long, range int, guest boolean")
     ordered = dealt.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "guest", F.col("none").cast("int") * -1, "id", "text")
     ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(_pairs, ddl)
