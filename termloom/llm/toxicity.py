@@ -15,6 +15,7 @@ text, with no limit of length.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +32,10 @@ LENGTHS = (3, 4, 5, 6)
 #: Labelled rows of the sample at most; documents carry some kB each, so that a fit reads some tens of MB of text.
 SAMPLE_ROWS = 16_000
 LEAST_DOCUMENTS = 3
-#: Size of a cell's log-count ratio against its error at least.
-LEAST_EVIDENCE = 3.5
+#: Size of a cell's log-count ratio against its error at least: what the largest of so many errors reaches by chance.
+LEAST_EVIDENCE = math.sqrt(2 * math.log(CELLS))
 #: Ridge penalty of the regression.
-PENALTY = 0.3
+PENALTY = 1.0
 #: Tasks that count a sample; each gives a row for each of its cells. The scan that finds the sample has its own tasks.
 COUNTING_TASKS = 8
 THRESHOLD = 0.7
@@ -112,60 +113,80 @@ def log_count_ratios(counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
     return r, np.abs(r) / np.sqrt(1 / p + 1 / q)
 
 
-def ridge_logistic(row: np.ndarray, column: np.ndarray, x: np.ndarray, y: np.ndarray, columns: int, penalty: float = PENALTY, turns: int = 40) -> tuple[np.ndarray, float]:
-    """Coefficients and bias of a logistic regression on sparse entries (row, column, x); the bias isn't penalised.
+class Sparse:
+    """A matrix of single-precision entries sorted by row, and again by column, for products with vectors from either side."""
 
-    Newton's method. Each step solves its linear equations by conjugate gradients, preconditioned by their diagonal.
-    """
-    n = len(y)
-    w = np.zeros(columns + 1)
-    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    ridge = np.append(np.full(columns, penalty), 1e-6)
+    def __init__(self, row: np.ndarray, column: np.ndarray, x: np.ndarray, rows: int, columns: int):
+        by_column = np.argsort(column, kind="stable")
+        self.x, self.column, self.row_of = x.astype(np.float32), column.astype(np.int32), row[by_column].astype(np.int32)
+        self.xt = self.x[by_column]
+        self.rows, self.columns = np.bincount(row, minlength=rows), np.bincount(column, minlength=columns)
 
-    def times(v: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=x * v[column], minlength=n) + v[-1]
+    @staticmethod
+    def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+        return out
 
-    def back(v: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(column, weights=x * v[row], minlength=columns), v.sum())
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return self._sums(self.x * v.astype(np.float32)[self.column], self.rows)
 
-    def loss(v: np.ndarray) -> float:
-        z = times(v)
-        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * v * v).sum())
+    def back(self, u: np.ndarray, squared: bool = False) -> np.ndarray:
+        values = self.xt * self.xt if squared else self.xt
+        return self._sums(values * u.astype(np.float32)[self.row_of], self.columns)
 
-    best = loss(w)
+
+def ridge_logistic(m: Sparse, y: np.ndarray, penalty: float = PENALTY, turns: int = 30, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Coefficients and bias of a logistic regression; the bias isn't penalised.
+
+    Newton's method. Each step solves its linear equations by conjugate gradients, preconditioned by their diagonal, only as
+    exactly as the gradient is still large.
+    """
+    n = len(y)
+    w = np.zeros(len(m.columns) + 1)
+    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    ridge = np.append(np.full(len(m.columns), penalty), 1e-6)
+    times = lambda v: m.times(v[:-1]) + v[-1]
+    back = lambda u, squared=False: np.append(m.back(u, squared), u.sum())
+    loss = lambda z, v: float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * v * v).sum())
+    z = times(w)
+    best, first = loss(z, w), 0.0
     for _ in range(turns):
-        p = 1 / (1 + np.exp(-np.clip(times(w), -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         h = p * (1 - p)
         rest = -(back(p - y) + ridge * w)
-        scale = 1 / (np.append(np.bincount(column, weights=x * x * h[row], minlength=columns), h.sum()) + ridge)
-        step, first = np.zeros_like(w), float(np.linalg.norm(rest))
+        left = float(np.linalg.norm(rest))
+        first = first or left
+        if left <= 1e-5 * first:
+            break
+        scale = 1 / (back(h, squared=True) + ridge)
+        step, dz = np.zeros_like(w), np.zeros(n)
         along = scale * rest
-        size = rest @ along
-        for _ in range(500):
-            if np.linalg.norm(rest) <= 1e-8 * first or size <= 0:
-                break
-            image = back(h * times(along)) + ridge * along
+        size = begun = rest @ along
+        for _ in range(steps):
+            ahead = times(along)
+            image = back(h * ahead) + ridge * along
             by = size / (along @ image)
-            step += by * along
-            rest -= by * image
+            step, dz, rest = step + by * along, dz + by * ahead, rest - by * image
             new = rest @ (scale * rest)
+            if new <= min(0.01, left / first) * begun:
+                break
             along = scale * rest + new / size * along
             size = new
-        part, now = 1.0, loss(w + step)
+        part, now = 1.0, loss(z + dz, w + step)
         while now > best and part > 1e-4:
             part /= 2
-            now = loss(w + part * step)
+            now = loss(z + part * dz, w + part * step)
         if now >= best:
             break
-        done = best - now < 1e-11 * abs(best)
-        w, best = w + part * step, now
-        if done:
-            break
+        w, z, best = w + part * step, z + part * dz, now
     return w[:-1], float(w[-1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
-    """text and label of at most ``rows`` labelled rows, those with the smallest hash of their id; null labels don't count.
+    """doc_id, text and label of at most ``rows`` labelled rows, those with the smallest hash of their id; null labels don't count.
 
     An id that is labelled more than once has its greatest label; a document that comes more than once is learned from as often.
     ``labels`` holds the rows one may learn from. The chosen ids are broadcast: there are ``rows`` of them at most.
@@ -176,7 +197,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int)
         .filter(F.col("label").isin(0, 1))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
@@ -189,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
     spark = docs.sparkSession
     common.prepare(spark)
     # the scan runs in as many tasks as it has; only the bounded sample is dealt anew
-    sample = common.staged(labelled_sample(docs, labels, column, rows).repartition(COUNTING_TASKS, "text"), "toxicity-sample")
+    sample = common.staged(labelled_sample(docs, labels, column, rows).repartition(COUNTING_TASKS, "doc_id"), "toxicity-sample")
     summed = sample.mapInArrow(_document_counts, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
     rows_of = {r.label: r.n for r in summed.filter("cell = -1").collect()}
     total = np.array([rows_of.get(0, 0), rows_of.get(1, 0)])
@@ -226,9 +247,12 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
 
     got = sample.mapInArrow(_features, "label int, at binary, x binary").collect()
     got.sort(key=lambda g: (g.label, bytes(g.at), bytes(g.x)))  # the fit doesn't hang on the order of tasks
-    places, values = [np.frombuffer(g.at, np.int32) for g in got], [np.frombuffer(g.x, np.float32) for g in got]
-    row, column = np.repeat(np.arange(len(got)), [len(a) for a in places]), np.concatenate(places)
-    w, bias = ridge_logistic(row, column, np.concatenate(values) * r[column], np.array([g.label for g in got], dtype=np.float64), len(cells))
+    sizes, y = [len(g.at) // 4 for g in got], np.array([g.label for g in got], dtype=np.float64)
+    column = np.frombuffer(b"".join(g.at for g in got), np.int32)
+    x = np.frombuffer(b"".join(g.x for g in got), np.float32) * r[column].astype(np.float32)
+    del got
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    w, bias = ridge_logistic(Sparse(row, column, x, len(y), len(cells)), y)
     return Model(cells, w * r, bias)
 
 
