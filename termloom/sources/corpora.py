@@ -15,16 +15,19 @@ CORPUS = "documents array<struct<id:string,text:string,gold_hpo_terms:array<stru
 STATUS = {"affirmed": "PRESENT", "normal": "PRESENT", "negated": "ABSENT", "uncertain": "UNCERTAIN"}
 
 
-def cases(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, text, gold (array of id and assertion): every expected id counts as present, blank ones don't count."""
-    rows = spark.read.option("multiLine", True).schema(CASES).json(path).withColumn("case_id", F.monotonically_increasing_id())
+def cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """case_id, text, gold (array of id and assertion): every expected id counts as present, blank ones don't count.
+
+    A file is one JSON list, or with ``lines`` a case a line, which Spark reads in parallel.
+    """
+    rows = spark.read.option("multiLine", not lines).schema(CASES).json(path).withColumn("case_id", F.monotonically_increasing_id())
     ids = F.filter(F.coalesce("expected_hpo_ids", F.array().cast("array<string>")), lambda i: F.trim(i) != "")
     return rows.select("case_id", "text", F.transform(ids, lambda i: F.struct(F.trim(i).alias("id"), F.lit("PRESENT").alias("assertion"))).alias("gold"))
 
 
-def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text, gold of one JSON object with documents; a missing assertion is PRESENT."""
-    rows = spark.read.option("multiLine", True).schema(CORPUS).json(path).select(F.explode("documents").alias("d"))
+def corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """doc_id, text, gold of JSON objects with documents, one a file or, with ``lines``, one a line; a missing assertion is PRESENT."""
+    rows = spark.read.option("multiLine", not lines).schema(CORPUS).json(path).select(F.explode("documents").alias("d"))
     gold = F.transform(F.coalesce("d.gold_hpo_terms", F.array().cast("array<struct<id:string,assertion:string>>")), lambda g: F.struct(g["id"].alias("id"), F.coalesce(g["assertion"], F.lit("PRESENT")).alias("assertion")))
     return rows.select(F.col("d.id").alias("doc_id"), F.col("d.text").alias("text"), gold.alias("gold"))
 
@@ -34,9 +37,12 @@ def assertion_of(status: Column) -> Column:
     return F.try_element_at(known, F.lower(status))
 
 
-def annotated(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, dataset, language, text, gold of a folder ``<dataset>/annotations/*.json``; unknown statuses are dropped."""
-    rows = spark.read.option("multiLine", True).schema(ANNOTATED).json(path).withColumn("file", F.col("_metadata.file_path"))
+def annotated(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """doc_id, dataset, language, text, gold of a folder ``<dataset>/annotations/*.json``; unknown statuses are dropped.
+
+    A file holds one document or, with ``lines``, one a line.
+    """
+    rows = spark.read.option("multiLine", not lines).schema(ANNOTATED).json(path).withColumn("file", F.col("_metadata.file_path"))
     gold = F.transform("annotations", lambda a: F.struct(a["hpo_id"].alias("id"), assertion_of(a["assertion_status"]).alias("assertion")))
     return rows.select(
         "doc_id", F.regexp_extract("file", r"([^/]+)/annotations/[^/]+\z", 1).alias("dataset"), "language", F.col("full_text").alias("text"),

@@ -34,15 +34,16 @@ def tree_digest(spark: SparkSession, path: str) -> str:
     return each.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("d")).first().d
 
 
-def read(spark: SparkSession, path: str, prefix: str = "HP", include_obsolete: bool = False, sha256: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, path: str, prefix: str = "HP", include_obsolete: bool = False, sha256: str | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """terms (id, label, definition, synonyms, comments, obsolete, replaced_by) and edges (child, parent).
 
     Ids are short (``PREFIX:n``), nodes of other vocabularies and, unless asked for, obsolete ones are left out; an edge
     counts if it says is-a and both its ends are terms. A missing label is the id, a missing definition is empty.
+    With ``lines`` every line of the files is a graph document of its own, so that large ontologies are read in parallel.
     """
     if sha256:
         verify_sha256(spark, path, sha256)
-    whole = spark.read.option("multiLine", True).schema(SCHEMA).json(path)
+    whole = spark.read.option("multiLine", not lines).schema(SCHEMA).json(path)
     graphs = whole.select(F.explode("graphs").alias("g"))
     short = lambda c: F.when(c.contains(f"{prefix}_"), F.concat(F.lit(f"{prefix}:"), F.substring_index(c, f"{prefix}_", -1))).otherwise(c)
     n = graphs.select(F.explode("g.nodes").alias("n"))
@@ -70,9 +71,9 @@ def parsing_summary(terms: DataFrame) -> DataFrame:
     )
 
 
-def prepare(spark: SparkSession, path: str, store: str, root: str, prefix: str = "HP", sha256: str | None = None) -> None:
+def prepare(spark: SparkSession, path: str, store: str, root: str, prefix: str = "HP", sha256: str | None = None, lines: bool = False) -> None:
     """Ingest: terms, edges, closure and depths into a store of Parquet tables; a term the root doesn't reach has depth -1."""
-    terms, edges = read(spark, path, prefix, sha256=sha256)
+    terms, edges = read(spark, path, prefix, sha256=sha256, lines=lines)
     terms.write.mode("overwrite").parquet(f"{store}/terms")
     edges.write.mode("overwrite").parquet(f"{store}/edges")
     kept = spark.read.parquet(f"{store}/terms")

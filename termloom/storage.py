@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only on a local master."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {context.master} share")
+    own = "file://" + tempfile.mkdtemp(prefix="termloom-")
+    context.setCheckpointDir(own)
+    return own
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="termloom-checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
