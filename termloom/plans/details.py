@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions.text import spans_overlap
+from ..operators import bootstrap
 from ..storage import table
 from .extraction import _MATCHES, chunk_matches, process_chunk_matches
 from .ontology import _TERMS as _TERM_TABLE
@@ -105,21 +106,22 @@ def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms(spark, sf_dir).agg(F.count("*").alias("labels"), F.sum(filled).alias("synonyms"), F.count_if(F.col("definition") != "").alias("definitions"))
 
 
-@register("boot_corpus_rows_only")
-def boot_corpus_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded bootstrap over documents of micro precision, recall and F1: counts are summed with Poisson weights in each draw.
-
-    Documents with equal counts are one row with a number, so that draws multiply patterns and not documents; a pattern's
-    weight is the sum of its documents' weights, which is Poisson with that number as its mean and is drawn as normal.
-    """
-    patterns = counts(outcomes(*annotations(spark, sf_dir)), "doc_id").groupBy("tp", "fp", "fn").agg(F.count("*").cast("double").alias("c"))
-    rows = patterns.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(1000))))
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(salt), "tp", "fp", "fn", "draw"), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(u(2) * 6.283185307179586)
-    weight = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal))
-    drawn = rows.withColumn("w", weight).groupBy("draw").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in ("tp", "fp", "fn")])
-    measured = prf(drawn)
-    point = prf(patterns.agg(*[F.sum(F.col(k) * F.col("c")).alias(k) for k in ("tp", "fp", "fn")]))
+_CORPUS_DRAWS = 200
+
+
+@register(
+    "boot_corpus",
+    f"""{_SETS}, v AS (SELECT doc_id AS key, tp, fp, fn FROM d), b AS (SELECT draw, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn FROM {bootstrap.weights_sql("v", _CORPUS_DRAWS, 42)} GROUP BY draw),
+s AS (SELECT draw, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM (SELECT draw, tp::DOUBLE AS tp, fp, fn FROM b UNION ALL SELECT 0, sum(tp)::DOUBLE, sum(fp), sum(fn) FROM d)),
+l AS (SELECT draw, unnest([{{'metric': 'precision', 'x': p}}, {{'metric': 'recall', 'x': r}}, {{'metric': 'f1', 'x': 2 * p * r / nullif(p + r, 0)}}], recursive := true) FROM s)
+SELECT metric, round(max(x) FILTER (draw = 0), 6) AS value, round(quantile_cont(x, 0.025) FILTER (draw > 0), 6) AS low, round(quantile_cont(x, 0.975) FILTER (draw > 0), 6) AS high FROM l GROUP BY metric""",
+)
+def boot_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded bootstrap over documents of micro precision, recall and F1: each document's counts with a Poisson weight in each draw."""
+    found = counts(outcomes(*annotations(spark, sf_dir)), "doc_id").withColumnRenamed("doc_id", "key")
+    measured = prf(bootstrap.sums(found, ["tp", "fp", "fn"], _CORPUS_DRAWS))
+    point = prf(found.agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")]))
     long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in (("precision", "p"), ("recall", "r"), ("f1", "f"))])).alias("x")).select("x.*")
-    bounds = long(measured).groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
-    return long(point).join(bounds, "metric")
+    edge = lambda q, name: F.round(F.percentile("value", F.lit(q)), 6).alias(name)
+    bounds = long(measured).groupBy("metric").agg(edge(0.025, "low"), edge(0.975, "high"))
+    return long(point).select("metric", F.round("value", 6).alias("value")).join(bounds, "metric")

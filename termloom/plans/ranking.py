@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..operators import bootstrap
 from ..storage import table
 from .retrieval import TOP, knn_sql, neighbours, query_set, vectors
 
@@ -114,43 +115,44 @@ def ir_compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_means(values: DataFrame, column: str, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """mean, low, high of a seeded Poisson bootstrap: every row gets a Poisson(1) weight in each draw.
-
-    The weights come from a hash of (row key, draw), so a row needs no partner from other partitions: the resample is one
-    map-side aggregation of ``draws`` sums, whatever the number of rows. ``values`` holds ``key`` and the column.
-    """
-    limits = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]  # distribution of Poisson(1)
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("key"), F.col("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    weight = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    rows = values.select("key", F.col(column).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
-    means = rows.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
+    """mean, low, high of a seeded Poisson bootstrap over ``values`` (key, the column); null values count as zero."""
+    means = bootstrap.sums(values, [column], draws, seed).select(F.try_divide(column, "w").alias("m"))
     edge = (1 - level) / 2
-    bounds = means.agg(F.percentile("m", F.lit(edge)).alias("low"), F.percentile("m", F.lit(1 - edge)).alias("high"))
-    return values.agg(F.avg(column).alias("mean")).crossJoin(bounds)
+    bounds = means.agg(round6(F.percentile("m", F.lit(edge))).alias("low"), round6(F.percentile("m", F.lit(1 - edge))).alias("high"))
+    return values.agg(round6(F.avg(column)).alias("mean")).crossJoin(bounds)  # a row on either side
+
+
+_MRR = "bv AS (SELECT query_id AS key, round(coalesce(1.0::DOUBLE / min(rank) FILTER (hit = 1), 0.0), 6) AS mrr FROM h GROUP BY query_id)"
 
 
-@register("boot_mean_rows_only")
-def boot_mean_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register(
+    "boot_mean",
+    f"""{_HITS}, {_MRR}, b AS (SELECT draw, sum(w * mrr) / nullif(sum(w), 0) AS m FROM {bootstrap.weights_sql("bv", 1000, 42)} GROUP BY draw)
+SELECT round((SELECT avg(mrr) FROM bv), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b""",
+)
+def boot_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap interval of the mean reciprocal rank."""
     return bootstrap_means(reciprocal_rank(hits(spark, sf_dir)).withColumnRenamed("query_id", "key"), "mrr")
 
 
 def paired_bootstrap(values: DataFrame, a: str, b: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """diff, p_value, significant of the two-sided test on centred differences."""
+    """diff, p_value, significant of the two-sided test on centred differences of ``values`` (key, a, b)."""
     diff = values.select("key", (F.col(a) - F.col(b)).alias("d"))
     observed = diff.agg(F.avg("d").alias("diff"))
-    centred = diff.crossJoin(F.broadcast(observed)).select("key", (F.col("d") - F.col("diff")).alias("c"))
-    limits = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("key"), F.col("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    weight = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    rows = centred.select("key", "c", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
-    means = rows.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("c")), F.sum("w")).alias("m"))
-    tested = means.crossJoin(F.broadcast(observed)).agg(F.first("diff").alias("diff"), F.avg(F.when(F.abs("m") >= F.abs("diff"), 1.0).otherwise(0.0)).alias("p_value"))
+    # the centred sum is the sum less the weights' sum times the mean, so that no value needs the mean beforehand
+    means = bootstrap.sums(diff, ["d"], draws, seed).crossJoin(observed).select("diff", F.try_divide(F.col("d") - F.col("w") * F.col("diff"), "w").alias("m"))
+    far = F.round(F.abs("m"), 9) >= F.round(F.abs("diff"), 9)
+    tested = means.agg(round6(F.first("diff")).alias("diff"), round6(F.avg(F.when(far, 1.0).otherwise(0.0))).alias("p_value"))
     return tested.select("diff", "p_value", (F.col("p_value") < 0.05).alias("significant"))
 
 
-@register("boot_paired_rows_only")
-def boot_paired_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register(
+    "boot_paired",
+    f"""{_AT_K}, bv AS (SELECT query_id AS key, coalesce(max(ndcg) FILTER (k = 10), 0) - coalesce(max(ndcg) FILTER (k = 5), 0) AS d FROM m GROUP BY query_id), o AS (SELECT avg(d) AS diff FROM bv),
+b AS (SELECT draw, sum(w * (d - diff)) / nullif(sum(w), 0) AS m FROM {bootstrap.weights_sql("bv", 1000, 42)}, o GROUP BY draw),
+p AS (SELECT round(any_value(diff), 6) AS diff, round(avg(CASE WHEN round(abs(m), 9) >= round(abs(diff), 9) THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_value FROM b, o) SELECT diff, p_value, p_value < 0.05 AS significant FROM p""",
+)
+def boot_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NDCG at 10 against NDCG at 5 of the same queries."""
     wide = at_k(hits(spark, sf_dir)).groupBy(F.col("query_id").alias("key")).pivot("k", [5, 10]).agg(F.first("ndcg"))
     return paired_bootstrap(wide.na.fill(0.0), "10", "5", draws=1000)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,63 +178,88 @@ _aggregation("threshold", "SELECT doc_id, term FROM c GROUP BY ALL HAVING round(
 # --- maximum-weight matching per document ---
 
 
-def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
+def assign(weights) -> list[tuple[int, int]]:
     """Row and column pairs of a matching of maximum total weight; pairs of no weight are left out.
 
-    Shortest augmenting paths with potentials on the costs ``top - weight``, rows no more than columns.
+    Shortest augmenting paths with potentials on the costs ``top - weight``, rows no more than columns; each step looks at
+    all columns at once.
     """
-    if not weights or not weights[0]:
+    w = np.asarray(weights, dtype=np.float64)
+    if not w.size:
         return []
-    flip = len(weights) > len(weights[0])
-    w = [list(c) for c in zip(*weights)] if flip else weights
-    n, m, top = len(w), len(w[0]), max(map(max, w))
-    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        owner[0], at = i, 0
-        least, done = [float("inf")] * (m + 1), [False] * (m + 1)
-        while owner[at]:
-            done[at] = True
-            row, delta, nxt = owner[at], float("inf"), 0
-            for j in range(1, m + 1):
-                if not done[j]:
-                    cost = top - w[row - 1][j - 1] - u[row] - v[j]
-                    if cost < least[j]:
-                        least[j], way[j] = cost, at
-                    if least[j] < delta:
-                        delta, nxt = least[j], j
-            for j in range(m + 1):
-                if done[j]:
-                    u[owner[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            at = nxt
-        while at:
-            owner[at], at = owner[way[at]], way[at]
-    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j] and w[owner[j] - 1][j - 1] > 0]
+    if flip := len(w) > w.shape[1]:
+        w = w.T
+    n, m = w.shape
+    cost = w.max() - w
+    row_potential, column_potential = np.zeros(n), np.zeros(m)
+    owner, owned = np.full(m, -1), np.full(n, -1)  # of columns, and the columns that rows own
+    for start in range(n):
+        least, way, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
+        row, reached, came = start, 0.0, -1
+        while True:
+            path = np.where(done, np.inf, reached + cost[row] - row_potential[row] - column_potential)
+            nearer = path < least
+            least, way = np.where(nearer, path, least), np.where(nearer, came, way)
+            came = int(np.where(done, np.inf, least).argmin())
+            reached = least[came]
+            done[came] = True
+            if owner[came] < 0:
+                break
+            row = owner[came]
+        seen = np.flatnonzero(done & (owner >= 0))
+        row_potential[start] += reached
+        row_potential[owner[seen]] += reached - least[seen]
+        column_potential[seen] -= reached - least[seen]
+        at = came
+        while at >= 0:
+            before = way[at]
+            row = owner[before] if before >= 0 else start
+            owner[at], owned[row] = row, at
+            at = before
+    pairs = [(int(r), int(c)) for r, c in enumerate(owned) if c >= 0 and w[r, c] > 0]
     return [(b, a) for a, b in pairs] if flip else pairs
 
 
+def best_total(pairs: list[tuple]) -> float:
+    """Greatest total credit of a matching of (a, b, credit); parts that share no term are solved on their own."""
+    best: dict[tuple, float] = {}
+    root: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b, credit in pairs:
+        if credit > 0:
+            best[a, b] = max(best.get((a, b), 0.0), credit)
+            root[find((0, a))] = find((1, b))
+    parts: dict[tuple, list] = {}
+    for (a, b), credit in best.items():
+        parts.setdefault(find((0, a)), []).append((a, b, credit))
+    total = 0.0
+    for part in parts.values():
+        rows, columns = ({x: i for i, x in enumerate(sorted({p[k] for p in part}))} for k in (0, 1))
+        weights = np.zeros((len(rows), len(columns)))
+        for a, b, credit in part:
+            weights[rows[a], columns[b]] = credit
+        total += float(sum(weights[pair] for pair in assign(weights)))
+    return total
+
+
 def soft_matches(credits: DataFrame) -> DataFrame:
     """doc_id, assertion, soft_tp from (doc_id, assertion, a, b, credit).
 
-    A document's pairs of one assertion are gathered into one array, whose size is that of a document's annotations;
-    the solver runs over Arrow batches of such rows, without the cost of a Python call a group.
+    Only pairs that earn credit are gathered, by document and assertion; a group is as large as one document's unmatched
+    annotations and is solved part by part over Arrow batches.
     """
 
     @F.pandas_udf("double")
     def best(pairs: pd.Series) -> pd.Series:
-        def one(row) -> float:
-            rows, columns = {}, {}
-            cells = [(rows.setdefault(p["a"], len(rows)), columns.setdefault(p["b"], len(columns)), p["credit"]) for p in row]
-            weights = [[0.0] * len(columns) for _ in rows]
-            for i, j, credit in cells:
-                weights[i][j] = max(weights[i][j], credit)
-            return round(sum(weights[i][j] for i, j in assign(weights)), 6)
-
-        return pairs.map(one)
+        return pairs.map(lambda row: round(best_total([(p["a"], p["b"], p["credit"]) for p in row]), 6))
 
-    gathered = credits.groupBy("doc_id", "assertion").agg(F.collect_list(F.struct("a", "b", "credit")).alias("pairs"))
+    gathered = credits.filter("credit > 0").groupBy("doc_id", "assertion").agg(F.collect_list(F.struct("a", "b", "credit")).alias("pairs"))
     return gathered.select("doc_id", "assertion", best("pairs").alias("soft_tp"))
 
 
@@ -256,15 +282,35 @@ def assign_soft_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_prf(pred: DataFrame, gold: DataFrame, sims: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, exact, semantic, n_pred, n_gold: exact matches by term, then each other prediction with its best gold term.
 
-    A gold term is matched once: of predictions whose best gold term is the same, the most similar has it.
+    A prediction counts if any gold term that no exact match used is similar enough; a gold term may serve several.
+    ``sims`` is (a, b, hybrid) of predicted and gold terms.
     """
     p, g = pred.select("doc_id", "term").distinct(), gold.select("doc_id", "term").distinct()
     exact = p.join(g, ["doc_id", "term"])
     left = p.join(exact, ["doc_id", "term"], "left_anti").withColumnRenamed("term", "a")
     open_ = g.join(exact, ["doc_id", "term"], "left_anti").withColumnRenamed("term", "b")
-    near = left.join(open_, "doc_id").join(sims.select("a", "b", "hybrid"), ["a", "b"]).filter(F.col("hybrid") >= threshold)
-    best = near.groupBy("doc_id", "a").agg(F.max_by("b", F.struct("hybrid", "b")).alias("b"), F.max("hybrid").alias("hybrid"))
-    semantic = best.groupBy("doc_id").agg(F.countDistinct("b").alias("semantic"))
+    near = left.join(open_, "doc_id").join(sims.filter(F.col("hybrid") >= threshold).select("a", "b"), ["a", "b"])
+    semantic = near.groupBy("doc_id").agg(F.countDistinct("a").alias("semantic"))
     n = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
     out = n(p, "n_pred").join(n(g, "n_gold"), "doc_id", "full_outer").join(n(exact, "exact"), "doc_id", "left").join(semantic, "doc_id", "left")
     return out.na.fill(0, ["n_pred", "n_gold", "exact", "semantic"])
+
+
+_NEAR_KEYS = "abs(pa - pb) <= 40 AND 1 - abs(pa - pb) / 100.0::DOUBLE >= 0.7"
+
+
+@register(
+    "semantic_prf",
+    f"""{_SETS}, p AS (SELECT DISTINCT doc_id, term FROM u WHERE p), g AS (SELECT DISTINCT doc_id, term FROM u WHERE g), e AS (SELECT * FROM p INTERSECT SELECT * FROM g),
+l AS (SELECT doc_id, CAST(substr(term, 3) AS BIGINT) AS pa FROM (SELECT * FROM p EXCEPT SELECT * FROM e)), r AS (SELECT doc_id, CAST(substr(term, 3) AS BIGINT) AS pb FROM (SELECT * FROM g EXCEPT SELECT * FROM e)),
+s AS (SELECT doc_id, count(DISTINCT pa) AS semantic FROM l JOIN r USING (doc_id) WHERE {_NEAR_KEYS} GROUP BY doc_id),
+i AS (SELECT DISTINCT doc_id FROM u) SELECT i.doc_id, (SELECT count(*) FROM e WHERE e.doc_id = i.doc_id) AS exact, coalesce(s.semantic, 0) AS semantic, (SELECT count(*) FROM p WHERE p.doc_id = i.doc_id) AS n_pred,
+(SELECT count(*) FROM g WHERE g.doc_id = i.doc_id) AS n_gold FROM i LEFT JOIN s USING (doc_id)""",
+)
+def semantic_prf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with near keys are similar terms; the similarities are listed by a join on key ranges of 40, not as a product."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    near = parts.withColumn("o", F.explode(F.sequence(F.col("k") - 40, F.col("k") + 40))).join(parts.select(F.col("k").alias("o")), "o")
+    name = lambda c: F.concat(F.lit("P:"), F.col(c).cast("string"))
+    sims = near.select(name("k").alias("a"), name("o").alias("b"), (1 - F.abs(F.col("k") - F.col("o")) / 100.0).alias("hybrid"))
+    return semantic_prf(*annotations(spark, sf_dir), sims)
