@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ try:
 except ImportError:  # a library that isn't everywhere; the fallback scans once a label
     ahocorasick = None
 
-#: Labels that travel with the tasks at most, some tens of MB.
+#: Labels that travel with a pass over the texts at most, some tens of MB; more labels take more passes.
 MOST_LABELS = 200_000
 
 
@@ -41,7 +42,8 @@ def first_places(docs: DataFrame, labels: list[tuple[int, str]]) -> DataFrame:
     ``labels`` are (id, text), no text twice and none empty; cases count, so that callers lower both sides if they want.
     """
     if len(labels) > MOST_LABELS:
-        raise ValueError(f"over {MOST_LABELS} labels: attribute them in blocks")
+        blocks = [first_places(docs, labels[at : at + MOST_LABELS]) for at in range(0, len(labels), MOST_LABELS)]
+        return reduce(DataFrame.unionByName, blocks)
 
     def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(labels)

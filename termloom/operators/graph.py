@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import checkpointed
 
-#: A deeper graph than this is taken for a cycle.
-MOST_LEVELS = 200
 ROUND = 6
 
 
@@ -19,17 +18,21 @@ def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes`` is (term), ``edges`` (child, parent). Level by level: only pairs that the last level found are extended and
     only new ones kept, so a pair's first level is its distance, and paths are never enumerated. Every level is
-    checkpointed, so that none is computed twice.
+    checkpointed, so that none is computed twice. Graphs of any depth will do; a cycle gives no new
+    pairs, ends the search like any other graph and is then reported as an error.
     """
     edges = checkpointed(edges.select("child", "parent").distinct())
     found = [checkpointed(nodes.select("term", F.col("term").alias("ancestor"), F.lit(0).alias("up")).distinct())]
-    for level in range(1, MOST_LEVELS + 1):
+    for level in count(1):
         step = found[-1].join(edges, found[-1]["ancestor"] == edges["child"]).select("term", F.col("parent").alias("ancestor")).distinct()
         known = reduce(DataFrame.unionByName, found)
         found.append(checkpointed(step.join(known, ["term", "ancestor"], "left_anti").withColumn("up", F.lit(level))))
         if found[-1].isEmpty():
-            return known
-    raise ValueError(f"the graph has a cycle or over {MOST_LEVELS} levels")
+            break
+    looped = edges.join(known, (F.col("parent") == F.col("term")) & (F.col("child") == F.col("ancestor"))).limit(1).collect()
+    if looped:
+        raise ValueError(f"the graph has a cycle through {looped[0].child}")
+    return known
 
 
 def depths(closed: DataFrame, root: str) -> DataFrame:
@@ -60,8 +63,8 @@ def reduced_parents(closed: DataFrame) -> DataFrame:
 def branches(closed: DataFrame, root: str) -> DataFrame:
     """term, branch, branches: the smallest ancestor at depth 1, and all of them; the root has none."""
     depth = depths(closed, root)
-    tops = depth.filter("depth = 1").select(F.col("term").alias("ancestor"))
-    found = closed.join(F.broadcast(tops), "ancestor").groupBy("term").agg(F.sort_array(F.collect_set("ancestor")).alias("branches"))
+    tops = depth.filter("depth = 1").select(F.col("term").alias("ancestor"))  # may be many: the join's kind is the planner's choice
+    found = closed.join(tops, "ancestor").groupBy("term").agg(F.sort_array(F.collect_set("ancestor")).alias("branches"))
     return closed.select("term").distinct().join(found, "term", "left").select("term", F.get("branches", F.lit(0)).alias("branch"), F.coalesce("branches", F.array().cast("array<string>")).alias("branches"))
 
 

@@ -123,12 +123,17 @@ def txt_semantic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "txt_negation_merge",
-    "SELECT conv_id, count(*) AS n_parts FROM conversations WHERE text IS NOT NULL GROUP BY conv_id",
+    """WITH p AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN text || ' without' WHEN turn % 2 = 1 THEN 'any fever' ELSE text END AS part FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT *, lag(part) OVER o AS before, len(regexp_extract_all(part, '[^ \t\n\r]+')) AS n FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY turn, part)),
+j AS (SELECT *, CASE WHEN coalesce(before LIKE '% without', false) AND n <= 5 THEN 0 ELSE 1 END AS opens FROM w), g AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn, part) AS island FROM j)
+SELECT conv_id, island::BIGINT AS part, string_agg(part, ' ' ORDER BY turn, part) AS merged FROM g GROUP BY conv_id, island""",
 )
 def txt_negation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as parts; none here ends in a negation, so all parts stay."""
-    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    return rows.select("conv_id", F.size(merge_negations(F.transform("p", lambda p: p["text"]))).cast("long").alias("n_parts"))
+    """Turns of a conversation as parts, every third ending in a negation: such a part takes the next one if that is short."""
+    part = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.concat("text", F.lit(" without"))).when(F.col("turn") % 2 == 1, "any fever").otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("p"))
+    merged = rows.select("conv_id", F.posexplode(merge_negations(F.transform("p", lambda p: p["part"]))).alias("at", "merged"))
+    return merged.select("conv_id", (F.col("at") + 1).cast("long").alias("part"), "merged")
 
 
 # --- chunks around annotations: spans of an order's lines in a text of a thousand characters ---

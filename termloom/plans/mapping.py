@@ -28,13 +28,22 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "map_local_match",
-    """WITH p AS (SELECT p_partkey AS item_id, lower(split_part(p_name, ' ', -1)) AS a, lower(p_name) AS b FROM part)
-SELECT item_id, CASE WHEN a = b THEN 1 WHEN contains(' ' || b || ' ', ' ' || a || ' ') THEN 3 END AS priority FROM p WHERE a = b OR contains(' ' || b || ' ', ' ' || a || ' ')""",
+    r"""WITH p AS (SELECT p_partkey AS item_id, p_partkey % 6 AS kind, lower(p_name) || ' ' || lower(p_type) AS b, lower(p_type) || ' ' || lower(p_name) AS turned, lower(p_name) AS part FROM part),
+w AS (SELECT *, CASE kind WHEN 0 THEN turned WHEN 1 THEN b WHEN 2 THEN part WHEN 3 THEN b || ' x' WHEN 4 THEN reverse(b) ELSE 'zz ' || reverse(part) END AS a FROM p),
+t AS (SELECT item_id, a, b, list_sort(list_distinct(regexp_extract_all(a, '[a-z0-9_]+'))) AS ta, list_sort(list_distinct(regexp_extract_all(b, '[a-z0-9_]+'))) AS tb FROM w),
+s AS (SELECT *, [CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN left(x, -1) ELSE x END FOR x IN ta] AS sa, [CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN left(x, -1) ELSE x END FOR x IN tb] AS sb,
+array_to_string(list_sort(string_split(a, ' ')), ' ') AS oa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS ob FROM t),
+r AS (SELECT item_id, CASE WHEN list_sort(list_distinct(sa)) = list_sort(list_distinct(sb)) THEN 1 WHEN a = b THEN 2 WHEN contains(' ' || b || ' ', ' ' || a || ' ') THEN 3
+WHEN 100.0::DOUBLE * (1 - levenshtein(oa, ob) / greatest(length(oa), length(ob))::DOUBLE) >= 80 THEN 4 END AS priority FROM s) SELECT item_id, priority FROM r WHERE priority IS NOT NULL""",
 )
 def map_local_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    rows = p.select(F.col("p_partkey").alias("item_id"), local_match(F.substring_index("p_name", " ", -1), F.col("p_name"), 101.0).alias("priority"))
-    return rows.filter("priority IS NOT NULL")
+    """A label's words turned around, the label itself, a part of it, nearly it, and two that are nothing like it."""
+    kind, part, of = F.col("p_partkey") % 6, F.lower("p_name"), F.lower("p_type")
+    label = F.concat_ws(" ", part, of)
+    phrase = F.when(kind == 0, F.concat_ws(" ", of, part)).when(kind == 1, label).when(kind == 2, part).when(kind == 3, F.concat(label, F.lit(" x")))
+    phrase = phrase.when(kind == 4, F.reverse(label)).otherwise(F.concat(F.lit("zz "), F.reverse(part)))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), phrase.alias("phrase"), label.alias("label"))
+    return rows.select("item_id", local_match(F.col("phrase"), F.col("label")).alias("priority")).filter("priority IS NOT NULL")
 
 
 def select_candidates(rows: DataFrame, floor: float, least: int, most: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as T
-from ..storage import table
+from ..storage import checkpointed, table
 
 
 def running_offsets(text: Column, chunks: Column) -> Column:
@@ -121,17 +121,18 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.agg(F.concat(F.lit("| priority | orders |\n|---|---|\n"), F.array_join(lines, "\n")).alias("report"))
 
 
-def latest_replacement(links: DataFrame, live: DataFrame, most: int = 30) -> DataFrame:
+def latest_replacement(links: DataFrame, live: DataFrame) -> DataFrame:
     """(id, replaced_by) chains to (id, target): the first live term a chain reaches; cycles and dead ends have none.
 
-    Pointers double every turn, so a chain of n links takes log n joins.
+    Pointers double every turn, so chains of n links take log n joins, and as many turns are made as the number of links asks for.
     """
     now = links.select("id", F.col("replaced_by").alias("target")).filter("target IS NOT NULL")
     alive = live.select(F.col("id").alias("target"), F.lit(True).alias("alive"))
-    for _ in range(max(1, most.bit_length())):
+    now = checkpointed(now)
+    for _ in range(max(1, now.count().bit_length())):
         known = now.join(alive, "target", "left")
         step = now.select(F.col("id").alias("target"), F.col("target").alias("next"))
-        now = known.join(step, "target", "left").select("id", F.when(F.col("alive"), F.col("target")).otherwise(F.coalesce("next", "target")).alias("target"))
+        now = checkpointed(known.join(step, "target", "left").select("id", F.when(F.col("alive"), F.col("target")).otherwise(F.coalesce("next", "target")).alias("target")))
     return now.join(alive, "target").select("id", "target")
 
 

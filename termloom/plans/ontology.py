@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import graph
-from ..storage import table
+from ..storage import checkpointed, table
 
 ROOT = "T:0"
 
@@ -41,12 +41,34 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
-def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
+#: Closures and term features by application and folder; their rows are checkpointed, what is kept here are plans.
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        for old in [k for k in _KEPT if k[0] != key[0]]:  # of sessions that have ended
+            del _KEPT[old]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _closure(e: DataFrame) -> DataFrame:
     nodes = e.select(F.col("child").alias("term")).union(e.select("parent")).distinct()
     return graph.closure(nodes, e)
 
 
+def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's closure, built once a session."""
+    return _kept(spark, sf_dir, "closure", lambda: _closure(edges(spark, sf_dir)))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term features, built once a session."""
+    return _kept(spark, sf_dir, "features", lambda: checkpointed(graph.term_features(closed(spark, sf_dir), ROOT)))
+
+
 @register("dag_closure", _REC + " SELECT term, ancestor, up FROM cl")
 def dag_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed(spark, sf_dir)
@@ -69,8 +91,11 @@ def dag_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dag_parents_reduced", _REC + " SELECT child, parent FROM e")
 def dag_parents_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """This graph has no shortcut edges, so that its reduction is its edges."""
-    return graph.reduced_parents(closed(spark, sf_dir))
+    """The graph with shortcuts to grandparents and to the root: its reduction has none of them."""
+    e = edges(spark, sf_dir)
+    above = e.select(F.col("child").alias("parent"), F.col("parent").alias("over")).join(e, "parent").select("child", F.col("over").alias("parent"))
+    root = e.filter(F.col("parent") != ROOT).select("child", F.lit(ROOT).alias("parent"))
+    return graph.reduced_parents(_closure(e.union(above).union(root).distinct()))
 
 
 @register(
@@ -109,7 +134,7 @@ _KIND = """, k AS (SELECT f.*, CASE WHEN a = b THEN 'exact' WHEN EXISTS (SELECT
 
 
 def features(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
-    terms = graph.term_features(closed(spark, sf_dir), ROOT)
+    terms = features(spark, sf_dir)
     return graph.pair_features(term_pairs(spark, sf_dir) if pairs is None else pairs, terms)
 
 

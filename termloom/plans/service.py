@@ -56,6 +56,47 @@ def lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("lockouts"), until.cast("string").alias("first_until"))
 
 
+def consume_tokens(issued: DataFrame, uses: DataFrame, seconds: int) -> DataFrame:
+    """use_id, outcome of each use (use_id, token, ts) of one-time tokens (token, ts): unknown, expired, used or accepted.
+
+    Of the uses within the time to live the first is accepted; a token has few uses, so one task orders them.
+    """
+    given = issued.groupBy("token").agg(F.min("ts").alias("issued_at"))
+    rows = uses.join(given, "token", "left")
+    fresh = F.col("ts").between(F.col("issued_at"), F.col("issued_at") + F.make_dt_interval(secs=F.lit(seconds)))
+    first = F.row_number().over(Window.partitionBy("token", fresh).orderBy("ts", "use_id"))
+    return rows.select("use_id", F.when(F.col("issued_at").isNull(), "unknown").when(~fresh, "expired").when(first > 1, "used").otherwise("accepted").alias("outcome"))
+
+
+@register(
+    "token_uses",
+    """WITH i AS (SELECT user_id * 1000 + event_id % 5 AS token, min(ts) AS since FROM events WHERE event_id % 4 = 0 GROUP BY 1), u AS (SELECT event_id AS use_id, user_id * 1000 + event_id % 6 AS token, ts FROM events WHERE event_id % 4 <> 0),
+r AS (SELECT u.*, i.since, coalesce(ts BETWEEN since AND since + INTERVAL 400000 SECOND, false) AS fresh FROM u LEFT JOIN i USING (token))
+SELECT use_id, CASE WHEN since IS NULL THEN 'unknown' WHEN NOT fresh THEN 'expired' WHEN row_number() OVER (PARTITION BY token, fresh ORDER BY ts, use_id) > 1 THEN 'used' ELSE 'accepted' END AS outcome FROM r""",
+)
+def token_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth event issues a token of its user, the others use one, in time or not."""
+    rows = events(spark, sf_dir)
+    issued = rows.filter("event_id % 4 = 0").select((F.col("user_id") * 1000 + F.col("event_id") % 5).alias("token"), "ts")
+    uses = rows.filter("event_id % 4 <> 0").select(F.col("event_id").alias("use_id"), (F.col("user_id") * 1000 + F.col("event_id") % 6).alias("token"), "ts")
+    return consume_tokens(issued, uses, 400_000)
+
+
+@register(
+    "active_sessions",
+    """WITH s AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'click'), x AS (SELECT user_id, max(ts) AS revoked FROM events WHERE event_type = 'click' AND event_id % 3 = 0 GROUP BY 1),
+t AS (SELECT max(ts) - INTERVAL 5 DAY AS since FROM events) SELECT s.user_id, s.event_id AS session_id FROM s LEFT JOIN x USING (user_id), t WHERE n = 1 AND ts >= since AND (revoked IS NULL OR ts > revoked)""",
+)
+def active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's latest session if it is younger than five days and no revocation came after it."""
+    rows = events(spark, sf_dir)
+    latest = rows.filter("event_type <> 'click'").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("s"))
+    revoked = rows.filter("event_type = 'click' AND event_id % 3 = 0").groupBy("user_id").agg(F.max("ts").alias("revoked"))
+    since = rows.agg((F.max("ts") - F.expr("INTERVAL 5 DAYS")).alias("since"))
+    found = latest.join(revoked, "user_id", "left").crossJoin(F.broadcast(since))  # one row
+    return found.filter("s.ts >= since AND (revoked IS NULL OR s.ts > revoked)").select("user_id", F.col("s.event_id").alias("session_id"))
+
+
 def usage_cost(prompt: Column, cached: Column, output: Column, input_price: float, cached_price: float, output_price: float) -> Column:
     """Cost of tokens at prices a million, cached input at its own price."""
     fresh = F.greatest(prompt - cached, F.lit(0))

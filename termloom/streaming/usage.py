@@ -39,7 +39,10 @@ def lockouts(events: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
             failures = 0 if event_type == "click" else failures + 1
             if failures == most:
                 out.append((key[0], ts, ts + pd.Timedelta(seconds=seconds)))
-        state.update((failures,))
+        if failures:
+            state.update((failures,))
+        elif state.exists:
+            state.remove()  # nothing to remember of a user whose last event was a success
         yield pd.DataFrame(out, columns=["user_id", "locked_at", "locked_until"])
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at timestamp, locked_until timestamp", "failures long", "append", GroupStateTimeout.NoTimeout)
@@ -52,11 +55,11 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    else:
-        keep = lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")
+    else:  # every batch's changed rows, in a folder of its own: a batch that is run again replaces its rows
+        keep = lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
         query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "long")).parquet(f"{base}/out")
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +71,9 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS used, greatest({DAILY_LIMIT} - count(*), 0) AS remaining, count(*) > {DAILY_LIMIT} AS exceeded FROM events GROUP BY 1, 2",
 )
 def stream_quota_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_available(daily_usage(stream(spark, sf_dir)), "complete")
+    """In update mode only changed days are written, and the watermark frees closed days' state; the last version counts."""
+    rows = run_available(daily_usage(stream(spark, sf_dir)), "update")
+    return rows.groupBy("user_id", "day").agg(*[F.max_by(c, "batch").alias(c) for c in ("used", "remaining", "exceeded")])
 
 
 @register(

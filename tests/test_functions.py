@@ -79,11 +79,12 @@ def test_graph(spark, closed):
     assert rows[("E", "D")].kind == "semantic" and rows[("C", "D")].kind == "sibling"
 
 
-def test_cycle_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(graph, "MOST_LEVELS", 3)
-    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)], "child string, parent string")
-    with pytest.raises(ValueError):
-        graph.closure(edges.select(F.col("child").alias("term")), edges)
+def test_cycle_is_an_error_and_depth_is_none(spark):
+    path = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)], "child string, parent string")
+    nodes = path.select(F.col("child").alias("term"))
+    assert graph.closure(nodes, path).filter("term = 'n0'").agg(F.max("up")).first()[0] == 8
+    with pytest.raises(ValueError, match="cycle"):
+        graph.closure(nodes, path.union(spark.createDataFrame([("n5", "n2")], path.schema)))
 
 
 def test_assign_is_optimal():
