@@ -13,29 +13,75 @@ class Rule:
     id: str
     category: str
     confidence: str  # high, or review for findings that need a look
-    pattern: str  # one that Java's and RE2's engines read alike
+    pattern: str  # of those that queries with SQL use, one that Java's and RE2's engines read alike
     token: str
-    locales: tuple[str, ...] = ()  # none: all
+    locales: tuple[str, ...] = ()  # whose forms they are; none: all
+    guard: str = ""  # goes before the pattern: where a match can't begin, so that long runs are tried once; matches stay the same
 
 
 _MONTH = r"(?:[Jj]an|[Ff]eb|[Mm]ar|[Aa]pr|[Mm]ay|[Jj]un|[Jj]ul|[Aa]ug|[Ss]ep|[Oo]ct|[Nn]ov|[Dd]ec)[a-z]*"
+_DAY = r"(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"
+#: Between the name of a datum and its value; blanks are bounded, so that a long run of them costs nothing.
+_SIGN = r"\s{0,20}[:#-]?\s{0,20}"
+
+#: Titles, particles and words that are no names (fixed values).
+TITLES = {
+    "en": ("Mr", "Mrs", "Ms", "Dr", "Prof"),
+    "de": ("Herr", "Frau", "Dr", "Prof"),
+    "fr": ("Monsieur", "Madame", "M", "Mme", "Dr", "Prof"),
+    "es": ("Señor", "Señora", "Sr", "Sra", "Dr", "Dra"),
+    "nl": ("Dhr", "Mevrouw", "Mw", "Dr", "Prof"),
+}
+PARTICLES = ("de", "del", "da", "di", "du", "le", "la", "van", "von", "der", "den")
+NO_NAMES = (
+    "abnormality", "biolord", "called", "carinatum", "case", "clinical", "disease", "down", "hpo", "model", "naam", "nachname", "name", "nom",
+    "paciente", "patient", "pectus", "phenotype", "syndrome", "term", "tracheomalacia", "vorname",
+)
+#: Words near a name that speak for one (fixed values, in small letters).
+NAME_CONTEXT = ("called", "case", "name", "patient", "subject", "nachname", "vorname", "naam", "patiënt", "nom", "paciente")
+
+
+def titled_name(titles: tuple[str, ...]) -> str:
+    """A title and one or two capitalised words."""
+    name = r"\p{Lu}[\p{L}\p{M}'-]+"
+    return rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(titles)})\.?\s{{1,20}}{name}(?:\s{{1,20}}{name})?(?![\p{{L}}\p{{M}}])"
+
+
+def untitled_name() -> str:
+    """Two or more capitalised words, at most two particles between one and the next.
+
+    A word in capitals only, one with a capital inside, and NO_NAMES are no names; a particle is one however it is written,
+    but for the first word.
+    """
+    letter, capital = "A-Za-zÀ-ÖØ-öø-ÿß'-", "A-ZÀ-ÖØ-Þ"
+    ends = f"(?![{letter}])"
+    particle = f"(?i:{'|'.join(PARTICLES)}){ends}"
+    name = rf"(?![{capital}]{{2,}}{ends})(?!(?i:{'|'.join(NO_NAMES)}){ends})(?![{letter}]*[a-z][A-Z])[{capital}][{letter}]++"
+    return rf"(?<![{letter}]){name}(?:\s++(?:{particle}\s++){{0,2}}(?!{particle}){name})++"
+
 
-#: Rules for all texts, then by locale (fixed values: own patterns of common written forms).
+#: Rules for all texts, then by locale (fixed values: patterns of common written forms).
 RULES: tuple[Rule, ...] = (
-    Rule("email", "contact", "high", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]"),
+    Rule("email", "contact", "high", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]", guard=r"(?:\G|(?<![A-Za-z0-9._%+-]))"),
     Rule("url", "contact", "high", r"(?:https?://|www\.)[A-Za-z0-9./?=&_%#:~+-]+", "[URL]"),
     Rule("ipv4", "network", "high", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", "[IP]"),
     Rule("date", "date", "review", rf"\b(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{2,4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}})\b", "[DATE]"),
     Rule("phone", "contact", "review", r"\+?[0-9][0-9 ()/.-]{7,}[0-9]", "[PHONE]"),
-    Rule("titled-name-en", "name", "review", r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?", "[NAME]", ("en",)),
-    Rule("titled-name-de", "name", "review", r"\b(?:Herr|Frau|Dr|Prof)\.? [A-Z][a-zäöüß]+(?: [A-Z][a-zäöüß]+)?", "[NAME]", ("de",)),
-    Rule("titled-name-fr", "name", "review", r"\b(?:Monsieur|Madame|Mme|Dr|Pr)\.? [A-Z][a-zéèêç]+(?: [A-Z][a-zéèêç]+)?", "[NAME]", ("fr",)),
-    Rule("titled-name-es", "name", "review", r"\b(?:Sr|Sra|Dr|Dra)\.? [A-Z][a-záéíóúñ]+(?: [A-Z][a-záéíóúñ]+)?", "[NAME]", ("es",)),
-    Rule("medical-record", "identity", "high", r"\b(?:MRN|Patient ID|Patienten-?Nr|NHC)[:# ]+[A-Z0-9-]{5,}", "[RECORD]"),
-    Rule("es-dni", "identity", "high", r"\b[XYZ0-9][0-9]{7}[A-Z]\b", "[ID]", ("es",)),
-    Rule("nl-bsn", "identity", "high", r"\b[0-9]{9}\b", "[ID]", ("nl",)),
-    Rule("de-kvnr", "identity", "high", r"\b[A-Z][0-9]{9}\b", "[ID]", ("de",)),
-    Rule("fr-nir", "identity", "high", r"\b[12][0-9]{12}(?:[0-9]{2})?\b", "[ID]", ("fr",)),
+    *[Rule(f"titled-name-{locale}", "name", "review", titled_name(titles), "[NAME]", (locale,)) for locale, titles in TITLES.items()],
+    Rule("untitled-name", "name", "review", untitled_name(), "[NAME]"),
+    Rule("birth-en", "birth", "high", rf"(?i)(?:DOB|date of birth|born){_SIGN}{_DAY}", "[BIRTH]", ("en",)),
+    Rule("birth-de", "birth", "high", rf"(?i)(?:Geburtsdatum|geboren){_SIGN}(?:[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{2,4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})", "[BIRTH]", ("de",)),
+    Rule("medical-record", "identity", "high", rf"(?i)(?:MRN|medical record number|patient ID|NHS number){_SIGN}[A-Z0-9 -]{{4,24}}", "[RECORD]", ("en",)),
+    Rule("medical-record-es", "identity", "high", rf"(?iu)(?:(?:número de )?historia clínica|paciente id){_SIGN}[A-Z0-9 -]{{4,24}}", "[RECORD]", ("es",)),
+    Rule("es-dni", "identity", "high", rf"(?i)(?:DNI|NIE|NIF){_SIGN}(?:[0-9]{{8}}[A-Z]|[XYZ][0-9]{{7}}[A-Z])", "[ID]", ("es",)),
+    Rule("nl-bsn", "identity", "high", rf"(?i)(?:BSN|burgerservicenummer){_SIGN}[0-9]{{9}}", "[ID]", ("nl",)),
+    Rule("de-kvnr", "identity", "high", rf"(?i)(?:Krankenversichertennummer|Versichertennummer|KVNR){_SIGN}[A-Z][0-9]{{9}}", "[ID]", ("de",)),
+    Rule("fr-nir", "identity", "high", rf"(?iu)(?:NIR|numéro de sécurité sociale|securite sociale){_SIGN}[12][0-9 .-]{{12,20}}", "[ID]", ("fr",)),
+    Rule("address-en", "address", "high", r"(?i)\b(?:street|st\.|road|rd\.|avenue|ave\.|drive|dr\.)\s{1,20}[^\n,]{0,80}[0-9]+[^\n]{0,80}\b[A-Z0-9][A-Z0-9 -]{3,10}\b", "[ADDRESS]", ("en",)),
+    Rule("address-de", "address", "high", r"(?iu)\b(?:straße|strasse|str\.|weg|platz|allee)\s{1,20}[0-9]+\b[^\n]{0,80}\b[0-9]{5}\b", "[ADDRESS]", ("de",)),
+    Rule("address-fr", "address", "high", r"(?i)\b(?:rue|avenue|av\.|boulevard|bd|chemin|place)\s{1,20}[^\n,]{0,80}[0-9]+[^\n]{0,80}\b[0-9]{5}\b", "[ADDRESS]", ("fr",)),
+    Rule("address-es", "address", "high", r"(?i)\b(?:calle|c/|avenida|avda\.|paseo|plaza)\s{1,20}[^\n,]{0,80}[0-9]+[^\n]{0,80}\b[0-9]{5}\b", "[ADDRESS]", ("es",)),
+    Rule("address-nl", "address", "high", r"(?i)\b(?:straat|laan|weg|plein|adres)\s{0,20}[:#-]?\s{1,20}[^\n,]{0,80}[0-9]+[A-Z]?\b[^\n]{0,80}\b[0-9]{4}\s?[A-Z]{2}\b", "[ADDRESS]", ("nl",)),
 )
 
 FINDING = "array<struct<start:int,end:int,rule:string,confidence:string,token:string>>"
@@ -86,21 +132,31 @@ def valid_nir(value: Column) -> Column:
 VALIDATORS = {"es-dni": valid_dni, "nl-bsn": valid_bsn, "de-kvnr": valid_kvnr, "fr-nir": valid_nir}
 
 
-def scan(text: Column, locale: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All rules' findings of a text, sorted by place; rules of other locales don't apply, validators drop what fails."""
+def scan(text: Column, locale: Column | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All rules' findings of a text, sorted by place; validators drop what fails.
+
+    Texts hold forms of other countries than their language's, so rules of all locales apply; with a ``locale`` only its
+    own and the general ones do.
+    """
     parts = []
     for rule in rules:
         check = VALIDATORS.get(rule.id)
-        found = matches(text, rule.pattern)
+        found = matches(text, rule.guard + rule.pattern)
         if check:
             found = F.filter(found, _passes(text, check))
         named = F.transform(found, _named(rule))
-        parts.append(named if not rule.locales else F.when(locale.isin(*rule.locales), named).otherwise(F.array().cast(FINDING)))
+        parts.append(named if locale is None or not rule.locales else F.when(locale.isin(*rule.locales), named).otherwise(F.array().cast(FINDING)))
     return F.array_sort(F.concat(*parts))
 
 
+def identifier(found: Column) -> Column:
+    """The number in a finding that also holds its name, without blanks, dots and hyphens, in capitals."""
+    number = F.regexp_extract(found, r"(?i)[A-Z]?[0-9][0-9 .-]{6,20}[A-Z]?", 0)
+    return F.upper(F.regexp_replace(F.when(number == "", found).otherwise(number), r"[\s.-]", ""))
+
+
 def _passes(text: Column, check):
-    return lambda m: check(F.substring(text, m["start"] + 1, m["end"] - m["start"]))
+    return lambda m: check(identifier(F.substring(text, m["start"] + 1, m["end"] - m["start"])))
 
 
 def _named(rule: Rule):
@@ -108,17 +164,15 @@ def _named(rule: Rule):
 
 
 def merge(findings: Column) -> Column:
-    """Overlapping findings become one: the wider span, named by the longer finding, by the first of equals."""
+    """Overlapping findings become one: the wider span, named by the first of high confidence, else by the longer one, by the first of equals."""
     first = F.array().cast(FINDING)
 
     def step(acc: Column, f: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         overlap = F.coalesce(f["start"] < last["end"], F.lit(False))
-        winner = F.when(f["end"] - f["start"] > last["end"] - last["start"], f).otherwise(last)
-        joined = F.struct(
-            F.least(last["start"], f["start"]).alias("start"), F.greatest(last["end"], f["end"]).alias("end"), winner["rule"].alias("rule"),
-            F.when((last["confidence"] == "high") | (f["confidence"] == "high"), "high").otherwise("review").alias("confidence"), winner["token"].alias("token"),
-        )
+        taken = (last["confidence"] != "high") & ((f["confidence"] == "high") | (f["end"] - f["start"] > last["end"] - last["start"]))
+        winner = F.when(taken, f).otherwise(last)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], f["end"]).alias("end"), *[winner[k].alias(k) for k in ("rule", "confidence", "token")])
         return F.when(overlap, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(f)))
 
     return F.aggregate(F.array_sort(findings), first, step)

@@ -24,7 +24,7 @@ def _rule_sql(rule: pii.Rule, found: str) -> str:
 def _rule_query(name: str, rule: pii.Rule) -> None:
     @register(name, f"WITH m AS ({_rule_sql(rule, 'matched')}) SELECT doc_id, matched, count(*) AS n FROM m GROUP BY ALL")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = documents(spark, sf_dir).withColumn("s", F.explode(pii.matches(F.col("text"), rule.pattern)))
+        rows = documents(spark, sf_dir).withColumn("s", F.explode(pii.matches(F.col("text"), rule.guard + rule.pattern)))
         return rows.groupBy("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("matched")).agg(F.count("*").alias("n"))
 
 
@@ -56,7 +56,7 @@ def pii_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("pii_scan_summary")
 def pii_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged findings by rule and confidence; tests hold the scan against plain Python."""
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(pii.merge(pii.scan(F.col("text"), F.col("lang")))).alias("f"))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(pii.merge(pii.scan(F.col("text")))).alias("f"))
     return rows.groupBy("f.rule", "f.confidence").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -91,19 +91,21 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumn("f", found).select("doc_id", pii.redact(F.col("text"), F.col("f")).alias("redacted"))
 
 
-#: Particles of names, and words before a name that speak for one (fixed values).
-PARTICLES = ("von", "van", "de", "der", "den", "di", "da", "la", "le", "del", "dos")
-NAME_CONTEXT = ("name", "patient", "signed", "dear", "contact", "author")
+#: Characters on either side in which context is looked for.
+CONTEXT_CHARS = 32
 
 
 def untitled_names(text):
-    """Runs of two to four capitalised words, particles between them allowed, scored: two words 2, a particle 1, context 1; 2 or more count."""
-    particle = "|".join(PARTICLES)
-    word = r"\p{Lu}[\p{Ll}'-]+"
-    pattern = rf"{word}(?: (?:(?:{particle}) )?{word}){{1,3}}"
-    found = F.regexp_extract_all(text, F.lit(rf"(?:\b(?i:{'|'.join(NAME_CONTEXT)})[: ]+)?{pattern}"), F.lit(0))
-    score = lambda n: F.lit(2) + F.when(n.rlike(rf" (?:{particle}) "), 1).otherwise(0) + F.when(n.rlike(rf"(?i)\A(?:{'|'.join(NAME_CONTEXT)})[: ]"), 1).otherwise(0)
-    return F.transform(found, lambda n: F.struct(n.alias("name"), score(n).alias("score")))
+    """(name, score) of untitled names: 2, a particle adds 1, a word of context nearby 2."""
+    particle = rf"(?i)\s(?:{'|'.join(pii.PARTICLES)})\s"
+    context = rf"(?iu){'|'.join(pii.NAME_CONTEXT)}"
+
+    def scored(m):
+        start = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
+        name, near = F.substring(text, m["start"] + 1, m["end"] - m["start"]), F.substring(text, start + 1, m["end"] + CONTEXT_CHARS - start)
+        return F.struct(name.alias("name"), (F.lit(2) + F.when(name.rlike(particle), 1).otherwise(0) + F.when(near.rlike(context), 2).otherwise(0)).alias("score"))
+
+    return F.transform(pii.matches(text, _BY_ID["untitled-name"].pattern), scored)
 
 
 @register("pii_names")
