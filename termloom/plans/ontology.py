@@ -64,7 +64,7 @@ def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "closure", lambda: _closure(edges(spark, sf_dir)))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def about_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term features, built once a session."""
     return _kept(spark, sf_dir, "features", lambda: checkpointed(graph.term_features(closed(spark, sf_dir), ROOT)))
 
@@ -134,8 +134,7 @@ _KIND = """, k AS (SELECT f.*, CASE WHEN a = b THEN 'exact' WHEN EXISTS (SELECT
 
 
 def features(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
-    terms = features(spark, sf_dir)
-    return graph.pair_features(term_pairs(spark, sf_dir) if pairs is None else pairs, terms)
+    return graph.pair_features(term_pairs(spark, sf_dir) if pairs is None else pairs, about_terms(spark, sf_dir))
 
 
 def _pairwise(name: str, *columns: str) -> None:

@@ -272,7 +272,7 @@ def assign_soft_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = found.filter("outcome = 'tp'").groupBy("doc_id", "assertion").agg(F.count("*").alias("exact"))
     side = lambda o, name: found.filter(F.col("outcome") == o).select("doc_id", "assertion", F.col("term").alias(name))
     pairs = side("fp", "a").join(side("fn", "b"), ["doc_id", "assertion"])
-    terms = features(spark, sf_dir)
+    terms = about_terms(spark, sf_dir)
     credits = graph.pair_features(pairs.select("a", "b").distinct(), terms).select("a", "b", graph.pair_credit().alias("credit"))
     soft = soft_matches(pairs.join(credits, ["a", "b"]).select("doc_id", "assertion", "a", "b", "credit"))
     both = exact.join(soft, ["doc_id", "assertion"], "full_outer")
