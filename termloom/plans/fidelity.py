@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..operators import graph
 from ..operators.knn import knn
+from ..storage import checkpointed, table
+from .ontology import _REC, ROOT, about_terms, closed
 from .retrieval import knn_sql, neighbours, query_set, vectors
 
 K = 10
@@ -100,21 +103,112 @@ def fid_depth_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spearman(docs.select(F.round(distance, 5).alias("x"), F.col("label").alias("y")), "x", "y").select(F.round("rho", 4).alias("rho"), "n")
 
 
+# --- neighbourhoods and distances of the graph: vectors of parts, by id ---
+
+
+def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, term, embedding of vectors whose id is a part's."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).distinct()
+    return vectors(spark, sf_dir).filter(F.col("embedding").isNotNull()).join(parts, "id").select("id", F.concat(F.lit("P:"), F.col("id").cast("string")).alias("term"), "embedding")
+
+
+def resnik_top_k(queries: DataFrame, candidates: DataFrame, closed: DataFrame, ic: DataFrame, k: int) -> DataFrame:
+    """term, other, resnik, rank: of each query (term) the ``k`` candidates (term) with the largest Resnik similarity, then the smallest id.
+
+    A term that isn't among an ancestor's first k + 1 candidates by id is beaten by k others that share this ancestor, so each
+    ancestor offers those only: no group of all terms below an ancestor is paired or gathered. Limits by rank are
+    taken in each task before the shuffle.
+    """
+    below = closed.join(candidates.select("term"), "term").select("ancestor", F.col("term").alias("other"))
+    first = below.withColumn("n", F.row_number().over(Window.partitionBy("ancestor").orderBy("other"))).filter(F.col("n") <= k + 1).drop("n")
+    above = closed.join(queries.select("term"), "term").join(ic.select(F.col("term").alias("ancestor"), "ic"), "ancestor").select("ancestor", "term", "ic")
+    offers = above.join(first, "ancestor").filter("other <> term").groupBy("term", "other").agg(F.max("ic").alias("resnik"))
+    order = Window.partitionBy("term").orderBy(F.desc("resnik"), "other")
+    return offers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+_TERM_VECTORS = """tv AS (SELECT vec_id AS id, 'P:' || vec_id AS term, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IN (SELECT p_partkey FROM part)),
+rs AS (SELECT q.id AS qid, d.id AS did, q.term AS a, d.term AS b, round(greatest(0.0, least(1.0, list_cosine_similarity(q.e, d.e))), 6) AS sim,
+  (SELECT max(ic.ic) FROM cl x JOIN cl y ON y.ancestor = x.ancestor JOIN ic ON ic.term = x.ancestor WHERE x.term = q.term AND y.term = d.term) AS resnik FROM tv q JOIN tv d ON q.id % 20 = 0 AND q.id <> d.id)"""
+
+
+@register(
+    "fid_resnik_overlap",
+    f"""{_REC}, {_TERM_VECTORS}, en AS (SELECT a, b FROM rs QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, did) <= {K}), gn AS (SELECT a, b FROM rs QUALIFY row_number() OVER (PARTITION BY a ORDER BY resnik DESC, b) <= {K})
+SELECT en.a AS term, count(gn.b) / {K}.0::DOUBLE AS overlap FROM en LEFT JOIN gn USING (a, b) GROUP BY en.a""",
+)
+def fid_resnik_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared part of each query term's neighbourhoods by embedding and by Resnik similarity."""
+    docs, up = checkpointed(term_vectors(spark, sf_dir)), closed(spark, sf_dir)
+    queries = query_set(docs)
+    found = knn(docs, queries, K).join(docs.select(F.col("id").alias("query_id"), "term"), "query_id").join(docs.select(F.col("id").alias("doc_id"), F.col("term").alias("other")), "doc_id")
+    near = resnik_top_k(queries, docs, up, graph.information_content(up, ROOT), K).select("term", "other", F.lit(1).alias("hit"))
+    return found.join(near, ["term", "other"], "left").groupBy("term").agg((F.count("hit") / float(K)).alias("overlap"))
+
+
+def distance_correlation(docs: DataFrame, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """rho_path, rho_resnik, n_pairs: rank correlations of cosine distance with path length and with minus Resnik similarity.
+
+    ``docs`` is (id, term, embedding), ``pairs`` (a, b) of ids, as ``sample_pairs`` gives them, ``terms`` the graph's features.
+    """
+    side = lambda k: docs.select(F.col("id").alias(k), F.col("term").alias(f"t{k}"), F.col("embedding").alias(f"e{k}"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    cosine = F.coalesce(F.try_divide(dot("ea", "eb"), F.sqrt(dot("ea", "ea")) * F.sqrt(dot("eb", "eb"))), F.lit(0.0))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"), F.round(1 - cosine, 5).alias("distance"))
+    rows = checkpointed(graph.pair_features(rows.select("a", "b").distinct(), terms).select("a", "b", "path", (-F.col("resnik")).alias("unlike")).join(rows, ["a", "b"]).filter("path IS NOT NULL"))
+    path = spearman(rows.select("distance", "path"), "distance", "path").select(F.round("rho", 4).alias("rho_path"))
+    resnik = spearman(rows.select("distance", "unlike"), "distance", "unlike").select(F.round("rho", 4).alias("rho_resnik"), F.col("n").alias("n_pairs"))
+    return path.crossJoin(resnik)  # a row each
+
+
+#: A vector's partners in the correlation query: those up to so many ids after it.
+STEPS = 25
+
+
+@register(
+    "fid_graph_correlation",
+    f"""{_REC}, tv AS (SELECT vec_id AS id, 'P:' || vec_id AS term, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IN (SELECT p_partkey FROM part)),
+pr AS (SELECT x.term AS a, y.term AS b, round(1 - list_cosine_similarity(x.e, y.e), 5) AS d FROM tv x JOIN tv y ON y.id > x.id AND y.id <= x.id + {STEPS}),
+cm AS (SELECT pr.a, pr.b, any_value(pr.d) AS d, max(ic.ic) AS resnik, max(dp.depth) FILTER (dp.depth >= 0) AS lca FROM pr JOIN cl x ON x.term = pr.a JOIN cl y ON y.term = pr.b AND y.ancestor = x.ancestor JOIN ic ON ic.term = x.ancestor JOIN dp ON dp.term = x.ancestor GROUP BY pr.a, pr.b),
+h AS (SELECT d AS x, greatest(p.depth + q.depth - 2 * lca, 0) AS y, -resnik AS z FROM cm JOIN dp p ON p.term = a JOIN dp q ON q.term = b),
+g AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2.0::DOUBLE AS rz FROM h)
+SELECT round(corr(rx, ry), 4) AS rho_path, round(corr(rx, rz), 4) AS rho_resnik, count(*) AS n_pairs FROM g""",
+)
+def fid_graph_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over each vector and the ones up to STEPS ids after it: does distance in space go with distance in the graph?"""
+    docs = checkpointed(term_vectors(spark, sf_dir))
+    after = docs.select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + STEPS)).alias("b"))
+    return distance_correlation(docs, after.join(docs.select(F.col("id").alias("b")), "b").select("a", "b"), about_terms(spark, sf_dir))
+
+
 #: Rows of a bucket, about, within which pairs are drawn.
 PAIR_BUCKET = 64
 
 
 def sample_pairs(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` distinct unordered pairs (a, b), fewer if there are fewer: in each draw rows fall into small buckets by hash and
-    pair with the next row of their bucket in an order by hash. No rank over all rows, no product of rows."""
+    """``n`` distinct unordered pairs (a, b) of distinct ids (id), all pairs if there are no more.
+
+    In each draw rows fall into small buckets by hash and pair with the next row of their bucket in an order by hash: no rank
+    over all rows, no product of rows. Draws are doubled until they give enough. Where half or more of all pairs are asked
+    for, the answer is of the size of the product, and all pairs are listed and cut by hash.
+    """
     total = ids.count()
-    draws = max(1, -(-2 * n // max(1, total)))
+    n = min(n, total * (total - 1) // 2)
+    if 4 * n >= total * (total - 1):
+        drawn = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    else:
+        draws = -(-2 * n // total)
+        while (drawn := _drawn(ids, total, draws, seed)).count() < n:
+            draws *= 2
+    return drawn.orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b").limit(n)
+
+
+def _drawn(ids: DataFrame, total: int, draws: int, seed: int) -> DataFrame:
     rows = ids.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "d", "id"), F.lit(max(1, total // PAIR_BUCKET)))
     follow = F.lead("id").over(Window.partitionBy("d", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "d", "id"), "id"))
     pairs = rows.withColumn("bucket", bucket).withColumn("other", follow).filter(F.col("other").isNotNull() & (F.col("other") != F.col("id")))
-    drawn = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return drawn.orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b").limit(n)
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def self_neighbours(docs: DataFrame, k: int) -> DataFrame:

@@ -266,7 +266,7 @@ def soft_matches(credits: DataFrame) -> DataFrame:
 @register("assign_soft_rows_only")
 def assign_soft_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ontology-aware soft true positives: exact matches first, the rest by maximum-weight matching within an assertion."""
-    from .ontology import features
+    from .ontology import about_terms
 
     found = outcomes(*annotations(spark, sf_dir))
     exact = found.filter("outcome = 'tp'").groupBy("doc_id", "assertion").agg(F.count("*").alias("exact"))

@@ -199,6 +199,9 @@ def test_adaptive_rechunking_keeps_what_gains(spark):
 def test_sampled_pairs(spark):
     got = [(r.a, r.b) for r in fidelity.sample_pairs(spark.range(50), 40).collect()]
     assert len(got) == len(set(got)) == 40 and all(a < b for a, b in got)
+    for rows, asked, expect in ((20, 190, 190), (20, 500, 190), (20, 90, 90), (1, 5, 0), (0, 5, 0)):
+        got = [(r.a, r.b) for r in fidelity.sample_pairs(spark.range(rows), asked).collect()]
+        assert len(got) == len(set(got)) == expect and all(a < b for a, b in got)
 
 
 def test_semantic_prf(spark):
