@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, hard_negatives, licenses, merkle, minhash, packing, quality, secrets_scan, simhash, toxicity, warc
+from . import bpe, common, exact_dedup, hard_negatives, licenses, merkle, minhash, packing, quality, secrets_scan, simhash, toxicity, url_filters, warc
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(common.table(spark, sf_dir, "embeddings"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(common.table(spark, sf_dir, "pages")).drop("purity")
+
+
 _OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 k AS (SELECT doc_id, norm, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
@@ -78,8 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op11_merkle": op11_merkle,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_url_filters": op13_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licenses": licenses.oracle(), "op8_exact_dedup": _OP8_SQL, "op9_warc": warc.oracle(), "op11_merkle": merkle.oracle(), "op12_hard_negatives": hard_negatives.ORACLE}
+    return {"op7_licenses": licenses.oracle(), "op8_exact_dedup": _OP8_SQL, "op9_warc": warc.oracle(), "op11_merkle": merkle.oracle(), "op12_hard_negatives": hard_negatives.ORACLE, "op13_url_filters": url_filters.oracle()}
