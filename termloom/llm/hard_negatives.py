@@ -39,7 +39,7 @@ ANCHORS, POSITIVES, NEGATIVES = 100, 5, 5
 SAMPLE_ROWS = 8192
 
 #: Rows of a block, about; anchors of a block of requests; rows of a leaf in a block's own tree.
-BLOCK_ROWS, BLOCK_ANCHORS, LEAF_ROWS = 2048, 256, 64
+BLOCK_ROWS, BLOCK_ANCHORS, LEAF_ROWS = 2048, 256, 128
 
 #: The tree has a cell for so many sample rows at most.
 CELL_SAMPLE = 16
@@ -182,67 +182,98 @@ class Tree:
 
 
 class Block:
-    """One block's own tree. A node: vantage row, and for either child its number and its rows' least and greatest distance."""
+    """One block's own tree: nodes with a vantage row and, for either child, its rows' least and greatest distance; leaves of rows."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, space: Space):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, space: Space, leaf_rows: int = LEAF_ROWS):
         self.ids, self.labels, self.x, self.whole, self.space = ids, labels, x, space.whole(x), space
         lifted = space.lifted(x)
-        self.nodes: list = []
-        stack = [(np.arange(len(ids)), -1, 0)]
+        self.vantage: list[int] = []
+        self.steps: list[tuple[int, int, float, float, bool]] = []  # (node, child, least, greatest, whether the child is a leaf), parents first
+        self.leaves: list[np.ndarray] = []
+        stack = [(np.arange(len(ids)), -1, 0.0, np.inf)]
         while stack:
-            at, parent, side = stack.pop()
-            me = len(self.nodes)
-            if parent >= 0:
-                self.nodes[parent][1][side][0] = me
-            if len(at) > LEAF_ROWS:
+            at, parent, least, greatest = stack.pop()
+            split = None
+            if len(at) > leaf_rows:
                 vantage = at[int(_distances(lifted[at], lifted[at[0]]).argmax())]
                 d = _distances(lifted[at], lifted[vantage])
                 inside = d <= np.median(d)
-                if not inside.all():
-                    parts = [(at[k], float(d[k].min()), float(d[k].max())) for k in (inside, ~inside)]
-                    self.nodes.append((vantage, [[0, a, b] for _, a, b in parts]))
-                    stack += [(part, me, i) for i, (part, _, _) in enumerate(parts)]
-                    continue
-            self.nodes.append((-1, at))
-        self.inner = np.array([n[0] for n in self.nodes])
-
-    def asked(self, q: np.ndarray, mine: int, label: int, windows: list[tuple[int, int, bool]], k: int) -> Iterator[tuple[int, int, int]]:
-        """For each window (low, high, same label) its first k rows as (window's number, score, id)."""
-        reach = float(q @ q) + self.space.m2
-        to = np.sqrt(np.maximum(0.0, reach - 2 * (self.x[self.inner] @ q)))
-        whole, leaves = self.space.whole(q[None, :])[0], {}
-        for number, (low, high, same) in enumerate(windows):
-            heap: list = [(-_MOST, 0, 0, 0.0, np.inf)]
-            left = k
-            while heap and left:
-                first = heapq.heappop(heap)
-                if first[1]:  # a row
-                    yield number, -first[0], first[2]
-                    left -= 1
-                    continue
-                _, _, node, near, far = first
-                vantage, below = self.nodes[node]
-                if vantage < 0:
-                    if node not in leaves:
-                        leaves[node] = np.clip(self.whole[below] @ whole, _LEAST, _MOST)
-                    s = leaves[node]
-                    fits = (s >= low) & (s <= high)
-                    fits &= (self.labels[below] == label) & (self.ids[below] != mine) if same else self.labels[below] != label
-                    rows = sorted((-int(a), 1, int(b)) for a, b in zip(s[fits], self.ids[below][fits]))
-                    for row in rows[:left]:
-                        heapq.heappush(heap, row)
+                split = None if inside.all() else [(at[k], d[k]) for k in (inside, ~inside)]
+            me = len(self.vantage) if split else len(self.leaves)
+            if parent >= 0:
+                self.steps.append((parent, me, least, greatest, split is None))
+            if split:
+                self.vantage.append(int(vantage))
+                stack += [(part, me, float(d.min()), float(d.max())) for part, d in split]
+            else:
+                self.leaves.append(at)
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each anchor and leaf the greatest and least score that a row there can have."""
+        reach = (q * q).sum(axis=1) + self.space.m2
+        shape = (len(q), len(self.leaves))
+        near, far = np.zeros(shape), np.full(shape, np.inf)
+        if self.vantage:
+            to = np.sqrt(np.maximum(0.0, reach[:, None] - 2 * (q @ self.x[self.vantage].T)))
+            low, high = {0: np.zeros(len(q))}, {0: np.full(len(q), np.inf)}
+            for node, child, least, greatest, leaf in self.steps:
+                d = to[:, node]
+                closer, farther = np.maximum(low[node], np.maximum(d - greatest, least - d)), np.minimum(high[node], d + greatest)
+                if leaf:
+                    near[:, child], far[:, child] = closer, farther
+                else:
+                    low[child], high[child] = closer, farther
+        return self.space.scores(near, far, reach[:, None])
+
+    def asked(self, q: np.ndarray, ids: list[int], labels: list[int], same: bool, windows: list[list[tuple[int, int, int]]], k: int) -> Iterator[tuple[int, int, int, int]]:
+        """The first k rows of each anchor's windows (name, low, high) as (anchor's place, window's name, score, id).
+
+        An anchor goes through the leaves that its windows meet, the one with the greatest bound first, and yields rows in order
+        of score as soon as no unseen leaf can hold a higher one; it ends when each window has k rows or is passed.
+        """
+        most, least = self.bounds(q)
+        whole = self.space.whole(q)
+        for a, own in enumerate(windows):
+            low, high = min(w[1] for w in own), max(w[2] for w in own)
+            meets = most[a] >= low
+            if high < _MOST:
+                meets &= least[a] <= high
+            leaves = np.flatnonzero(meets)
+            leaves = leaves[np.argsort(-most[a, leaves], kind="stable")]
+            left, heap = {w: k for w, _, _ in own}, []
+            for leaf in [*leaves, None]:
+                bound = _LEAST - 1 if leaf is None else most[a, leaf]
+                while heap and -heap[0][0] > bound and left:
+                    score, vec_id, at, s, rows = heapq.heappop(heap)
+                    for name, w_low, w_high in own:
+                        if name in left:
+                            if -score < w_low:
+                                del left[name]
+                            elif -score <= w_high:
+                                yield a, name, -score, vec_id
+                                left[name] -= 1
+                                if not left[name]:
+                                    del left[name]
+                    if at + 1 < len(s):
+                        heapq.heappush(heap, (-int(s[at + 1]), int(rows[at + 1]), at + 1, s, rows))
+                if not left or leaf is None:
+                    break
+                at = self.leaves[leaf]
+                s = np.clip(self.whole[at] @ whole[a], _LEAST, _MOST)
+                fits = (s >= low) & (s <= high)
+                if not fits.any():
                     continue
-                for child, a, b in below:
-                    closer, farther = max(near, to[node] - b, a - to[node]), min(far, to[node] + b)
-                    most, least = self.space.scores(closer, farther, reach)
-                    if most >= low and (least <= high or high == _MOST):
-                        heapq.heappush(heap, (-int(min(_MOST, most)), 0, child, closer, farther))
+                fits &= (self.labels[at] == labels[a]) & (self.ids[at] != ids[a]) if same else self.labels[at] != labels[a]
+                s, rows = s[fits], self.ids[at][fits]
+                if len(s):
+                    order = np.lexsort((rows, -s))
+                    heapq.heappush(heap, (-int(s[order[0]]), int(rows[order[0]]), 0, s[order], rows[order]))
 
 
 _FOUND = T.StructType([T.StructField("anchor", T.StringType()), T.StructField("window", T.IntegerType()), T.StructField("score", T.LongType()), T.StructField("vec_id", T.LongType())])
 
 
-def _search(space: Space, k: int):
+def _search(space: Space, k: int, same: bool):
     schema = to_arrow_schema(_FOUND)
 
     def search(rows: pa.Table, requests: pa.Table) -> pa.Table:
@@ -250,15 +281,12 @@ def _search(space: Space, k: int):
         if rows.num_rows and requests.num_rows:
             x = _matrix(rows.column("vec").to_pylist(), rows.column("wide").to_pylist(), space.dim)
             block = Block(np.asarray(rows.column("vec_id")), np.asarray(rows.column("label")), x, space)
-            asked: dict[str, list[dict]] = {}
-            for r in requests.to_pylist():
-                asked.setdefault(r["anchor"], []).append(r)
-            for anchor, own in asked.items():
-                q = _matrix([own[0]["vec"]], [own[0]["wide"]], space.dim)[0]
-                windows = [(r["low"], r["high"], r["same"]) for r in own]
-                for number, score, vec_id in block.asked(q, own[0]["anchor_id"], own[0]["label"], windows, k):
-                    for name, value in (("anchor", anchor), ("window", own[number]["window"]), ("score", score), ("vec_id", vec_id)):
-                        out[name].append(value)
+            q = _matrix(requests.column("vec").to_pylist(), requests.column("wide").to_pylist(), space.dim)
+            names, ids, labels = (requests.column(c).to_pylist() for c in ("anchor", "anchor_id", "label"))
+            windows = [[(w["window"], w["low"], w["high"]) for w in own] for own in requests.column("windows").to_pylist()]
+            for a, window, score, vec_id in block.asked(q, ids, labels, same, windows, k):
+                for name, value in (("anchor", names[a]), ("window", window), ("score", score), ("vec_id", vec_id)):
+                    out[name].append(value)
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in schema})
 
     return search
@@ -279,7 +307,8 @@ def _with_cells(tree, column: str):
             t = tree.value
             x = _matrix(batch.column("vec").to_pylist(), batch.column("wide").to_pylist(), t.space.dim)
             most, least = t.bounds(x)
-            low, high = (np.asarray(batch.column(c)).astype(np.float64)[:, None] for c in ("low", "high"))
+            windows = batch.column("windows").to_pylist()
+            low, high = (np.array([f(w[c] for w in own) for own in windows], dtype=np.float64)[:, None] for c, f in (("low", min), ("high", max)))
             meets = (most >= low) & ((least <= high) | (high >= _MOST))
             meets[np.arange(len(x)), np.asarray(batch.column("home"))] = False
             cells = pa.array([np.flatnonzero(m).astype(np.int32) for m in meets], pa.list_(pa.int32()))
@@ -318,7 +347,7 @@ def build(embeddings: DataFrame, block_rows: int = BLOCK_ROWS) -> Index:
     return Index(rows, tree, space, F.broadcast(common.staged(parts, "negatives-parts")))
 
 
-def _grid(index: Index, wanted: DataFrame, k: int) -> DataFrame:
+def _grid(index: Index, wanted: DataFrame, k: int, same: bool) -> DataFrame:
     """Deals blocks of rows to the blocks of requests that want their cells, and searches each pair in a task of its own."""
     pairs = wanted.select("cell", "group").distinct()
     pairs = common.staged(pairs, "negatives-pairs")
@@ -328,7 +357,7 @@ def _grid(index: Index, wanted: DataFrame, k: int) -> DataFrame:
     asked = wanted.join(index.parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     keys = ["cell", "part", "group"]
     rows = rows.select(*keys, "vec_id", "label", "vec", "wide").groupBy(*keys)
-    return rows.cogroup(asked.groupBy(*keys)).applyInArrow(_search(index.space, k), _FOUND)
+    return rows.cogroup(asked.groupBy(*keys)).applyInArrow(_search(index.space, k, same), _FOUND)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -337,17 +366,19 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def nearest(index: Index, requests: DataFrame, k: int) -> DataFrame:
-    """anchor, window, place, score and vec_id of each request's first k rows.
+def nearest(index: Index, requests: DataFrame, k: int, same: bool) -> DataFrame:
+    """anchor, window, place, score and vec_id of the first k rows of each request's windows: rows of the anchor's label but of
+    other ids (``same``), or rows of other labels.
 
-    requests: anchor (a key), anchor_id, label, vec, wide, home (its cell), group (its block of requests), window (a number), low
-    and high (scores, inclusive) and same (rows of the anchor's label but other ids, or rows of other labels).
+    requests: anchor (a key), anchor_id, label, vec, wide, home (its cell), group (its block of requests) and windows, an array
+    of (window: a name, low and high: scores, inclusive).
     """
-    near = common.staged(_first(_grid(index, requests.withColumn("cell", F.col("home")), k), k), "negatives-home")
-    kth = near.where(F.col("place") == k).select("anchor", "window", F.col("score").alias("kth"))
-    rest = requests.join(kth, ["anchor", "window"], "left").withColumn("low", F.coalesce("kth", "low")).drop("kth")
+    near = common.staged(_first(_grid(index, requests.withColumn("cell", F.col("home")), k, same), k), "negatives-home")
+    kth = near.where(F.col("place") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("kth"))
+    raised = lambda w: F.struct(w["window"].alias("window"), F.coalesce(F.try_element_at("kth", w["window"]), w["low"]).alias("low"), w["high"].alias("high"))
+    rest = requests.join(kth, "anchor", "left").withColumn("windows", F.transform("windows", raised)).select(*requests.columns)
     rest = _mapped(rest, index.tree, "cells").withColumn("cell", F.explode("cells")).drop("cells")
-    far = _grid(index, common.staged(rest, "negatives-requests"), k)
+    far = _grid(index, common.staged(rest, "negatives-requests"), k, same)
     return common.staged(_first(near.drop("place").unionByName(far), k), "negatives-found")
 
 
@@ -369,12 +400,14 @@ def mine(
     positives, the first rows of other labels whose score is 0.8 to 1 times the positive's."""
     index = build(embeddings, block_rows)
     asking = anchors(index, F.col("vec_id") % every == 0, block_anchors)
-    first = asking.select("*", F.lit(0).alias("window"), F.lit(_LEAST).alias("low"), F.lit(_MOST).alias("high"), F.lit(True).alias("same"))
-    found = nearest(index, first, positives).select("anchor", F.col("place").alias("window"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    windows = asking.join(found.where("positive_score >= 0").drop("positive_id"), "anchor")
+    window = lambda name, low, high: F.struct(name.cast("int").alias("window"), low.cast("long").alias("low"), high.cast("long").alias("high"))
+    everything = F.array(window(F.lit(0), F.lit(_LEAST), F.lit(_MOST)))
+    found = nearest(index, asking.withColumn("windows", everything), positives, same=True)
+    found = found.select("anchor", F.col("place").alias("window"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     high = F.col("positive_score")
-    windows = windows.select(*asking.columns, F.col("window"), (high - F.floor(high / F.lit(5).cast("decimal(1,0)")).cast("long")).alias("low"), high.alias("high"), F.lit(False).alias("same"))
-    hard = nearest(index, windows, negatives)
+    low = high - F.floor(high / F.lit(5).cast("decimal(1,0)")).cast("long")  # the least score of which 100 times is 80 times the positive's or more
+    windows = found.where("positive_score >= 0").groupBy("anchor").agg(F.collect_list(window(F.col("window"), low, high)).alias("windows"))
+    hard = nearest(index, asking.join(windows, "anchor"), negatives, same=False)
     hard = hard.select("anchor", "window", F.col("place").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     named = hard.join(found, ["anchor", "window"]).join(asking.select("anchor", "anchor_id"), "anchor")
     return named.select("anchor_id", "positive_id", F.col("rank").cast("int"), "negative_id", "positive_score", "negative_score")

@@ -75,14 +75,21 @@ def test_a_block_walks_its_tree_in_order(seed):
     x[200:500] = x[7]
     ids, labels = rng.permutation(1500), rng.integers(0, 4, 1500)
     space = Space(6, float((x * x).sum(axis=1).max()), True)
-    block = Block(ids, labels, x, space)
-    for a in rng.integers(0, 1500, 20):
-        s = (x @ x[a]).astype(int)
-        low, high = int(np.quantile(s, 0.5)), int(np.quantile(s, 0.9))
-        got = list(block.asked(x[a], int(ids[a]), int(labels[a]), [(low, high, False), (-(2**63), 2**63 - 1, True)], 5))
-        for window, fits in enumerate([(labels != labels[a]) & (s >= low) & (s <= high), (labels == labels[a]) & (ids != ids[a])]):
-            want = sorted((-int(s[i]), int(ids[i])) for i in np.flatnonzero(fits))[:5]
-            assert [(-score, i) for w, score, i in got if w == window] == want
+    block = Block(ids, labels, x, space, leaf_rows=50)
+    chosen = rng.integers(0, 1500, 20)
+    s = (x @ x[chosen].T).astype(int).T
+    most, least = block.bounds(x[chosen])
+    for i, leaf in enumerate(block.leaves):
+        assert (s[:, leaf] <= most[:, [i]]).all() and (s[:, leaf] >= least[:, [i]]).all()
+    assert len(block.leaves) > 10
+    windows = [[(w, int(np.quantile(row, b - 0.2)), int(np.quantile(row, b))) for w, b in enumerate([0.99, 0.9, 0.95, 0.6])] for row in s]
+    for same, asked in ((False, windows), (True, [[(0, -(2**63), 2**63 - 1)]] * 20)):
+        got = list(block.asked(x[chosen], [int(i) for i in ids[chosen]], [int(i) for i in labels[chosen]], same, asked, 5))
+        for a, c in enumerate(chosen):
+            fits = (labels == labels[c]) & (ids != ids[c]) if same else labels != labels[c]
+            for w, low, high in asked[a]:
+                want = sorted((-int(s[a, i]), int(ids[i])) for i in np.flatnonzero(fits) if low <= s[a, i] <= high)[:5]
+                assert [(-score, i) for b, name, score, i in got if (b, name) == (a, w)] == want
 
 
 def test_bounds_hold_every_score():
