@@ -1,82 +1,99 @@
-"""Exact nearest neighbours by cosine similarity: blocks of documents times a block of queries, running top-k per task."""
+"""Exact nearest neighbours by cosine similarity: a grid of document blocks and query blocks, merged top-k.
 
-from __future__ import annotations
+Both sides are dealt into blocks of bounded size, each document block meets each query block in one task, and a task gives k
+rows a query. Nothing passes through the driver, and documents are read once however many queries there are.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that travel to every task in one block; more are answered block by block.
-QUERY_BLOCK = 2_000
+#: Documents and queries of a block, about.
+DOC_BLOCK, QUERY_BLOCK = 8_192, 2_000
+
+#: Documents that a task multiplies with its queries at a time.
+STEP = 1_024
 
+FOUND = "query_id long, doc_id long, similarity double"
 
-def _unit(x: np.ndarray) -> np.ndarray:
+
+def unit(x: np.ndarray) -> np.ndarray:
     norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(-1, width)
+def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    """Unit rows of a column of lists of one width; null components count as zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    return unit(flat.reshape(rows, -1)) if rows else np.zeros((0, 0))
+
+
+def block_top(docs: pa.Table, queries: pa.Table, k: int, exclude_self: bool) -> pa.Table:
+    """query_id, doc_id, similarity of the k nearest of ``docs`` to each query; ties go to the smaller id."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if docs.num_rows and queries.num_rows:
+        docs = docs.sort_by("id")
+        ids, x = np.asarray(docs.column("id")), matrix(docs.column("embedding"), docs.num_rows)
+        asked, q = np.asarray(queries.column("id")), matrix(queries.column("embedding"), queries.num_rows)
+        for at in range(0, len(ids), STEP):
+            sims = np.round(np.clip(x[at : at + STEP] @ q.T, 0, 1), 6) + 0.0
+            if exclude_self:
+                first, last = np.searchsorted(ids[at : at + STEP], asked), np.searchsorted(ids[at : at + STEP], asked, "right")
+                for i in np.flatnonzero(last > first):
+                    sims[first[i] : last[i], i] = -1.0
+            edge = np.partition(sims, len(sims) - k, axis=0)[len(sims) - k] if len(sims) > k else np.zeros(len(asked))
+            doc, query = np.nonzero(sims >= np.maximum(edge, 0.0))
+            kept = best(query, ids[at + doc], sims[doc, query], k)
+            found.append(tuple(c[kept] for c in (query, ids[at + doc], sims[doc, query])))
+        query, doc, sim = (np.concatenate(c) for c in zip(*found))
+        kept = best(query, doc, sim, k)
+        found = [(asked[query[kept]], doc[kept], sim[kept])]
+    return pa.table(dict(zip(("query_id", "doc_id", "similarity"), found[0])))
+
+
+def best(query: np.ndarray, doc: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best rows, by similarity and then by id."""
+    order = np.lexsort((doc, -sim, query))
+    starts = np.searchsorted(query[order], query[order])
+    return order[np.arange(len(order)) - starts < k]
+
+
+def blocks(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
 
 
-def knn(docs: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def clean(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
+
+
+def every(n: int) -> Column:
+    """All numbers below n, one a row."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank; tasks cut what they have to k before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def knn(docs: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, doc_block: int = DOC_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, doc_id, similarity, rank of the ``k`` nearest documents of each query.
 
     ``docs`` and ``queries`` are (id long, embedding array<float>), all of one width; null embeddings are left out.
     Similarities are clamped to 0..1 and rounded to six digits; ties go to the smaller id. A zero vector has similarity 0.
-    Each task keeps k rows a query, so the shuffle carries tasks x queries x k rows and never the product. The query
-    set is read to the driver in blocks of QUERY_BLOCK rows by id, whatever its size.
+    Documents are dealt by a running number, so that ids that repeat don't fill one block; the numbers of rows come from the
+    files' metadata where nothing is filtered.
     """
-    chosen = queries.filter(F.col("embedding").isNotNull()).select(F.col("id").cast("long"), "embedding").orderBy("id")
-    parts, block = [], []
-    for row in chosen.toLocalIterator():
-        block.append((row.id, row.embedding))
-        if len(block) == QUERY_BLOCK:
-            parts.append(_block(docs, block, k, exclude_self))
-            block = []
-    if block or not parts:
-        parts.append(_block(docs, block, k, exclude_self))
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _block(docs: DataFrame, block: list[tuple[int, list[float]]], k: int, exclude_self: bool) -> DataFrame:
-    width = len(block[0][1]) if block else 1
-    ids = np.array([b[0] for b in block], dtype=np.int64)
-    q = _unit(np.array([b[1] for b in block], dtype=np.float64).reshape(len(block), width))
-
-    def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = [np.zeros(0)] * len(ids)
-        best_d = [np.zeros(0, dtype=np.int64)] * len(ids)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                doc = part.column("id").to_numpy()
-                sims = np.round(np.clip(_unit(_matrix(part.column("embedding"), width)) @ q.T, 0, 1), 6) + 0.0
-                for i, query in enumerate(ids):
-                    s, d = sims[:, i], doc
-                    if exclude_self:
-                        keep = d != query
-                        s, d = s[keep], d[keep]
-                    s, d = np.concatenate([best_s[i], s]), np.concatenate([best_d[i], d])
-                    if len(s) > k:
-                        edge = np.partition(s, len(s) - k)[len(s) - k]
-                        near = s >= edge
-                        s, d = s[near], d[near]
-                        order = np.lexsort((d, -s))[:k]
-                        s, d = s[order], d[order]
-                    best_s[i], best_d[i] = s, d
-        if len(ids):
-            yield pa.RecordBatch.from_pydict({
-                "query_id": np.repeat(ids, [len(d) for d in best_d]), "doc_id": np.concatenate(best_d), "similarity": np.concatenate(best_s),
-            })
-
-    rows = docs.filter(F.col("embedding").isNotNull()).select(F.col("id").cast("long"), "embedding")
-    return rows.mapInArrow(_nearest, "query_id long, doc_id long, similarity double")
+    n, m = blocks(docs.count(), doc_block), blocks(queries.count(), query_block)
+    dealt = clean(docs).withColumn("d", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).withColumn("q", every(m))
+    asked = clean(queries).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("d", every(n))
+
+    def meet(d: pa.Table, q: pa.Table) -> pa.Table:
+        return block_top(d, q, k, exclude_self)
+
+    return ranked(dealt.groupBy("d", "q").cogroup(asked.groupBy("d", "q")).applyInArrow(meet, FOUND), k)
