@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -20,9 +21,6 @@ class Rule:
 
 
 _MONTH = r"(?:[Jj]an|[Ff]eb|[Mm]ar|[Aa]pr|[Mm]ay|[Jj]un|[Jj]ul|[Aa]ug|[Ss]ep|[Oo]ct|[Nn]ov|[Dd]ec)[a-z]*"
-_DAY = r"(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"
-#: Between the name of a datum and its value; blanks are bounded, so that a long run of them costs nothing.
-_SIGN = r"\s{0,20}[:#-]?\s{0,20}"
 
 #: Titles, particles and words that are no names (fixed values).
 TITLES = {
@@ -41,10 +39,123 @@ NO_NAMES = (
 NAME_CONTEXT = ("called", "case", "name", "patient", "subject", "nachname", "vorname", "naam", "patiënt", "nom", "paciente")
 
 
+#: Names of data that identify a person, by locale and kind (fixed values).
+LABELS = {
+    ("birth", "en"): ("DOB", "D.O.B.", "date of birth", "birth date", "birthdate", "born on", "born"),
+    ("birth", "de"): ("Geburtsdatum", "Geburtstag", "geboren am", "geboren", "geb."),
+    ("birth", "fr"): ("date de naissance", "né le", "née le"),
+    ("birth", "es"): ("fecha de nacimiento", "nacido el", "nacida el"),
+    ("birth", "nl"): ("geboortedatum", "geboren op", "geboren"),
+    ("record", "en"): ("MRN", "medical record number", "medical record no.", "patient ID", "NHS number"),
+    ("record", "es"): ("número de historia clínica", "historia clínica", "paciente ID"),
+    ("dni", "es"): ("DNI", "NIE", "NIF"),
+    ("bsn", "nl"): ("BSN", "burgerservicenummer"),
+    ("kvnr", "de"): ("KVNR", "Krankenversichertennummer", "Versichertennummer"),
+    ("nir", "fr"): ("NIR", "numéro de sécurité sociale", "sécurité sociale", "securite sociale"),
+}
+#: Words of streets, by locale (fixed values); in some languages they are also the ends of a street's name.
+STREETS = {
+    "en": ("street", "st", "road", "rd", "avenue", "ave", "drive", "dr", "lane", "square", "court", "terrace"),
+    "de": ("straße", "strasse", "str", "weg", "platz", "allee", "gasse", "ring", "damm"),
+    "fr": ("rue", "avenue", "av", "boulevard", "bd", "chemin", "place", "allée", "impasse", "quai"),
+    "es": ("calle", "c/", "avenida", "avda", "paseo", "plaza", "camino", "carretera"),
+    "nl": ("straat", "laan", "weg", "plein", "gracht", "kade", "singel", "adres"),
+}
+COMPOUNDED = ("de", "nl")
+#: Postcodes: Britain's and the United States', Germany's, France's, Spain's, the Netherlands'.
+POSTCODES = {
+    "en": r"(?:[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}|[A-Z]{2} [0-9]{5}(?:-[0-9]{4})?)",
+    "de": "[0-9]{5}", "fr": "[0-9]{5}", "es": "[0-9]{5}", "nl": "[1-9][0-9]{3} ?[A-Z]{2}",
+}
+
+_DAY, _MONTH_NUMBER, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:[12][0-9]{3}|[0-9]{2})"
+#: A date in digits: day and month in either order with one of the usual signs, or year first.
+DATE = rf"(?:{_DAY}[./-]{_DAY}[./-]{_YEAR}|[12][0-9]{{3}}[./-]{_MONTH_NUMBER}[./-]{_DAY})(?![0-9])"
+
+_NO_LETTER = r"(?<![\p{L}\p{M}0-9])"
+#: Words between a number, a street's word and a postcode, at most.
+ADDRESS_WORDS = 6
+
+
+def spelled(words: tuple[str, ...]) -> str:
+    """Any of the words, longer ones first, with blanks of any number for one."""
+    return "|".join(r"\s++".join(re.escape(part) for part in w.split(" ")) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+def labelled(kind: str, locale: str, value: str) -> str:
+    """The name of a datum, blanks and at most one sign, and its value. Blanks are taken whole, so that a long run of them is passed once."""
+    return rf"(?iu){_NO_LETTER}(?:{spelled(LABELS[kind, locale])})\s*+[:=#-]?\s*+{value}"
+
+
+def grouped(*parts: str) -> str:
+    """Parts of a number with a blank, dot or hyphen, or nothing, between one and the next."""
+    return "[ .-]?".join(parts) + "(?![0-9])"
+
+
+def address(locale: str) -> str:
+    """A street with its house number, before or after it, and a postcode further on in the line."""
+    gap, word = r"(?:[^\S\n]++|,[^\S\n]*+)", r"[\p{L}][\p{L}\p{M}.'/-]*+"
+    more = rf"(?:{gap}{word}){{0,{ADDRESS_WORDS}}}?"
+    number = r"[0-9]{1,5}[A-Z]?(?![\p{L}\p{M}0-9])"
+    own = rf"(?:{spelled(STREETS[locale])})\.?(?![\p{{L}}\p{{M}}0-9])"
+    street = rf"(?<![\p{{L}}\p{{M}}0-9-])(?:[\p{{L}}\p{{M}}-]*?){own}" if locale in COMPOUNDED else _NO_LETTER + own
+    sign = r"(?:\s*+[:#-])?"
+    return rf"(?iu)(?:{_NO_LETTER}{number}{more}{gap}{street}|{street}{sign}{more}{gap}{number}){more}{gap}{POSTCODES[locale]}(?![\p{{L}}\p{{M}}0-9])"
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A region's numbering plan: country code, trunk prefix, first digits of a national number and its least and greatest length."""
+
+    region: str
+    country: str
+    trunk: str
+    first: str
+    least: int
+    most: int
+
+
+#: Plans by the regions' published rules (fixed values). A region without a trunk prefix needs its country code or a full national number.
+PLANS = (
+    Plan("GB", "44", "0", "[1-35789]", 9, 10), Plan("US", "1", "", "[2-9]", 10, 10), Plan("DE", "49", "0", "[1-9]", 7, 11),
+    Plan("FR", "33", "0", "[1-9]", 9, 9), Plan("ES", "34", "", "[6-9]", 9, 9), Plan("NL", "31", "0", "[1-9]", 9, 9),
+)
+
+
+def telephone(plans: tuple[Plan, ...] = PLANS) -> str:
+    """One pattern for numbers of all plans: a trie of their prefixes (+CC, 00CC, trunk or none), each end with what may follow.
+
+    Between digits stand at most three signs; a trunk zero may be given in brackets after the country code. Dates, network addresses and
+    parts of longer numbers are none.
+    """
+    sign = "[ ()/.-]{0,3}"
+    root: dict = {}
+
+    def put(prefix: str, ending: str) -> None:
+        node = root
+        for c in prefix:
+            node = node.setdefault(c, {})
+        node.setdefault("", set()).add(ending)
+
+    for p in plans:
+        national = f"{p.first}(?:{sign}[0-9]){{{p.least - 1},{p.most - 1}}}"
+        for prefix in ("+" + p.country, "00" + p.country):
+            put(prefix, (rf"(?:\({p.trunk}\){sign})?" if p.trunk else "") + national)
+        put(p.trunk, national)
+
+    def spelled_out(node: dict) -> str:
+        """The longest prefix is tried first."""
+        ways = [re.escape(c) + sign + spelled_out(below) for c, below in sorted(node.items()) if c] + sorted(node.get("", ()))
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    inside = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])"
+    return rf"(?<![0-9A-Za-z+])(?<![0-9][./-])\(?(?!{DATE})(?!{inside}){spelled_out(root)}(?![0-9A-Za-z])"
+
+
 def titled_name(titles: tuple[str, ...]) -> str:
     """A title and one or two capitalised words."""
     name = r"\p{Lu}[\p{L}\p{M}'-]+"
-    return rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(titles)})\.?\s{{1,20}}{name}(?:\s{{1,20}}{name})?(?![\p{{L}}\p{{M}}])"
+    return rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(titles)})\.?\s++{name}(?:\s++{name})?(?![\p{{L}}\p{{M}}])"
 
 
 def untitled_name() -> str:
@@ -60,30 +171,30 @@ def untitled_name() -> str:
     return rf"(?<![{letter}]){name}(?:\s++(?:{particle}\s++){{0,2}}(?!{particle}){name})++"
 
 
-#: Rules for all texts, then by locale (fixed values: patterns of common written forms).
+#: The number of a record: letters or none, then groups with digits, four signs or more.
+RECORD = r"(?=[A-Z0-9 -]{4})(?:[A-Z]{1,4}-?)?[0-9][0-9A-Z]*+(?:[ -][0-9]++)*+"
+
+#: Rules for all texts, then by locale.
 RULES: tuple[Rule, ...] = (
     Rule("email", "contact", "high", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]", guard=r"(?:\G|(?<![A-Za-z0-9._%+-]))"),
     Rule("url", "contact", "high", r"(?:https?://|www\.)[A-Za-z0-9./?=&_%#:~+-]+", "[URL]"),
     Rule("ipv4", "network", "high", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", "[IP]"),
     Rule("date", "date", "review", rf"\b(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{2,4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}})\b", "[DATE]"),
-    Rule("phone", "contact", "review", r"\+?[0-9][0-9 ()/.-]{7,}[0-9]", "[PHONE]"),
+    Rule("phone", "contact", "review", telephone(), "[PHONE]"),
     *[Rule(f"titled-name-{locale}", "name", "review", titled_name(titles), "[NAME]", (locale,)) for locale, titles in TITLES.items()],
     Rule("untitled-name", "name", "review", untitled_name(), "[NAME]"),
-    Rule("birth-en", "birth", "high", rf"(?i)(?:DOB|date of birth|born){_SIGN}{_DAY}", "[BIRTH]", ("en",)),
-    Rule("birth-de", "birth", "high", rf"(?i)(?:Geburtsdatum|geboren){_SIGN}(?:[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{2,4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})", "[BIRTH]", ("de",)),
-    Rule("medical-record", "identity", "high", rf"(?i)(?:MRN|medical record number|patient ID|NHS number){_SIGN}[A-Z0-9 -]{{4,24}}", "[RECORD]", ("en",)),
-    Rule("medical-record-es", "identity", "high", rf"(?iu)(?:(?:número de )?historia clínica|paciente id){_SIGN}[A-Z0-9 -]{{4,24}}", "[RECORD]", ("es",)),
-    Rule("es-dni", "identity", "high", rf"(?i)(?:DNI|NIE|NIF){_SIGN}(?:[0-9]{{8}}[A-Z]|[XYZ][0-9]{{7}}[A-Z])", "[ID]", ("es",)),
-    Rule("nl-bsn", "identity", "high", rf"(?i)(?:BSN|burgerservicenummer){_SIGN}[0-9]{{9}}", "[ID]", ("nl",)),
-    Rule("de-kvnr", "identity", "high", rf"(?i)(?:Krankenversichertennummer|Versichertennummer|KVNR){_SIGN}[A-Z][0-9]{{9}}", "[ID]", ("de",)),
-    Rule("fr-nir", "identity", "high", rf"(?iu)(?:NIR|numéro de sécurité sociale|securite sociale){_SIGN}[12][0-9 .-]{{12,20}}", "[ID]", ("fr",)),
-    Rule("address-en", "address", "high", r"(?i)\b(?:street|st\.|road|rd\.|avenue|ave\.|drive|dr\.)\s{1,20}[^\n,]{0,80}[0-9]+[^\n]{0,80}\b[A-Z0-9][A-Z0-9 -]{3,10}\b", "[ADDRESS]", ("en",)),
-    Rule("address-de", "address", "high", r"(?iu)\b(?:straße|strasse|str\.|weg|platz|allee)\s{1,20}[0-9]+\b[^\n]{0,80}\b[0-9]{5}\b", "[ADDRESS]", ("de",)),
-    Rule("address-fr", "address", "high", r"(?i)\b(?:rue|avenue|av\.|boulevard|bd|chemin|place)\s{1,20}[^\n,]{0,80}[0-9]+[^\n]{0,80}\b[0-9]{5}\b", "[ADDRESS]", ("fr",)),
-    Rule("address-es", "address", "high", r"(?i)\b(?:calle|c/|avenida|avda\.|paseo|plaza)\s{1,20}[^\n,]{0,80}[0-9]+[^\n]{0,80}\b[0-9]{5}\b", "[ADDRESS]", ("es",)),
-    Rule("address-nl", "address", "high", r"(?i)\b(?:straat|laan|weg|plein|adres)\s{0,20}[:#-]?\s{1,20}[^\n,]{0,80}[0-9]+[A-Z]?\b[^\n]{0,80}\b[0-9]{4}\s?[A-Z]{2}\b", "[ADDRESS]", ("nl",)),
+    *[Rule(f"birth-{locale}", "birth", "high", labelled(kind, locale, DATE), "[BIRTH]", (locale,)) for kind, locale in LABELS if kind == "birth"],
+    *[Rule("medical-record" + ("" if locale == "en" else f"-{locale}"), "identity", "high", labelled(kind, locale, RECORD), "[RECORD]", (locale,)) for kind, locale in LABELS if kind == "record"],
+    Rule("es-dni", "identity", "high", labelled("dni", "es", grouped("(?:[0-9]{8}|[0-9]{2}[.][0-9]{3}[.][0-9]{3}|[XYZ][ -]?[0-9]{7})", "[A-Z]") + "(?![A-Z])"), "[ID]", ("es",)),
+    Rule("nl-bsn", "identity", "high", labelled("bsn", "nl", grouped(*["[0-9]"] * 9)), "[ID]", ("nl",)),
+    Rule("de-kvnr", "identity", "high", labelled("kvnr", "de", grouped("[A-Z]", *["[0-9]{3}"] * 3)), "[ID]", ("de",)),
+    Rule("fr-nir", "identity", "high", labelled("nir", "fr", grouped("[12]", *["[0-9]{2}"] * 3, "[0-9]{3}", "[0-9]{3}(?:[ .-]?[0-9]{2})?")), "[ID]", ("fr",)),
+    *[Rule(f"address-{locale}", "address", "high", address(locale), "[ADDRESS]", (locale,)) for locale in STREETS],
 )
 
+#: Any run of digits and the signs of telephone numbers: what a search without plans takes.
+DIGIT_RUN = Rule("digit-run", "contact", "review", r"\+?[0-9][0-9 ()/.-]{7,}[0-9]", "[PHONE]")
+
 FINDING = "array<struct<start:int,end:int,rule:string,confidence:string,token:string>>"
 
 
@@ -151,7 +262,7 @@ def scan(text: Column, locale: Column | None = None, rules: tuple[Rule, ...] = R
 
 def identifier(found: Column) -> Column:
     """The number in a finding that also holds its name, without blanks, dots and hyphens, in capitals."""
-    number = F.regexp_extract(found, r"(?i)[A-Z]?[0-9][0-9 .-]{6,20}[A-Z]?", 0)
+    number = F.regexp_extract(found, r"(?i)(?:(?<![A-Z])[A-Z][ .-]?|[XYZ])?[0-9][0-9 .-]{6,20}[A-Z]?", 0)
     return F.upper(F.regexp_replace(F.when(number == "", found).otherwise(number), r"[\s.-]", ""))
 
 

@@ -16,20 +16,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _rule_sql(rule: pii.Rule, found: str) -> str:
-    pattern = rule.pattern.replace("'", "''")
-    return f"SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{pattern}')) AS {found} FROM documents"
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
+
 
+def _rule_query(name: str, rule: pii.Rule, source=documents, rows: str = "doc_id, coalesce(text, '') AS text FROM documents", sql: bool = True) -> None:
+    pattern = rule.pattern.replace("'", "''")
+    found = f"WITH t AS (SELECT {rows}), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS matched FROM t) SELECT doc_id, matched, count(*) AS n FROM m GROUP BY ALL"
 
-def _rule_query(name: str, rule: pii.Rule) -> None:
-    @register(name, f"WITH m AS ({_rule_sql(rule, 'matched')}) SELECT doc_id, matched, count(*) AS n FROM m GROUP BY ALL")
+    @register(name, found if sql else None)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = documents(spark, sf_dir).withColumn("s", F.explode(pii.matches(F.col("text"), rule.guard + rule.pattern)))
+        rows = source(spark, sf_dir).withColumn("s", F.explode(pii.matches(F.col("text"), rule.guard + rule.pattern)))
         return rows.groupBy("doc_id", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("matched")).agg(F.count("*").alias("n"))
 
 
-for _id in ("email", "ipv4", "url", "date", "phone"):
+for _id in ("email", "ipv4", "date"):
     _rule_query(f"pii_{_id}", _BY_ID[_id])
+_rule_query("pii_url", _BY_ID["url"], pages, "page_id AS doc_id, coalesce(html, '') AS text FROM pages")
+_rule_query("pii_phone", pii.DIGIT_RUN)
+_rule_query("pii_phone_regions", _BY_ID["phone"], sql=False)
 
 
 @register(
