@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings that a dictionary-primed compressor can't shorten.
 
-The base patterns give spans of three kinds. The method adds a fourth: a *candidate* is a token-like string that starts
-within REACH characters after a word of sensitive context. Its novelty is its marginal size: the bytes that it adds when a zstandard
+The base patterns give spans of three kinds. The method adds a fourth: a *candidate* is a token-like string that begins or ends
+within REACH characters of a word of sensitive context, a string that begins as a provider's tokens do, or the whole body of a private key;
+lines of one alphabet that follow a reported string go with it, however many. Its novelty is its marginal size: the bytes that it adds when a zstandard
 frame of the surrounding text, primed with a dictionary of common identifiers and code, is compressed with it and without
 it. Ordinary words, identifiers, paths and repeats of the surroundings cost little; keys and passwords cost nearly what
 their characters' entropy is. A candidate whose marginal bytes pass both an absolute and a relative bound is reported.
@@ -9,6 +10,7 @@ their characters' entropy is. A candidate whose marginal bytes pass both an abso
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -39,7 +41,13 @@ CONTEXT = re.compile(
     r"|(?:(?<![A-Za-z])(?:[Kk]ey|[Aa]uth)|(?<=[a-z])(?:Key|Auth))s?(?![a-z])|(?<![A-Za-z])(?:KEY|AUTH)S?(?![A-Za-z])",
     re.ASCII,
 )
-#: A candidate starts at most so many characters after the end of a sensitive word, whatever stands between, line ends too.
+#: How tokens of known providers begin (fixed values); such a string needs no word beside it.
+PREFIXES = (
+    "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "pk_live_", "whsec_", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "xapp-",
+    "AIza", "ya29.", "npm_", "pypi-", "SG.", "hf_", "sk-", "dop_v1_", "shpat_", "shpss_", "dckr_pat_", "lin_api_", "eyJ",
+)
+#: A candidate starts at most so many characters after the end of a sensitive word, whatever stands between, line ends too,
+#: or ends at most so many before one.
 REACH = 48
 LEAST_CHARS = 12
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.~!@$%^*-][A-Za-z0-9+/_.=~!@$%^*-]{" + str(LEAST_CHARS - 1) + ",}", re.ASCII)
@@ -51,6 +59,15 @@ _DIRECT = re.compile(r"""["'\]>)]{0,4}(?:\s{1,40}+(?:is|was|=>))?\s{0,40}+[:=>]{
 _SIGN = re.compile(r"""[:=>"'(<\[]|\b(?:is|was)\b""", re.IGNORECASE | re.ASCII)
 _RUN_END = re.compile(r"[A-Za-z0-9+/_.=~!@$%^*-]*", re.ASCII)
 _CONTEXT_WORDS = re.compile(rb"pass|pwd|secret|token|key|auth|credential|bearer|session|signature")
+_PREFIX_BYTES = tuple(p.encode() for p in PREFIXES)
+#: Whole strings of the alphabet, and those that begin as a provider's tokens do.
+_RUNS = re.compile(r"[A-Za-z0-9+/_.=~!@$%^*-]{" + str(LEAST_CHARS) + ",}", re.ASCII)
+_PREFIXED = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, PREFIXES)) + r")[A-Za-z0-9+/_.=-]{" + str(LEAST_CHARS) + ",}", re.ASCII)
+#: The head of a private key's block; a foot; a line of a body: one alphabet, with quotes, comment signs or escapes about it.
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,60}PRIVATE KEY(?: BLOCK)?-----", re.ASCII)
+_BODY = re.compile("[A-Za-z0-9+/]{16}", re.ASCII)
+_FOOT = re.compile(r"-----END [A-Z0-9 ]{0,60}PRIVATE KEY(?: BLOCK)?-----", re.ASCII)
+_LINE = re.compile(r"""(?:[ \t>"'+,;)\\]*+(?:\r?\n|\\r?\\?n)[ \t>#*"'+/(]*?(?=[A-Za-z0-9+/_]))([A-Za-z0-9+/_=-]+)(?=[ \t"'+,;)\\]*(?:\r?\n|\\|\Z))""", re.ASCII)
 
 #: Identifiers and code that no secret consists of (fixed values): the primer of the compressor.
 IDENTIFIERS = (
@@ -92,6 +109,9 @@ LEAST_SPELLING = 0.6
 #: The same for mixed strings that are assigned right after a sensitive word.
 LEAST_DIRECT = 0.55
 
+#: Bytes a digit of strings of digits, which cost 0.42 at random; these count only where assigned right after a sensitive word.
+LEAST_DIGITS = 0.36
+
 _DICTIONARY = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 _compressor: zstandard.ZstdCompressor | None = None
 
@@ -124,6 +144,7 @@ def _letter_bits() -> dict[str, float]:
 _BITS = _letter_bits()
 _HEXADECIMAL = re.compile("(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f-]+|[0-9A-F-]+)")
 _RUN = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]")
+_DIGITS = re.compile("[0-9]+", re.ASCII)
 _DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_][0-9.+Z-]*)?")
 
 
@@ -185,10 +206,40 @@ def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
             known = found.get(end, (start, False))
             found[end] = (max(start, known[0]), known[1] or start == direct and _SIGN.search(text, word.end(), start) is not None)
             at = end
+    runs = None
+    for word in CONTEXT.finditer(text):  # what ends shortly before a sensitive word; a run is looked at once
+        if runs is None:
+            runs = [m.span() for m in _RUNS.finditer(text)]
+            ends = [end for _, end in runs]
+        for start, end in runs[bisect.bisect_right(ends, word.start() - REACH) : bisect.bisect_right(ends, word.start())]:
+            if end not in found and _mixed(text[start:end]):
+                found[end] = (start, False)
+    for m in _PREFIXED.finditer(text):
+        found[m.end()] = (min(m.start(), found.get(m.end(), m.span())[0]), True)
     for end, (start, direct) in sorted(found.items()):
         yield start, end, direct
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Bodies of private keys: from the head's end to the foot, or to the last line of one alphabet where there is no foot."""
+    found, at = [], 0
+    while head := _BLOCK.search(text, at):
+        following = _BLOCK.search(text, head.end())
+        foot = _FOOT.search(text, head.end(), following.start() if following else len(text))
+        end = foot.start() if foot else _lines_end(text, head.end())
+        if _BODY.search(text, head.end(), end):
+            found.append((head.end(), end))
+        at = max(end, head.end())
+    return found
+
+
+def _lines_end(text: str, at: int) -> int:
+    """The end of the lines of one alphabet that follow ``at`` directly; a line of letters of one case, as a word is, ends them."""
+    while (line := _LINE.match(text, at)) and (_mixed(line[1]) or line[1].endswith("=")):
+        at = line.end(1)
+    return at
+
+
 def novel_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
     """(start, end, "novel") of candidates in sensitive context that don't compress.
 
@@ -196,19 +247,36 @@ def novel_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str
     it stands at a distance or without a sign of assignment, or has letters of one case only.
     """
     raw = text.encode() if raw is None else raw
-    if not _CONTEXT_WORDS.search(raw.lower()):
+    if not (_CONTEXT_WORDS.search(raw.lower()) or any(p in raw for p in _PREFIX_BYTES)):
         return []
     found = []
+    for start, end in key_blocks(text):
+        if _is_novel(text, start, end, LEAST_SHARE):
+            found.append((start, end, "novel"))
+    blocks, at = list(found), 0
+    last = 0
     for start, end, direct in _candidates(text):
+        while at < len(blocks) and blocks[at][1] <= start:
+            at += 1
+        if start < last or at < len(blocks) and blocks[at][0] < end:
+            continue  # part of lines or of a block that are reported
         candidate = text[start:end]
         if _DATE.fullmatch(candidate):
             continue
-        if not _HEXADECIMAL.fullmatch(candidate) and spelling_share(candidate) < (LEAST_DIRECT if direct and _mixed(candidate) else LEAST_SPELLING):
+        share = LEAST_SHARE
+        if direct and _DIGITS.fullmatch(candidate):
+            share = LEAST_DIGITS
+        elif not _HEXADECIMAL.fullmatch(candidate) and spelling_share(candidate) < (LEAST_DIRECT if direct and _mixed(candidate) else LEAST_SPELLING):
             continue
-        size = marginal_bytes(candidate, text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS])
-        if size >= LEAST_BYTES and size >= LEAST_SHARE * (end - start):
-            found.append((start, end, "novel"))
-    return found
+        if _is_novel(text, start, end, share):
+            last = _lines_end(text, end)
+            found.append((start, max(end, last), "novel"))
+    return sorted(found)
+
+
+def _is_novel(text: str, start: int, end: int, share: float) -> bool:
+    size = marginal_bytes(text[start:end], text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS])
+    return size >= LEAST_BYTES and size >= share * (end - start)
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
@@ -235,7 +303,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base spans and all spans (kind:start:end in code points, end exclusive) of each row.
 
-    A null text counts as empty and has no spans. Repeated rows are scanned each; other columns are ignored.
+    A null text counts as empty and has no spans. Repeated rows are scanned each; other columns are ignored; an empty table
+    gives an empty result. Long texts are scanned whole, in time that goes with their length.
     """
     common.prepare(docs.sparkSession)
     ddl = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base string, spans string"
@@ -263,7 +332,7 @@ def masked(text: str) -> str:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in the texts and n_chars, where there is one, set to the new length.
 
-    Every row stays; null texts stay null.
+    Every row stays, repeated ones too; null texts stay null, an empty table stays empty, and long texts are masked to their end.
     """
     common.prepare(docs.sparkSession)
 
