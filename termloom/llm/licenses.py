@@ -1,6 +1,6 @@
 """License scans by sentence rules, in DataFrame functions throughout.
 
-A text is cut into sentences at line ends and after marks that end a sentence, and wrapped lines are joined again; each
+Usual wordings are put into the wording of the known sentences first (WORDINGS). A text is cut into sentences at line ends and after marks that end a sentence, and wrapped lines are joined again; each
 sentence is normalised to lower-case ASCII letters and digits parted by single blanks. Known license sentences map to
 identifiers. A text's identifiers, in order, are matched against the rules: a rule is an ordered list of identifiers that
 must occur in that order, with other sentences allowed between them. A rule yields to the rules that say more: those whose
@@ -44,6 +44,15 @@ SENTENCES: dict[str, str] = {
     "gpl.nowarranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl.copy": "You should have received a copy of the GNU General Public License along with this program.",
     "lgpl3.notice": "Licensed under the GNU Lesser General Public License, version 3.",
+    "bsd.endorse.author": "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl2.only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl2.only.license": "you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation",
+    "gpl2.either": "either version 2 of the License",
+    "gpl3.only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    "gpl2.notice": "This work is licensed under the GNU General Public License, version 2.",
+    "mpl2.line": "Licensed under the Mozilla Public License, version 2.0.",
+    "bsd3.notice": "Licensed under the BSD 3-Clause License.",
+    "bsd2.notice": "Licensed under the BSD 2-Clause License.",
     "mpl2.notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "mpl2.copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "ccbync4.notice": "Licensed under CC BY-NC 4.0.",
@@ -72,8 +81,8 @@ SENTENCES: dict[str, str] = {
 
 #: Short identifiers of the SPDX list, in lines "SPDX-License-Identifier: ..." (fixed values).
 SPDX = (
-    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "EPL-2.0",
-    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+    "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "EPL-2.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 )
 _SPDX_LINE = "SPDX-License-Identifier:"
 SENTENCES |= {f"spdx.{x.lower()}": f"{_SPDX_LINE} {x}" for x in SPDX}
@@ -112,6 +121,14 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("lgpl21-header", "LGPL-2.1", ("lgpl.redistribute", "lgpl21.later")),
     ("lgpl3-header", "LGPL-3.0", ("lgpl.redistribute", "gpl3.later")),
     ("agpl3-header", "AGPL-3.0", ("agpl.redistribute",)),
+    ("bsd3-author", "BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse.author")),
+    ("bsd3-line", "BSD-3-Clause", ("bsd3.notice",)),
+    ("bsd2-line", "BSD-2-Clause", ("bsd2.notice",)),
+    ("gpl2-only", "GPL-2.0-only", ("gpl.free", "gpl2.only")),
+    ("gpl2-only-license", "GPL-2.0-only", ("gpl.free", "gpl2.only.license")),
+    ("gpl2-line", "GPL-2.0", ("gpl2.notice",)),
+    ("gpl3-only", "GPL-3.0-only", ("gpl.free", "gpl3.only")),
+    ("mpl2-line", "MPL-2.0", ("mpl2.line",)),
     ("boost-line", "BSL-1.0", ("boost.notice",)),
     ("zlib-text", "Zlib", ("zlib.asis", "zlib.grant")),
     ("epl2-line", "EPL-2.0", ("epl2.notice",)),
@@ -120,6 +137,43 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     *((f"spdx-{x.lower()}", x, (f"spdx.{x.lower()}",)) for x in SPDX),
 )
 
+_NAMES = "|".join(x.replace(".", "[.]") for x in sorted(SPDX, key=lambda x: (-len(x), x)))
+# What may stand between words: at most one line end, with comment signs (_G) or blanks (_W) about it; an empty line parts sentences.
+_G = r"(?:[^A-Za-z0-9\n]+\n?[^A-Za-z0-9\n]*|\n[^A-Za-z0-9\n]*)"
+_W = r"(?:[ \t]+(?:\n[ \t]*)?|\n[ \t]*)"
+_UNDER = rf"{_W}under{_W}(?:the{_W})?(?:terms{_W}of{_W}the{_W})?"
+_LICENSED = rf"(?i)\b(?:licen[sc]ed|released|distributed|available){_UNDER}"
+
+#: Words of a holder's name in a clause, at most.
+HOLDER_WORDS = 20
+
+#: Usual wordings and the known sentence's wording, put in its place before a text is cut (pattern, replacement with \\1), in this
+#: order: placeholders (whose name stands in the clause), optional words, notices within a longer sentence, and conjunctions of
+#: short identifiers, which become a line each. Patterns are such that Java's and RE2's engines read alike.
+WORDINGS: tuple[tuple[str, str], ...] = (
+    (
+        rf"(?i)\bneither{_G}(?:the{_G})?names?{_G}of{_G}(?:[^\s]+{_W}){{1,{HOLDER_WORDS}}}?nor{_G}(?:the{_G})?names?{_G}of{_G}(?:its|their|his|her|any|the|other|contributors|{_G})+may{_G}be{_G}used",
+        "Neither the name of the copyright holder nor the names of its contributors may be used",
+    ),
+    (rf"(?i)\bthe{_G}names?{_G}of{_G}(?:the{_G})?(?:author|authors|copyright{_G}holders?|contributors?){_G}may{_G}not{_G}be{_G}used", "The name of the author may not be used"),
+    (rf"(?i)\bmodify,?{_W}and{_W}distribute{_W}this{_W}software{_W}for{_W}any{_W}purpose", "modify, and/or distribute this software for any purpose"),
+    (rf"(?i)\b(?:this|the){_W}(?:project|software|code|file|library|package|program|repository|module|plugin|tool){_W}is{_W}(?:licen[sc]ed|released|distributed|made{_W}available|available){_W}under", "\n\nLicensed under"),
+    (rf"(?i)\blicen[sc]ed{_UNDER}MIT(?:{_W}licen[sc]e)?\b", "\n\nLicensed under the MIT License.\n\n"),
+    (rf"(?i)\b(?:released|distributed|available){_UNDER}MIT(?:{_W}licen[sc]e)?\b", "\n\nReleased under the MIT License.\n\n"),
+    (_LICENSED + rf"Apache(?:{_W}licen[sc]e)?(?:,?{_W}v(?:ersion{_W})?|[ \t-]+)2(?:\.0)?{_W}licen[sc]e\b", "\n\nLicensed under the Apache License, Version 2.0.\n\n"),
+    (_LICENSED + rf"Apache{_W}licen[sc]e,?{_W}(?:v\.?[ \t]*)?2\.0\b", "\n\nLicensed under the Apache License, Version 2.0.\n\n"),
+    (_LICENSED + rf"(?:GPL|GNU{_W}GPL)[ \t-]*(?:v|version)?[ \t]*3(?:\.0)?\b", "\n\nThis work is licensed under the GNU General Public License, version 3.\n\n"),
+    (_LICENSED + rf"(?:GPL|GNU{_W}GPL)[ \t-]*(?:v|version)?[ \t]*2(?:\.0)?\b", "\n\nThis work is licensed under the GNU General Public License, version 2.\n\n"),
+    (_LICENSED + rf"(?:MPL|Mozilla{_W}Public{_W}licen[sc]e)[ \t,-]*(?:v|version)?\.?\s*2\.0\b", "\n\nLicensed under the Mozilla Public License, version 2.0.\n\n"),
+    (_LICENSED + rf"(?:BSD[ \t-]+3[ \t-]+clause|3[ \t-]+clause{_W}BSD|new{_W}BSD|modified{_W}BSD)\b(?:{_W}licen[sc]e\b)?", "\n\nLicensed under the BSD 3-Clause License.\n\n"),
+    (_LICENSED + rf"(?:BSD[ \t-]+2[ \t-]+clause|2[ \t-]+clause{_W}BSD|simplified{_W}BSD)\b(?:{_W}licen[sc]e\b)?", "\n\nLicensed under the BSD 2-Clause License.\n\n"),
+    (rf"SPDX-License-Identifier:[ \t]*[(]*({_NAMES})[)]* (OR|AND) ", r"\1 \2 "),
+    (rf"[(]*\b({_NAMES})[)]* (?:OR|AND) [(]*", f"\n\n{_SPDX_LINE} \\1\n\n{_SPDX_LINE} "),
+    (rf"({_SPDX_LINE})[ \t(]*({_NAMES})(?:[^A-Za-z0-9.+-]|[.]\s|$)", "\\1 \\2\n\n"),
+)
+#: A text without any of these has no wording to replace.
+WORDED = r"(?i:licen[sc]|endorse|permission to use)|[A-Z0-9)] (?:OR|AND) "
+
 #: Rules that don't count beside others which say more, though their sentences are no part of those.
 YIELDS: dict[str, tuple[str, ...]] = {"gpl-reference": ("gpl3-line", "gpl3-header", "gpl3-header-parts", "gpl2-header"), "mit-title": ("mit-text",), "apache2-reference": ("apache2-header",)}
 
@@ -143,6 +197,14 @@ _BREAK = r"([.!?;:])[ \t\r]+"
 _OTHER = r"[^A-Za-z0-9\n]+"
 
 
+def worded(text: Column) -> Column:
+    """The text in the known sentences' wording."""
+    out = text
+    for pattern, instead in WORDINGS:
+        out = F.regexp_replace(out, pattern, instead.replace("\\1", "$1").replace("\\2", "$2"))
+    return F.when(text.rlike(WORDED), out).otherwise(text)
+
+
 def normal_sentences(text: str) -> list[str]:
     """The same cut and normalisation in plain Python, for tables of sentences and tests."""
     cut = re.sub(_OTHER, " ", re.sub(_BREAK, r"\1\n", text.replace(_SPDX_LINE, _SPDX_LINE.replace(":", " ")))).lower()
@@ -170,6 +232,7 @@ def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Colum
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     begun = sorted({" ".join(words[:n]) for words in map(str.split, table) for n in range(1, len(words) + 1)})
     whole = sorted(table)
+    text = worded(text)
     # an empty part after each mark; a mark at a line's end counts as one, too
     text = F.replace(text, F.lit(_SPDX_LINE), F.lit(_SPDX_LINE.replace(":", " ")))
     cut = F.lower(F.regexp_replace(F.regexp_replace(text, r"([.!?;:])(?:[ \t\r]+|(?=\n))", "$1\n\n"), _OTHER, " "))
@@ -210,7 +273,7 @@ def _holds(line: Column, ids: tuple[str, ...]) -> Column:
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
     """doc_id, sentence_ids, rules and licenses (arrays) of each row.
 
-    A null or empty text has empty arrays; identifiers repeat as often as their sentences do, rules and licenses are
+    A null or empty text has empty arrays, an empty table an empty result, and long texts are read whole; identifiers repeat as often as their sentences do, rules and licenses are
     reported once, in the order of ``rules``. A rule whose text stands beside that of a stronger rule isn't reported, even if
     it stands there a second time on its own. Repeated rows are scanned each; other columns are ignored.
     """
@@ -240,9 +303,13 @@ def oracle() -> str:
     known = ", ".join(f"({quote(i)}, {quote('[|](' + '(?: |[|][|])'.join(s.split()) + ')[|]')})" for s, i in sentence_table().items())
     rules = ", ".join(f"({n}, {quote(r)}, {quote(x)}, {quote('%' + '%'.join(f'<{i}>' for i in ids) + '%')})" for n, (r, x, ids) in enumerate(RULES))
     over = ", ".join(f"({quote(a)}, {quote(b)})" for a, others in stronger().items() for b in others)
+    words = "coalesce(text, '')"
+    for pattern, instead in WORDINGS:
+        words = f"regexp_replace({words}, {quote(pattern)}, {' || chr(10) || '.join(map(quote, instead.split(chr(10))))}, 'g')"
+    words = f"CASE WHEN regexp_matches(coalesce(text, ''), {quote(WORDED)}) THEN {words} ELSE coalesce(text, '') END"
     return rf"""
 WITH known(id, pattern) AS (VALUES {known}), rule(n, name, license, pattern) AS (VALUES {rules}), stronger(weak, strong) AS (VALUES {over}),
-d AS (SELECT doc_id, row_number() OVER () AS rid, replace(coalesce(text, ''), '{_SPDX_LINE}', '{_SPDX_LINE.replace(":", " ")}') AS text FROM documents),
+d AS (SELECT doc_id, row_number() OVER () AS rid, replace({words}, '{_SPDX_LINE}', '{_SPDX_LINE.replace(":", " ")}') AS text FROM documents),
 a AS (SELECT rid, regexp_replace(regexp_replace(lower(text), '([.!?;:])([ \t\r]+|\n)', '\1' || chr(10) || chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g') AS t FROM d WHERE regexp_matches(lower(text), '{ANCHORS}')),
 p AS (SELECT rid, unnest(string_split_regex(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n\n+')) AS par, generate_subscripts(string_split_regex(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n\n+'), 1) AS pos FROM a),
 b AS (SELECT rid, pos, '||' || replace(trim(par, ' ' || chr(10)), chr(10), '||') || '||' AS par FROM p),
