@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..sources import corpora, index, obo
+from ..sources import corpora, index, ledger, obo
+from ..sources.versions import Clash, Versions
 from ..storage import scratch, table
 
 _URI = "http://purl.obolibrary.org/obo/"
@@ -143,7 +144,59 @@ def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.alias("synonyms"), none.alias("comments"), F.lit(False).alias("obsolete"), F.lit(None).cast("string").alias("replaced_by"),
     )
     obo.append_terms(new, path)
-    return spark.read.parquet(path + "/terms").select("id", "label")
+    return obo.term_versions(spark, path).read().select("id", "label")
+
+
+@register(
+    "store_versions",
+    """SELECT * FROM (SELECT 1 AS version, 'replace' AS kind, count(*) AS written, count(*) AS visible FROM supplier UNION ALL
+SELECT 2, 'append', (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) UNION ALL
+SELECT 3, 'replace', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation))""",
+)
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's versions, each read by itself after the last was made; a writer that read an old version is refused."""
+    names = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("name"))
+    store = Versions(spark, scratch(spark, "versions"))
+    store.replace(names("supplier", "s_name"))
+    store.append(names("customer", "c_name"))
+    store.replace(names("nation", "n_name"))
+    try:
+        store.append(names("region", "r_name"), base=1)
+    except Clash:
+        pass
+    counted = [store.read(v).agg(F.count("*").alias("visible")).withColumns({"version": F.lit(v), "kind": F.lit(kind), "written": F.lit(n).cast("long")}) for v, kind, n in store.history()]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class _Refused(Exception):
+    pass
+
+
+@register(
+    "run_resume",
+    """WITH d AS (SELECT coalesce(doc_id, 0) % 12 AS batch, text FROM documents)
+SELECT batch, count(*) AS documents, sum(coalesce(length(text), 0)) AS chars, CASE WHEN batch % 5 = 2 THEN 2 ELSE 1 END AS attempts, CASE WHEN batch % 5 = 2 THEN 1 ELSE 0 END AS failures, true AS finished FROM d GROUP BY batch""",
+)
+def run_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all documents that fails in some batches, is stopped half-way, and goes on from its ledger."""
+    path = scratch(spark, "run")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(12)).cast("int").alias("batch"))
+
+    def work(rows: DataFrame, attempt: int) -> DataFrame:
+        if attempt == 1 and not rows.where(F.col("batch") % 5 == 2).isEmpty():
+            raise _Refused("503 unavailable")
+        return rows.select("doc_id", "batch", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+
+    ledger.Run(spark, path, {"model": "m", "mode": "small"}, docs, "batch", 12).go_on(work, wave=3, most_waves=2, failures=(_Refused,))
+    run = ledger.Run(spark, path, {"model": "m", "mode": "small"}, docs, "batch", 12)
+    while run.go_on(work, wave=3, failures=(_Refused,)):
+        pass
+    tried = run.attempts().groupBy("batch").agg(F.max("attempt").alias("attempts"), F.count_if(~F.col("finished")).cast("int").alias("failures"), F.bool_or("finished").alias("finished"))
+    found = run.results().groupBy("batch").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
+    return found.join(tried, "batch").select(F.col("batch").cast("long"), "documents", "chars", "attempts", "failures", "finished")
 
 
 @register("source_digest", "SELECT sha256(string_agg(r_name, chr(10) ORDER BY r_name) || chr(10)) AS digest FROM region")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from .versions import Versions
 
 #: The fields that are read; everything else in the file is skipped by the reader.
 SCHEMA = (
@@ -84,14 +85,19 @@ def prepare(spark: SparkSession, path: str, store: str, root: str, prefix: str =
     spark.createDataFrame(sorted(meta.items()), "key string, value string").write.mode("overwrite").parquet(f"{store}/metadata")
 
 
+def term_versions(spark: SparkSession, store: str) -> Versions:
+    """The store's terms as versions; the folder that ``prepare`` wrote is the first one."""
+    return Versions(spark, f"{store}/terms-versions", adopted=f"{store}/terms")
+
+
 def append_terms(new: DataFrame, store: str) -> int:
-    """Add terms to a store; an id that is there already is an error."""
-    old = new.sparkSession.read.parquet(f"{store}/terms")
+    """Add terms to a store in one step; an id that is there already is an error, and so is a writer that came in between."""
+    terms = term_versions(new.sparkSession, store)
+    base = terms.latest()
+    old = terms.read(base)
     if clash := new.join(old.select("id"), "id", "left_semi").limit(1).collect():
         raise ValueError(f"term {clash[0].id} is in the store already")
-    rows = new.select(*old.columns)
-    rows.write.mode("append").parquet(f"{store}/terms")
-    return rows.count()
+    return terms.append(new.select(*old.columns), base)
 
 
 def terms_by_ids(terms: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
