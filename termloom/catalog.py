@@ -15,7 +15,7 @@ _ORACLES: dict[str, str] = {}
 #: Modules whose import registers their queries.
 MODULES = (
     "plans.retrieval", "plans.ranking", "plans.ontology", "plans.setmetrics", "plans.texts", "plans.assertions", "plans.context", "plans.sources", "plans.phases", "plans.privacy",
-    "plans.extraction", "plans.fidelity", "plans.exports", "plans.service", "plans.mapping", "plans.chunking", "plans.details", "plans.notes",
+    "plans.extraction", "plans.phrases", "plans.fidelity", "plans.exports", "plans.service", "plans.mapping", "plans.chunking", "plans.details", "plans.notes",
     "streaming.usage",
 )
 

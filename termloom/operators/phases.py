@@ -21,19 +21,26 @@ Mapper = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 EXTRACTED = "doc_id long, grp int, phrase string, category string, assertion string, evidence string, error string"
 MODES = ("ungrouped", "grouped_large", "grouped_small")
-#: Failure classes by words of the message, first match counts (fixed values).
-FAILURES = (
-    ("rate_limited", "rate limit|429|quota"), ("too_long", "context length|too many tokens|max(imum)? tokens"), ("timeout", "timed? ?out|deadline"),
-    ("malformed", "json|parse|schema|valid"), ("unavailable", "unavailable|connection|502|503|504"), ("denied", "auth|permission|401|403"),
-)
-RETRYABLE = ("rate_limited", "too_long", "timeout", "malformed", "unavailable")
+#: Failure classes by words of the message in small letters; the first class with a word counts (fixed values).
+FAILURES: dict[str, tuple[str, ...]] = {
+    "structured_refusal": ("refusal",),
+    "provider_timeout": ("timeout", "deadline_exceeded", "timed out"),
+    "structured_json_invalid": ("json", "unterminated", "no structured response payload"),
+    "structured_schema_validation_failed": ("validationerror", "schema", "field required", "input should", "literal", "pydantic"),
+    "provider_auth_error": ("unauthorized", "forbidden", "authentication", "api key", "permission", "billing", "quota", "401", "403"),
+    "provider_transport_error": ("connection", "network", "transport", "dns", "ssl", "remoteprotocol", "readerror", "connecterror"),
+    "provider_config_error": ("unsupported", "misconfig", "configuration", "invalid base_url", "model not found", "unknown provider"),
+}
+OTHER_FAILURE = "provider_execution_error"
+#: Failures that smaller groups may mend.
+RETRYABLE = ("provider_timeout", "structured_json_invalid", "structured_schema_validation_failed")
 
 
 def classify_failure(message: Column) -> Column:
     out = F.when(message.isNull(), F.lit(None).cast("string"))
-    for name, pattern in FAILURES:
-        out = out.when(F.lower(message).rlike(pattern), name)
-    return out.otherwise("other")
+    for name, words in FAILURES.items():
+        out = out.when(F.lower(message).rlike("|".join(words)), name)
+    return out.otherwise(OTHER_FAILURE)
 
 
 def next_mode(mode: str) -> str | None:

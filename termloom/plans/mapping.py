@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as T
+from ..operators import phrase_query
 from ..storage import table
+from .retrieval import knn_sql, neighbours
 
 LOCAL_MATCH = 80.0
 
@@ -46,29 +48,17 @@ def map_local_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", local_match(F.col("phrase"), F.col("label")).alias("priority")).filter("priority IS NOT NULL")
 
 
-def select_candidates(rows: DataFrame, floor: float, least: int, most: int) -> DataFrame:
-    """Distinct terms of an item in rank order: those that overlap or reach the floor, filled up to ``least``, ``most`` at most."""
-    good = F.col("overlap") | (F.col("score") >= floor)
-    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("item_id", "term").orderBy("rank"))).filter("first = 1").drop("first")
-    # a weak candidate stays only while fewer than ``least`` are kept: good ones before it count, and weak ones kept before it
-    state = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<rank:int,term:bigint,score:double>>").alias("kept"))
-
-    def step(acc: Column, c: Column) -> Column:
-        take = (acc["n"] < most) & (c["good"] | (acc["n"] < least))
-        return F.struct((acc["n"] + F.when(take, 1).otherwise(0)).alias("n"), F.when(take, F.concat(acc["kept"], F.array(F.struct(c["rank"].alias("rank"), c["term"].alias("term"), c["score"].alias("score"))))).otherwise(acc["kept"]).alias("kept"))
-
-    gathered = rows.withColumn("good", good).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("term").cast("long").alias("term"), "score", "good"))).alias("c"))
-    return gathered.select("item_id", F.inline(F.aggregate("c", state, step)["kept"]))
-
-
-@register("map_select_candidates")
+@register(
+    "map_select_candidates",
+    f"""WITH {knn_sql(50)}, c AS (SELECT query_id AS item_id, rank, doc_id // 5 AS term, similarity AS score, doc_id % 7 = 0 AS overlap FROM r),
+d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY item_id, term ORDER BY rank) = 1), p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS place FROM d),
+g AS (SELECT * FROM p WHERE overlap OR score >= 0.35 OR place <= 5 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank) <= 10) SELECT item_id, rank, term, score FROM g""",
+)
 def map_select_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of query vectors with floor 0.35, five to ten an item; tests hold the fold against plain Python."""
-    from .retrieval import neighbours
-
+    """Candidates of query vectors with floor 0.35, five to ten an item."""
     found = neighbours(spark, sf_dir, 50)
     rows = found.select(F.col("query_id").alias("item_id"), "rank", F.floor(F.col("doc_id") / 5).alias("term"), F.col("similarity").alias("score"), (F.col("doc_id") % 7 == 0).alias("overlap"))
-    return select_candidates(rows, 0.35, 5, 10)
+    return phrase_query.select(rows, 0.35, 5, 10).drop("overlap")
 
 
 def route(score: Column, runner_up: Column, length: Column) -> Column:
@@ -136,7 +126,13 @@ def token_budget_groups(rows: DataFrame, budget: int) -> DataFrame:
     return gathered.select("case_id", F.inline(F.aggregate("c", state, step)["out"]))
 
 
-@register("group_by_budget")
+@register(
+    "group_by_budget",
+    """WITH RECURSIVE c AS (SELECT conv_id AS case_id, turn AS pos, length(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, ''))) AS n FROM conversations),
+f(case_id, pos, n, used, grp) AS (SELECT case_id, pos, n, size, 0 FROM c WHERE n = 1 UNION ALL
+SELECT c.case_id, c.pos, c.n, CASE WHEN f.used > 0 AND f.used + c.size > 600 THEN c.size ELSE f.used + c.size END, f.grp + CASE WHEN f.used > 0 AND f.used + c.size > 600 THEN 1 ELSE 0 END
+FROM f JOIN c ON c.case_id = f.case_id AND c.n = f.n + 1) SELECT case_id, pos, grp FROM f""",
+)
 def group_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations in groups of 600 characters; tests hold the fold against plain Python."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("pos"), F.length(F.coalesce("text", F.lit(""))).alias("size"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions import assertions, formula, pii, text
-from termloom.operators import graph
+from termloom.operators import graph, phrase_query
 from termloom.operators.knn import knn
 from termloom.plans import extraction, fidelity, mapping, ranking, retrieval, setmetrics
 
@@ -154,7 +154,7 @@ def test_validators(spark, check, value, expect):
 def test_candidate_fold(spark):
     rng = random.Random(1)
     rows = [(i, r, rng.randint(0, 9), round(rng.random(), 3), rng.random() < 0.2) for i in range(20) for r in range(1, 15)]
-    got = sorted((x.item_id, x.rank) for x in mapping.select_candidates(spark.createDataFrame(rows, "item_id long, rank int, term long, score double, overlap boolean"), 0.7, 3, 5).collect())
+    got = sorted((x.item_id, x.rank) for x in phrase_query.select(spark.createDataFrame(rows, "item_id long, rank int, term long, score double, overlap boolean"), 0.7, 3, 5).collect())
     expect = []
     for i in range(20):
         seen, kept = set(), 0

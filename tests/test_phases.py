@@ -42,9 +42,9 @@ def test_run(spark):
 
 
 def test_failures(spark):
-    messages = ["Rate limit hit", "maximum tokens", "JSON invalid", "503", "boom", None]
+    messages = ["Quota: 429", "Timed out while parsing JSON", "JSON schema", "literal_error", "SSL connection", "Model not found", "boom", None]
     df = spark.createDataFrame([(m,) for m in messages], "m string")
-    assert [r.c for r in df.select(phases.classify_failure(F.col("m")).alias("c")).collect()] == ["rate_limited", "too_long", "malformed", "unavailable", "other", None]
+    assert [r.c for r in df.select(phases.classify_failure(F.col("m")).alias("c")).collect()] == ["provider_auth_error", "provider_timeout", "structured_json_invalid", "structured_schema_validation_failed", "provider_transport_error", "provider_config_error", "provider_execution_error", None]
 
 
 def test_command_line(spark, capsys, tmp_path):
