@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..operators import graph
 from ..operators.knn import knn
+from ..operators.prefix import running
 from ..storage import checkpointed, table
 from .ontology import _REC, ROOT, about_terms, closed
 from .retrieval import knn_sql, neighbours, query_set, vectors
@@ -44,8 +45,7 @@ def fid_knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = vectors(spark, sf_dir).select("id", "label")
     queries = query_set(docs).select(F.col("id").alias("query_id"), F.col("label").alias("q_label"))
-    ordered = Window.partitionBy("label").orderBy("id")
-    ranked = docs.withColumn("n", F.row_number().over(ordered))
+    ranked = running(docs, [F.col("id")], {"n": F.lit(1)}, ("label",))
     places = ranked.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("label").alias("q_label"), F.col("n").alias("q_n"))
     near = places.withColumn("n", F.explode(F.sequence(F.col("q_n") - K, F.col("q_n") + K))).join(ranked.withColumnRenamed("label", "q_label"), ["q_label", "n"])
     own = near.filter(F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("doc_id"), F.lit(0).alias("other"))
@@ -58,10 +58,9 @@ def fid_knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks with ties averaged. Values are counted first, so the ordered running sum has one row a distinct value."""
-    n = rows.groupBy(column).agg(F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.select(F.col(column), (below + (F.col("c") + 1) / 2).alias(name))
+    """Ranks with ties averaged. Values are counted first; the running sum over the distinct ones goes by ranges."""
+    n = running(rows.groupBy(column).agg(F.count("*").alias("c")), [F.col(column)], {"below": F.col("c")})
+    ranks = n.select(F.col(column), (F.col("below") + (F.col("c") + 1) / 2).alias(name))
     return rows.join(ranks, column)
 
 

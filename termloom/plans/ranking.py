@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import bootstrap
+from ..operators.prefix import running
 from ..storage import table
 from .retrieval import TOP, knn_sql, neighbours, query_set, vectors
 
@@ -167,12 +168,12 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def precision_recall_curve(scored: DataFrame) -> DataFrame:
     """threshold, tp, n, precision, recall, f1 over the distinct scores.
 
-    Counts are summed per score first, so the ordered running sum sees one row a score; with scores of four digits those
-    are ten thousand at most.
+    Counts are summed per score first; the running sums over the distinct scores, from the greatest down, go by ranges.
     """
     by_score = scored.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("c"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = by_score.select(F.col("score").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("c").over(down).alias("n"), F.sum("p").over(Window.partitionBy()).alias("total"))
+    summed = running(by_score, [F.desc("score")], {"above_p": F.col("p"), "above_c": F.col("c")})
+    rows = summed.select(F.col("score").alias("threshold"), (F.col("above_p") + F.col("p")).alias("tp"), (F.col("above_c") + F.col("c")).alias("n"))
+    rows = rows.crossJoin(F.broadcast(scored.agg(F.sum("label").alias("total"))))
     rows = rows.withColumns({"precision": F.col("tp") / F.col("n"), "recall": F.coalesce(F.try_divide("tp", "total"), F.lit(0.0))})
     p, r = F.col("precision"), F.col("recall")
     return rows.withColumn("f1", 2 * p * r / (p + r + 1e-10))

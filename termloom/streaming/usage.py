@@ -26,26 +26,45 @@ def daily_usage(events: DataFrame, limit: int = DAILY_LIMIT, late: str = "1 day"
     )
 
 
-def lockouts(events: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
-    """user_id, locked_at, locked_until: ``most`` failures in a row lock a user; a success resets the count.
+def _micros(ts: pd.Timestamp) -> int:
+    return int(pd.Timestamp(ts).value // 1000)
 
-    State is one number a user. Events of a micro-batch are taken in order of time and id.
+
+def _until(state: GroupState, micros: int) -> None:
+    """A timer of event time, in whole milliseconds after the moment; one that the watermark has passed fires at once."""
+    state.setTimeoutTimestamp(max(micros // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def lockouts(events: DataFrame, most: int = 5, seconds: int = 900, ttl: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """user_id, locked_at, locked_until: ``most`` failures in a row lock a user; a success, or ``ttl`` seconds without an event, resets the count.
+
+    State is two numbers a user, and a timer frees it ``ttl`` after the last failure, so only users of late are kept. Whether
+    a count has run out is decided by the events' own times, so the result doesn't depend on when timers fire. Events of a
+    micro-batch are taken in order of time and id.
     """
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
         out = []
-        for event_type, ts in pd.concat(list(frames)).sort_values(["ts", "event_id"])[["event_type", "ts"]].itertuples(index=False):
-            failures = 0 if event_type == "click" else failures + 1
-            if failures == most:
-                out.append((key[0], ts, ts + pd.Timedelta(seconds=seconds)))
-        if failures:
-            state.update((failures,))
-        elif state.exists:
-            state.remove()  # nothing to remember of a user whose last event was a success
-        yield pd.DataFrame(out, columns=["user_id", "locked_at", "locked_until"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at timestamp, locked_until timestamp", "failures long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            failures, last = state.get if state.exists else (0, 0)
+            for event_type, ts in pd.concat(list(frames)).sort_values(["ts", "event_id"])[["event_type", "ts"]].itertuples(index=False):
+                if failures and _micros(ts) - last > ttl * 1_000_000:
+                    failures = 0
+                failures, last = 0 if event_type == "click" else failures + 1, _micros(ts)
+                if failures == most:
+                    out.append((key[0], ts, ts + pd.Timedelta(seconds=seconds)))
+            if failures:
+                state.update((failures, last))
+                _until(state, last + ttl * 1_000_000)
+            elif state.exists:
+                state.remove()  # nothing to remember of a user whose last event was a success
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "locked_at", "locked_until"])
+
+    watched = events.withWatermark("ts", late)
+    return watched.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at timestamp, locked_until timestamp", "failures long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -78,21 +97,70 @@ def stream_quota_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "stream_lockout",
-    """WITH f AS (SELECT user_id, ts, event_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island, event_type FROM events),
+    """WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 86400000000, true) AS late FROM events),
+f AS (SELECT *, sum(CASE WHEN late OR event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g),
 c AS (SELECT *, sum(CASE WHEN event_type <> 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS failures FROM f)
 SELECT user_id, CAST(ts AS VARCHAR) AS locked_at, CAST(ts + INTERVAL 900 SECOND AS VARCHAR) AS locked_until FROM c WHERE failures = 5 AND event_type <> 'click'""",
 )
 def stream_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts run out after a day; the data have thirty."""
     rows = run_available(lockouts(stream(spark, sf_dir)))
     return rows.select("user_id", F.col("locked_at").cast("string").alias("locked_at"), F.col("locked_until").cast("string").alias("locked_until"))
 
 
-def one_time(events: DataFrame, ttl: str = "1 day") -> DataFrame:
-    """The first use of each token; state of a token goes when the watermark passes its time to live."""
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+def one_time(events: DataFrame, ttl: int = 3 * 86_400, late: str = "1 hour") -> DataFrame:
+    """user_id, event_type, moment, outcome of tokens (a user's kind of event).
 
+    A token's first event issues it; within ``ttl`` seconds the next one is accepted and others are reused. After that the token is
+    gone: an event issues it anew. A token that ran out without a use is reported as expired, with the moment it did: by a timer when
+    the watermark passes it, or by the event that issues it anew, whichever comes first, and once. Timers free the state of
+    every token that has run out.
+    """
+    length = ttl * 1_000_000
 
-@register("stream_one_time_tokens", "SELECT DISTINCT user_id, event_type FROM events")
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple[int, str]] = []
+        if state.hasTimedOut:
+            issued, uses = state.get
+            if not uses:
+                out.append((issued + length, "expired"))
+            state.remove()
+        else:
+            issued, uses = state.get if state.exists else (None, 0)
+            for (ts,) in pd.concat(list(frames)).sort_values(["ts", "event_id"])[["ts"]].itertuples(index=False):
+                now = _micros(ts)
+                if issued is not None and now > issued + length:
+                    if not uses:
+                        out.append((issued + length, "expired"))
+                    issued = None
+                if issued is None:
+                    issued, uses = now, 0
+                    out.append((now, "issued"))
+                else:
+                    out.append((now, "reused" if uses else "accepted"))
+                    uses = 1
+            state.update((issued, uses))
+            _until(state, issued + length)
+        if out:
+            moments, outcomes = zip(*out)
+            yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "moment": pd.to_datetime(list(moments), unit="us"), "outcome": outcomes})
+
+    watched = events.withWatermark("ts", late)
+    schema = "user_id long, event_type string, moment timestamp, outcome string"
+    return watched.groupBy("user_id", "event_type").applyInPandasWithState(step, schema, "issued long, uses long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+@register(
+    "stream_one_time_tokens",
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t FROM events), top AS (SELECT max(t) // 1000 * 1000 - 3600000000 AS mark FROM e),
+life(user_id, event_type, since) AS (SELECT user_id, event_type, min(t) FROM e GROUP BY ALL UNION ALL
+  SELECT e.user_id, e.event_type, min(e.t) FROM life l JOIN e ON e.user_id = l.user_id AND e.event_type = l.event_type AND e.t > l.since + 259200000000 GROUP BY ALL),
+u AS (SELECT e.user_id, e.event_type, e.t, e.event_id, max(l.since) AS since FROM e JOIN life l ON e.user_id = l.user_id AND e.event_type = l.event_type AND l.since <= e.t GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, since ORDER BY t, event_id) AS n, count(*) OVER (PARTITION BY user_id, event_type, since) AS all_n, max(since) OVER (PARTITION BY user_id, event_type) AS newest FROM u),
+o AS (SELECT user_id, event_type, t AS moment, CASE n WHEN 1 THEN 'issued' WHEN 2 THEN 'accepted' ELSE 'reused' END AS outcome FROM n
+UNION ALL SELECT user_id, event_type, since + 259200000000, 'expired' FROM n, top WHERE n = 1 AND all_n = 1 AND (since < newest OR since + 259200000000 < mark))
+SELECT user_id, event_type, CAST(make_timestamp(moment) AS VARCHAR) AS moment, outcome FROM o""",
+)
 def stream_one_time_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's kind of event as the token, with a time to live longer than the data."""
-    return run_available(one_time(stream(spark, sf_dir), "3650 days").select("user_id", "event_type"))
+    """Tokens that run out after three days; the data have thirty."""
+    return run_available(one_time(stream(spark, sf_dir))).withColumn("moment", F.col("moment").cast("string"))
