@@ -58,12 +58,6 @@ def txt_negation_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.size("s") > 0).select("doc_id", "chunk_idx", F.array_join("s", "|").alias("scopes"))
 
 
-@register("txt_normality", f"{_SCOPED} SELECT doc_id, count(*) AS n_normal FROM r WHERE normal GROUP BY doc_id")
-def txt_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal = A.by_language(F.col("lang"), lambda x: A.is_normal(F.col("spaced"), x))
-    return sentences(spark, sf_dir).filter(normal).groupBy("doc_id").agg(F.count("*").alias("n_normal"))
-
-
 @register(
     "assertion_status_counts",
     f"{_SCOPED} SELECT lang, CASE WHEN len(scopes) > 0 THEN 'negated' WHEN normal THEN 'normal' ELSE 'affirmed' END AS status, count(*) AS n FROM r GROUP BY ALL",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import context as C
-from ..functions.assertions import NORMAL, SCOPE_WORDS, spaced
+from ..functions.assertions import NORMAL, SCOPE_WORDS, is_normal, spaced
+from ..operators import dependency
 from ..storage import table
 
 _RULES = C.built_in("en")
@@ -73,3 +74,55 @@ def assertion_left_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentences(spark, sf_dir).withColumns({"start": F.floor(n / 2).cast("int"), "end": n - 20})
     rows = rows.withColumn("own", C.status(spaced(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))), "en"))
     return rows.select("id", "own", C.with_left_context(F.col("text"), F.col("start"), F.col("end"), F.col("own"), "en").alias("status"))
+
+
+@register("txt_normality", f"WITH {_SENTENCE_SQL} SELECT id, {' + '.join(f"CAST(strpos(s, ' {c} ') > 0 AS INTEGER)" for c in NORMAL['en'])} AS cues FROM s WHERE {' OR '.join(f"strpos(s, ' {c} ') > 0" for c in NORMAL['en'])}")
+def txt_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with a cue of normality, and how many different ones."""
+    s = spaced(F.col("text"))
+    cues = sum((F.when(s.contains(f" {c} "), 1).otherwise(0) for c in NORMAL["en"]), F.lit(0))
+    return sentences(spark, sf_dir).filter(is_normal(s, "en")).select("id", cues.alias("cues"))
+
+
+# --- scopes over a parse: the words of the sentences as a tree whose relations come from their places ---
+
+_DEPS = ("nsubj", "dobj", "prep", "pobj", "neg", "attr", "amod")
+_NEGATION, _NORMALITY = ("no", "not", "without", "absence", "denies"), NORMAL["en"]
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parse of every sentence: word i hangs on word i div 2."""
+    rows = sentences(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
+    dep = F.get(F.array(*[F.lit(d) for d in _DEPS]), ((F.col("i") + F.col("chunk_id")) % len(_DEPS)).cast("int"))
+    pos = F.when((F.col("i") + F.col("chunk_id")) % 3 == 0, "ADJ").otherwise("NOUN")
+    return rows.select("chunk_id", "i", "text", F.lower("text").alias("lemma"), pos.alias("pos"), dep.alias("dep"), F.floor(F.col("i") / 2).cast("int").alias("head"))
+
+
+def _listed(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_PARSE_SQL = f"""{_SENTENCE_SQL}, w AS (SELECT id, string_split(text, ' ') AS w FROM p),
+tok AS (SELECT id, i, w[i + 1] AS text, ([{_listed(_DEPS)}])[1 + (i + id) % {len(_DEPS)}] AS dep, (i + id) % 3 = 0 AS adj, i // 2 AS head FROM (SELECT id, w, unnest(range(0, len(w))) AS i FROM w)),
+kid AS (SELECT * FROM tok WHERE head <> i),
+gp AS (SELECT id, head AS i, arg_min(text, i) AS pobj FROM kid WHERE dep = 'pobj' GROUP BY id, head),
+ofs AS (SELECT k.id, k.head AS i, arg_min(k.text || ' ' || gp.pobj, k.i) AS phrase FROM kid k JOIN gp ON gp.id = k.id AND gp.i = k.i WHERE k.dep = 'prep' AND lower(k.text) = 'of' GROUP BY k.id, k.head),
+x AS (SELECT t.*, h.text AS ht, h.dep AS hd, g.text AS gt,
+  (SELECT arg_max(k.text, k.i) FROM kid k WHERE k.id = t.id AND k.head = t.head AND k.dep IN ({_listed(dependency.SUBJECTS)})) AS subj, (SELECT arg_max(k.text, k.i) FROM kid k WHERE k.id = t.id AND k.head = t.head AND k.dep IN ({_listed(dependency.OBJECTS)})) AS obj,
+  (SELECT arg_min(k.text, k.i) FROM kid k WHERE k.id = t.id AND k.head = t.i AND k.dep IN ({_listed(dependency.NEAR)})) AS near
+  FROM tok t JOIN tok h ON h.id = t.id AND h.i = t.head JOIN tok g ON g.id = t.id AND g.i = h.head)"""
+
+
+@register(
+    "dependency_scopes",
+    f"""WITH {_PARSE_SQL},
+n AS (SELECT id, 'negated' AS kind, i, CASE WHEN dep <> 'neg' THEN text || ' → ' || coalesce(near, ht) WHEN subj IS NOT NULL AND obj IS NOT NULL THEN text || ' ' || ht || ': ' || subj || ' → ' || obj
+  WHEN coalesce(subj, obj) IS NOT NULL THEN text || ' ' || ht || ': ' || coalesce(subj, obj) ELSE text || ' ' || ht END AS scope FROM x WHERE dep = 'neg' OR lower(text) IN ({_listed(_NEGATION)})),
+m AS (SELECT x.id, 'normal' AS kind, x.i, CASE WHEN adj THEN x.text || ' ' || ht WHEN dep = 'pobj' AND hd = 'prep' THEN ht || ' ' || x.text || ' ← ' || gt WHEN phrase IS NOT NULL THEN x.text || ' ' || phrase
+  ELSE array_to_string(w.w[greatest(x.i - {dependency.BEFORE}, 0) + 1 : x.i + {dependency.AFTER} + 1], ' ') END AS scope FROM x JOIN w ON w.id = x.id LEFT JOIN ofs ON ofs.id = x.id AND ofs.i = x.i WHERE lower(x.text) IN ({_listed(_NORMALITY)}))
+SELECT id, kind, i::INTEGER AS i, scope FROM n UNION ALL SELECT id, kind, i::INTEGER, scope FROM m""",
+)
+def dependency_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parse = tokens(spark, sf_dir)
+    kind = lambda scopes, name: scopes.select(F.col("chunk_id").alias("id"), F.lit(name).alias("kind"), "i", "scope")
+    return kind(dependency.negation_scopes(parse, _NEGATION), "negated").unionByName(kind(dependency.normality_scopes(parse, _NORMALITY), "normal"))
