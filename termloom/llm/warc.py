@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 from html.entities import html5
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -249,10 +250,6 @@ class _Record:
         elif len(self.raw) > MOST_HEADER:
             self.end = len(self.raw)
 
-    @property
-    def whole(self) -> bool:
-        return self.end >= 0 and (self.length < 0 or len(self.raw) >= self.end + self.length)
-
     def row(self) -> tuple[str, dict[str, str], int | None, bytes, bool]:
         if self.end < 0:  # the file ends in the header
             self.end, self.fields = len(self.raw), _header(bytes(self.raw[1:]))
@@ -261,50 +258,151 @@ class _Record:
         return _CUT + chr(self.raw[0]), self.fields, self.length if self.length >= 0 else None, block, self.length >= 0 and len(block) == self.length
 
 
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces come in the order of their file; those that a record's length asks for are joined."""
-    rows, held, where, record = [], 0, None, None
+def _rows_of(records: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*records, strict=True))
+    types = (pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.bool_())
+    names = ("version", "header", "content_length", "block", "complete")
+    values = [columns[0], [list(h.items()) for h in columns[1]], *columns[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
+
+
+_STARTS = re.compile(rb"[01]\r?\n")
 
-    def batch() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        types = (pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.bool_())
-        names = ("version", "header", "content_length", "block", "complete")
-        values = [columns[0], [list(h.items()) for h in columns[1]], *columns[2:]]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, int, bytes]]:
+    """(file, split's start, number in the split, place in the split, piece) of pieces as they come."""
+    where, number, place = None, 0, 0
     for got in batches:
         for file, start, piece in zip(*(got.column(k).to_pylist() for k in ("file", "start", "value")), strict=True):
-            if where != (file, start) and record is not None:
-                rows.append(record.row())
-                record = None
-            where = file, start
-            if record is not None:
-                record.add(piece)
-            elif re.match(rb"[01]\r?\n", piece):
+            if where != (file, start):
+                where, number, place = (file, start), 0, 0
+            yield file, start, number, place, piece
+            number, place = number + 1, place + len(piece) + len(_CUT)
+
+
+_MEASURED = pa.schema([("file", pa.string()), ("start", pa.int64()), ("number", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("reach", pa.int64()), ("head", pa.binary())])
+_SEVERAL = pa.schema([("file", pa.string()), ("start", pa.int64()), ("number", pa.int64()), ("record", pa.int64()), ("place", pa.int64())])
+_BLANK = re.compile(rb"\r?\n\r?\n")
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, 4096)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece's place and, if it may begin a record, how far that record's block goes (-1: no length told; null: no start).
+
+    head holds what a header may go on with: the piece up to its first empty line, where it begins a header that it doesn't end, where
+    the piece before it in the split has no empty line, and at a split's first piece.
+    """
+
+    def rows() -> Iterator[tuple]:
+        open_ = True
+        for file, start, number, place, piece in _pieces(batches):
+            blank = _BLANK.search(piece)
+            reach, begun = None, False
+            if _STARTS.match(piece):
                 record = _Record(piece)
-            if record is not None and record.whole:
-                rows.append(record.row())
+                begun = record.end < 0
+                reach = record.end + record.length if record.end >= 0 and record.length >= 0 else -1
+            head = piece[: blank.end() if blank else MOST_HEADER + 4] if begun or open_ or not number else None
+            yield file, start, number, place, len(piece) + len(_CUT), reach, head
+            open_ = blank is None
+
+    yield from _batched(rows(), _MEASURED)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of a file come in order, as numbers only: one that starts before the last record's block ends belongs to that.
+
+    Gives the pieces of records of several pieces, with their record's place. State is one record's header, whatever the file's size.
+    """
+
+    def rows() -> Iterator[tuple]:
+        where, end, at, first, told, header = None, 0, None, None, False, None
+        for got in batches:
+            for file, start, number, place, reach, head in zip(*(got.column(k).to_pylist() for k in ("file", "start", "number", "at", "reach", "head")), strict=True):
+                if where != file:
+                    where, at, header = file, None, None
+                if at is not None and (header is not None or place - len(_CUT) < end):
+                    if not told:
+                        yield first
+                        told = True
+                    yield file, start, number, at, place
+                    if header is not None:
+                        header.add(head or b"")
+                elif reach is not None:
+                    at, first, told = place, (file, start, number, place, place), False
+                    end, header = place + reach if reach >= 0 else 0, _Record(head) if reach < 0 and head is not None else None
+                else:
+                    at = None  # what stands between records
+                if header is not None and header.end >= 0:
+                    end, header = at + header.end + header.length if header.length >= 0 else 0, None
+
+    yield from _batched(rows(), _SEVERAL)
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of one piece each; other pieces stand between records."""
+    rows, held = [], 0
+    for got in batches:
+        for piece in got.column("value").to_pylist():
+            if _STARTS.match(piece):
+                rows.append(_Record(piece).row())
                 held += len(rows[-1][3])
-                record = None
             if len(rows) >= 256 or held >= 8 << 20:
-                yield batch()
+                yield _rows_of(rows)
                 rows, held = [], 0
-    if record is not None:
-        rows.append(record.row())
     if rows:
-        yield batch()
+        yield _rows_of(rows)
+
+
+def _joined_record(pieces: pa.Table) -> pa.Table:
+    values = pieces.sort_by("place").column("value").to_pylist()
+    record = _Record(values[0])
+    for piece in values[1:]:
+        record.add(piece)
+    return pa.Table.from_batches([_rows_of([record.row()])])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    held = 0
+    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("number", pa.int64()), ("value", pa.binary())])
+    for file, start, number, _, piece in _pieces(batches):
+        rows.append((file, start, number, piece))
+        held += len(piece)
+        if len(rows) >= 1024 or held >= 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC/1.0 and 1.1 files: version, header (map, names in lower case), content_length, block (bytes), complete.
 
-    ``complete`` is false where the file ends before the block does, or the header tells no length. A file that Spark splits,
-    which it doesn't do with compressed ones, is cut anew in each split: there a record whose block holds version lines
-    and spans two splits isn't complete.
+    ``complete`` is false where the file ends before the block does, or the header tells no length. Files are cut at version lines
+    wherever Spark splits them; which of these begin records is settled by the records' lengths from the file's first byte on, in one pass
+    over numbers: a piece's place comes from the sizes of the splits before its own. Only pieces of blocks that hold version
+    lines move between tasks; all other records stay where they were read. Files are read twice. An empty folder or file has no records.
     """
     common.prepare(spark)
     rows = spark.read.option("lineSep", _CUT).text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value")).mapInArrow(_stitch, _RECORDS_DDL)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    sizes = common.staged(rows.mapInArrow(_measure, "file string, start long, number long, place long, size long, reach long, head binary"), "warc-pieces")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = sizes.groupBy("file", "start").agg(F.sum("size").alias("size")).select("file", "start", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    placed = sizes.join(splits, ["file", "start"]).select("file", "start", "number", "reach", "head", (F.col("base") + F.col("place")).alias("at"))
+    walked = placed.repartition("file").sortWithinPartitions("file", "at").mapInArrow(_walk, "file string, start long, number long, record long, place long")
+    several = common.staged(walked, "warc-several")
+    known = F.broadcast(several) if several.count() <= common.BROADCAST_ROWS else several
+    pieces = rows.mapInArrow(_numbered, "file string, start long, number long, value binary")
+    keys = ["file", "start", "number"]
+    alone = pieces.join(known.select(*keys), keys, "left_anti").select("value").mapInArrow(_alone, _RECORDS_DDL)
+    apart = pieces.join(known, keys).select("file", "record", "place", "value").groupBy("file", "record").applyInArrow(_joined_record, _RECORDS_DDL)
+    return alone.unionByName(apart)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
