@@ -18,6 +18,8 @@ class Rule:
     token: str
     locales: tuple[str, ...] = ()  # whose forms they are; none: all
     guard: str = ""  # goes before the pattern: where a match can't begin, so that long runs are tried once; matches stay the same
+    shape: str = ""  # a text without a match of this plainer pattern has none of the rule's and isn't searched
+    group: str = ""  # nor is one without a match of the group's pattern, which is looked for once for all its rules
 
 
 _MONTH = r"(?:[Jj]an|[Ff]eb|[Mm]ar|[Aa]pr|[Mm]ay|[Jj]un|[Jj]ul|[Aa]ug|[Ss]ep|[Oo]ct|[Nn]ov|[Dd]ec)[a-z]*"
@@ -68,6 +70,9 @@ POSTCODES = {
     "de": "[0-9]{5}", "fr": "[0-9]{5}", "es": "[0-9]{5}", "nl": "[1-9][0-9]{3} ?[A-Z]{2}",
 }
 
+#: What every postcode of a locale holds.
+POSTCODE_SHAPES = {"en": "[0-9][A-Za-z]{2}|[0-9]{5}", "de": "[0-9]{5}", "fr": "[0-9]{5}", "es": "[0-9]{5}", "nl": "[1-9][0-9]{3} ?[A-Za-z]{2}"}
+
 _DAY, _MONTH_NUMBER, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:[12][0-9]{3}|[0-9]{2})"
 #: A date in digits: day and month in either order with one of the usual signs, or year first.
 DATE = rf"(?:{_DAY}[./-]{_DAY}[./-]{_YEAR}|[12][0-9]{{3}}[./-]{_MONTH_NUMBER}[./-]{_DAY})(?![0-9])"
@@ -171,25 +176,31 @@ def untitled_name() -> str:
     return rf"(?<![{letter}]){name}(?:\s++(?:{particle}\s++){{0,2}}(?!{particle}){name})++"
 
 
+#: What every match of a group's rules begins with.
+GROUPS = {
+    "label": rf"(?iu){_NO_LETTER}(?:{'|'.join(sorted({re.escape(w.split(' ')[0]) for words in LABELS.values() for w in words}))})",
+    "title": rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(sorted({t for titles in TITLES.values() for t in titles}))})\.?\s++\p{{Lu}}",
+}
+
 #: The number of a record: letters or none, then groups with digits, four signs or more.
 RECORD = r"(?=[A-Z0-9 -]{4})(?:[A-Z]{1,4}-?)?[0-9][0-9A-Z]*+(?:[ -][0-9]++)*+"
 
 #: Rules for all texts, then by locale.
 RULES: tuple[Rule, ...] = (
-    Rule("email", "contact", "high", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]", guard=r"(?:\G|(?<![A-Za-z0-9._%+-]))"),
-    Rule("url", "contact", "high", r"(?:https?://|www\.)[A-Za-z0-9./?=&_%#:~+-]+", "[URL]"),
-    Rule("ipv4", "network", "high", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", "[IP]"),
+    Rule("email", "contact", "high", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]", guard=r"(?:\G|(?<![A-Za-z0-9._%+-]))", shape="@"),
+    Rule("url", "contact", "high", r"(?:https?://|www\.)[A-Za-z0-9./?=&_%#:~+-]+", "[URL]", shape=r"http|www\."),
+    Rule("ipv4", "network", "high", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", "[IP]", shape=r"[0-9]\.[0-9]"),
     Rule("date", "date", "review", rf"\b(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{2,4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}})\b", "[DATE]"),
-    Rule("phone", "contact", "review", telephone(), "[PHONE]"),
-    *[Rule(f"titled-name-{locale}", "name", "review", titled_name(titles), "[NAME]", (locale,)) for locale, titles in TITLES.items()],
+    Rule("phone", "contact", "review", telephone(), "[PHONE]", shape=r"(?:[0-9][ ()/.-]{0,3}){8}"),
+    *[Rule(f"titled-name-{locale}", "name", "review", titled_name(titles), "[NAME]", (locale,), group="title") for locale, titles in TITLES.items()],
     Rule("untitled-name", "name", "review", untitled_name(), "[NAME]"),
-    *[Rule(f"birth-{locale}", "birth", "high", labelled(kind, locale, DATE), "[BIRTH]", (locale,)) for kind, locale in LABELS if kind == "birth"],
-    *[Rule("medical-record" + ("" if locale == "en" else f"-{locale}"), "identity", "high", labelled(kind, locale, RECORD), "[RECORD]", (locale,)) for kind, locale in LABELS if kind == "record"],
-    Rule("es-dni", "identity", "high", labelled("dni", "es", grouped("(?:[0-9]{8}|[0-9]{2}[.][0-9]{3}[.][0-9]{3}|[XYZ][ -]?[0-9]{7})", "[A-Z]") + "(?![A-Z])"), "[ID]", ("es",)),
-    Rule("nl-bsn", "identity", "high", labelled("bsn", "nl", grouped(*["[0-9]"] * 9)), "[ID]", ("nl",)),
-    Rule("de-kvnr", "identity", "high", labelled("kvnr", "de", grouped("[A-Z]", *["[0-9]{3}"] * 3)), "[ID]", ("de",)),
-    Rule("fr-nir", "identity", "high", labelled("nir", "fr", grouped("[12]", *["[0-9]{2}"] * 3, "[0-9]{3}", "[0-9]{3}(?:[ .-]?[0-9]{2})?")), "[ID]", ("fr",)),
-    *[Rule(f"address-{locale}", "address", "high", address(locale), "[ADDRESS]", (locale,)) for locale in STREETS],
+    *[Rule(f"birth-{locale}", "birth", "high", labelled(kind, locale, DATE), "[BIRTH]", (locale,), group="label") for kind, locale in LABELS if kind == "birth"],
+    *[Rule("medical-record" + ("" if locale == "en" else f"-{locale}"), "identity", "high", labelled(kind, locale, RECORD), "[RECORD]", (locale,), group="label") for kind, locale in LABELS if kind == "record"],
+    Rule("es-dni", "identity", "high", labelled("dni", "es", grouped("(?:[0-9]{8}|[0-9]{2}[.][0-9]{3}[.][0-9]{3}|[XYZ][ -]?[0-9]{7})", "[A-Z]") + "(?![A-Z])"), "[ID]", ("es",), group="label"),
+    Rule("nl-bsn", "identity", "high", labelled("bsn", "nl", grouped(*["[0-9]"] * 9)), "[ID]", ("nl",), group="label"),
+    Rule("de-kvnr", "identity", "high", labelled("kvnr", "de", grouped("[A-Z]", *["[0-9]{3}"] * 3)), "[ID]", ("de",), group="label"),
+    Rule("fr-nir", "identity", "high", labelled("nir", "fr", grouped("[12]", *["[0-9]{2}"] * 3, "[0-9]{3}", "[0-9]{3}(?:[ .-]?[0-9]{2})?")), "[ID]", ("fr",), group="label"),
+    *[Rule(f"address-{locale}", "address", "high", address(locale), "[ADDRESS]", (locale,), shape=POSTCODE_SHAPES[locale]) for locale in STREETS],
 )
 
 #: Any run of digits and the signs of telephone numbers: what a search without plans takes.
@@ -249,15 +260,30 @@ def scan(text: Column, locale: Column | None = None, rules: tuple[Rule, ...] = R
     Texts hold forms of other countries than their language's, so rules of all locales apply; with a ``locale`` only its
     own and the general ones do.
     """
-    parts = []
-    for rule in rules:
-        check = VALIDATORS.get(rule.id)
-        found = matches(text, rule.guard + rule.pattern)
-        if check:
-            found = F.filter(found, _passes(text, check))
-        named = F.transform(found, _named(rule))
-        parts.append(named if locale is None or not rule.locales else F.when(locale.isin(*rule.locales), named).otherwise(F.array().cast(FINDING)))
-    return F.array_sort(F.concat(*parts))
+    none = F.array().cast(FINDING)
+
+    def parts(has: Column) -> Column:
+        out = []
+        for rule in rules:
+            check = VALIDATORS.get(rule.id)
+            found = matches(text, rule.guard + rule.pattern)
+            if check:
+                found = F.filter(found, _passes(text, check))
+            named, asked = F.transform(found, _named(rule)), []
+            if locale is not None and rule.locales:
+                asked.append(locale.isin(*rule.locales))
+            if rule.group:
+                asked.append(has[rule.group])
+            if rule.shape:
+                asked.append(text.rlike(rule.shape))
+            for condition in reversed(asked):
+                named = F.when(condition, named).otherwise(none)
+            out.append(named)
+        return F.concat(*out)
+
+    # an array of one value binds what the text has, so that each group is looked for once
+    has = F.array(F.struct(*[text.rlike(pattern).alias(name) for name, pattern in GROUPS.items()]))
+    return F.array_sort(F.get(F.transform(has, parts), F.lit(0)))
 
 
 def identifier(found: Column) -> Column:
