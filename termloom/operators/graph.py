@@ -73,8 +73,8 @@ def term_features(closed: DataFrame, root: str) -> DataFrame:
     depth, ic = depths(closed, root), information_content(closed, root)
     about = depth.join(ic, "term").select(F.col("term").alias("ancestor"), F.col("depth").alias("a_depth"), "ic")
     rows = closed.join(about, "ancestor").groupBy("term").agg(F.sort_array(F.collect_list(F.struct(F.col("ancestor").alias("id"), "up", F.col("a_depth").alias("depth"), "ic"))).alias("ancestors"))
-    parents = reduced_parents(closed).groupBy(F.col("child").alias("term")).agg(F.sort_array(F.collect_set("parent")).alias("parents"))
-    grand = reduced_parents(closed)
+    grand = checkpointed(reduced_parents(closed))
+    parents = grand.groupBy(F.col("child").alias("term")).agg(F.sort_array(F.collect_set("parent")).alias("parents"))
     above = grand.alias("a").join(grand.alias("b"), F.col("a.parent") == F.col("b.child")).groupBy(F.col("a.child").alias("term")).agg(F.collect_set("b.parent").alias("grandparents"))
     none = F.array().cast("array<string>")
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import graph
-from ..storage import checkpointed, table
+from ..storage import checkpointed, table, table_state
 
 ROOT = "T:0"
 
@@ -41,14 +41,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
-#: Closures and term features by application and folder; their rows are checkpointed, what is kept here are plans.
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+#: Closures and term features by application and state of the tables; their rows are checkpointed, what is kept here are plans.
+_KEPT: dict[tuple, DataFrame] = {}
+_TABLES = ("region", "nation", "customer", "supplier", "part")
 
 
 def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What was made of these very files in this session; tables that were written anew since are read anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, table_state(spark, sf_dir, _TABLES))
     if key not in _KEPT:
-        for old in [k for k in _KEPT if k[0] != key[0]]:  # of sessions that have ended
+        for old in [k for k in _KEPT if k[0] != key[0] or k[1:3] == key[1:3]]:  # of sessions that have ended, and of older files
             del _KEPT[old]
         _KEPT[key] = make()
     return _KEPT[key]
@@ -60,12 +62,12 @@ def _closure(e: DataFrame) -> DataFrame:
 
 
 def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph's closure, built once a session."""
+    """The graph's closure, built once a session for the files as they are."""
     return _kept(spark, sf_dir, "closure", lambda: _closure(edges(spark, sf_dir)))
 
 
 def about_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term features, built once a session."""
+    """Term features, built once a session for the files as they are."""
     return _kept(spark, sf_dir, "features", lambda: checkpointed(graph.term_features(closed(spark, sf_dir), ROOT)))
 
 

@@ -93,3 +93,13 @@ class Folder:
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
+
+
+def table_state(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple[tuple[str, int, int], ...]:
+    """Files of tables with their sizes and times: equal as long as nothing was written to them."""
+    jvm, out = spark.sparkContext._jvm, []
+    for name in names:
+        at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)]
+    return tuple(sorted(out))

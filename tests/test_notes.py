@@ -48,3 +48,19 @@ def test_first_places(spark, monkeypatch):
     assert sorted(map(tuple, attribution.first_places(docs, labels).collect())) == expect
     monkeypatch.setattr(attribution, "ahocorasick", None)
     assert attribution._finder(labels)("xabcab") == [(1, 1, 3), (2, 1, 4)]
+
+
+def test_a_closure_follows_its_tables(spark, tmp_path):
+    """Tables that are written anew give a new closure in the same session."""
+    import shutil
+
+    from termloom.plans import ontology
+
+    for t in ontology._TABLES:
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    first = ontology.closed(spark, str(tmp_path)).count()
+    assert ontology.closed(spark, str(tmp_path)) is ontology.closed(spark, str(tmp_path))
+    spark.read.parquet(f"{SF}/supplier.parquet").limit(3).write.parquet(str(tmp_path / "fewer"))
+    (tmp_path / "supplier.parquet").unlink()
+    shutil.move(str(tmp_path / "fewer"), str(tmp_path / "supplier.parquet"))
+    assert ontology.closed(spark, str(tmp_path)).count() < first
