@@ -160,19 +160,22 @@ def find_from(needle: C, hay: C, start: int = 0) -> Column:
     return F.when(at > 0, at - 1)
 
 
+#: Common words by language (fixed values).
+COMMON: dict[str, tuple[str, ...]] = {
+    "en": ("the", "and", "of", "with", "for", "that", "was", "are"),
+    "de": ("und", "der", "die", "das", "nicht", "mit", "ein", "von"),
+    "fr": ("le", "la", "les", "des", "est", "une", "pour", "dans"),
+    "es": ("el", "los", "las", "una", "con", "para", "por", "que"),
+    "nl": ("het", "een", "van", "niet", "met", "voor", "zijn", "ook"),
+}
+
+
 def detect_language(t: C, default: str = "en", least: int = 20) -> Column:
-    """Vote of common words; the default for short texts and for ties without a vote (fixed values: common words)."""
-    common = {
-        "en": ("the", "and", "of", "with", "for", "that", "was", "are"),
-        "de": ("und", "der", "die", "das", "nicht", "mit", "ein", "von"),
-        "fr": ("le", "la", "les", "des", "est", "une", "pour", "dans"),
-        "es": ("el", "los", "las", "una", "con", "para", "por", "que"),
-        "nl": ("het", "een", "van", "niet", "met", "voor", "zijn", "ook"),
-    }
+    """Vote of common words; the default for short texts and for ties without a vote; the first of equals."""
     s = F.lower(_c(t))
     found = words(F.regexp_replace(s, r"[^\p{L}]+", " "))
     counted = lambda listed: F.size(F.filter(found, lambda w: w.isin(*listed)))
-    votes = [counted(ws) for ws in common.values()]
+    votes = [counted(ws) for ws in COMMON.values()]
     best = F.greatest(*votes)
-    pick = F.coalesce(*[F.when((v == best) & (best > 0), F.lit(k)) for k, v in zip(common, votes)], F.lit(default))
+    pick = F.coalesce(*[F.when((v == best) & (best > 0), F.lit(k)) for k, v in zip(COMMON, votes)], F.lit(default))
     return F.when(F.length(F.trim(_c(t))) < least, F.lit(default)).otherwise(pick)

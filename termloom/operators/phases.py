@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import checkpointed
 
 #: (doc_id, group, prompt) to (doc_id, group, phrase, category, assertion, evidence, error).
 Extractor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -84,7 +85,7 @@ def run(
     mode, parts = MODES[0], []
     open_ = groups
     while True:
-        answers = open_.select("doc_id", "grp", "prompt").mapInPandas(extractor, EXTRACTED)
+        answers = checkpointed(open_.select("doc_id", "grp", "prompt").mapInPandas(extractor, EXTRACTED))  # each group is asked once
         failure = classify_failure(F.col("error"))
         parts.append(answers.filter("error IS NULL"))
         mode = next_mode(mode)
@@ -98,13 +99,13 @@ def run(
     for p in parts[1:]:
         found = found.unionByName(p)
     found = found.withColumn("phrase", F.explode(split_combined(F.col("phrase")))).filter("phrase <> ''")
-    items = deduplicate_mentions(found)
+    items = checkpointed(deduplicate_mentions(found))
     candidates = retrieve(items.select("phrase").distinct())
     from ..plans.mapping import LOCAL_MATCH, local_match
 
     rows = items.join(candidates, "phrase", "left").withColumn("local", local_match(F.col("phrase"), F.col("label"), LOCAL_MATCH))
     order = Window.partitionBy("doc_id", "key", "category", "assertion").orderBy(F.col("local").asc_nulls_last(), F.desc("score"), "term")
-    ranked = rows.withColumn("n", F.row_number().over(order))
+    ranked = checkpointed(rows.withColumn("n", F.row_number().over(order)))
     settled = ranked.filter((F.col("n") == 1) & (F.col("local").isNotNull() | (F.col("score") >= accept))).withColumn("method", F.when(F.col("local").isNotNull(), "local").otherwise("score"))
     key = ["doc_id", "key", "category", "assertion"]
     rest = ranked.join(settled.select(*key), key, "left_anti").filter("term IS NOT NULL")

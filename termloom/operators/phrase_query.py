@@ -19,10 +19,14 @@ WHOLE = -1
 
 
 def nearest_terms(texts: DataFrame, terms: DataFrame, k: int, encode: Encode = hashed_embedding) -> DataFrame:
-    """text, term, similarity, rank: the k nearest ``terms`` (id, embedding) of each distinct text (text); each is encoded once."""
-    distinct = checkpointed(texts.select("text").distinct().withColumn("id", F.monotonically_increasing_id()))
-    found = knn(terms, distinct.select("id", encode(F.col("text")).alias("embedding")), k, exclude_self=False)
-    return found.join(distinct, found["query_id"] == distinct["id"]).select("text", F.col("doc_id").alias("term"), "similarity", "rank")
+    """text, term, similarity, rank: the k nearest ``terms`` (id, embedding) of each distinct text (text).
+
+    Each text is encoded and searched once, however often the result is read: both are written to the shared folder.
+    """
+    distinct = texts.select("text").distinct().withColumns({"id": F.monotonically_increasing_id(), "embedding": encode(F.col("text"))})
+    distinct = checkpointed(distinct)
+    found = knn(terms, distinct.select("id", "embedding"), k, exclude_self=False)
+    return checkpointed(found.join(distinct.select("text", "id"), found["query_id"] == distinct["id"]).select("text", F.col("doc_id").alias("term"), "similarity", "rank"))
 
 
 def process(texts: DataFrame, terms: DataFrame, k: int, least: float, by_sentence: bool = True, encode: Encode = hashed_embedding) -> DataFrame:

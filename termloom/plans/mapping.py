@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text as T
-from ..operators import phrase_query
+from ..operators import phases, phrase_query
 from ..storage import table
 from .retrieval import knn_sql, neighbours
 
@@ -137,3 +140,61 @@ def group_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations in groups of 600 characters; tests hold the fold against plain Python."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("pos"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
     return token_budget_groups(rows, 600)
+
+
+# --- both phases over a corpus: recorded answers stand for a served model ---
+
+
+def _recorded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """An extractor that reads phrases parted by semicolons; a prompt of more than two is one that its answer's JSON breaks off."""
+    for frame in batches:
+        rows = []
+        for doc_id, grp, prompt in frame[["doc_id", "grp", "prompt"]].itertuples(index=False):
+            phrases = [p for p in prompt.split(";") if p]
+            if len(phrases) > 2:
+                rows.append((doc_id, grp, None, None, None, None, "unterminated JSON"))
+            rows += [(doc_id, grp, p, "abnormal", "negated" if doc_id % 3 == 0 else "affirmed", prompt, None) for p in phrases if len(phrases) <= 2]
+        yield pd.DataFrame(rows, columns=["doc_id", "grp", "phrase", "category", "assertion", "evidence", "error"])
+
+
+def _halves(open_: DataFrame, mode: str) -> DataFrame:
+    """Groups of two phrases, then of one: what a smaller mode sends again."""
+    size = 2 if mode == "grouped_large" else 1
+    phrases = F.split("prompt", ";")
+    starts = F.sequence(F.lit(0), F.size(phrases) - 1, F.lit(size))
+    cut = open_.select("doc_id", F.posexplode(F.transform(starts, lambda s: F.array_join(F.slice(phrases, s + 1, size), ";"))).alias("n", "prompt"))
+    return cut.select("doc_id", (F.col("n") + 100).cast("int").alias("grp"), "prompt")
+
+
+_LABEL_WORDS = "list_sort(list_distinct(list_transform(regexp_extract_all(lower({0}), '[a-z0-9_]+'), lambda x: CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN left(x, -1) ELSE x END)))"
+_SAME = f"{_LABEL_WORDS.format('phrase')} = {_LABEL_WORDS.format('label')}"
+
+
+@register(
+    "map_two_phases",
+    f"""WITH t AS (SELECT min(p_partkey) AS term, p_name AS label FROM part GROUP BY p_name),
+m AS (SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN l_partkey % 4 = 0 THEN string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] WHEN l_partkey % 4 = 1 THEN string_split(p_name, ' ')[2] || ' zz' ELSE p_name END AS phrase FROM lineitem JOIN part ON p_partkey = l_partkey),
+i AS (SELECT doc_id, phrase, CASE WHEN doc_id % 3 = 0 THEN 'negated' ELSE 'affirmed' END AS assertion FROM m),
+c AS (SELECT i.phrase, t.term, t.label, {_SAME} AS same, len(list_intersect({_LABEL_WORDS.format('phrase')}, {_LABEL_WORDS.format('label')})) / 2.0::DOUBLE AS score FROM (SELECT DISTINCT phrase FROM i) i JOIN t ON len(list_intersect({_LABEL_WORDS.format('phrase')}, {_LABEL_WORDS.format('label')})) > 0),
+p AS (SELECT *, CASE WHEN same THEN 1 WHEN phrase = label THEN 2 WHEN contains(' ' || label || ' ', ' ' || phrase || ' ') THEN 3
+  WHEN 100.0::DOUBLE * (1 - levenshtein(array_to_string(list_sort(string_split(phrase, ' ')), ' '), array_to_string(list_sort(string_split(label, ' ')), ' ')) / greatest(length(phrase), length(label))::DOUBLE) >= {LOCAL_MATCH} THEN 4 END AS local FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY local NULLS LAST, score DESC, term) AS n FROM p)
+SELECT doc_id, term, assertion, phrase, CASE WHEN local IS NOT NULL THEN 'local' WHEN score >= 0.7 THEN 'score' ELSE 'mapped' END AS method FROM i JOIN r USING (phrase) WHERE n = 1""",
+)
+def map_two_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents and their parts' names, some turned around or half unknown, as phrases: long prompts fail and go again in
+    smaller groups; candidates share a word; what neither matches locally nor is sure goes to a mapper that takes the first."""
+    part = table(spark, sf_dir, "part")
+    words, k = F.split("p_name", " "), F.col("l_partkey") % 4
+    phrase = F.when(k == 0, F.concat_ws(" ", words[1], words[0])).when(k == 1, F.concat(words[1], F.lit(" zz"))).otherwise(F.col("p_name"))
+    lines = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    groups = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_set(phrase)), ";").alias("prompt")).withColumn("grp", F.lit(0))
+    terms = part.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("term"))
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        """Terms that share a word, by one join on words; the score is the share of a label's two words."""
+        of = lambda rows, c: rows.select("*", F.explode(T.token_set(c)).alias("word"))
+        return of(asked, "phrase").join(of(terms, "label"), "word").groupBy("phrase", "term", "label").agg((F.count("*") / F.lit(2.0)).alias("score"))
+
+    found = phases.run(groups, _recorded, retrieve, phases.first_offer, regroup=_halves)
+    return found.select("doc_id", "term", "assertion", "phrase", "method")

@@ -13,6 +13,12 @@ from ..functions import text as T
 from ..storage import checkpointed, table
 
 
+_STRIP = r"regexp_replace(x, '\A[ \t\n\r]+|[ \t\n\r]+\z', '', 'g')"
+_LINES = f"list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {_STRIP}), lambda x: x <> '')"
+_ENDED = rf"array_to_string(list_transform({_LINES}, lambda x: CASE WHEN regexp_matches(x, '[.?!]\z') THEN x ELSE x || '.' END), ' ')"
+_PARTS = f"list_filter(list_transform(regexp_extract_all({_ENDED}, '[^.?!]+[.?!]'), lambda x: {_STRIP}), lambda x: x <> '')"
+
+
 def running_offsets(text: Column, chunks: Column) -> Column:
     """Place of each chunk, searched from just behind the start of the one before, else from the beginning, else -1."""
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
@@ -25,9 +31,17 @@ def running_offsets(text: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, state, step)["found"]
 
 
-@register("note_offsets")
+@register(
+    "note_offsets",
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_PARTS} AS parts FROM documents),
+c AS (SELECT row_number() OVER () AS r, doc_id, text, parts, len(parts) AS n FROM d WHERE len(parts) > 0),
+f(r, i, start, behind) AS (SELECT r, 1, strpos(text, parts[1]) - 1, greatest(strpos(text, parts[1]), 0) FROM c UNION ALL
+SELECT f.r, f.i + 1, g.start, CASE WHEN g.start >= 0 THEN g.start + 1 ELSE f.behind END FROM f JOIN c ON c.r = f.r AND f.i < c.n,
+LATERAL (SELECT CASE WHEN strpos(substr(c.text, f.behind + 1), c.parts[f.i + 1]) > 0 THEN f.behind + strpos(substr(c.text, f.behind + 1), c.parts[f.i + 1]) - 1 ELSE strpos(c.text, c.parts[f.i + 1]) - 1 END AS start) g)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_idx, CAST(start AS INTEGER) AS start FROM f JOIN c USING (r)""",
+)
 def note_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets of every sentence in its document; tests hold them against plain Python."""
+    """Offsets of every sentence in its document."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("chunks", T.sentences("text"))
     return rows.select("doc_id", F.posexplode(running_offsets(F.col("text"), F.col("chunks"))).alias("chunk_idx", "start"))
 
@@ -163,3 +177,36 @@ def subject_ip(trusted: tuple[str, ...]):
         return pd.Series(out, dtype="object")
 
     return resolve
+
+
+_TRUSTED = ("10.0.0.0/8", "192.168.1.0/24")
+
+
+@register(
+    "subject_addresses",
+    """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '10.0.0.' || event_id % 200 WHEN 1 THEN '192.168.1.' || user_id % 200 WHEN 2 THEN '192.168.2.' || user_id % 200 ELSE 'none' END AS client,
+  '8.8.' || user_id % 250 || '.' || event_id % 250 || CASE event_id % 3 WHEN 0 THEN ', 10.1.2.3' WHEN 1 THEN ', 10.1.2.3, 192.168.1.9' ELSE '' END AS forwarded FROM events)
+SELECT event_id, CASE WHEN client = 'none' THEN NULL WHEN starts_with(client, '192.168.2.') THEN client ELSE split_part(forwarded, ',', 1) END AS subject FROM e""",
+)
+def subject_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address that a request counts for: the last forwarded hop before trusted proxies, if the client is one of these."""
+    k, u = F.col("event_id"), F.col("user_id")
+    text = lambda c: c.cast("string")
+    client = F.when(k % 4 == 0, F.concat(F.lit("10.0.0."), text(k % 200))).when(k % 4 == 1, F.concat(F.lit("192.168.1."), text(u % 200))).when(k % 4 == 2, F.concat(F.lit("192.168.2."), text(u % 200))).otherwise("none")
+    hops = F.concat(F.lit("8.8."), text(u % 250), F.lit("."), text(k % 250), F.when(k % 3 == 0, ", 10.1.2.3").when(k % 3 == 1, ", 10.1.2.3, 192.168.1.9").otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", subject_ip(_TRUSTED)(client, hops).alias("subject"))
+
+
+@register(
+    "term_replacements",
+    """WITH RECURSIVE l AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_partkey - 1 WHEN 2 THEN p_partkey // 2 WHEN 3 THEN p_partkey + 1 ELSE p_partkey - 1 END AS target FROM part),
+live AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 5 = 0),
+w(id, target, steps) AS (SELECT id, target, 1 FROM l WHERE target IS NOT NULL UNION ALL SELECT w.id, l.target, steps + 1 FROM w JOIN l ON l.id = w.target WHERE w.target NOT IN (SELECT id FROM live) AND l.target IS NOT NULL AND steps < 64)
+SELECT w.id, w.target FROM w JOIN live ON live.id = w.target""",
+)
+def term_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live term that a chain of replacements reaches; threes and fours point at each other and reach none."""
+    k = F.col("p_partkey")
+    target = F.when(k % 5 == 0, None).when(k % 5 == 1, k - 1).when(k % 5 == 2, F.floor(k / 2).cast("long")).when(k % 5 == 3, k + 1).otherwise(k - 1)
+    links = table(spark, sf_dir, "part").select(k.alias("id"), target.alias("replaced_by"))
+    return latest_replacement(links, links.filter("id % 5 = 0").select("id"))

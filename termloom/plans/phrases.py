@@ -1,6 +1,6 @@
 """Texts to ranked terms in one plan: queries by sentence, candidates by variants, chunks that are split until they gain.
 
-In the test tables parts are the terms, encoded by hashed words, and benchmark items or parts' names the texts.
+In the test tables parts are the terms, encoded by hashed words, and turns of conversations the texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
 
 
 def embedded_sql(name: str, source: str) -> str:
@@ -57,7 +57,7 @@ _TERMS = embedded_sql("terms", "(SELECT p_name AS text FROM part)")
 
 @register(
     "process_query",
-    f"""WITH {_TERMS}, b AS (SELECT item_id, coalesce(text, '') AS text, {sentences_sql("coalesce(text, '')")} AS parts FROM benchmark),
+    f"""WITH {_TERMS}, b AS (SELECT conv_id * 1000 + turn AS item_id, coalesce(text, '') AS text, {sentences_sql("coalesce(text, '')")} AS parts FROM conversations),
 q AS (SELECT item_id AS query_id, i AS sentence, parts[i + 1] AS text FROM (SELECT *, unnest(range(0, len(parts))) AS i FROM b)), {embedded_sql("qv", "q")}, {ranked_sql("qr", "qv", 2 * TOP)},
 f AS (SELECT query_id, sentence, text, term, similarity, rank FROM q JOIN qr USING (text) WHERE similarity >= {LEAST} AND rank <= {TOP}),
 w AS (SELECT item_id AS query_id, -1 AS sentence, text FROM b WHERE item_id NOT IN (SELECT query_id FROM f)), {embedded_sql("wv", "w")}, {ranked_sql("wr", "wv", TOP)},
@@ -65,7 +65,7 @@ u AS (SELECT * FROM f UNION ALL SELECT query_id, sentence, text, term, similarit
 SELECT query_id, CAST(sentence AS INTEGER) AS sentence, term, p_name AS label, similarity, rank FROM u JOIN part ON p_partkey = term""",
 )
 def process_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items by sentence, whole where no sentence finds a part, with the parts' names."""
+    """Turns by sentence, whole where no sentence finds a part, with the parts' names."""
     found = phrase_query.process(texts(spark, sf_dir), terms(spark, sf_dir), TOP, LEAST)
     labels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("term"), F.col("p_name").alias("label"))
     return found.join(labels, "term").select("query_id", "sentence", "term", "label", "similarity", "rank")
@@ -73,9 +73,9 @@ def process_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "map_variant_candidates",
-    rf"""WITH {_TERMS}, i AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_size || ' mm' ELSE p_name END AS phrase, p_type AS category FROM part),
+    rf"""WITH {_TERMS}, i AS (SELECT conv_id * 1000 + turn AS item_id, array_to_string(string_split(coalesce(text, ''), ' ')[1:2], ' ') || CASE WHEN turn % 3 = 0 THEN ' ' || turn || ' mm' ELSE '' END AS phrase, role AS category FROM conversations),
 k AS (SELECT *, trim(regexp_replace(lower(regexp_replace(regexp_replace(phrase, '[(][^)]*[)]', ' ', 'g'), '[_-]', ' ', 'g')), '[ \t\n\r]+', ' ', 'g')) AS key FROM i),
-g AS (SELECT key, category, min(phrase) AS phrase FROM k GROUP BY ALL),
+g AS (SELECT key, category, trim(regexp_replace(regexp_replace(min(phrase), '[ \t\n\r]*\n[ \t\n\r]*', ' ', 'g'), '[ \t\n\r]{{2,}}', ' ', 'g')) AS phrase FROM k GROUP BY ALL),
 v AS (SELECT key, category, 0 AS n, phrase AS text FROM g UNION ALL SELECT key, category, 1, trim(regexp_replace(phrase, '[ ]*[0-9]+([.,][0-9]+)?[ ]*(mg|kg|g|cm|mm|m|ml|l|%)?\z', '')) FROM g),
 a AS (SELECT key, category, min(n) AS n, text FROM v WHERE text <> '' GROUP BY ALL), {embedded_sql("av", "a")}, {ranked_sql("ar", "av", 20)},
 s AS (SELECT text, term, similarity, rank, len(list_intersect([CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN left(x, -1) ELSE x END FOR x IN regexp_extract_all(lower(text), '[a-z0-9_]+')], [CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN left(x, -1) ELSE x END FOR x IN regexp_extract_all(lower(label), '[a-z0-9_]+')])) > 0 AS overlap FROM ar),
@@ -85,10 +85,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY key, category ORDER BY score DES
 SELECT item_id, term, score, variant, rank FROM k JOIN r USING (key, category)""",
 )
 def map_variant_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts' names, some with a measure, as phrases: retrieved with and without it, once for all items that ask for the same."""
-    parts = table(spark, sf_dir, "part")
-    phrase = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.lit("mm"))).otherwise(F.col("p_name"))
-    items = parts.select(F.col("p_partkey").alias("item_id"), phrase.alias("phrase"), F.col("p_type").alias("category"))
+    """The first two words of turns, some with a measure, as phrases: retrieved with and without it, once for all items that ask for the same."""
+    parts, measure = table(spark, sf_dir, "part"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), F.col("turn").cast("string"), F.lit(" mm"))).otherwise("")
+    phrase = F.concat(F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 2), " "), measure)
+    items = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), phrase.alias("phrase"), F.col("role").alias("category"))
     labels = parts.select(F.col("p_partkey").alias("term"), F.col("p_name").alias("label"))
     known = terms(spark, sf_dir)
 
@@ -117,10 +117,10 @@ c{n} AS (SELECT * FROM {c} ANTI JOIN (SELECT doc_id, parent AS chunk_id FROM g{n
 
 @register(
     "adaptive_rechunk",
-    f"WITH {_TERMS}, o0 AS (SELECT item_id AS doc_id, '0' AS chunk_id, coalesce(text, '') AS text FROM benchmark), c0 AS (SELECT * FROM o0), {_round_sql(1)}, {_round_sql(2)} SELECT doc_id, chunk_id, text FROM c2",
+    f"WITH {_TERMS}, o0 AS (SELECT conv_id * 1000 + turn AS doc_id, '0' AS chunk_id, coalesce(text, '') AS text FROM conversations), c0 AS (SELECT * FROM o0), {_round_sql(1)}, {_round_sql(2)} SELECT doc_id, chunk_id, text FROM c2",
 )
 def q_adaptive_rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as chunks: the poor ones are split, retrieved anew, and stay split where that gains, twice over."""
+    """Turns as chunks: the poor ones are split, retrieved anew, and stay split where that gains, twice over."""
     known = terms(spark, sf_dir)
 
     def retrieve(chunks: DataFrame) -> DataFrame:

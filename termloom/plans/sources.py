@@ -149,17 +149,16 @@ def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "store_versions",
-    """SELECT * FROM (SELECT 1 AS version, 'replace' AS kind, count(*) AS written, count(*) AS visible FROM supplier UNION ALL
-SELECT 2, 'append', (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) UNION ALL
-SELECT 3, 'replace', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation))""",
+    """WITH n AS (SELECT (SELECT count(*) FROM labels) AS l, (SELECT count(*) FROM conversations) AS c, (SELECT count(*) FROM documents) AS d)
+SELECT 1 AS version, 'replace' AS kind, l AS written, l AS visible FROM n UNION ALL SELECT 2, 'append', c, l + c FROM n UNION ALL SELECT 3, 'replace', d, d FROM n""",
 )
 def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table's versions, each read by itself after the last was made; a writer that read an old version is refused."""
-    names = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("name"))
+    names = lambda t, c: table(spark, sf_dir, t).select(F.col(c).cast("string").alias("name"))
     store = Versions(spark, scratch(spark, "versions"))
-    store.replace(names("supplier", "s_name"))
-    store.append(names("customer", "c_name"))
-    store.replace(names("nation", "n_name"))
+    store.replace(names("labels", "doc_id"))
+    store.append(names("conversations", "role"))
+    store.replace(names("documents", "source"))
     try:
         store.append(names("region", "r_name"), base=1)
     except Clash:

@@ -164,7 +164,17 @@ def txt_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi(rows).drop("n_chars")
 
 
-@register("txt_language", None)
+_VOTES = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in words)}))) AS {lang}" for lang, words in T.COMMON.items())
+_BEST = f"greatest({', '.join(T.COMMON)})"
+
+
+@register(
+    "txt_language",
+    _D
+    + r", w AS (SELECT doc_id, lang, text, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM d)"
+    + f""", v AS (SELECT doc_id, lang, text, {_VOTES} FROM w)
+SELECT doc_id, lang, CASE WHEN length(trim(text)) < 20 OR {_BEST} = 0 THEN 'en' {' '.join(f"WHEN {lang} = {_BEST} THEN '{lang}'" for lang in T.COMMON)} END AS detected FROM v""",
+)
 def txt_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language by common words; documents are known to be in four languages."""
     return docs(spark, sf_dir).select("doc_id", "lang", T.detect_language("text").alias("detected"))

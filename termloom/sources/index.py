@@ -13,13 +13,21 @@ DIMENSIONS = 64
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Feature hashing of words by their md5 prefix: the same vectors in every engine, a stand-in for a trained encoder.
 
-    One sort of the word cells and one pass over the dimensions; unit length, zeros for a text without words.
+    Unit length, zeros for a text without words.
     """
     words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
     cells = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dimensions)))
-    counts = F.aggregate(cells, F.array_repeat(F.lit(0.0), dimensions), lambda acc, c: F.transform(acc, lambda x, i: F.when(i == c, x + 1).otherwise(x)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+    places = F.array(*[F.lit(i).cast("long") for i in range(dimensions)])
+    # arrays of one value bind the cells and the counts, so that each is made once
+    counted = F.transform(F.array(cells), lambda found: F.transform(places, lambda i: F.size(F.filter(found, lambda c: c == i)).cast("double")))
+    unit = F.transform(counted, lambda counts: _unit_length(counts))
+    return F.get(unit, F.lit(0))
+
+
+def _unit_length(counts: Column) -> Column:
+    norms = F.array(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x)))
+    scaled = F.transform(norms, lambda norm: F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float")))
+    return F.get(scaled, F.lit(0))
 
 
 def build(documents: DataFrame, path: str, model: str, index_type: str, version: str, encode=hashed_embedding, bucket: int | None = None) -> int:
