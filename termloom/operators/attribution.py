@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+
 try:
     import ahocorasick
 except ImportError:  # a library that isn't everywhere; the fallback scans once a label
     ahocorasick = None
 
-#: Labels that travel with a pass over the texts at most, some tens of MB; more labels take more passes.
+#: Labels that travel with a pass over the texts, about: some tens of MB on the driver and in each task.
 MOST_LABELS = 200_000
 
 
@@ -41,10 +42,6 @@ def first_places(docs: DataFrame, labels: list[tuple[int, str]]) -> DataFrame:
 
     ``labels`` are (id, text), no text twice and none empty; cases count, so that callers lower both sides if they want.
     """
-    if len(labels) > MOST_LABELS:
-        blocks = [first_places(docs, labels[at : at + MOST_LABELS]) for at in range(0, len(labels), MOST_LABELS)]
-        return reduce(DataFrame.unionByName, blocks)
-
     def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(labels)
         for batch in batches:
@@ -55,3 +52,19 @@ def first_places(docs: DataFrame, labels: list[tuple[int, str]]) -> DataFrame:
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, item_id long, start int, end int")
+
+
+def places_of(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
+    """``first_places`` of a table of labels (item_id, label) of any size.
+
+    Labels are counted first and dealt into blocks of about ``most``; the driver holds one block at a time, and what a pass
+    over the texts finds is written before the next block is read.
+    """
+    blocks = max(1, -(-labels.count() // most))
+    own = F.pmod(F.xxhash64("label"), F.lit(blocks)) if blocks > 1 else F.lit(0)
+    out = None
+    for block in range(blocks):
+        found = first_places(docs, sorted((r.item_id, r.label) for r in labels.filter(own == block).select("item_id", "label").collect()))
+        found = checkpointed(found) if blocks > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions import assertions as A
 from ..functions import text as T
-from ..operators.attribution import first_places
+from ..operators.attribution import places_of
 from ..storage import table
 from .texts import _D, _ENDED, _STRIP
 
@@ -91,9 +91,8 @@ d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_i
 def txt_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First place of each label in each document, any case; documents aren't shuffled.
 
-    The labels are a fixed list of terms (the openings of the benchmark's passages); blocks of them travel to the texts.
+    The labels are terms (the openings of the benchmark's passages); blocks of them travel to the texts.
     """
     label = F.regexp_replace(F.lower(F.trim(F.array_join(F.slice(F.split("text", " "), 1, 3), " "))), "[^a-z ]", "")
     terms = table(spark, sf_dir, "benchmark").select("item_id", label.alias("label")).filter(F.length("label") >= 8).groupBy("label").agg(F.min("item_id").alias("item_id"))
-    found = sorted((r.item_id, r.label) for r in terms.collect())
-    return first_places(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), found)
+    return places_of(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), terms)

@@ -64,3 +64,13 @@ def test_a_closure_follows_its_tables(spark, tmp_path):
     (tmp_path / "supplier.parquet").unlink()
     shutil.move(str(tmp_path / "fewer"), str(tmp_path / "supplier.parquet"))
     assert ontology.closed(spark, str(tmp_path)).count() < first
+
+
+def test_labels_in_blocks(spark):
+    from termloom.operators import attribution
+
+    docs = spark.createDataFrame([(1, "aa bb cc aa"), (2, "cc"), (3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, w) for i, w in enumerate(["aa", "bb", "cc", "dd", "bb c"])], "item_id long, label string")
+    want = [(1, 0, 0, 2), (1, 1, 3, 5), (1, 2, 6, 8), (1, 4, 3, 7), (2, 2, 0, 2)]
+    for most in (100, 2, 1):
+        assert sorted(tuple(r) for r in attribution.places_of(docs, labels, most).collect()) == want
