@@ -20,7 +20,7 @@ MOST_LABELS = 200_000
 
 
 def _finder(labels: list[tuple[int, str]]):
-    if ahocorasick is None:
+    if ahocorasick is None or not labels:
         return lambda text: [(i, at, at + len(s)) for i, s in labels if (at := text.find(s)) >= 0]
     automaton = ahocorasick.Automaton()
     for i, s in labels:
