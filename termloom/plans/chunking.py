@@ -108,13 +108,64 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-@register("txt_pipeline")
+_B = r"[ \t\n\r]"
+_STRIP = rf"regexp_replace(x, '\A{_B}+|{_B}+\z', '', 'g')"
+
+
+def _parts_sql(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda x: {_STRIP}), lambda x: x <> '')"
+
+
+def _pipeline_sql() -> str:
+    """The default stages in DuckDB; a negation joins what follows by islands, as the end of what was joined is its last part's."""
+    words = "|".join(sorted(T.CONJUNCTIONS["en"], key=lambda w: (-len(w), w)))
+    low = "|".join(sorted(LOW_VALUE, key=lambda w: (-len(w), w)))
+    ends = "replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    lines = f"list_filter(list_transform(string_split(y, chr(10)), lambda x: {_STRIP}), lambda x: x <> '')"
+    ended = rf"array_to_string(list_transform({lines}, lambda x: CASE WHEN regexp_matches(x, '[.?!]\z') THEN x ELSE x || '.' END), ' ')"
+    guarded = rf"regexp_replace(regexp_replace(y, '\b({'|'.join(T.ABBREVIATIONS)})\.', '\1' || chr(1), 'g'), '([0-9])[.]([0-9])', '\1' || chr(1) || '\2', 'g')"
+    pieces = rf"string_split(regexp_replace(regexp_replace({guarded}, '[.,:;?!]{_B}+', chr(2), 'g'), '[.,:;?!]+{_B}*\z', ''), chr(2))"
+    cut = rf"string_split(replace(regexp_replace(regexp_replace(y, '({_B}+)', '\1' || chr(2), 'g'), '\x02((?:{words}){_B})', chr(1) || '\1', 'gi'), chr(2), ''), chr(1))"
+    each = lambda parts, split: f"flatten(list_transform({parts}, lambda y: {split}))"
+    clean = "c"
+    for _ in range(2):
+        clean = rf"regexp_replace({clean}, '\A[ \t\n\r.,:;!?()-]+|[ \t\n\r.,:;!?()-]+\z', '', 'g')"
+        clean = rf"regexp_replace({clean}, '(?i)\A(?:{low}){_B}+|{_B}+(?:{low})\z', '', 'g')"
+    listed = ", ".join(f"'{w}'" for w in LOW_VALUE)
+    split = rf"list_filter(string_split_regex(c, '{_B}+'), lambda w: w <> '')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p1 AS (SELECT r, doc_id, {_parts_sql(rf"regexp_split_to_array({ends}, '\n[ \t]*\n+')")} AS a FROM d),
+p2 AS (SELECT r, doc_id, {each('a', _parts_sql(f"regexp_extract_all({ended}, '[^.?!]+[.?!]')"))} AS a FROM p1),
+p3 AS (SELECT r, doc_id, {each('a', f"list_transform({_parts_sql(pieces)}, lambda x: replace(x, chr(1), '.'))")} AS a FROM p2),
+p4 AS (SELECT r, doc_id, {each('a', _parts_sql(cut))} AS a FROM p3),
+u AS (SELECT r, doc_id, i, a[i] AS c, CASE WHEN i > 1 THEN a[i - 1] END AS before FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM p4)),
+o AS (SELECT *, CASE WHEN regexp_matches(before, '(?i)(?:\\A|{_B})(?:{'|'.join(NEGATIONS)})\\z') AND len({split}) <= 5 THEN 0 ELSE 1 END AS opens FROM u),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS island FROM o),
+m AS (SELECT r, doc_id, island, string_agg(c, ' ' ORDER BY i) AS c FROM g GROUP BY ALL),
+e AS (SELECT r, doc_id, island, trim({clean}) AS c FROM m),
+k AS (SELECT *, {split} AS w FROM e),
+f AS (SELECT * FROM k WHERE length(c) >= 2 AND NOT (len(w) <= 2 AND len(list_filter(w, lambda x: lower(x) NOT IN ({listed}))) = 0))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY r ORDER BY island) - 1 AS INTEGER) AS chunk_idx, c AS chunk FROM f"""
+
+
+@register("txt_pipeline", _pipeline_sql())
 def txt_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All default stages; tests hold the result against the stages applied in plain Python."""
+    """All default stages."""
     return documents(spark, sf_dir).select("doc_id", F.posexplode(build()(F.col("text"))).alias("chunk_idx", "chunk"))
 
 
-@register("txt_semantic_split")
+@register(
+    "txt_semantic_split",
+    rf"""WITH d AS (SELECT row_number() OVER () AS r, conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '{_B}+'), lambda w: w <> '') AS w FROM conversations),
+b AS (SELECT r, conv_id, turn, i, array_to_string(w[i * 5 + 1 : i * 5 + 5], ' ') AS t, len(w[i * 5 + 1 : i * 5 + 5]) AS n FROM (SELECT *, unnest(range(0, CAST(ceil(len(w) / 5.0) AS BIGINT))) AS i FROM d)),
+c AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 8))::UBIGINT % 16) AS cells FROM b),
+h AS (SELECT * EXCLUDE (cells), list_transform(range(0, 16), lambda k: len(list_filter(cells, lambda x: x = k))::DOUBLE) AS h FROM c),
+v AS (SELECT * EXCLUDE (h), list_transform(h, lambda x: CASE WHEN list_sum(h) > 0 THEN CAST(CAST(x / sqrt(list_inner_product(h, h)) AS FLOAT) AS DOUBLE) ELSE 0.0 END) AS v FROM h),
+l AS (SELECT *, lag(v) OVER (PARTITION BY r ORDER BY i) AS before FROM v),
+o AS (SELECT *, CASE WHEN before IS NOT NULL AND (list_inner_product(before, v) >= 0.2 OR n < 2) THEN 0 ELSE 1 END AS opens FROM l),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS island FROM o)
+SELECT conv_id, turn, CAST(island - 1 AS INTEGER) AS chunk_idx, string_agg(t, ' ' ORDER BY i) AS chunk FROM g GROUP BY r, conv_id, turn, island""",
+)
 def txt_semantic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns cut where neighbouring windows share few words; rejoined pieces give the turn's words."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
