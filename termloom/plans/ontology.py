@@ -157,11 +157,14 @@ def dag_match_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).groupBy(graph.match_kind().alias("kind")).agg(F.count("*").alias("n"))
 
 
+_CREDIT = """round(CASE kind WHEN 'exact' THEN 1.0::DOUBLE WHEN 'descendant' THEN greatest(0.75::DOUBLE, 0.95::DOUBLE - 0.05::DOUBLE * (distance - 1))
+WHEN 'ancestor' THEN greatest(0.5::DOUBLE, 0.85::DOUBLE - 0.08::DOUBLE * (distance - 1)) WHEN 'sibling' THEN greatest(hybrid, 0.65::DOUBLE) WHEN 'cousin' THEN greatest(hybrid, 0.45::DOUBLE)
+WHEN 'semantic' THEN hybrid ELSE 0.0::DOUBLE END, 6)"""
+
+
 @register(
     "dag_pair_credit",
-    f"""{_PAIRS}{_FEATURES}{_KIND} SELECT a, b, kind, round(CASE kind WHEN 'exact' THEN 1.0::DOUBLE WHEN 'descendant' THEN greatest(0.75::DOUBLE, 0.95::DOUBLE - 0.05::DOUBLE * (distance - 1))
-WHEN 'ancestor' THEN greatest(0.5::DOUBLE, 0.85::DOUBLE - 0.08::DOUBLE * (distance - 1)) WHEN 'sibling' THEN greatest(hybrid, 0.65::DOUBLE) WHEN 'cousin' THEN greatest(hybrid, 0.45::DOUBLE)
-WHEN 'semantic' THEN hybrid ELSE 0.0::DOUBLE END, 6) AS credit FROM k""",
+    f"""{_PAIRS}{_FEATURES}{_KIND} SELECT a, b, kind, {_CREDIT} AS credit FROM k""",
 )
 def dag_pair_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("a", "b", graph.match_kind().alias("kind"), graph.pair_credit().alias("credit"))

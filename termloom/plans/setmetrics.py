@@ -263,7 +263,24 @@ def soft_matches(credits: DataFrame) -> DataFrame:
     return gathered.select("doc_id", "assertion", best("pairs").alias("soft_tp"))
 
 
-@register("assign_soft_rows_only")
+def _soft_sql() -> str:
+    """Matchings one false positive after the other: of each set of gold terms used so far (a bit each) the best total."""
+    from .ontology import _CREDIT, _FEATURES, _GRAPH, _KIND
+
+    return f"""WITH RECURSIVE {_GRAPH}, {_SETS.removeprefix("WITH ")},
+fpn AS (SELECT doc_id, assertion, term, row_number() OVER (PARTITION BY doc_id, assertion ORDER BY term) AS i FROM o WHERE outcome = 'fp'),
+fnn AS (SELECT doc_id, assertion, term, row_number() OVER (PARTITION BY doc_id, assertion ORDER BY term) - 1 AS j FROM o WHERE outcome = 'fn'),
+p AS (SELECT DISTINCT x.term AS a, y.term AS b FROM fpn x JOIN fnn y ON x.doc_id = y.doc_id AND x.assertion = y.assertion), {_FEATURES}{_KIND}, cr AS (SELECT a, b, {_CREDIT} AS credit FROM k),
+w AS (SELECT x.doc_id, x.assertion, x.i, y.j, credit FROM fpn x JOIN fnn y ON x.doc_id = y.doc_id AND x.assertion = y.assertion JOIN cr ON cr.a = x.term AND cr.b = y.term WHERE credit > 0),
+grp AS (SELECT DISTINCT doc_id, assertion FROM w), ways AS (SELECT * FROM w UNION ALL SELECT doc_id, assertion, i, -1, 0.0::DOUBLE FROM fpn SEMI JOIN grp USING (doc_id, assertion)),
+st(doc_id, assertion, i, mask, total) AS (SELECT doc_id, assertion, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE FROM grp UNION ALL
+  SELECT s.doc_id, s.assertion, s.i + 1, CASE WHEN j < 0 THEN mask ELSE mask | (1::BIGINT << j::INTEGER) END AS used, max(total + credit) FROM st s
+  JOIN ways ON ways.doc_id = s.doc_id AND ways.assertion = s.assertion AND ways.i = s.i + 1 AND (j < 0 OR (mask >> greatest(j, 0)::INTEGER) & 1 = 0) GROUP BY s.doc_id, s.assertion, s.i, used),
+soft AS (SELECT doc_id, assertion, round(max(total), 6) AS soft FROM st GROUP BY ALL), ex AS (SELECT doc_id, assertion, count(*) AS exact FROM o WHERE outcome = 'tp' GROUP BY ALL)
+SELECT doc_id, assertion, coalesce(exact, 0) AS exact, round(coalesce(exact, 0) + coalesce(soft, 0.0), 6) AS soft_tp FROM ex FULL JOIN soft USING (doc_id, assertion)"""
+
+
+@register("assign_soft_rows_only", _soft_sql())
 def assign_soft_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ontology-aware soft true positives: exact matches first, the rest by maximum-weight matching within an assertion."""
     from .ontology import about_terms
