@@ -170,6 +170,22 @@ def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@register(
+    "embedding_cache",
+    """WITH t AS (SELECT DISTINCT substr(coalesce(text, ''), 1, 12) AS text, coalesce(lang = 'en', false) AS en FROM documents), n AS (SELECT count(DISTINCT text) FILTER (en) AS en, count(DISTINCT text) AS n FROM t)
+SELECT 1 AS version, en AS encoded, n AS served FROM n UNION ALL SELECT 2, n - en, n FROM n""",
+)
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings of documents, encoded in three runs: English ones, all, and all again, which encodes nothing more."""
+    path = scratch(spark, "cache")
+    openings = table(spark, sf_dir, "documents").select(F.substring(F.coalesce("text", F.lit("")), 1, 12).alias("text"), "lang")
+    index.cached(openings.filter("lang = 'en'"), path, "hashed")
+    index.cached(openings, path, "hashed")
+    served = index.cached(openings, path, "hashed").agg(F.count("*").alias("served"))
+    history = spark.createDataFrame([(v, n) for v, _, n in Versions(spark, path).history()], "version int, encoded long")
+    return history.crossJoin(F.broadcast(served))
+
+
 class _Refused(Exception):
     pass
 

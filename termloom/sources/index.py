@@ -7,6 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+from .versions import Clash, Versions
+
 DIMENSIONS = 64
 
 
@@ -57,6 +60,27 @@ def open_index(spark: SparkSession, path: str, model: str | None = None, version
     return vectors, record
 
 
+def cached(texts: DataFrame, root: str, model: str, encode=hashed_embedding) -> DataFrame:
+    """text, embedding of the distinct texts (text); only those that no earlier run has encoded with this model are encoded.
+
+    The cache is a versioned table by digest of text and model. A writer that another one overtook tries anew with what that one
+    wrote; nulls are left out.
+    """
+    cache = Versions(texts.sparkSession, root)
+    keyed = checkpointed(texts.filter(F.col("text").isNotNull()).select("text").distinct().withColumn("key", F.sha2(F.concat(F.lit(model + "|"), "text").cast("binary"), 256)))
+    while True:
+        base = cache.latest()
+        new = keyed.join(cache.read(base).select("key"), "key", "left_anti") if base else keyed
+        if new.isEmpty() and base:
+            break
+        try:
+            cache.append(new.select("key", F.lit(model).alias("model"), encode(F.col("text")).alias("embedding")), base)
+            break
+        except Clash:
+            continue
+    return keyed.join(cache.read().select("key", "embedding"), "key").select("text", "embedding")
+
+
 def write_run(rows: DataFrame, root: str, kind: str, dataset: str, model: str, run_id: str) -> None:
     """Results of a run under kind, dataset, model and run, as partitions."""
     tagged = rows.withColumns({"type": F.lit(kind), "dataset": F.lit(dataset), "model": F.lit(model), "run_id": F.lit(run_id)})

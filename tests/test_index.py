@@ -88,3 +88,21 @@ def test_centres_serve_every_row():
     x = np.repeat(rng.normal(size=(5, 4)), 40, axis=0)
     centres = inverted.fit(x, 10)
     assert math.isclose(float((knn.unit(x) @ centres.T).max(axis=1).min()), 1.0, abs_tol=1e-9)
+
+
+def test_cache_of_vectors(spark):
+    """Only new texts are encoded; models don't share vectors; nulls and repeats cost nothing."""
+    from pyspark.sql import functions as F
+
+    from termloom.sources import index
+    from termloom.sources.versions import Versions
+
+    path = scratch(spark, "vector-cache")
+    rows = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: list(r.embedding) for r in index.cached(rows(["a b", "a b", "c", None, ""]), path, "m").collect()}
+    want = {r.text: list(r.e) for r in rows(["a b", "c", ""]).select("text", index.hashed_embedding(F.col("text")).alias("e")).collect()}
+    assert got == want
+    assert index.cached(rows(["c", "d"]), path, "m").count() == 2
+    assert index.cached(rows(["c", "d"]), path, "m").count() == 2
+    assert index.cached(rows(["c"]), path, "other").count() == 1
+    assert [n for _, _, n in Versions(spark, path).history()] == [3, 1, 1]
