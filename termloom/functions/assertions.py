@@ -38,9 +38,11 @@ def negated_scopes(s: Column, lang: str = "en") -> Column:
     ``s`` is a ``spaced`` text. Pseudo cues are blotted out once (an array of one value binds the result), and the cues are
     an array that one lambda walks, so that the plan stays small whatever the lexicon's size.
     """
+    listed = FORWARD.get(lang, FORWARD["en"])
+    has = s.rlike(" (?:" + "|".join(listed) + ") ")  # most texts have none and go no further
     for p in PSEUDO.get(lang, ()):
         s = F.replace(s, F.lit(f" {p} "), F.lit(" \x01 "))
-    cues = F.array(*[F.lit(f" {c} ") for c in sorted(FORWARD.get(lang, FORWARD["en"]), key=lambda c: (-len(c), c))])
+    cues = F.array(*[F.lit(f" {c} ") for c in sorted(listed, key=lambda c: (-len(c), c))])
     ends = " (?:" + "|".join(TERMINATE.get(lang, ()) or ("\x02",)) + ") "
 
     def scope(text: Column, cue: Column) -> Column:
@@ -50,7 +52,7 @@ def negated_scopes(s: Column, lang: str = "en") -> Column:
         return F.when(at > 0, F.nullif(F.array_join(F.slice(words, 1, SCOPE_WORDS), " "), F.lit("")))
 
     bound = F.transform(F.array(s), lambda t: F.array_compact(F.transform(cues, lambda c: scope(t, c))))
-    return F.get(bound, F.lit(0))
+    return F.when(has, F.get(bound, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def is_normal(s: Column, lang: str = "en") -> Column:
