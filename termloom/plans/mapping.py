@@ -198,3 +198,16 @@ def map_two_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = phases.run(groups, _recorded, retrieve, phases.first_offer, regroup=_halves)
     return found.select("doc_id", "term", "assertion", "phrase", "method")
+
+
+@register(
+    "mention_experiencer",
+    """WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Family/History' WHEN 1 THEN ' Other ' WHEN 2 THEN 'General' ELSE role END AS category FROM conversations),
+n AS (SELECT *, regexp_replace(lower(trim(category)), '[ /_-]+', '_', 'g') AS c FROM c)
+SELECT conv_id, turn, CASE WHEN c = 'family_history' THEN 'family_history' WHEN c IN ('other', 'unrelated', 'general') THEN 'other' ELSE 'proband' END AS experiencer FROM n""",
+)
+def mention_experiencer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom a mention is about, by its category; turns' roles and three spellings of categories stand for them."""
+    kind = F.col("turn") % 4
+    category = F.when(kind == 0, "Family/History").when(kind == 1, " Other ").when(kind == 2, "General").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", phases.experiencer(category).alias("experiencer"))
