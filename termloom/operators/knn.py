@@ -40,15 +40,17 @@ def block_top(docs: pa.Table, queries: pa.Table, k: int, exclude_self: bool) ->
         ids, x = np.asarray(docs.column("id")), matrix(docs.column("embedding"), docs.num_rows)
         asked, q = np.asarray(queries.column("id")), matrix(queries.column("embedding"), queries.num_rows)
         for at in range(0, len(ids), STEP):
-            sims = np.round(np.clip(x[at : at + STEP] @ q.T, 0, 1), 6) + 0.0
+            part = x[at : at + STEP]
+            # one number a pair, millionths first and then the smaller id: no two are equal, so k are k whatever the ties
+            keys = np.rint(np.clip(q @ part.T, 0, 1) * 1e6).astype(np.int64) * STEP + (STEP - 1 - np.arange(len(part)))
             if exclude_self:
                 first, last = np.searchsorted(ids[at : at + STEP], asked), np.searchsorted(ids[at : at + STEP], asked, "right")
                 for i in np.flatnonzero(last > first):
-                    sims[first[i] : last[i], i] = -1.0
-            edge = np.partition(sims, len(sims) - k, axis=0)[len(sims) - k] if len(sims) > k else np.zeros(len(asked))
-            doc, query = np.nonzero(sims >= np.maximum(edge, 0.0))
-            kept = best(query, ids[at + doc], sims[doc, query], k)
-            found.append(tuple(c[kept] for c in (query, ids[at + doc], sims[doc, query])))
+                    keys[i, first[i] : last[i]] = -1
+            top = np.argpartition(keys, -k, axis=1)[:, -k:] if len(part) > k else np.broadcast_to(np.arange(len(part)), keys.shape)
+            chosen = np.take_along_axis(keys, top, axis=1)
+            query, place = np.nonzero(chosen >= 0)
+            found.append((query, ids[at + top[query, place]], chosen[query, place] // STEP / 1e6))
         query, doc, sim = (np.concatenate(c) for c in zip(*found))
         kept = best(query, doc, sim, k)
         found = [(asked[query[kept]], doc[kept], sim[kept])]

@@ -22,7 +22,7 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     cells = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dimensions)))
     places = F.array(*[F.lit(i).cast("long") for i in range(dimensions)])
     # arrays of one value bind the cells and the counts, so that each is made once
-    counted = F.transform(F.array(cells), lambda found: F.transform(places, lambda i: F.size(F.filter(found, lambda c: c == i)).cast("double")))
+    counted = F.transform(F.array(cells), lambda found: F.transform(places, lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double")))
     unit = F.transform(counted, lambda counts: _unit_length(counts))
     return F.get(unit, F.lit(0))
 
