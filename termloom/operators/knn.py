@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents and queries of a block, about.
-DOC_BLOCK, QUERY_BLOCK = 8_192, 2_000
+DOC_BLOCK, QUERY_BLOCK = 32_768, 1_000
 
 #: Documents that a task multiplies with its queries at a time.
 STEP = 1_024
