@@ -58,6 +58,13 @@ def txt_negation_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.size("s") > 0).select("doc_id", "chunk_idx", F.array_join("s", "|").alias("scopes"))
 
 
+@register("txt_normality", f"{_SENTENCES} SELECT doc_id, count(*) AS n_sentences, count(*) FILTER ({_case(lambda x: '(' + ' OR '.join(f"strpos(s, ' {c} ') > 0" for c in A.NORMAL[x]) + ')')}) AS n_normal FROM c GROUP BY doc_id")
+def txt_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sentences, and how many of them have a cue of normality of its language."""
+    normal = A.by_language(F.col("lang"), lambda x: A.is_normal(F.col("spaced"), x))
+    return sentences(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.count_if(normal).alias("n_normal"))
+
+
 @register(
     "assertion_status_counts",
     f"{_SCOPED} SELECT lang, CASE WHEN len(scopes) > 0 THEN 'negated' WHEN normal THEN 'normal' ELSE 'affirmed' END AS status, count(*) AS n FROM r GROUP BY ALL",

@@ -76,8 +76,8 @@ def assertion_left_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "own", C.with_left_context(F.col("text"), F.col("start"), F.col("end"), F.col("own"), "en").alias("status"))
 
 
-@register("txt_normality", f"WITH {_SENTENCE_SQL} SELECT id, {' + '.join(f"CAST(strpos(s, ' {c} ') > 0 AS INTEGER)" for c in NORMAL['en'])} AS cues FROM s WHERE {' OR '.join(f"strpos(s, ' {c} ') > 0" for c in NORMAL['en'])}")
-def txt_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("assertion_normal_cues", f"WITH {_SENTENCE_SQL} SELECT id, {' + '.join(f"CAST(strpos(s, ' {c} ') > 0 AS INTEGER)" for c in NORMAL['en'])} AS cues FROM s WHERE {' OR '.join(f"strpos(s, ' {c} ') > 0" for c in NORMAL['en'])}")
+def assertion_normal_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with a cue of normality, and how many different ones."""
     s = spaced(F.col("text"))
     cues = sum((F.when(s.contains(f" {c} "), 1).otherwise(0) for c in NORMAL["en"]), F.lit(0))
