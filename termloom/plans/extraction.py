@@ -132,11 +132,16 @@ def q_improvement_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subdivide(chunk: Column, config: Adaptive = Adaptive()) -> Column:
     """Sentence windows of a chunk: distinct, long enough, not the chunk itself."""
-    sentences = T.sentences(chunk)
     step = max(1, config.sentences - config.overlap)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(sentences) - 1, F.lit(0)), F.lit(step))
-    windows = F.transform(starts, lambda s: F.array_join(F.slice(sentences, s + 1, config.sentences), " "))
-    return F.filter(F.array_distinct(windows), lambda w: (F.length(w) >= config.least_chars) & (w != T.clean_spaces(chunk)))
+
+    def windows(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(x["s"]) - 1, F.lit(0)), F.lit(step))
+        found = F.array_distinct(F.transform(starts, lambda s: F.array_join(F.slice(x["s"], s + 1, config.sentences), " ")))
+        return F.filter(found, lambda w: (F.length(w) >= config.least_chars) & (w != x["whole"]))
+
+    # an array of one value binds the sentences and the cleaned chunk, so that each is made once and not once a window
+    bound = F.array(F.struct(T.sentences(chunk).alias("s"), T.clean_spaces(chunk).alias("whole")))
+    return F.get(F.transform(bound, windows), F.lit(0))
 
 
 def adaptive_rechunk(chunks: DataFrame, retrieve: Callable[[DataFrame], DataFrame], config: Adaptive = Adaptive()) -> DataFrame:

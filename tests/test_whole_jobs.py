@@ -1,6 +1,9 @@
 """Queries do their whole job, with work that grows with their input."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from termloom.plans import extraction
 
 
 def test_normality_reads_documents_of_every_language(spark, tmp_path):
@@ -8,3 +11,12 @@ def test_normality_reads_documents_of_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in entry.queries()["txt_normality"](spark, str(tmp_path)).collect()}
     assert got == {(1, 2, 1), (2, 1, 1), (3, 1, 0), (4, 1, 1)}
+
+
+def made(column, name):
+    """How often a function is called in a column's expression."""
+    return column._jc.toString().count(name)
+
+
+def test_a_text_is_cut_into_sentences_once(spark):
+    assert made(extraction.subdivide(F.col("text")), "regexp_extract_all") == 1
