@@ -172,10 +172,17 @@ COMMON: dict[str, tuple[str, ...]] = {
 
 def detect_language(t: C, default: str = "en", least: int = 20) -> Column:
     """Vote of common words; the default for short texts and for ties without a vote; the first of equals."""
-    s = F.lower(_c(t))
-    found = words(F.regexp_replace(s, r"[^\p{L}]+", " "))
-    counted = lambda listed: F.size(F.filter(found, lambda w: w.isin(*listed)))
-    votes = [counted(ws) for ws in COMMON.values()]
-    best = F.greatest(*votes)
-    pick = F.coalesce(*[F.when((v == best) & (best > 0), F.lit(k)) for k, v in zip(COMMON, votes)], F.lit(default))
-    return F.when(F.length(F.trim(_c(t))) < least, F.lit(default)).otherwise(pick)
+    s = _c(t)
+
+    def elected(votes: Column) -> Column:
+        best = F.array_max(votes)
+        return F.when(best > 0, F.get(F.array(*map(F.lit, COMMON)), F.array_position(votes, best).cast("int") - 1)).otherwise(default)
+
+    def counted(listed: tuple[str, ...]) -> Column:
+        # a listed word has a blank before and after it, which no neighbour shares: what goes without it tells how often it is there
+        return lambda x: F.regexp_count(x, F.lit(r" (?:" + "|".join(listed) + r") "))
+
+    # arrays of one value bind the words and the votes, so that each is made once
+    spaced = F.array(F.concat(F.lit(" "), F.regexp_replace(F.lower(s), r"[^\p{L}]+", "  "), F.lit(" ")))
+    votes = F.transform(spaced, lambda x: F.array(*[counted(ws)(x) for ws in COMMON.values()]))
+    return F.when(F.length(F.trim(s)) < least, F.lit(default)).otherwise(F.coalesce(F.get(F.transform(votes, elected), F.lit(0)), F.lit(default)))

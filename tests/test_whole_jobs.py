@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from termloom.functions import text as T
 from termloom.plans import extraction
 
 
@@ -20,3 +21,10 @@ def made(column, name):
 
 def test_a_text_is_cut_into_sentences_once(spark):
     assert made(extraction.subdivide(F.col("text")), "regexp_extract_all") == 1
+
+
+def test_a_language_vote_reads_a_text_once(spark):
+    assert made(T.detect_language(F.col("text")), "regexp_replace") == 1
+    rows = [(1, "le der der xx het yy la les zz des"), (2, "der die le la and something"), (3, "zzzz yyyy xxxx wwww vvvv uuuu"), (4, "der die"), (5, None), (6, "The,the THE and; für ünd le le le la")]
+    got = dict(spark.createDataFrame(rows, "id long, text string").select("id", T.detect_language("text")).collect())
+    assert got == {1: "fr", 2: "de", 3: "en", 4: "en", 5: "en", 6: "en"}
