@@ -32,6 +32,8 @@ FAILURES: dict[str, tuple[str, ...]] = {
     "provider_transport_error": ("connection", "network", "transport", "dns", "ssl", "remoteprotocol", "readerror", "connecterror"),
     "provider_config_error": ("unsupported", "misconfig", "configuration", "invalid base_url", "model not found", "unknown provider"),
 }
+#: Phrases whose answers go to all tasks at most.
+BROADCAST_ROWS = 20_000
 OTHER_FAILURE = "provider_execution_error"
 #: Failures that smaller groups may mend.
 RETRYABLE = ("provider_timeout", "structured_json_invalid", "structured_schema_validation_failed")
@@ -103,17 +105,25 @@ def run(
     candidates = retrieve(items.select("phrase").distinct())
     from ..plans.mapping import LOCAL_MATCH, local_match
 
-    rows = items.join(candidates, "phrase", "left").withColumn("local", local_match(F.col("phrase"), F.col("label"), LOCAL_MATCH))
-    order = Window.partitionBy("doc_id", "key", "category", "assertion").orderBy(F.col("local").asc_nulls_last(), F.desc("score"), "term")
-    ranked = checkpointed(rows.withColumn("n", F.row_number().over(order)))
-    settled = ranked.filter((F.col("n") == 1) & (F.col("local").isNotNull() | (F.col("score") >= accept))).withColumn("method", F.when(F.col("local").isNotNull(), "local").otherwise("score"))
+    # what a phrase's candidates are is settled once a phrase, not once for every mention of it
+    order = Window.partitionBy("phrase").orderBy(F.col("local").asc_nulls_last(), F.desc("score"), "term")
+    rows = candidates.withColumn("local", local_match(F.col("phrase"), F.col("label"), LOCAL_MATCH)).withColumn("n", F.row_number().over(order))
+    rows = checkpointed(rows.filter("term IS NOT NULL"))
+    sure = F.col("local").isNotNull() | F.coalesce(F.col("score") >= accept, F.lit(False))
+    best = rows.filter((F.col("n") == 1) & sure).select("phrase", "term", F.when(F.col("local").isNotNull(), "local").otherwise("score").alias("method"))
+    best = checkpointed(best)
+    few = best.count() <= BROADCAST_ROWS  # many mentions have few phrases: a join by phrase would put most rows into a few tasks
+    settled = items.join(F.broadcast(best) if few else best, "phrase")
     key = ["doc_id", "key", "category", "assertion"]
-    rest = ranked.join(settled.select(*key), key, "left_anti").filter("term IS NOT NULL")
     item = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), 256)
-    offers = rest.withColumn("item_id", item).groupBy("item_id", *key, "phrase").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "term", "label"))).alias("c"))
+    open_ = rows.join(best.select("phrase"), "phrase", "left_anti").groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "term", "label"))).alias("c"))
     payload = F.to_json(F.struct("phrase", F.transform("c", lambda c: F.struct(c["term"].alias("term"), c["label"].alias("label"))).alias("candidates")))
-    chosen = offers.select("item_id", payload.alias("payload")).mapInPandas(mapper, "item_id string, selected string")
-    mapped = offers.join(chosen, "item_id").filter(F.exists("c", lambda c: c["term"].cast("string") == F.col("selected"))).withColumn("method", F.lit("mapped"))
+    open_ = checkpointed(open_.withColumn("payload", payload))
+    asked, few = open_.select("phrase", "payload"), open_.count() <= BROADCAST_ROWS
+    offers = items.withColumn("item_id", item).join(F.broadcast(asked) if few else asked, "phrase")
+    chosen = checkpointed(offers.select("item_id", "payload").mapInPandas(mapper, "item_id string, selected string"))  # each item is asked once
+    offered = open_.select("phrase", F.explode("c.term").alias("selected")).select("phrase", F.col("selected").cast("string")).distinct()
+    mapped = offers.drop("payload").join(chosen, "item_id").join(offered, ["phrase", "selected"], "left_semi").withColumn("method", F.lit("mapped"))
     columns = ["doc_id", "term", "assertion", "category", "phrase", "method"]
     return settled.select(*columns).unionByName(mapped.withColumn("term", F.col("selected")).select(*columns).withColumn("term", F.col("term").cast(settled.schema["term"].dataType)))
 
