@@ -1,9 +1,14 @@
 """Queries do their whole job, with work that grows with their input."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from termloom.functions import text as T
+from termloom.operators import knn
 from termloom.plans import extraction
 
 
@@ -28,3 +33,14 @@ def test_a_language_vote_reads_a_text_once(spark):
     rows = [(1, "le der der xx het yy la les zz des"), (2, "der die le la and something"), (3, "zzzz yyyy xxxx wwww vvvv uuuu"), (4, "der die"), (5, None), (6, "The,the THE and; für ünd le le le la")]
     got = dict(spark.createDataFrame(rows, "id long, text string").select("id", T.detect_language("text")).collect())
     assert got == {1: "fr", 2: "de", 3: "en", 4: "en", 5: "en", 6: "en"}
+
+
+def test_a_block_of_a_search_holds_k_numbers_a_query():
+    rng = np.random.default_rng(1)
+    table = lambda n: pa.table({"id": np.arange(n), "embedding": pa.array(list(rng.normal(size=(n, 8)).astype(np.float32)))})
+    docs, queries = table(30_000), table(500)
+    tracemalloc.start()
+    found = knn.block_top(docs, queries, 150, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 75_000 and peak < 60e6
