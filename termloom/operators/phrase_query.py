@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.index import hashed_embedding
 from ..storage import checkpointed
-from .knn import knn
+from .knn import knn, ranked
 
 Encode = Callable[[Column], Column]
 
@@ -21,12 +21,25 @@ WHOLE = -1
 def nearest_terms(texts: DataFrame, terms: DataFrame, k: int, encode: Encode = hashed_embedding) -> DataFrame:
     """text, term, similarity, rank: the k nearest ``terms`` (id, embedding) of each distinct text (text).
 
-    Each text is encoded and searched once, however often the result is read: both are written to the shared folder.
+    Each text is encoded once, and texts of one vector are searched once; both are written to the shared folder, however often
+    the result is read. Terms of one vector are searched as one, by the smallest id: of the k first rows of a text each is among the k smallest
+    ids of one of its k first vectors, as of any vector before that one its smallest id comes first too. ``terms`` may have many rows of few vectors.
     """
-    distinct = texts.select("text").distinct().withColumns({"id": F.monotonically_increasing_id(), "embedding": encode(F.col("text"))})
-    distinct = checkpointed(distinct)
-    found = knn(terms, distinct.select("id", "embedding"), k, exclude_self=False)
-    return checkpointed(found.join(distinct.select("text", "id"), found["query_id"] == distinct["id"]).select("text", F.col("doc_id").alias("term"), "similarity", "rank"))
+    encoded = checkpointed(texts.select("text").distinct().withColumn("embedding", encode(F.col("text"))).filter("embedding IS NOT NULL"))
+    asked = checkpointed(encoded.select("embedding").distinct().select(F.monotonically_increasing_id().alias("id"), "embedding"))
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("id"))
+    first = terms.filter("embedding IS NOT NULL").withColumn("place", place).filter(F.col("place") <= k)
+    vectors = first.groupBy("embedding").agg(F.sort_array(F.collect_list("id")).alias("ids")).orderBy(F.col("ids")[0], "embedding")
+    vectors = checkpointed(vectors.select(F.monotonically_increasing_id().alias("id"), "embedding", "ids"))  # numbers in the order of ids
+    found = knn(vectors.select("id", "embedding"), asked, k, exclude_self=False).drop("rank")
+    found = found.join(vectors.select(F.col("id").alias("doc_id"), "ids"), "doc_id")
+    # a vector counts only if fewer than k terms are more alike than its own
+    own = Window.partitionBy("query_id", "similarity")
+    through = Window.partitionBy("query_id").orderBy(F.desc("similarity"))
+    needed = found.withColumn("before", F.sum(F.size("ids")).over(through) - F.sum(F.size("ids")).over(own)).filter(F.col("before") < k)
+    listed = ranked(needed.select("query_id", "similarity", F.explode("ids").alias("doc_id")), k)
+    named = encoded.join(asked, "embedding").select("text", "id")
+    return checkpointed(named.join(listed, F.col("id") == F.col("query_id")).select("text", F.col("doc_id").alias("term"), "similarity", "rank"))
 
 
 def process(texts: DataFrame, terms: DataFrame, k: int, least: float, by_sentence: bool = True, encode: Encode = hashed_embedding) -> DataFrame:

@@ -4,12 +4,14 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from termloom.functions import text as T
-from termloom.operators import knn
+from termloom.operators import knn, phrase_query
 from termloom.plans import extraction
+from termloom.sources.index import hashed_embedding
 
 
 def test_normality_reads_documents_of_every_language(spark, tmp_path):
@@ -44,3 +46,21 @@ def test_a_block_of_a_search_holds_k_numbers_a_query():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found.num_rows == 75_000 and peak < 60e6
+
+
+def test_terms_of_one_vector_are_searched_once(spark, monkeypatch):
+    words = [f"w{i % 12}" for i in range(600)]
+    terms = spark.createDataFrame(list(enumerate(words)), "id long, name string").select("id", hashed_embedding(F.col("name")).alias("embedding"))
+    texts = spark.createDataFrame([("w3",), ("w5 w7",), ("w1 w1",), ("w1",), ("none",)], "text string")
+    asked = []
+
+    def counted(docs, queries, k, **options):
+        asked.append((docs.count(), queries.count()))
+        return knn.knn(docs, queries, k, **options)
+
+    monkeypatch.setattr(phrase_query, "knn", counted)
+    got = sorted(tuple(r) for r in phrase_query.nearest_terms(texts, terms, 7).collect())
+    encoded = texts.select("text", F.dense_rank().over(Window.orderBy("text")).cast("long").alias("id"), hashed_embedding(F.col("text")).alias("embedding"))
+    plain = knn.knn(terms, encoded.select("id", "embedding"), 7, exclude_self=False).join(encoded.select("text", F.col("id").alias("query_id")), "query_id")
+    assert got == sorted(tuple(r) for r in plain.select("text", F.col("doc_id").alias("term"), "similarity", "rank").collect())
+    assert asked[0][0] <= 12 and asked[0][1] == 4
