@@ -5,8 +5,10 @@ Operator 4's own query has four-word shingles and links at four bits; that misse
 on 15 bits of a block, times all words of its other bits. As the covering radius is 1 and the threshold within a block is 0, a
 fingerprint goes to the one anchor within 1 of it; texts up to two bits apart in a block share an anchor. Blocks are wide
 enough that an anchor holds few texts and so many that of pairs with likeness 0.8 at most MISS meet at none; likelier pairs
-meet nearly always. At an anchor small groups are compared pair by pair, larger ones give the shortest tree of their close
-pairs. What is close enough is verified on the shingle sets themselves, so no link is under the likeness asked for.
+meet nearly always. At an anchor all close pairs are taken; a group that has over MOST of them a text gives the shortest tree of its
+close pairs first, and then, in a second pass, all close pairs of texts that the first pass left in different components: none
+is left out, and a dense group that holds together costs its tree only. What is close enough is verified on the shingle sets
+themselves, so no link is under the likeness asked for.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BITS = 64 * WORDS
 MISS = 0.05
 #: Groups up to this size are compared pair by pair.
 SMALL = 8
+#: Close pairs a text that a larger group gives at once; beyond that it gives a tree and its texts are looked at again.
+MOST = 32
 _NAMES = [f"f{i}" for i in range(WORDS)]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -100,15 +104,25 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def tree(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (places) of the shortest forest over all pairs within DISTANCE, by Prim's method."""
+    """All pairs (places) within DISTANCE if they are at most MOST a row; else the edges of their shortest forest, by Prim's method,
+    and of each row with such a pair the pair with itself."""
     n = len(prints)
     best, source, open_ = np.full(n, BITS + 1), np.zeros(n, dtype=np.int64), np.arange(n)
     left, right, at = [], [], 0
+    ends: list[tuple[np.ndarray, np.ndarray]] | None = []
+    held, linked = 0, np.zeros(n, dtype=bool)
     while True:
         open_ = open_[open_ != at]
         if not len(open_):
             break
         d = np.bitwise_count(prints[open_] ^ prints[at]).sum(axis=1, dtype=np.int64)
+        near = open_[d <= DISTANCE]
+        if len(near):
+            linked[at] = True
+            linked[near] = True
+            held += len(near)
+            if ends is not None:
+                ends = [*ends, (np.full(len(near), at), near)] if held <= MOST * n else None
         nearer = open_[d < best[open_]]
         source[nearer] = at
         best[open_] = np.minimum(best[open_], d)
@@ -116,7 +130,11 @@ def tree(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if best[at] <= DISTANCE:
             left.append(source[at])
             right.append(at)
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+    if ends is not None:
+        x, y = (np.concatenate(e) for e in zip(*ends, strict=True)) if ends else (np.zeros(0, np.int64),) * 2
+        return x.astype(np.int64), y.astype(np.int64)
+    again = np.flatnonzero(linked)
+    return np.concatenate([np.array(left, dtype=np.int64), again]), np.concatenate([np.array(right, dtype=np.int64), again])
 
 
 def _pairs_of(key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,19 +155,53 @@ def _pairs_of(key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(left), np.concatenate(right)
 
 
+def _pairs_apart(key: np.ndarray, prints: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All close pairs of places with one key and different roots, a row's at a time; groups of one root give none."""
+    edges = np.flatnonzero(key[1:] != key[:-1]) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+        if (root[a:b] == root[a]).all():
+            continue
+        for at in range(a, b - 1):
+            others = at + 1 + np.flatnonzero(root[at + 1 : b] != root[at])
+            near = others[np.bitwise_count(prints[others] ^ prints[at]).sum(axis=1, dtype=np.int64) <= DISTANCE]
+            if len(near):
+                yield np.full(len(near), at), near
+
+
+def _compare_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_compare``, for rows with a root: batches come within whole groups, which are held one at a time."""
+    return _grouped(batches, _pairs_apart, True)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _grouped(batches, lambda key, prints: [_pairs_of(key, prints)], False)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], pairs, rooted: bool) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (key, salt); whole groups are compared, the last one waits for its end."""
     seen: list[tuple[np.ndarray, ...]] = []
     held = 0
 
-    def cut(last: bool) -> pa.RecordBatch | None:
+    def cut(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal seen, held
-        key, node, prints = (np.concatenate(x) for x in zip(*seen, strict=True))
+        key, node, *rest = (np.concatenate(x) for x in zip(*seen, strict=True))
         end = len(key) if last else int(np.searchsorted(key, key[-1]))  # keys are numbered in order
-        seen, held = ([(key[end:], node[end:], prints[end:])], len(key) - end) if end < len(key) else ([], 0)
+        seen, held = ([(key[end:], node[end:], *[x[end:] for x in rest])], len(key) - end) if end < len(key) else ([], 0)
         if end < 2:
-            return None
-        a, b = _pairs_of(key[:end], prints[:end])
+            return
+        ready: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for pair in pairs(key[:end], *[x[:end] for x in rest]):
+            ready.append(pair)
+            waiting += len(pair[0])
+            if waiting >= 65_536:
+                yield batch_of(node, ready)
+                ready, waiting = [], 0
+        if ready:
+            yield batch_of(node, ready)
+
+    def batch_of(node: np.ndarray, ready: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*ready, strict=True))
         return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
 
     number, head = 0, None
@@ -161,16 +213,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = number + np.cumsum(new)
         number, head = int(numbers[-1]), (key[-1], salt[-1])
         prints = np.stack([batch.column(k).to_numpy() for k in _NAMES], axis=1).view(np.uint64)
-        seen.append((numbers, batch.column("node").to_numpy(), prints))
+        seen.append((numbers, batch.column("node").to_numpy(), prints, *([batch.column("root").to_numpy()] if rooted else [])))
         held += batch.num_rows
-        if held >= 32_768 and (out := cut(False)) is not None:
-            yield out
-    if seen and (out := cut(True)) is not None:
-        yield out
+        if held >= 32_768:
+            yield from cut(False)
+    if seen:
+        yield from cut(True)
 
 
 def candidates(nodes: DataFrame, rows: int, chunk: int = CHUNK) -> DataFrame:
-    """Distinct pairs (a, b) of ``nodes`` (node, f0, ...) that meet at an anchor and differ in at most DISTANCE bits."""
+    """Distinct pairs (a, b) of ``nodes`` (node, f0, ...) that meet at an anchor and differ in at most DISTANCE bits; of dense groups a tree."""
+    return _met(nodes, rows, chunk).filter("a <> b")
+
+
+def _met(nodes: DataFrame, rows: int, chunk: int = CHUNK) -> DataFrame:
+    """The same pairs, and the pair with itself of each node of a dense group; of nodes with a root all pairs of different roots."""
+    own = ["node", *_NAMES, *(["root"] if "root" in nodes.columns else [])]
     places = blocks(rows)
     powers = (1 << np.arange(places.shape[1], dtype=np.int64))[None, None, :]
     coded = (1 << _CODED) - 1
@@ -183,10 +241,10 @@ def candidates(nodes: DataFrame, rows: int, chunk: int = CHUNK) -> DataFrame:
             values = (bits[:, places] * powers).sum(axis=2)
             keys = values & ~coded | nearest[values & coded] | (np.arange(len(places), dtype=np.int64) << 40)
             at = pa.array(np.repeat(np.arange(batch.num_rows), len(places)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *batch.take(at).columns], names=["key", "node", *_NAMES])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *batch.take(at).columns], names=["key", *own])
 
-    longs = ", ".join(f"{k} long" for k in ("key", "node", *_NAMES))
-    placed = nodes.select("node", *_NAMES).mapInArrow(replicas, longs)
+    longs = ", ".join(f"{k} long" for k in ("key", *own))
+    placed = nodes.select(*own).mapInArrow(replicas, longs)
     hot = common.staged(placed.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("c")), "hot-blocks")
     if hot.count() <= common.BROADCAST_ROWS:
         hot = F.broadcast(hot)
@@ -195,8 +253,8 @@ def candidates(nodes: DataFrame, rows: int, chunk: int = CHUNK) -> DataFrame:
     part = F.pmod(F.xxhash64(*_NAMES), F.col("c")).cast("int")
     salts = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.least(j, part) * F.col("c") + F.greatest(j, part))
     salts = F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(salts)
-    pieces = placed.select("key", F.explode(salts).alias("salt"), "node", *_NAMES)
-    return pieces.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_compare, "a long, b long").distinct()
+    pieces = placed.select("key", F.explode(salts).alias("salt"), *own)
+    return pieces.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_compare_apart if "root" in own else _compare, "a long, b long").distinct()
 
 
 def _ids_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -208,7 +266,21 @@ def _ids_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """Links (a, b) of nodes whose shingle sets are as alike as asked."""
-    pairs = common.staged(candidates(nodes, nodes.count()), "near-pairs")
+    rows = nodes.count()
+    met = common.staged(_met(nodes, rows), "near-pairs")
+    first = common.staged(_verified(docs, nodes, met.filter("a <> b"), likeness), "near-links")
+    again = met.filter("a = b").select(F.col("a").alias("node")).distinct()
+    if again.isEmpty():
+        return first
+    # dense groups: what their trees left apart is tried pair by pair
+    roots = components(first)
+    apart = nodes.join(again, "node").join(roots, "node", "left").select("node", *_NAMES, F.coalesce("root", "node").alias("root"))
+    second = common.staged(_met(common.staged(apart, "near-apart"), rows), "near-pairs-apart")
+    return first.unionByName(_verified(docs, nodes, second, likeness)).distinct()
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets are as alike as asked."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = common.staged(nodes.join(ends, "node").select("node", "set", F.col("least").alias("doc_id")), "near-ends")
 
