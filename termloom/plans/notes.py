@@ -19,16 +19,27 @@ _ENDED = rf"array_to_string(list_transform({_LINES}, lambda x: CASE WHEN regexp_
 _PARTS = f"list_filter(list_transform(regexp_extract_all({_ENDED}, '[^.?!]+[.?!]'), lambda x: {_STRIP}), lambda x: x <> '')"
 
 
+def offsets_in(text: str, chunks: list[str]) -> list[int]:
+    """A search begins at its place and doesn't walk there, so a text of many chunks is read about once."""
+    out, at = [], 0
+    for chunk in chunks:
+        place = text.find(chunk, at)
+        if place < 0:
+            place = text.find(chunk)
+        if place >= 0:
+            at = place + 1
+        out.append(place)
+    return out
+
+
 def running_offsets(text: Column, chunks: Column) -> Column:
     """Place of each chunk, searched from just behind the start of the one before, else from the beginning, else -1."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
 
-    def step(acc: Column, chunk: Column) -> Column:
-        ahead = F.position(chunk, text, acc["at"] + 1)
-        place = F.when(ahead > 0, ahead - 1).otherwise(F.position(chunk, text) - 1)
-        return F.struct(F.when(place >= 0, place + 1).otherwise(acc["at"]).alias("at"), F.concat(acc["found"], F.array(place)).alias("found"))
+    @F.pandas_udf("array<int>")
+    def found(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([offsets_in(t, p) for t, p in zip(texts, parts, strict=True)], dtype="object")
 
-    return F.aggregate(chunks, state, step)["found"]
+    return found(text, chunks)
 
 
 @register(

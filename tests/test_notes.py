@@ -74,3 +74,9 @@ def test_labels_in_blocks(spark):
     want = [(1, 0, 0, 2), (1, 1, 3, 5), (1, 2, 6, 8), (1, 4, 3, 7), (2, 2, 0, 2)]
     for most in (100, 2, 1):
         assert sorted(tuple(r) for r in attribution.places_of(docs, labels, most).collect()) == want
+
+
+def test_places_go_on_behind_the_one_before():
+    text = "ab ab é ab. " * 3
+    assert notes.offsets_in(text, ["ab", "ab", "é ab.", "none", "ab", "é", "ab ab é ab. ab ab é ab. ab"]) == [0, 3, 6, -1, 8, 18, 0]
+    assert notes.offsets_in("", []) == []
