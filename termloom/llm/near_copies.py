@@ -6,9 +6,10 @@ on 15 bits of a block, times all words of its other bits. As the covering radius
 fingerprint goes to the one anchor within 1 of it; texts up to two bits apart in a block share an anchor. Blocks are wide
 enough that an anchor holds few texts and so many that of pairs with likeness 0.8 at most MISS meet at none; likelier pairs
 meet nearly always. At an anchor all close pairs are taken; a group that has over MOST of them a text gives the shortest tree of its
-close pairs first, and then, in a second pass, all close pairs of texts that the first pass left in different components: none
-is left out, and a dense group that holds together costs its tree only. What is close enough is verified on the shingle sets
-themselves, so no link is under the likeness asked for.
+close pairs first. What is close enough is verified on the shingle sets themselves, so no link is under the likeness asked for.
+Texts of such groups that close pairs connect make a cluster. Where the first pass left a cluster in several components, its
+texts meet once more, with their sets, in tiles: all close pairs of different components are verified inside the tiles' tasks, which
+give only links that join components. None is left out, and no table has a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,9 @@ MISS = 0.05
 #: Groups up to this size are compared pair by pair.
 SMALL = 8
 #: Close pairs a text that a larger group gives at once; beyond that it gives a tree and its texts are looked at again.
-MOST = 32
+MOST = 10
+#: Rows of one of a cluster's chunks, at least and at most, the chunks of a cluster whose chunks can be larger, and shingles of a chunk.
+FEW, MANY, CHUNKS, HELD = 128, CHUNK, 16, 1 << 21
 _NAMES = [f"f{i}" for i in range(WORDS)]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -168,41 +172,81 @@ def _pairs_apart(key: np.ndarray, prints: np.ndarray, root: np.ndarray) -> Itera
                 yield np.full(len(near), at), near
 
 
-def _compare_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``_compare``, for rows with a root: batches come within whole groups, which are held one at a time."""
-    return _grouped(batches, _pairs_apart, True)
+def joining(prints: np.ndarray, root: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, likeness: float) -> Iterator[tuple[int, int]]:
+    """Links (places) that join rows of different roots: every close pair of those is tried on its shingles, if its rows aren't joined yet.
 
+    ``shingles`` holds the rows' sets one after another, ``sizes`` their lengths.
+    """
+    label = np.unique(root, return_inverse=True)[1].astype(np.int64)
+    names, ids = np.unique(shingles, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    own = np.zeros(len(names), dtype=bool)
+    for at, near in _pairs_apart(np.zeros(len(root), dtype=np.int64), prints, root):
+        at = int(at[0])
+        near = near[label[near] != label[at]]
+        if not len(near):
+            continue
+        mine = ids[starts[at] : starts[at] + sizes[at]]
+        own[mine] = True
+        n = sizes[near]
+        places = np.arange(n.sum()) + np.repeat(starts[near] - (np.cumsum(n) - n), n)
+        common_ = np.bincount(np.repeat(np.arange(len(near)), n), weights=own[ids[places]], minlength=len(near))
+        own[mine] = False
+        union = n + sizes[at] - common_
+        alike = near[(union == 0) | (common_ >= likeness * union)]
+        labels, first = np.unique(label[alike], return_index=True)
+        yield from ((at, int(alike[i])) for i in first)
+        label[np.isin(label, labels)] = label[at]
+
+
+def _join(likeness: float):
+    """Of rows sorted by (key, salt): the links of each tile, which is held alone."""
+
+    def links_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(parts).combine_chunks()
+        node, root = tile.column("node").to_numpy(), tile.column("root").to_numpy()
+        prints = np.stack([tile.column(k).to_numpy() for k in _NAMES], axis=1).view(np.uint64)
+        sets = tile.column("shingles").combine_chunks()
+        sizes = pa.compute.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = np.array(list(joining(prints, root, sets.flatten().to_numpy(), sizes, likeness)), dtype=np.int64).reshape(-1, 2)
+        a, b = node[found[:, 0]], node[found[:, 1]]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _grouped(batches, lambda key, prints: [_pairs_of(key, prints)], False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        head = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, salt = batch.column("key").to_numpy(), batch.column("salt").to_numpy()
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+                now = (key[start], salt[start])
+                if held and now != head:
+                    yield from links_of(held)
+                    held = []
+                head = now
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from links_of(held)
+
+    return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], pairs, rooted: bool) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (key, salt); whole groups are compared, the last one waits for its end."""
     seen: list[tuple[np.ndarray, ...]] = []
     held = 0
 
     def cut(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal seen, held
-        key, node, *rest = (np.concatenate(x) for x in zip(*seen, strict=True))
+        key, node, prints = (np.concatenate(x) for x in zip(*seen, strict=True))
         end = len(key) if last else int(np.searchsorted(key, key[-1]))  # keys are numbered in order
-        seen, held = ([(key[end:], node[end:], *[x[end:] for x in rest])], len(key) - end) if end < len(key) else ([], 0)
+        seen, held = ([(key[end:], node[end:], prints[end:])], len(key) - end) if end < len(key) else ([], 0)
         if end < 2:
             return
-        ready: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-        for pair in pairs(key[:end], *[x[:end] for x in rest]):
-            ready.append(pair)
-            waiting += len(pair[0])
-            if waiting >= 65_536:
-                yield batch_of(node, ready)
-                ready, waiting = [], 0
-        if ready:
-            yield batch_of(node, ready)
-
-    def batch_of(node: np.ndarray, ready: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*ready, strict=True))
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
+        a, b = _pairs_of(key[:end], prints[:end])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
 
     number, head = 0, None
     for batch in batches:
@@ -213,7 +257,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], pairs, rooted: bool) -> Iterator
         numbers = number + np.cumsum(new)
         number, head = int(numbers[-1]), (key[-1], salt[-1])
         prints = np.stack([batch.column(k).to_numpy() for k in _NAMES], axis=1).view(np.uint64)
-        seen.append((numbers, batch.column("node").to_numpy(), prints, *([batch.column("root").to_numpy()] if rooted else [])))
+        seen.append((numbers, batch.column("node").to_numpy(), prints))
         held += batch.num_rows
         if held >= 32_768:
             yield from cut(False)
@@ -227,8 +271,8 @@ def candidates(nodes: DataFrame, rows: int, chunk: int = CHUNK) -> DataFrame:
 
 
 def _met(nodes: DataFrame, rows: int, chunk: int = CHUNK) -> DataFrame:
-    """The same pairs, and the pair with itself of each node of a dense group; of nodes with a root all pairs of different roots."""
-    own = ["node", *_NAMES, *(["root"] if "root" in nodes.columns else [])]
+    """The same pairs, and the pair with itself of each node of a dense group."""
+    own = ["node", *_NAMES]
     places = blocks(rows)
     powers = (1 << np.arange(places.shape[1], dtype=np.int64))[None, None, :]
     coded = (1 << _CODED) - 1
@@ -248,13 +292,17 @@ def _met(nodes: DataFrame, rows: int, chunk: int = CHUNK) -> DataFrame:
     hot = common.staged(placed.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("c")), "hot-blocks")
     if hot.count() <= common.BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    # a group of c chunks becomes a piece for each pair of chunks
     placed = placed.join(hot, "key", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    return _tiles(placed, own).mapInArrow(_compare, "a long, b long").distinct()
+
+
+def _tiles(placed: DataFrame, own: list[str]) -> DataFrame:
+    """key, salt and the own columns, dealt and sorted: a group of c chunks becomes a piece for each pair of chunks."""
     part = F.pmod(F.xxhash64(*_NAMES), F.col("c")).cast("int")
     salts = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.least(j, part) * F.col("c") + F.greatest(j, part))
     salts = F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(salts)
     pieces = placed.select("key", F.explode(salts).alias("salt"), *own)
-    return pieces.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_compare_apart if "root" in own else _compare, "a long, b long").distinct()
+    return pieces.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
 
 
 def _ids_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -269,19 +317,39 @@ def links(docs: DataFrame, nodes: DataFrame, likeness: float = LIKENESS) -> Data
     rows = nodes.count()
     met = common.staged(_met(nodes, rows), "near-pairs")
     first = common.staged(_verified(docs, nodes, met.filter("a <> b"), likeness), "near-links")
-    again = met.filter("a = b").select(F.col("a").alias("node")).distinct()
-    if again.isEmpty():
+    dense = common.staged(met.filter("a = b").select("a").distinct(), "near-dense")
+    if dense.isEmpty():
+        return first
+    # what the trees of dense groups left apart: clusters of close pairs that are of several components
+    close = met.filter("a <> b").join(dense, "a").join(dense.withColumnRenamed("a", "b"), "b")
+    clusters = components(close).select("node", F.col("root").alias("key"))
+    clusters = common.staged(clusters.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-clusters")
+    apart = clusters.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    apart = common.staged(clusters.join(apart, "key"), "near-apart")
+    if apart.isEmpty():
         return first
-    # dense groups: what their trees left apart is tried pair by pair
-    roots = components(first)
-    apart = nodes.join(again, "node").join(roots, "node", "left").select("node", *_NAMES, F.coalesce("root", "node").alias("root"))
-    second = common.staged(_met(common.staged(apart, "near-apart"), rows), "near-pairs-apart")
-    return first.unionByName(_verified(docs, nodes, second, likeness)).distinct()
+    held = _shingles(docs, nodes, apart.select("node")).withColumn("n", F.size("shingles"))
+    apart = common.staged(apart.join(nodes.select("node", *_NAMES), "node").join(held, "node"), "near-tiles")
+    chunks = F.greatest(F.ceil(F.count("*") / MANY), F.least(F.lit(CHUNKS), F.ceil(F.count("*") / FEW)), F.ceil(F.sum("n") / HELD))
+    sizes = common.staged(apart.groupBy("key").agg(chunks.cast("int").alias("c")), "near-chunks")
+    if sizes.count() <= common.BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
+    tiles = _tiles(apart.join(sizes, "key"), ["node", "root", *_NAMES, "shingles"])
+    return first.unionByName(tiles.mapInArrow(_join(likeness), "a long, b long")).distinct()
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingle sets are as alike as asked."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = _shingles(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    side = lambda k: held.select(F.col("node").alias(k), F.col("shingles").alias("s" + k))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    union = F.size("sa") + F.size("sb") - F.col("n")
+    return both.filter((union == 0) | (F.col("n") >= likeness * union)).select("a", "b")
+
+
+def _shingles(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, shingles of the nodes of ``ends`` (node, distinct), from their texts."""
     wanted = common.staged(nodes.join(ends, "node").select("node", "set", F.col("least").alias("doc_id")), "near-ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +359,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness: flo
             yield pa.RecordBatch.from_pydict({"set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), "shingles": arrays})
 
     texts = _ids_in(docs, wanted).select("text").mapInArrow(run, "set binary, shingles array<bigint>")
-    held = common.staged(texts.join(wanted.select("node", "set"), "set").select("node", "shingles").dropDuplicates(["node"]), "near-shingles")
-    side = lambda k: held.select(F.col("node").alias(k), F.col("shingles").alias("s" + k))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    union = F.size("sa") + F.size("sb") - F.col("n")
-    return both.filter((union == 0) | (F.col("n") >= likeness * union)).select("a", "b")
+    return common.staged(texts.join(wanted.select("node", "set"), "set").select("node", "shingles").dropDuplicates(["node"]), "near-shingles")
 
 
 def near_groups(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
