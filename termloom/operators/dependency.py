@@ -2,7 +2,8 @@
 
 A parser's output is a table: chunk_id, i (a token's place from 0), text, lemma, pos, dep and head (the place of the token it hangs
 on; its own for a root). What a cue reaches is found through its head, its head's other children and its own, each by an
-equi-join on (chunk_id, place), so long chunks cost no square and one chunk with most tokens is no single group.
+equi-join on (chunk_id, place), so long chunks cost no square and one chunk with most tokens is no single group. A token table that
+is made from a smaller one has no size that the planner knows, so these joins ask for a shuffle: none of its sides is ever broadcast.
 """
 
 from __future__ import annotations
@@ -17,21 +18,32 @@ BEFORE, AFTER = 2, 4
 
 
 def _named(tokens: DataFrame, at: str, **columns: str) -> DataFrame:
-    return tokens.select("chunk_id", F.col("i").alias(at), *[F.col(c).alias(name) for name, c in columns.items()])
+    return _dealt(tokens.select("chunk_id", F.col("i").alias(at), *[F.col(c).alias(name) for name, c in columns.items()]))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A side of a join that is dealt out by its keys, whatever size the planner takes it to have."""
+    return rows.hint("merge")
 
 
 def children(tokens: DataFrame) -> DataFrame:
     """Of each token with children: the last subject and the last object, the first near object, the first "of" with an object."""
+    return _kinds(tokens).join(_dealt(_of(tokens)), ["chunk_id", "head"], "left")
+
+
+def _of(tokens: DataFrame) -> DataFrame:
     below = tokens.filter(F.col("head") != F.col("i"))
     pobj = below.groupBy("chunk_id", "head").agg(F.min_by("text", F.when(F.col("dep") == "pobj", F.col("i"))).alias("pobj"))
-    of = below.filter((F.col("dep") == "prep") & (F.lower("text") == "of")).join(pobj.select("chunk_id", F.col("head").alias("i"), "pobj"), ["chunk_id", "i"])
-    of = of.groupBy("chunk_id", "head").agg(F.min_by(F.struct("text", "pobj"), F.when(F.col("pobj").isNotNull(), F.col("i"))).alias("of"))
-    kinds = below.groupBy("chunk_id", "head").agg(
+    of = below.filter((F.col("dep") == "prep") & (F.lower("text") == "of")).join(_dealt(pobj.select("chunk_id", F.col("head").alias("i"), "pobj")), ["chunk_id", "i"])
+    return of.groupBy("chunk_id", "head").agg(F.min_by(F.struct("text", "pobj"), F.when(F.col("pobj").isNotNull(), F.col("i"))).alias("of"))
+
+
+def _kinds(tokens: DataFrame) -> DataFrame:
+    return tokens.filter(F.col("head") != F.col("i")).groupBy("chunk_id", "head").agg(
         F.max_by("text", F.when(F.col("dep").isin(*SUBJECTS), F.col("i"))).alias("subject"),
         F.max_by("text", F.when(F.col("dep").isin(*OBJECTS), F.col("i"))).alias("object"),
         F.min_by("text", F.when(F.col("dep").isin(*NEAR), F.col("i"))).alias("near"),
     )
-    return kinds.join(of, ["chunk_id", "head"], "left")
 
 
 def _is_cue(cues: tuple[str, ...]) -> Column:
@@ -44,9 +56,9 @@ def negation_scopes(tokens: DataFrame, cues: tuple[str, ...]) -> DataFrame:
     The relation reaches over its head with that one's subject and object; other cues over their own object, else their head.
     """
     found = tokens.filter((F.col("dep") == "neg") | _is_cue(cues))
-    kids = children(tokens)
-    of_head = kids.select("chunk_id", "head", "subject", "object")
-    own = kids.select("chunk_id", F.col("head").alias("i"), "near")
+    kids = _kinds(tokens)
+    of_head = _dealt(kids.select("chunk_id", "head", "subject", "object"))
+    own = _dealt(kids.select("chunk_id", F.col("head").alias("i"), "near"))
     rows = found.join(_named(tokens, "head", head_text="text"), ["chunk_id", "head"]).join(of_head, ["chunk_id", "head"], "left").join(own, ["chunk_id", "i"], "left")
     verb = F.concat_ws(" ", "text", "head_text")
     tied = F.when(F.col("subject").isNotNull() & F.col("object").isNotNull(), F.concat(verb, F.lit(": "), "subject", F.lit(" → "), "object"))
@@ -61,10 +73,10 @@ def normality_scopes(tokens: DataFrame, cues: tuple[str, ...]) -> DataFrame:
     found = tokens.filter(_is_cue(cues))
     heads = _named(tokens, "head", head_text="text", head_dep="dep", above="head")
     rows = found.join(heads, ["chunk_id", "head"]).join(_named(tokens, "above", above_text="text"), ["chunk_id", "above"])
-    rows = rows.join(children(tokens).select("chunk_id", F.col("head").alias("i"), "of"), ["chunk_id", "i"], "left")
+    rows = rows.join(_dealt(_of(tokens).select("chunk_id", F.col("head").alias("i"), "of")), ["chunk_id", "i"], "left")
     near = found.select("chunk_id", "i", F.explode(F.sequence(F.col("i") - BEFORE, F.col("i") + AFTER)).alias("at"))
     around = near.join(_named(tokens, "at", word="text"), ["chunk_id", "at"]).groupBy("chunk_id", "i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("around"))
-    rows = rows.join(around, ["chunk_id", "i"])
+    rows = rows.join(_dealt(around), ["chunk_id", "i"])
     scope = F.when(F.col("pos") == "ADJ", F.concat_ws(" ", "text", "head_text"))
     scope = scope.when((F.col("dep") == "pobj") & (F.col("head_dep") == "prep"), F.concat(F.concat_ws(" ", "head_text", "text"), F.lit(" ← "), "above_text"))
     scope = scope.when(F.col("of.pobj").isNotNull(), F.concat_ws(" ", "text", "of.text", "of.pobj")).otherwise(F.col("around"))
@@ -75,6 +87,6 @@ def statuses(tokens: DataFrame, negation: tuple[str, ...], normality: tuple[str,
     """chunk_id, negated, normal, negated_scopes, normal_scopes (in order of their cues) of every chunk."""
     listed = lambda scopes, name: scopes.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "scope"))), lambda s: s["scope"]).alias(name))
     none = F.array().cast("array<string>")
-    rows = tokens.select("chunk_id").distinct().join(listed(negation_scopes(tokens, negation), "negated_scopes"), "chunk_id", "left").join(listed(normality_scopes(tokens, normality), "normal_scopes"), "chunk_id", "left")
+    rows = tokens.select("chunk_id").distinct().join(_dealt(listed(negation_scopes(tokens, negation), "negated_scopes")), "chunk_id", "left").join(_dealt(listed(normality_scopes(tokens, normality), "normal_scopes")), "chunk_id", "left")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("negated_scopes", "normal_scopes")})
     return rows.withColumns({"negated": F.size("negated_scopes") > 0, "normal": F.size("normal_scopes") > 0})

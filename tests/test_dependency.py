@@ -67,3 +67,12 @@ def test_random_trees(spark):
         parses[c] = [(rng.choice(["no", "normal", "of", "of", "a", "b", "c"]), rng.choice(["ADJ", "NOUN"]), rng.choice(["nsubj", "dobj", "prep", "pobj", "neg", "attr", "x"]), rng.randrange(n)) for _ in range(n)]
     got = {r.chunk_id: (r.negated_scopes, r.normal_scopes) for r in dependency.statuses(frame(spark, parses), NEGATION, NORMALITY).collect()}
     assert got == {c: plain(words, NEGATION, NORMALITY) for c, words in parses.items()}
+
+
+def test_no_side_of_a_join_is_broadcast(spark):
+    from termloom.plans import context
+
+    from .conftest import SF
+
+    plan = context.dependency_scopes(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
