@@ -69,7 +69,11 @@ def branches(closed: DataFrame, root: str) -> DataFrame:
 
 
 def term_features(closed: DataFrame, root: str) -> DataFrame:
-    """term, depth, parents, ancestors (array of id, up, depth, ic): one row a term, so that pairs need two joins and no explosion."""
+    """term, depth, parents, ancestors (array of id, up, depth, ic), rep and twin: one row a term.
+
+    Terms with nothing below them and the same strict ancestors, as far up, are alike: they differ in their names only. ``rep`` and
+    ``twin`` are the first and the last term that is like the row's; a term that has terms below is like itself alone.
+    """
     depth, ic = depths(closed, root), information_content(closed, root)
     about = depth.join(ic, "term").select(F.col("term").alias("ancestor"), F.col("depth").alias("a_depth"), "ic")
     rows = closed.join(about, "ancestor").groupBy("term").agg(F.sort_array(F.collect_list(F.struct(F.col("ancestor").alias("id"), "up", F.col("a_depth").alias("depth"), "ic"))).alias("ancestors"))
@@ -77,9 +81,14 @@ def term_features(closed: DataFrame, root: str) -> DataFrame:
     parents = grand.groupBy(F.col("child").alias("term")).agg(F.sort_array(F.collect_set("parent")).alias("parents"))
     above = grand.alias("a").join(grand.alias("b"), F.col("a.parent") == F.col("b.child")).groupBy(F.col("a.child").alias("term")).agg(F.collect_set("b.parent").alias("grandparents"))
     none = F.array().cast("array<string>")
+    inner = closed.filter(F.col("up") > 0).select(F.col("ancestor").alias("term")).distinct().withColumn("inner", F.lit(True))
+    strict = F.transform(F.filter("ancestors", lambda p: p["up"] > 0), lambda p: F.struct(p["id"].alias("id"), p["up"].alias("up")))
+    leaves = rows.join(inner, "term", "left_anti").select("term", strict.alias("strict"))
+    alike = leaves.groupBy("strict").agg(F.min("term").alias("rep"), F.max("term").alias("twin"))
+    reps = leaves.join(alike, "strict").select("term", "rep", "twin")
     return (
-        rows.join(depth, "term").join(parents, "term", "left").join(above, "term", "left")
-        .select("term", "depth", "ancestors", F.coalesce("parents", none).alias("parents"), F.coalesce("grandparents", none).alias("grandparents"))
+        rows.join(depth, "term").join(parents, "term", "left").join(above, "term", "left").join(reps, "term", "left")
+        .select("term", "depth", "ancestors", F.coalesce("parents", none).alias("parents"), F.coalesce("grandparents", none).alias("grandparents"), F.coalesce("rep", "term").alias("rep"), F.coalesce("twin", "term").alias("twin"))
     )
 
 
@@ -87,8 +96,23 @@ def pair_features(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """Features of (a, b): lca, lca_depth, path, distance, resnik, hybrid, simple and kinship flags.
 
     A term that isn't in the graph has null features. Of common ancestors with equal depth the smallest id is the LCA;
-    those that the root doesn't reach are never one.
+    those that the root doesn't reach are never one. Pairs of terms that are alike have the same features, so these are found
+    once for such pairs, and long rows meet short pairs only.
     """
+    known = terms.select("term", "rep", "twin")
+    rows = pairs.join(known.select(F.col("term").alias("a"), F.col("rep").alias("like_a"), "twin"), "a", "left").join(known.select(F.col("term").alias("b"), F.col("rep").alias("like_b")), "b", "left")
+    like_a, like_b = F.coalesce("like_a", "a"), F.coalesce("like_b", "b")
+    # two terms that are like each other are as the first and the last of their kind
+    like_b = F.when((F.col("a") != F.col("b")) & (like_a == like_b), F.col("twin")).otherwise(like_b)
+    rows = checkpointed(rows.select(*pairs.columns, like_a.alias("like_a"), like_b.alias("like_b")))
+    found = _features(rows.select(F.col("like_a").alias("a"), F.col("like_b").alias("b")).distinct(), terms.drop("rep", "twin"))
+    found = found.withColumnsRenamed({"a": "_a", "b": "_b"})
+    rows = rows.join(found, F.col("like_a").eqNullSafe(F.col("_a")) & F.col("like_b").eqNullSafe(F.col("_b")))
+    lca = F.when(F.col("lca") == F.col("like_a"), F.col("a")).otherwise(F.col("lca"))  # of a term that is like others, with itself
+    return rows.withColumn("lca", lca).drop("_a", "_b", "like_a", "like_b")
+
+
+def _features(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     deepest = F.broadcast(terms.agg(F.greatest(F.max("depth"), F.lit(1)).alias("max_depth")))
     x = terms.select(*[F.col(c).alias(("a" if c == "term" else c + "_a")) for c in terms.columns])
     y = terms.select(*[F.col(c).alias(("b" if c == "term" else c + "_b")) for c in terms.columns])

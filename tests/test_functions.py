@@ -210,3 +210,25 @@ def test_semantic_prf(spark):
     sims = spark.createDataFrame([("B", "D", 0.8), ("C", "D", 0.9)], "a string, b string, hybrid double")
     got = {r.doc_id: (r.exact, r.semantic, r.n_pred, r.n_gold) for r in setmetrics.semantic_prf(pred, gold, sims).collect()}
     assert got == {1: (1, 2, 3, 2), 2: (0, 0, 0, 1)}  # B and C both count: a gold term may serve several predictions
+
+
+def test_pairs_of_terms_that_are_alike_are_looked_at_once(spark, monkeypatch):
+    from termloom.operators import graph
+
+    edges = [("A", "T"), ("B", "T"), ("C", "A"), *[(f"x{i}", "C") for i in range(8)], *[(f"y{i}", p) for i in range(8) for p in ("B", "C")], ("lone", "other")]
+    edges = spark.createDataFrame(edges, "child string, parent string")
+    nodes = edges.select(F.col("child").alias("term")).union(edges.select("parent")).distinct()
+    terms = graph.term_features(graph.closure(nodes, edges), "T").localCheckpoint()
+    names = [r.term for r in nodes.collect()] + ["unknown", None]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    plain, looked = graph._features, []
+
+    def counted(few, terms):
+        looked.append(few.count())
+        return plain(few, terms)
+
+    monkeypatch.setattr(graph, "_features", counted)
+    found, wanted = graph.pair_features(pairs, terms), plain(pairs, terms.drop("rep", "twin"))
+    rows = lambda df: sorted(map(str, df.select(sorted(wanted.columns)).collect()))
+    assert sorted(found.columns) == sorted(wanted.columns) and rows(found) == rows(wanted)
+    assert looked[0] < len(names) ** 2 / 2
