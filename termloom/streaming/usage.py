@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def _micros(ts: pd.Timestamp) -> int:
     return int(pd.Timestamp(ts).value // 1000)
 
 
+def _moments(frames: Iterator[pd.DataFrame]) -> dict[str, list[int]]:
+    """A user's times in microseconds, in order, by kind of event; events of one kind and time are alike."""
+    kinds, times = [], []
+    for f in frames:
+        kinds.append(f["event_type"].to_numpy(dtype=object))
+        times.append(f["ts"].to_numpy().astype("datetime64[us]").astype(np.int64))
+    found: dict[str, list[int]] = {}
+    for kind, now in zip(np.concatenate(kinds).tolist(), np.concatenate(times).tolist()):
+        found.setdefault(kind, []).append(now)
+    return {kind: sorted(moments) for kind, moments in found.items()}
+
+
 def _until(state: GroupState, micros: int) -> None:
     """A timer of event time, in whole milliseconds after the moment; one that the watermark has passed fires at once."""
     state.setTimeoutTimestamp(max(micros // 1000 + 1, state.getCurrentWatermarkMs() + 1))
@@ -115,39 +128,47 @@ def one_time(events: DataFrame, ttl: int = 3 * 86_400, late: str = "1 hour") ->
     gone: an event issues it anew. A token that ran out without a use is reported as expired, with the moment it did: by a timer when
     the watermark passes it, or by the event that issues it anew, whichever comes first, and once. Timers free the state of
     every token that has run out.
+
+    A user's tokens are one state, so that a call of Python serves them all; its timer is that of the token that runs out first.
     """
     length = ttl * 1_000_000
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, str]] = []
-        if state.hasTimedOut:
-            issued, uses = state.get
-            if not uses:
-                out.append((issued + length, "expired"))
-            state.remove()
-        else:
-            issued, uses = state.get if state.exists else (None, 0)
-            for (ts,) in pd.concat(list(frames)).sort_values(["ts", "event_id"])[["ts"]].itertuples(index=False):
-                now = _micros(ts)
+        out: list[tuple[str, int, str]] = []
+        live = {kind: (issued, uses) for kind, issued, uses in zip(*state.get)} if state.exists else {}
+        for kind, moments in ({} if state.hasTimedOut else _moments(frames)).items():
+            issued, uses = live.get(kind, (None, 0))
+            for now in moments:
                 if issued is not None and now > issued + length:
                     if not uses:
-                        out.append((issued + length, "expired"))
+                        out.append((kind, issued + length, "expired"))
                     issued = None
                 if issued is None:
                     issued, uses = now, 0
-                    out.append((now, "issued"))
+                    out.append((kind, now, "issued"))
                 else:
-                    out.append((now, "reused" if uses else "accepted"))
+                    out.append((kind, now, "reused" if uses else "accepted"))
                     uses = 1
-            state.update((issued, uses))
-            _until(state, issued + length)
+            live[kind] = issued, uses
+        passed = state.getCurrentWatermarkMs()
+        for kind, (issued, uses) in list(live.items()):
+            if (issued + length) // 1000 + 1 < passed:
+                if not uses:
+                    out.append((kind, issued + length, "expired"))
+                del live[kind]
+        if live:
+            state.update((list(live), [issued for issued, _ in live.values()], [uses for _, uses in live.values()]))
+            _until(state, min(issued for issued, _ in live.values()) + length)
+        elif state.exists:
+            state.remove()
         if out:
-            moments, outcomes = zip(*out)
-            yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "moment": pd.to_datetime(list(moments), unit="us"), "outcome": outcomes})
+            kinds, moments, outcomes = zip(*out)
+            yield pd.DataFrame({"user_id": key[0], "event_type": kinds, "moment": np.array(moments, dtype="datetime64[us]"), "outcome": outcomes})
 
-    watched = events.withWatermark("ts", late)
+    # only what tokens are made of goes to Python
+    watched = events.withWatermark("ts", late).select("user_id", "event_type", "ts")
     schema = "user_id long, event_type string, moment timestamp, outcome string"
-    return watched.groupBy("user_id", "event_type").applyInPandasWithState(step, schema, "issued long, uses long", "append", GroupStateTimeout.EventTimeTimeout)
+    return watched.groupBy("user_id").applyInPandasWithState(step, schema, "kinds array<string>, issued array<bigint>, uses array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 @register(

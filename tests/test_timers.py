@@ -67,3 +67,11 @@ def test_tokens(spark, tmp_path, one_by_one):
     assert sorted((r.user_id, r.event_type, r.moment, r.outcome) for r in got) == sorted(want)
     assert {w[3] for w in want} == {"issued", "accepted", "reused", "expired"}
     assert glob.glob(str(tmp_path / "events.parquet*"))
+
+
+def test_one_call_takes_all_kinds_of_a_user_in_order_of_time():
+    import pandas as pd
+
+    frames = [pd.DataFrame({"event_type": ["view", "click"], "ts": [START + dt.timedelta(seconds=2), START]}), pd.DataFrame({"event_type": ["view"], "ts": [START]})]
+    zero = pd.Timestamp(START).value // 1000
+    assert usage._moments(iter(frames)) == {"view": [zero, zero + 2_000_000], "click": [zero]}
