@@ -49,13 +49,15 @@ def semantic_split(chunk: Column, size: int = 5, threshold: float = 0.2, least:
 def merge_negations(parts: Column, most: int = 5) -> Column:
     """A part that ends in a negation takes the part after it, if that has at most ``most`` words."""
     listed = "|".join(NEGATIONS)
+    negated = lambda part: F.coalesce(part.rlike(rf"(?i)(?:\A|[ \t\n\r])(?:{listed})\z"), F.lit(False))
 
     def step(acc: Column, part: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(last.rlike(rf"(?i)(?:\A|[ \t\n\r])(?:{listed})\z"), F.lit(False)) & (F.size(T.words(part)) <= most)
+        joins = negated(last) & (F.size(T.words(part)) <= most)
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), part)))).otherwise(F.concat(acc, F.array(part)))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    # the fold copies what it has for every part; parts of which none ends in a negation stay as they are
+    return _let(parts, lambda p: F.when(F.exists(p, negated), F.aggregate(p, F.array().cast("array<string>"), step)).otherwise(p))
 
 
 def clean_chunks(parts: Column, least: int = 2) -> Column:

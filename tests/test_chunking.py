@@ -111,3 +111,12 @@ def test_match_status(spark):
 def test_names(spark):
     row = spark.range(1).select(privacy.untitled_names(F.lit("Patient: Anna von Berg met Jörg Maier, not Berlin.")).alias("x")).first()
     assert [(n.name, n.score) for n in row.x] == [("Anna von Berg", 5), ("Jörg Maier", 4)]  # two points, a particle, a word of context within 32 characters
+
+
+def test_parts_without_a_negation_skip_the_fold(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(["a b", "c"],), (["there is no", "fever", "x"],), ([],), (None,)], "p array<string>")
+    merged = chunking.merge_negations(F.col("p"))
+    assert [r.m for r in rows.select(merged.alias("m")).collect()] == [["a b", "c"], ["there is no fever", "x"], [], None]
+    assert "exists(" in str(merged)
