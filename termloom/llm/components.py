@@ -41,6 +41,13 @@ def with_least(labelled: DataFrame, key: str) -> DataFrame:
     return labelled.select(key, "root").join(least, "root").select(key, "component_id")
 
 
+def contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """links (a, b) as distinct links of roots: an end without a row in ``roots`` (node, root) is its own, and none links to itself."""
+    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias("of_" + k))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    return ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for each node of ``links`` (a, b, orderable of one type); root is the least node it reaches.
 
@@ -49,7 +56,8 @@ def components(links: DataFrame) -> DataFrame:
     now = common.staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     mark = None
     for _ in range(MOST_TURNS):
-        new = common.staged(_stars(_stars(now, True), False), "links")
+        large = common.staged(_stars(now, True), "large-stars")  # else both its uses in the small stars would join it anew
+        new = common.staged(_stars(large, False), "links")
         sums = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         now = new
         if sums == mark:

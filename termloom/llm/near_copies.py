@@ -7,9 +7,9 @@ fingerprint goes to the one anchor within 1 of it; texts up to two bits apart in
 enough that an anchor holds few texts and so many that of pairs with likeness 0.8 at most MISS meet at none; likelier pairs
 meet nearly always. At an anchor all close pairs are taken; a group that has over MOST of them a text gives the shortest tree of its
 close pairs first. What is close enough is verified on the shingle sets themselves, so no link is under the likeness asked for.
-Texts of such groups that close pairs connect make a cluster. Where the first pass left a cluster in several components, its
-texts meet once more, with their sets, in tiles: all close pairs of different components are verified inside the tiles' tasks, which
-give only links that join components. None is left out, and no table has a row for each pair of a group.
+Where the first pass left texts of such groups that close pairs connect in several components, these components make a cluster, whose
+texts of such groups meet once more, with their sets, in tiles: all close pairs of different components are verified inside the tiles' tasks,
+which give only links that join components. None is left out, and no table has a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components, with_least
+from .components import components, contracted, with_least
 from .simhash import _CODED, CHUNK, _nearest, shingle_hashes
 
 SHINGLE = 5
@@ -312,40 +312,46 @@ def _ids_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
-def links(docs: DataFrame, nodes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """Links (a, b) of nodes whose shingle sets are as alike as asked."""
+def rooted(docs: DataFrame, nodes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """node, root of the nodes that links join to others: the least node that links of sets as alike as asked reach.
+
+    Links are joined once: what comes after them is of their roots, as more links of one component tell nothing.
+    """
     rows = nodes.count()
     met = common.staged(_met(nodes, rows), "near-pairs")
-    first = common.staged(_verified(docs, nodes, met.filter("a <> b"), likeness), "near-links")
-    dense = common.staged(met.filter("a = b").select("a").distinct(), "near-dense")
-    if dense.isEmpty():
-        return first
-    # what the trees of dense groups left apart: clusters of close pairs that are of several components
-    close = met.filter("a <> b").join(dense, "a").join(dense.withColumnRenamed("a", "b"), "b")
-    clusters = components(close).select("node", F.col("root").alias("key"))
-    clusters = common.staged(clusters.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-clusters")
-    apart = clusters.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    apart = common.staged(clusters.join(apart, "key"), "near-apart")
-    if apart.isEmpty():
-        return first
+    dense = common.staged(met.filter("a = b").select(F.col("a").alias("node")).distinct(), "near-dense")
+    tried = common.staged(_tried(docs, nodes, met.filter("a <> b"), dense, likeness), "near-tried")
+    roots = common.staged(components(tried.filter("alike").select("a", "b")), "near-roots")
+    # what the trees of dense groups left apart: clusters of several components that close pairs connect
+    close = tried.filter("dense and not alike").select("a", "b")
+    if close.isEmpty():
+        return roots
+    clusters = common.staged(components(contracted(close, roots)).select(F.col("node").alias("root"), F.col("root").alias("key")), "near-clusters")
+    if clusters.isEmpty():
+        return roots
+    members = dense.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    apart = common.staged(members.join(clusters, "root").select("key", "node", "root"), "near-apart")
     held = _shingles(docs, nodes, apart.select("node")).withColumn("n", F.size("shingles"))
-    apart = common.staged(apart.join(nodes.select("node", *_NAMES), "node").join(held, "node"), "near-tiles")
+    held = common.staged(apart.join(nodes.select("node", *_NAMES), "node").join(held, "node"), "near-tiles")
     chunks = F.greatest(F.ceil(F.count("*") / MANY), F.least(F.lit(CHUNKS), F.ceil(F.count("*") / FEW)), F.ceil(F.sum("n") / HELD))
-    sizes = common.staged(apart.groupBy("key").agg(chunks.cast("int").alias("c")), "near-chunks")
+    sizes = common.staged(held.groupBy("key").agg(chunks.cast("int").alias("c")), "near-chunks")
     if sizes.count() <= common.BROADCAST_ROWS:
         sizes = F.broadcast(sizes)
-    tiles = _tiles(apart.join(sizes, "key"), ["node", "root", *_NAMES, "shingles"])
-    return first.unionByName(tiles.mapInArrow(_join(likeness), "a long, b long")).distinct()
+    tiles = _tiles(held.join(sizes, "key"), ["node", "root", *_NAMES, "shingles"])
+    joined = components(contracted(tiles.mapInArrow(_join(likeness), "a long, b long"), roots)).withColumnRenamed("root", "least")
+    known = roots.unionByName(apart.select("node", "root")).distinct()
+    return known.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets are as alike as asked."""
+def _tried(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, dense: DataFrame, likeness: float) -> DataFrame:
+    """The pairs (a, b) of nodes; alike: whether their shingle sets are as alike as asked; dense: whether both are in ``dense`` (node)."""
     held = _shingles(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    side = lambda k: held.select(F.col("node").alias(k), F.col("shingles").alias("s" + k))
+    held = held.join(dense.withColumn("dense", F.lit(True)), "node", "left")
+    side = lambda k: held.select(F.col("node").alias(k), F.col("shingles").alias("s" + k), F.coalesce("dense", F.lit(False)).alias("d" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("n")
-    return both.filter((union == 0) | (F.col("n") >= likeness * union)).select("a", "b")
+    return both.select("a", "b", ((union == 0) | (F.col("n") >= likeness * union)).alias("alike"), (F.col("da") & F.col("db")).alias("dense"))
 
 
 def _shingles(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
@@ -369,8 +375,7 @@ def near_groups(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     nodes = sets.groupBy("set").agg(F.min("doc_id").alias("least"), *[F.first(k).alias(k) for k in _NAMES])
     # in order of sets: the same texts are compared in the same order in every run
     nodes = common.staged(nodes.orderBy("set").select(F.monotonically_increasing_id().alias("node"), "*"), "near-nodes")
-    roots = components(links(docs, nodes, likeness))
-    labelled = nodes.join(roots, "node", "left").select("set", "least", F.coalesce("root", "node").alias("root"))
+    labelled = nodes.join(rooted(docs, nodes, likeness), "node", "left").select("set", "least", F.coalesce("root", "node").alias("root"))
     by_root = with_least(labelled, "set")
     return sets.select("doc_id", "set").join(by_root, "set").select("doc_id", "component_id")
 
